@@ -1,0 +1,4 @@
+"""Named queries and the SQL each one is checked against."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
