@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from stabilis.llm import exactdedup
+import public_tokenizers
+
+from stabilis.llm import bpe, exactdedup
 from stabilis.llm.common import table
 
 
@@ -10,8 +12,14 @@ def op8_exact_dedup(spark, sf_dir):
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {
