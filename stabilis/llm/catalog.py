@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stabilis.llm import bpe, exactdedup
+from stabilis.llm import bpe, exactdedup, isomedia
 from stabilis.llm.common import table
 
 
@@ -17,9 +17,14 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_iso_media(spark, sf_dir):
+    return isomedia.stored_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op5_iso_media": op5_iso_media,
 }
 
 ORACLE_SQL = {
