@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stabilis.llm import bpe, exactdedup, isomedia
-from stabilis.llm.common import table
+from stabilis.llm import bpe, exactdedup, isomedia, langid
+from stabilis.llm.common import held_out, table
 
 
 def op8_exact_dedup(spark, sf_dir):
@@ -21,9 +21,16 @@ def op5_iso_media(spark, sf_dir):
     return isomedia.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id").alias("held_out"))
+    model = langid.fit(docs.filter(~docs["held_out"]))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op1_language_id": op1_language_id,
     "op5_iso_media": op5_iso_media,
 }
 
