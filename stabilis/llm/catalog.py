@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stabilis.llm import bpe, exactdedup, isomedia, langid
+from stabilis.llm import bpe, exactdedup, isomedia, langid, toxicity
 from stabilis.llm.common import held_out, table
 
 
@@ -27,9 +27,17 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id").alias("held_out"))
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
+    model = toxicity.fit(docs.filter(~docs["held_out"]), labels)
+    return toxicity.classify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op7_toxicity": op7_toxicity,
     "op1_language_id": op1_language_id,
     "op5_iso_media": op5_iso_media,
 }
