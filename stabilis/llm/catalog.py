@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stabilis.llm import bpe, exactdedup, isomedia, langid, toxicity
+from stabilis.llm import bpe, exactdedup, isomedia, langid, simhash, toxicity
 from stabilis.llm.common import held_out, table
 
 
@@ -34,9 +34,14 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.classify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op9_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op9_simhash": op9_simhash,
     "op7_toxicity": op7_toxicity,
     "op1_language_id": op1_language_id,
     "op5_iso_media": op5_iso_media,
