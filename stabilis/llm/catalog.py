@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stabilis.llm import bpe, exactdedup, isomedia, langid, simhash, toxicity
+from stabilis.llm import bpe, exactdedup, isomedia, langid, mixing, simhash, toxicity
 from stabilis.llm.common import held_out, table
 
 
@@ -38,9 +38,14 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op2_mixing": op2_mixing,
     "op9_simhash": op9_simhash,
     "op7_toxicity": op7_toxicity,
     "op1_language_id": op1_language_id,
