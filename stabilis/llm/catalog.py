@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stabilis.llm import bpe, exactdedup, isomedia, langid, mixing, simhash, toxicity
+from stabilis.llm import bpe, exactdedup, isomedia, langid, mixing, secrets, simhash, toxicity
 from stabilis.llm.common import held_out, table
 
 
@@ -42,9 +42,14 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op6_secrets": op6_secrets,
     "op2_mixing": op2_mixing,
     "op9_simhash": op9_simhash,
     "op7_toxicity": op7_toxicity,
