@@ -16,6 +16,7 @@ import hashlib
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -323,8 +324,8 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str =
     return df.select(*_columns(df, {text_col}), text(F.col(ids_col)).alias(text_col))
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256 and decoded_sha256 of the whole text, plus ``lossless``.
+def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256 and decoded_sha256 of the whole text, ``lossless`` and, if asked for, the ids.
 
     Encoding and decoding run in the same pass in runs of pieces, so that memory does not grow with a text's number
     of tokens. Null and empty texts have no tokens. Rows are independent: repeated rows repeat their result.
@@ -338,11 +339,13 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
             out = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
-                n, ids_hash, text_hash, stream, same, first = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream(), True, True
+                n, ids_hash, text_hash, stream, same, first, all_ids = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream(), True, True, []
                 at = 0
                 for part in split.runs(text):
                     ids = list(chain.from_iterable([pieces[p] for p in part]))
                     n += len(ids)
+                    if keep_ids:
+                        all_ids.append(np.array(ids, np.int32))
                     if ids:
                         ids_hash.update((b"" if first else b" ") + b" ".join([word[i] for i in ids]))
                     raw = b"".join([table[i] for i in ids])
@@ -351,16 +354,17 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
                     same = same and text.startswith(got, at)
                     at, first = at + len(got), first and not ids
                 same = same and stream.close() == "" and at == len(text)
-                out.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), same))
-            n, ids_sha, text_sha, same = zip(*out) if out else ((), (), (), ())
+                out.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), same, np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32)))
+            n, ids_sha, text_sha, same, kept = zip(*out) if out else ((), (), (), (), ())
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())]
+                + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []),
+                names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"] + (["ids"] if keep_ids else []),
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+        .mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean" + (", ids array<int>" if keep_ids else ""))
         .withColumnRenamed("id", id_col)
     )

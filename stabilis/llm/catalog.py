@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stabilis.llm import bpe, exactdedup, isomedia, langid, mixing, secrets, simhash, toxicity
+from stabilis.llm import bpe, exactdedup, isomedia, langid, lpf, mixing, secrets, simhash, toxicity
 from stabilis.llm.common import held_out, table
 
 
@@ -46,9 +46,14 @@ def op6_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark, sf_dir):
+    return lpf.removal_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op3_repeats": op3_repeats,
     "op6_secrets": op6_secrets,
     "op2_mixing": op2_mixing,
     "op9_simhash": op9_simhash,

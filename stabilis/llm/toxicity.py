@@ -7,6 +7,7 @@ is not allowed to fall below zero. The cut between the two classes minimises the
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,29 +72,44 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.scale * (logit - self.cut) + np.log(CUT / (1 - CUT)), -30, 30))))
 
 
-def _matrix(rows: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+def packed(h: np.ndarray) -> bytes:
+    """Distinct features as compressed gaps, which is what the driver receives of a text."""
+    return zlib.compress(np.diff(np.sort(h), prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.int32)
+
+
+def _frequencies(rows: list[bytes], size: int) -> np.ndarray:
+    counts = np.zeros(size)
+    for data in rows:
+        counts[unpacked(data)] += 1
+    return counts / len(rows)
+
+
+def _matrix(rows: list[bytes], columns: np.ndarray) -> np.ndarray:
     x = np.zeros((len(rows), len(columns)), np.float32)
-    for i, h in enumerate(rows):
+    for i, data in enumerate(rows):
+        h = unpacked(data)
         at = np.searchsorted(columns, h)
         at[at == len(columns)] = 0
         x[i, at[columns[at] == h]] = 1
     return x
 
 
-def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = 2000, least: int = 40, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> ToxicityModel:
+def nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, most: int = 2000, least: int = 40, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> ToxicityModel:
     """Train by Adam on the non-negative risk with the logistic loss, full batch.
 
-    Only the ``least`` to ``most`` features whose frequencies differ most clearly between positives and unlabelled texts are used.
+    Texts come as ``packed`` features. Only the ``least`` to ``most`` features whose frequencies differ most clearly between positives and unlabelled texts are used.
     Without positives or unlabelled texts the model has no feature and scores every text the same, below the cut.
     """
     if not positive or not unlabelled:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 1.0, 5.0, prior)
     size = 1 << FEATURE_BITS
-    p = np.bincount(np.concatenate(positive), minlength=size) / len(positive)
-    u = np.bincount(np.concatenate(unlabelled), minlength=size) / len(unlabelled)
+    p, u = _frequencies(positive, size), _frequencies(unlabelled, size)
     spread = p * (1 - p) / len(positive) + u * (1 - u) / len(unlabelled) + 1 / len(positive) ** 2
     clear = np.abs(p - u) / np.sqrt(spread)
-    clear[p <= u] /= 2  # what speaks for toxicity counts first
     columns = np.argsort(-clear, kind="stable")[: max(least, min(most, int((clear >= 3.8).sum())))]
     columns = np.sort(columns)
     xp, xu = _matrix(positive, columns), _matrix(unlabelled, columns)
@@ -129,7 +145,7 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return ToxicityModel(columns, w.astype(np.float32), float(b), cut, float(scale), prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = 2500, unlabelled: int = 4000, seed: int = 1) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = 3000, unlabelled: int = 4000, seed: int = 1) -> ToxicityModel:
     """Fit on a bounded, hash-chosen sample: about ``positives`` confirmed toxic texts and ``unlabelled`` others.
 
     The class prior is the share of toxic rows among all labelled ones. Unlabelled texts are drawn from all documents,
@@ -150,19 +166,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         stamp = np.zeros(1 << FEATURE_BITS, np.int32)
         for batch in batches:
             raw, off = utf8_buffer(batch.column(1))
-            data = [present(raw[off[i] : off[i + 1]], stamp).tobytes() for i in range(len(batch))]
+            data = [packed(present(raw[off[i] : off[i + 1]], stamp)) for i in range(len(batch))]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["positive", "h"])
 
     sample = [
-        rows.join(chosen, "_id").select("_positive", "_text").limit(2 * positives),
+        rows.join(F.broadcast(chosen.limit(2 * positives)), "_id").select("_positive", "_text").limit(2 * positives),
         rows.filter(draw(1) < min(1.0, unlabelled / count)).select(F.lit(False).alias("_positive"), "_text").limit(2 * unlabelled),
     ]
     found: dict[bool, list] = {True: [], False: []}
     for part in sample:
         for r in part.mapInArrow(features, "positive boolean, h binary").collect():
             found[r["positive"]].append(bytes(r["h"]))
-    vectors = {k: [np.frombuffer(x, np.int32) for x in sorted(v)] for k, v in found.items()}
-    return nnpu(vectors[True], vectors[False], toxic / total)
+    return nnpu(sorted(found[True]), sorted(found[False]), toxic / total)
 
 
 def classify(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
@@ -183,3 +198,9 @@ def classify(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> D
 
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*rest, run(F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The input's rows and columns without the texts predicted toxic; null and empty texts stay."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
+    return classify(rows, model, "_text").filter(F.col("predicted") == 0).select("_row.*")
