@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from stabilis.llm import bpe, exactdedup, isomedia, langid, lpf, mixing, secrets, simhash, toxicity
+from stabilis.llm import bpe, exactdedup, isomedia, langid, lpf, mixing, secrets, simhash, toxicity, urltree
 from stabilis.llm.common import held_out, table
 
 
@@ -50,9 +50,14 @@ def op3_repeats(spark, sf_dir):
     return lpf.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark, sf_dir):
+    return urltree.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
+    "op4_url_filters": op4_url_filters,
     "op3_repeats": op3_repeats,
     "op6_secrets": op6_secrets,
     "op2_mixing": op2_mixing,
