@@ -7,7 +7,6 @@ is not allowed to fall below zero. The cut between the two classes minimises the
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stabilis.llm.common import mixed, utf8_buffer, words_at
+from stabilis.llm.common import checkpointed, mixed, utf8_buffer, words_at
 
 #: log2 of the number of hashed features; lengths of the byte n-grams (the seventh byte is the blank before a word).
 FEATURE_BITS, GRAMS = 20, (5, 7)
@@ -72,53 +71,27 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.scale * (logit - self.cut) + np.log(CUT / (1 - CUT)), -30, 30))))
 
 
-def packed(h: np.ndarray) -> bytes:
-    """Distinct features as compressed gaps, which is what the driver receives of a text."""
-    return zlib.compress(np.diff(np.sort(h), prepend=0).astype("<u4").tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.int32)
-
-
-def _frequencies(rows: list[bytes], size: int) -> np.ndarray:
-    counts = np.zeros(size)
-    for data in rows:
-        counts[unpacked(data)] += 1
-    return counts / len(rows)
-
-
-def _matrix(rows: list[bytes], columns: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(rows), len(columns)), np.float32)
-    for i, data in enumerate(rows):
-        h = unpacked(data)
-        at = np.searchsorted(columns, h)
-        at[at == len(columns)] = 0
-        x[i, at[columns[at] == h]] = 1
-    return x
+def screened(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int, most: int = 1500, least: int = 40) -> np.ndarray:
+    """The ``least`` to ``most`` features whose shares p of positives and u of unlabelled texts differ most clearly."""
+    spread = p * (1 - p) / positives + u * (1 - u) / unlabelled + 1 / positives**2
+    clear = np.abs(p - u) / np.sqrt(spread)
+    return np.sort(np.argsort(-clear, kind="stable")[: max(least, min(most, int((clear >= 3.8).sum())))])
 
 
-def nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, most: int = 2000, least: int = 40, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> ToxicityModel:
+def nnpu(columns: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> ToxicityModel:
     """Train by Adam on the non-negative risk with the logistic loss, full batch.
 
-    Texts come as ``packed`` features. Only the ``least`` to ``most`` features whose frequencies differ most clearly between positives and unlabelled texts are used.
-    Without positives or unlabelled texts the model has no feature and scores every text the same, below the cut.
+    xp and xu hold the presence of the features ``columns`` in positive and unlabelled texts. Without either kind the
+    model has no feature and scores every text the same, below the cut.
     """
-    if not positive or not unlabelled:
+    if not len(xp) or not len(xu):
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 1.0, 5.0, prior)
-    size = 1 << FEATURE_BITS
-    p, u = _frequencies(positive, size), _frequencies(unlabelled, size)
-    spread = p * (1 - p) / len(positive) + u * (1 - u) / len(unlabelled) + 1 / len(positive) ** 2
-    clear = np.abs(p - u) / np.sqrt(spread)
-    columns = np.argsort(-clear, kind="stable")[: max(least, min(most, int((clear >= 3.8).sum())))]
-    columns = np.sort(columns)
-    xp, xu = _matrix(positive, columns), _matrix(unlabelled, columns)
-    # presence is measured from how often unlabelled texts have the feature
     w, b = np.zeros(len(columns)), -1.0
     m, v, t = np.zeros(len(columns) + 1), np.zeros(len(columns) + 1), 0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for _ in range(steps):
-        fp, fu = xp @ w + b, xu @ w + b
+        narrow = w.astype(np.float32)  # a wide vector would widen the matrices
+        fp, fu = xp @ narrow + b, xu @ narrow + b
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         # derivative of each text's loss with respect to its logit
         dp_pos = -prior * sigmoid(-fp) / len(fp)
@@ -132,7 +105,8 @@ def nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float, most: int
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    fp, fu = np.sort(xp @ w + b), np.sort(xu @ w + b)
+    narrow = w.astype(np.float32)
+    fp, fu = np.sort(xp @ narrow + b), np.sort(xu @ narrow + b)
     cuts = np.unique(np.concatenate([fp, fu]))
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     missed = np.searchsorted(fp, cuts) / len(fp)
@@ -150,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The class prior is the share of toxic rows among all labelled ones. Unlabelled texts are drawn from all documents,
     labelled or not, and their labels are not used. Labels that are null, or whose id is null, count as no label; if
-    an id has several labels the largest counts. At most twice the two bounds of rows reach the driver.
+    an id has several labels the largest counts. The sample (at most twice the two bounds of rows) is written once;
+    counts of features and the presence of the chosen ones are made in tasks. The driver gets at most one row of
+    counts per feature that four texts have, and 188 bytes per text.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_toxic"))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -158,26 +134,48 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total, toxic = joined.agg(F.count(F.lit(1)), F.sum((F.col("_toxic") == 1).cast("long"))).first()
     count = docs.count()
     if not total or not toxic or not count:
-        return nnpu([], [], 0.0)
+        return nnpu(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0)), 0.0)
     draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.filter((F.col("_toxic") == 1) & (draw(0) < min(1.0, positives / toxic))).select("_id", F.lit(True).alias("_positive"))
+    confirmed = rows.join(F.broadcast(chosen.limit(2 * positives)), "_id").select("_positive", "_text").limit(2 * positives)
+    others = rows.filter(draw(1) < min(1.0, unlabelled / count)).select(F.lit(False).alias("_positive"), "_text").limit(2 * unlabelled)
+    sample = checkpointed(confirmed.unionAll(others).repartition(8, F.xxhash64("_text")))
+    size = 1 << FEATURE_BITS
 
-    def features(batches):
-        stamp = np.zeros(1 << FEATURE_BITS, np.int32)
+    def counted(batches):
+        stamp, counts = np.zeros(size, np.int32), np.zeros((2, size), np.int32)
+        for batch in batches:
+            raw, off = utf8_buffer(batch.column(1))
+            for i, positive in enumerate(batch.column(0).to_pylist()):
+                counts[int(positive), present(raw[off[i] : off[i + 1]], stamp)] += 1
+        at = np.flatnonzero(counts.any(0))
+        for k in range(0, len(at), 100_000):
+            part = at[k : k + 100_000]
+            yield pa.record_batch([pa.array(part), pa.array(counts[1, part].astype(np.int64)), pa.array(counts[0, part].astype(np.int64))], names=["h", "p", "u"])
+
+    sizes = {r["_positive"]: r["count"] for r in sample.groupBy("_positive").count().collect()}
+    np_, nu = sizes.get(True, 0), sizes.get(False, 0)
+    if not np_ or not nu:
+        return nnpu(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0)), 0.0)
+    seen = sample.mapInArrow(counted, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") + F.col("u") >= 4).collect()
+    p, u = np.zeros(size), np.zeros(size)
+    for r in seen:
+        p[r["h"]], u[r["h"]] = r["p"] / np_, r["u"] / nu
+    columns = screened(p, u, np_, nu)
+    sent = docs.sparkSession.sparkContext.broadcast(columns)
+
+    def packed(batches):
+        stamp = np.zeros(size, np.int32)
         for batch in batches:
             raw, off = utf8_buffer(batch.column(1))
-            data = [packed(present(raw[off[i] : off[i + 1]], stamp)) for i in range(len(batch))]
-            yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["positive", "h"])
+            data = [np.packbits(np.isin(sent.value, present(raw[off[i] : off[i + 1]], stamp))).tobytes() for i in range(len(batch))]
+            yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["positive", "x"])
 
-    sample = [
-        rows.join(F.broadcast(chosen.limit(2 * positives)), "_id").select("_positive", "_text").limit(2 * positives),
-        rows.filter(draw(1) < min(1.0, unlabelled / count)).select(F.lit(False).alias("_positive"), "_text").limit(2 * unlabelled),
-    ]
     found: dict[bool, list] = {True: [], False: []}
-    for part in sample:
-        for r in part.mapInArrow(features, "positive boolean, h binary").collect():
-            found[r["positive"]].append(bytes(r["h"]))
-    return nnpu(sorted(found[True]), sorted(found[False]), toxic / total)
+    for r in sample.mapInArrow(packed, "positive boolean, x binary").collect():
+        found[r["positive"]].append(bytes(r["x"]))
+    matrix = {k: np.unpackbits(np.array([np.frombuffer(x, np.uint8) for x in sorted(v)]), axis=1)[:, : len(columns)].astype(np.float32) for k, v in found.items()}
+    return nnpu(columns, matrix[True], matrix[False], toxic / total)
 
 
 def classify(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
