@@ -1,4 +1,295 @@
-"""Named queries and the SQL each one is checked against."""
+"""Named queries over the driver's tables and the SQL each one is checked against.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Doubles are rounded to six places on both sides. Stand-ins, where no model is at hand: dependency tokens are drawn from
+hashes of words (not a linguistic parse), and the vectors of the statistical queries from hashes of pair keys.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stabilis.functions import text as T
+from stabilis.operators import clauses, lexis, matching, organization, pairs, stability, structure, validation
+from stabilis.plans import oracle
+from stabilis.sources import tables
+from stabilis.sources.tables import COMPONENTS, KEYS
+
+K, REPLICATES, SEED = 3, 30, 11
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def responses(spark, sf_dir):
+    return pairs.responses_from_turns(_table(spark, sf_dir, "conversations"), K)
+
+
+def _pairs(spark, sf_dir, *carry):
+    return pairs.canonical_pairs(responses(spark, sf_dir), *carry)
+
+
+def canonical_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select(*KEYS, "comparison_type")
+
+
+def response_violations(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    rows = turns.select(
+        F.col("conv_id").cast("string").alias("essay_file"), F.when(F.col("role") == "user", "A").when(F.col("role") == "assistant", "B").otherwise(F.col("role")).alias("prompt"),
+        F.col("turn").cast("int").alias("response_index"), F.col("text").alias("response"),
+    )
+    return tables.response_violations(rows, K)
+
+
+def _done(spark, sf_dir):
+    return _pairs(spark, sf_dir).filter("comparison_type = 'AA'")
+
+
+def pair_coverage_violations(spark, sf_dir):
+    return pairs.coverage_violations(_done(spark, sf_dir), K)
+
+
+def resume_missing_pairs(spark, sf_dir):
+    return pairs.missing_pairs(_pairs(spark, sf_dir), _done(spark, sf_dir)).select(*KEYS, "comparison_type")
+
+
+def mattr(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
+    # ratios of small integers often lie half-way between two roundings, which engines settle differently
+    return docs.select("doc_id", F.size("w").cast("long").alias("tokens"), (F.floor(T.mattr(F.col("w")) * 1000000 + 0.5) / 1000000.0).alias("mattr"))
+
+
+def mtld(spark, sf_dir):
+    return rounded(_table(spark, sf_dir, "documents").select("doc_id", T.mtld(T.words(F.col("text"))).alias("mtld")))
+
+
+def _ngrams(n):
+    return lambda spark, sf_dir: lexis.phrase_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", n)
+
+
+def _lexical_pairs(spark, sf_dir):
+    return pairs.canonical_pairs(lexis.lexical_columns(responses(spark, sf_dir)), "mattr", "terms", "grams2", "grams3")
+
+
+def phraseology_jsd(spark, sf_dir):
+    p = _lexical_pairs(spark, sf_dir)
+    two, three = (lexis.phrase_divergence(p, KEYS, F.col(f"grams{n}_1"), F.col(f"grams{n}_2"), f"jsd{n}") for n in (2, 3))
+    return rounded(two.join(three, KEYS, "left"))
+
+
+def tfidf_cosine_pairs(spark, sf_dir):
+    p = _lexical_pairs(spark, sf_dir)
+    return rounded(lexis.tfidf_cosine(p, KEYS, F.col("terms_1"), F.col("terms_2")))
+
+
+def lexical_similarity(spark, sf_dir):
+    return rounded(lexis.lexical_similarity(_lexical_pairs(spark, sf_dir), KEYS))
+
+
+def embedding_meaning(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    following = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rounded(e.join(following, "vec_id").select("vec_id", organization.cosine_affine(F.col("embedding"), F.col("other")).alias("meaning")))
+
+
+def _matrix(spark, sf_dir):
+    rows = responses(spark, sf_dir).withColumn("s", T.sentences(F.col("response")))
+    return organization.sentence_matrix(pairs.canonical_pairs(rows, "s"), KEYS, F.col("s_1"), F.col("s_2"))
+
+
+def sentence_matrix_tfidf(spark, sf_dir):
+    return rounded(_matrix(spark, sf_dir))
+
+
+def soft_organization(spark, sf_dir):
+    return rounded(organization.soft_organization(_matrix(spark, sf_dir), KEYS))
+
+
+def synthetic_tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Tokens with hashed tags, relations and heads (an earlier token of the sentence; the first is the root)."""
+    upos = ["NOUN", "VERB", "ADJ", "ADV", "PRON", "PROPN", "AUX", "PUNCT"]
+    relations = ["nsubj", "obj", "amod", "advmod", "nmod", "conj", "advcl", "acl", "acl:relcl", "ccomp", "xcomp", "csubj", "compound", "appos", "nsubj:pass", "aux:pass"]
+    rows = texts.select(key, F.posexplode(T.sentences(F.col(text))).alias("s", "sentence"))
+    rows = rows.select(key, (F.col("s") + 1).alias("sentence_id"), F.posexplode(T.words(F.col("sentence"))).alias("t", "text"))
+    draw = lambda what: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(what), key, "sentence_id", "t", "text").cast("binary")), 1, 8), 16, 10).cast("long")
+    pick = lambda names, what: F.element_at(F.array(*[F.lit(x) for x in names]), (draw(what) % len(names) + 1).cast("int"))
+    return rows.select(
+        key, "sentence_id", (F.col("t") + 1).alias("token_id"), "text", pick(upos, "u").alias("upos"), pick(relations, "r").alias("dependency_relation"),
+        F.when(F.col("t") > 0, (F.pmod(draw("h"), F.col("t")) + 1).cast("int")).alias("head_token_id"),
+    )
+
+
+def _tokens(spark, sf_dir):
+    rows = responses(spark, sf_dir).withColumn("rid", F.concat_ws("/", "essay_file", "prompt", "response_index"))
+    return synthetic_tokens(rows, "rid", "response")
+
+
+def structure_features(spark, sf_dir):
+    return rounded(structure.features(_tokens(spark, sf_dir), "rid"))
+
+
+def structure_similarity(spark, sf_dir):
+    found = structure.features(_tokens(spark, sf_dir), "rid")
+    ids = responses(spark, sf_dir).withColumn("rid", F.concat_ws("/", "essay_file", "prompt", "response_index"))
+    names = [*structure.RATES, *structure.TOTALS]
+    both = pairs.canonical_pairs(ids.drop("response").join(found, "rid"), *names)
+    return rounded(structure.structure_similarity(both, KEYS))
+
+
+def multiset_jaccard(spark, sf_dir):
+    p = _pairs(spark, sf_dir, "response")
+    side = lambda n: p.select(*KEYS, F.explode(T.words(F.col(f"response_{n}"))).alias("word"))
+    return rounded(structure.multiset_jaccard(side(1), side(2), KEYS, "word"))
+
+
+def vectors(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    score = lambda c: F.conv(F.substring(F.md5(F.concat_ws("|", *KEYS, F.lit(c)).cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
+    return p.select(*KEYS, "comparison_type", F.lit(K).alias("response_count"), *[score(c).alias(c) for c in COMPONENTS])
+
+
+def vector_violations(spark, sf_dir):
+    bad = vectors(spark, sf_dir).withColumn("comparison_type", F.when(F.col("response_index_2") == K, "XX").otherwise(F.col("comparison_type")))
+    return tables.vector_violations(bad)
+
+
+def _of_vectors(f):
+    return lambda spark, sf_dir: rounded(f(vectors(spark, sf_dir)))
+
+
+def _bootstrap(f):
+    return lambda spark, sf_dir: rounded(f(v := vectors(spark, sf_dir), stability.draws(v, REPLICATES, SEED)))
+
+
+DELTAS = ["magnitude", *[f"delta_{c}" for c in COMPONENTS]]
+
+
+def _within_intervals(v, s):
+    return stability.intervals(stability.bootstrap_within(v, s), ["essay_file", "prompt"], stability.METRICS)
+
+
+def _shift_intervals(v, s):
+    return stability.intervals(stability.bootstrap_shift(v, s), ["essay_file"], DELTAS, DELTAS[1:])
+
+
+def _overall(v, s):
+    return stability.bootstrap_overall(stability.bootstrap_shift(v, s))
+
+
+def _best_matches(spark, sf_dir):
+    """Each first-side sentence with its best cell; enough for the order measures."""
+    cells = _matrix(spark, sf_dir).withColumn("score", F.round("score", 6)).filter("score > 0")
+    best = cells.groupBy(*KEYS, "i").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("j"))).alias("b"))
+    return best.select(*KEYS, "i", F.col("b.j").alias("j"), (-F.col("b.s")).alias("score"))
+
+
+def _sizes(spark, sf_dir):
+    rows = responses(spark, sf_dir).withColumn("n", F.size(T.sentences(F.col("response"))))
+    return pairs.canonical_pairs(rows, "n").select(*KEYS, F.col("n_1").alias("n_a"), F.col("n_2").alias("n_b"))
+
+
+def kendall_tau_b(spark, sf_dir):
+    return rounded(matching.kendall(_best_matches(spark, sf_dir), KEYS))
+
+
+def position_matching(spark, sf_dir):
+    return rounded(matching.positions(_best_matches(spark, sf_dir), _sizes(spark, sf_dir), KEYS))
+
+
+def continuity(spark, sf_dir):
+    return rounded(matching.continuity(_best_matches(spark, sf_dir), _sizes(spark, sf_dir), KEYS))
+
+
+def unit_matches(spark, sf_dir):
+    return rounded(matching.match_units(_matrix(spark, sf_dir), KEYS))
+
+
+def _clauses(strict):
+    return lambda spark, sf_dir: clauses.split_clauses(_tokens(spark, sf_dir), "rid", strict)
+
+
+def validation_edits(spark, sf_dir):
+    found = validation.extracts(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return validation.edits(found, "doc_id")
+
+
+def stratified_sample(spark, sf_dir):
+    return validation.stratified_sample(_table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 10)
+
+
+def sha256_digest(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.col("text"), 256).alias("digest"))
+
+
+def derived_seed(spark, sf_dir):
+    keys = responses(spark, sf_dir).drop("response")
+    return keys.select("*", T.derived_seed(42, F.col("essay_file"), F.col("prompt"), F.col("response_index")).alias("seed"))
+
+
+def text_sizes(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    t = F.col("text")
+    return docs.select("doc_id", F.size(T.sentences(t)).cast("long").alias("sentences"), F.size(T.words(t)).cast("long").alias("words"), T.english_word_count(t).cast("long").alias("joined_words"))
+
+
+def chart_intervals(spark, sf_dir):
+    """Observed mean distance of each essay and prompt with its bootstrap interval."""
+    v = vectors(spark, sf_dir)
+    points = stability.within_stability(v).select("essay_file", "prompt", "mean_distance")
+    bars = _within_intervals(v, stability.draws(v, REPLICATES, SEED)).filter("metric = 'mean_distance'")
+    return rounded(points.join(bars, ["essay_file", "prompt"]).select("essay_file", "prompt", "mean_distance", "low", "high"))
+
+
+QUERIES = {
+    "responses": responses,
+    "response_violations": response_violations,
+    "canonical_pairs": canonical_pairs,
+    "pair_coverage_violations": pair_coverage_violations,
+    "resume_missing_pairs": resume_missing_pairs,
+    "mattr": mattr,
+    "mtld": mtld,
+    "ngram_counts_2": _ngrams(2),
+    "ngram_counts_3": _ngrams(3),
+    "phraseology_jsd": phraseology_jsd,
+    "tfidf_cosine_pairs": tfidf_cosine_pairs,
+    "lexical_similarity": lexical_similarity,
+    "embedding_meaning": embedding_meaning,
+    "sentence_matrix_tfidf": sentence_matrix_tfidf,
+    "soft_organization": soft_organization,
+    "structure_features": structure_features,
+    "structure_similarity": structure_similarity,
+    "multiset_jaccard": multiset_jaccard,
+    "vectors": lambda spark, sf_dir: rounded(vectors(spark, sf_dir)),
+    "vector_violations": vector_violations,
+    "vector_distances": _of_vectors(stability.vector_distances),
+    "within_stability": _of_vectors(stability.within_stability),
+    "between_stability": _of_vectors(lambda v: stability.between_stability(stability.within_stability(v))),
+    "prompt_shift": _of_vectors(stability.prompt_shift),
+    "overall_prompt_shift": _of_vectors(lambda v: stability.overall_shift(stability.prompt_shift(v))),
+    "hotelling_t2": _of_vectors(lambda v: stability.hotelling(stability.prompt_shift(v))),
+    "bootstrap_within": _bootstrap(stability.bootstrap_within),
+    "bootstrap_shift": _bootstrap(stability.bootstrap_shift),
+    "bootstrap_overall": _bootstrap(_overall),
+    "within_intervals": _bootstrap(_within_intervals),
+    "shift_intervals": _bootstrap(_shift_intervals),
+    "chart_intervals": chart_intervals,
+    "kendall_tau_b": kendall_tau_b,
+    "position_matching": position_matching,
+    "continuity": continuity,
+    "unit_matches": unit_matches,
+    "clause_split_loose": _clauses(False),
+    "clause_split_strict": _clauses(True),
+    "validation_edits": validation_edits,
+    "stratified_sample": stratified_sample,
+    "sha256_digest": sha256_digest,
+    "derived_seed": derived_seed,
+    "text_sizes": text_sizes,
+}
+
+ORACLE_SQL = oracle.build(K, REPLICATES, SEED)
