@@ -86,9 +86,10 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = KNAPSACK) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes near the budget from below.
+    """How many documents of each length to take so that their sum comes near the budget.
 
-    An equal share of every length first, then the longest that fit, down to what the knapsack can settle exactly.
+    An equal share of every length first, then the longest that fit, down to what the knapsack can settle exactly. If
+    one document more comes nearer from above than that from below, it is taken.
     """
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -107,7 +108,14 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int =
         rest -= more * int(lengths[i])
     window = min(rest, most)
     usable = np.flatnonzero((counts > take) & (lengths <= window))
-    take[usable] += knapsack(lengths[usable], (counts - take)[usable], window)
+    more = knapsack(lengths[usable], (counts - take)[usable], window)
+    take[usable] += more
+    rest -= int((lengths[usable] * more).sum())
+    spare = np.flatnonzero(counts > take)
+    if len(spare):
+        nearest = spare[np.argmin(np.abs(lengths[spare] - rest))]
+        if abs(int(lengths[nearest]) - rest) < rest:
+            take[nearest] += 1
     return take
 
 
