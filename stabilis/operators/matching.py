@@ -99,7 +99,7 @@ def kendall(matches: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(sign).alias("s"), F.count_if(F.col("i") != F.col("i2")).alias("x"), F.count_if(F.col("j") != F.col("j2")).alias("y")
     )
     tau = F.try_divide("s", F.sqrt(F.col("x").cast("double")) * F.sqrt(F.col("y").cast("double")))
-    return matches.select(*keys).distinct().join(sums, keys, "left").select(*keys, F.when(F.col("s").isNull(), 1.0).otherwise(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (tau + 1) / 2)), F.lit(0.5))).alias("tau"))
+    return matches.select(*keys).distinct().join(sums, keys, "left").select(*keys, F.when(F.col("s").isNull(), 1.0).when(tau.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (tau + 1) / 2))).alias("tau"))
 
 
 def positions(matches: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
