@@ -90,7 +90,7 @@ def cosine_affine(a: Column, b: Column) -> Column:
     """(cosine + 1) / 2, clamped; null for a zero vector, a null vector or unequal lengths."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     cos = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    return F.when(F.size(a) == F.size(b), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos + 1) / 2)))
+    return F.when((F.size(a) == F.size(b)) & cos.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos + 1) / 2)))
 
 
 def meaning(bert_f1: Column, embedding: Column) -> Column:
