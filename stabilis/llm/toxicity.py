@@ -71,11 +71,12 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.scale * (logit - self.cut) + np.log(CUT / (1 - CUT)), -30, 30))))
 
 
-def screened(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int, most: int = 1500, least: int = 40) -> np.ndarray:
-    """The ``least`` to ``most`` features whose shares p of positives and u of unlabelled texts differ most clearly."""
+def screened(counts: DataFrame, positives: int, unlabelled: int, most: int = 1500, least: int = 40, clearly: float = 3.8) -> np.ndarray:
+    """The ``least`` to ``most`` features (h) whose shares of positives (p) and unlabelled texts (u) differ most clearly."""
+    p, u = F.col("p") / positives, F.col("u") / unlabelled
     spread = p * (1 - p) / positives + u * (1 - u) / unlabelled + 1 / positives**2
-    clear = np.abs(p - u) / np.sqrt(spread)
-    return np.sort(np.argsort(-clear, kind="stable")[: max(least, min(most, int((clear >= 3.8).sum())))])
+    top = counts.select("h", (F.abs(p - u) / F.sqrt(spread)).alias("clear")).orderBy(F.desc("clear"), "h").limit(most).collect()
+    return np.array(sorted(r["h"] for k, r in enumerate(top) if k < least or r["clear"] >= clearly), np.int64)
 
 
 def nnpu(columns: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> ToxicityModel:
@@ -125,8 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The class prior is the share of toxic rows among all labelled ones. Unlabelled texts are drawn from all documents,
     labelled or not, and their labels are not used. Labels that are null, or whose id is null, count as no label; if
     an id has several labels the largest counts. The sample (at most twice the two bounds of rows) is written once;
-    counts of features and the presence of the chosen ones are made in tasks. The driver gets at most one row of
-    counts per feature that four texts have, and 188 bytes per text.
+    counts of features and the presence of the chosen ones are made in tasks. The driver gets the chosen features
+    and 188 bytes per text.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_toxic"))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -157,11 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     np_, nu = sizes.get(True, 0), sizes.get(False, 0)
     if not np_ or not nu:
         return nnpu(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0)), 0.0)
-    seen = sample.mapInArrow(counted, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") + F.col("u") >= 4).collect()
-    p, u = np.zeros(size), np.zeros(size)
-    for r in seen:
-        p[r["h"]], u[r["h"]] = r["p"] / np_, r["u"] / nu
-    columns = screened(p, u, np_, nu)
+    counts = sample.mapInArrow(counted, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    columns = screened(counts, np_, nu)
     sent = docs.sparkSession.sparkContext.broadcast(columns)
 
     def packed(batches):
