@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from stabilis.llm import bpe, exactdedup, isomedia, langid, lpf, mixing, secrets, simhash, toxicity, urltree
 from stabilis.llm.common import held_out, table
@@ -51,7 +52,7 @@ def op3_repeats(spark, sf_dir):
 
 
 def op4_url_filters(spark, sf_dir):
-    return urltree.url_verdicts(table(spark, sf_dir, "pages"))
+    return urltree.url_verdicts(table(spark, sf_dir, "pages")).withColumn("risk", F.round("risk", 6))
 
 
 QUERIES = {
@@ -67,7 +68,75 @@ QUERIES = {
     "op5_iso_media": op5_iso_media,
 }
 
+def _secret_sql() -> str:
+    """Positions from splitting at each pattern, then a self-join within ``SCOPE`` characters for weak parts."""
+    kinds, ctes, parts = list(secrets.KINDS), [], []
+    for k, kind in enumerate(kinds):
+        pattern = secrets.KINDS[kind][0].replace("'", "''")
+        value = f"regexp_extract_all(x, '{pattern}', 2)" if kind == "assign" else "NULL::VARCHAR[]"
+        ctes.append(f"""m{k} AS (SELECT uid, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM
+            (SELECT uid, regexp_extract_all(x, '{pattern}') AS m, {value} AS v, string_split_regex(x, '{pattern}') AS g FROM t WHERE regexp_matches(x, '{pattern}')))""")
+        keep = {
+            "assign": "length(v[i]) >= 12",
+            "key_id": "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Z]') AND NOT starts_with(m[i], 'AKIA') AND length(m[i]) < 40",
+            "key": "length(m[i]) = 40",
+        }.get(kind, "true")
+        start = "list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i-1], lambda s: length(s))), 0)"
+        parts.append(f"SELECT uid, {k} AS ord, '{kind}' AS kind, '{secrets.KINDS[kind][1]}' AS class, CAST({start} AS BIGINT) AS a, CAST({start} + length(m[i]) AS BIGINT) AS b FROM m{k} WHERE {keep}")
+    strong = len(secrets.STRONG)
+    needs = " OR ".join(
+        f"(w.kind = '{kind}' AND " + " AND ".join(f"EXISTS (SELECT 1 FROM p q WHERE q.uid = w.uid AND q.class = '{c}' AND abs(q.a - w.a) <= {secrets.SCOPE})" for c in classes) + ")"
+        for kind, classes in secrets.NEEDS.items()
+    )
+    return f"""WITH t AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS x FROM documents), {', '.join(ctes)},
+        p0 AS ({' UNION ALL '.join(parts)}),
+        p AS (SELECT * FROM p0 w WHERE ord < {strong} OR NOT EXISTS (SELECT 1 FROM p0 q WHERE q.uid = w.uid AND q.ord < {strong} AND q.a < w.b AND w.a < q.b)),
+        s AS (SELECT * FROM p w WHERE ord < {strong} OR {needs}),
+        o AS (SELECT uid, count(*) FILTER (WHERE ord = 0) AS n0, count(*) FILTER (WHERE ord = 1) AS n1, count(*) FILTER (WHERE ord = 2) AS n2,
+            string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) FILTER (WHERE ord < {strong}) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) AS spans FROM s GROUP BY uid)
+        SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN o USING (uid)"""
+
+
+def _url_sql() -> str:
+    """The same tree, level by level, in grouped SQL."""
+    rules = sorted(urltree.RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda col: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{v if col == 'v' else h + p}'" for v, h, p in rules) + " END"
+    depth = urltree.DEPTH
+    ctes = [
+        r"""u AS (SELECT page_id, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) AS e FROM pages)""",
+        "r0 AS (SELECT page_id, translate(coalesce(e.h, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(e.p, '') AS path FROM u)",
+        f"r AS (SELECT *, {case('v')} AS fit, {case('r')} AS rule FROM r0)",
+        "d AS (SELECT host, path, count(*) AS n, count(*) FILTER (WHERE fit = 'block') AS blocked, count(fit) AS labelled, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM r GROUP BY host, path)",
+        f"l0 AS (SELECT host, path, n, blocked, labelled, CASE WHEN len(s) > {depth} THEN list_append(s[1:{depth}], array_to_string(s[{depth + 1}:], '/')) ELSE s END AS segs, '' AS template FROM d)",
+    ]
+    variable = urltree.VARIABLE
+    for k in range(depth + 1):
+        ctes += [
+            f"s{k} AS (SELECT *, CASE WHEN regexp_matches(segs[{k + 1}], '{variable}') THEN '*' ELSE segs[{k + 1}] END AS seg FROM l{k})",
+            f"k{k} AS (SELECT host, template, seg, sum(n) AS n FROM s{k} WHERE seg IS NOT NULL AND seg <> '*' GROUP BY ALL)",
+            f"o{k} AS (SELECT host, template, true AS open FROM k{k} GROUP BY host, template HAVING count(*) >= {urltree.CHILDREN} AND sum(n) <= {urltree.ROWS_EACH} * count(*))",
+            f"""l{k + 1} AS (SELECT host, path, n, blocked, labelled, segs, CASE WHEN seg IS NULL THEN template ELSE template || '/' || CASE WHEN open THEN '*' ELSE seg END END AS template
+                FROM s{k} LEFT JOIN o{k} USING (host, template))""",
+        ]
+    ctes += [
+        f"pl AS (SELECT host, path, blocked, labelled, CASE WHEN template = '' THEN '/' ELSE template END AS template FROM l{depth + 1})",
+        r"f AS (SELECT *, regexp_replace(template, '^((?:/\*)*)/[^/*][^/]*', '\1/*') AS parent FROM (SELECT host, template, sum(blocked) AS blocked, sum(labelled) AS labelled FROM pl GROUP BY ALL))",
+        "ss AS (SELECT host, parent, count(*) AS k, min(labelled) AS least, sum(labelled) AS t, sum(blocked) AS b, sum(blocked * blocked / nullif(labelled, 0)::DOUBLE) AS q FROM f GROUP BY ALL)",
+        """al AS (SELECT host, parent, true AS alike FROM ss WHERE k > 1 AND least > 0
+            AND coalesce((q - b * (b / nullif(t, 0)::DOUBLE)) / nullif((b / nullif(t, 0)::DOUBLE) * (1 - b / nullif(t, 0)::DOUBLE), 0), 0.0) <= k - 1 + 2 * sqrt(2.0 * (k - 1)))""",
+        "g AS (SELECT host, template, blocked, labelled, CASE WHEN alike THEN parent ELSE template END AS merged FROM f LEFT JOIN al USING (host, parent))",
+        f"ri AS (SELECT host, merged, (sum(blocked) + {urltree.STRENGTH * urltree.PRIOR}::DOUBLE) / (sum(labelled) + {urltree.STRENGTH}::DOUBLE) AS risk FROM g GROUP BY ALL)",
+    ]
+    return (
+        "WITH " + ",\n".join(ctes) + f"""
+        SELECT page_id, r.host, r.path, rule, coalesce(fit, CASE WHEN risk >= {urltree.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, g.merged AS template, round(risk, 6) AS risk
+        FROM r JOIN pl ON r.host = pl.host AND r.path = pl.path JOIN g ON pl.host = g.host AND pl.template = g.template JOIN ri ON g.host = ri.host AND g.merged = ri.merged"""
+    )
+
+
 ORACLE_SQL = {
+    "op4_url_filters": _url_sql(),
+    "op6_secrets": _secret_sql(),
     "op8_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents
