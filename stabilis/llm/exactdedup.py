@@ -25,7 +25,7 @@ def normalised(text: Column) -> Column:
 
 
 def winners(docs: DataFrame, id_col: str, content: Column, salts: int) -> DataFrame:
-    """One row per distinct content: digest, a second fingerprint, the smallest id and the number of rows."""
+    """One row per distinct content: digest, a second fingerprint, length, the smallest id and the number of rows."""
     rows = docs.select(
         F.col(id_col).alias("id"),
         content.alias("content"),
@@ -33,7 +33,7 @@ def winners(docs: DataFrame, id_col: str, content: Column, salts: int) -> DataFr
     ).withColumn("digest", F.sha2("content", 256))
     salted = rows.groupBy("digest", "salt", "content").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     whole = salted.groupBy("digest", "content").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return whole.select("digest", F.xxhash64("content").alias("check"), "keep_id", "group_size")
+    return whole.select("digest", F.xxhash64("content").alias("check"), F.length("content").alias("chars"), "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -52,14 +52,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = (
         winners(docs, id_col, content, salts)
         .groupBy("digest", "check")
-        .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("contents"))
+        .agg(F.min("chars").alias("chars"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("contents"))
         .withColumn("group_size", F.when(F.col("contents") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two contents share a digest")).cast("long")))
         .drop("contents")
     )
     keyed = docs.select(F.col(id_col).alias("id"), content.alias("content")).select(
-        "id", F.sha2("content", 256).alias("digest"), F.xxhash64("content").alias("check")
+        "id", F.sha2("content", 256).alias("digest"), F.xxhash64("content").alias("check"), F.length("content").alias("chars")
     )
-    return keyed.join(best, ["digest", "check"]).select(
+    # with the length as a third key both sides are dealt anew for the join, so that adaptive execution may split a
+    # digest that very many rows share
+    return keyed.join(best, ["digest", "check", "chars"]).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
