@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stabilis.functions import text as T
 from stabilis.operators import clauses, lexis, matching, organization, pairs, stability, structure, validation
 from stabilis.plans import oracle
+from stabilis.plans.tokens import synthetic_tokens
 from stabilis.sources import tables
 from stabilis.sources.tables import COMPONENTS, KEYS
 
@@ -111,20 +112,6 @@ def soft_organization(spark, sf_dir):
     return rounded(organization.soft_organization(_matrix(spark, sf_dir), KEYS))
 
 
-def synthetic_tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Tokens with hashed tags, relations and heads (an earlier token of the sentence; the first is the root)."""
-    upos = ["NOUN", "VERB", "ADJ", "ADV", "PRON", "PROPN", "AUX", "PUNCT"]
-    relations = ["nsubj", "obj", "amod", "advmod", "nmod", "conj", "advcl", "acl", "acl:relcl", "ccomp", "xcomp", "csubj", "compound", "appos", "nsubj:pass", "aux:pass"]
-    rows = texts.select(key, F.posexplode(T.sentences(F.col(text))).alias("s", "sentence"))
-    rows = rows.select(key, (F.col("s") + 1).alias("sentence_id"), F.posexplode(T.words(F.col("sentence"))).alias("t", "text"))
-    draw = lambda what: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(what), key, "sentence_id", "t", "text").cast("binary")), 1, 8), 16, 10).cast("long")
-    pick = lambda names, what: F.element_at(F.array(*[F.lit(x) for x in names]), (draw(what) % len(names) + 1).cast("int"))
-    return rows.select(
-        key, "sentence_id", (F.col("t") + 1).alias("token_id"), "text", pick(upos, "u").alias("upos"), pick(relations, "r").alias("dependency_relation"),
-        F.when(F.col("t") > 0, (F.pmod(draw("h"), F.col("t")) + 1).cast("int")).alias("head_token_id"),
-    )
-
-
 def _tokens(spark, sf_dir):
     rows = responses(spark, sf_dir).withColumn("rid", F.concat_ws("/", "essay_file", "prompt", "response_index"))
     return synthetic_tokens(rows, "rid", "response")

@@ -54,6 +54,51 @@ def _divergence(grams: str, name: str) -> list[str]:
     ]
 
 
+def _structure(base: list[str], paired, q) -> dict[str, str]:
+    """Hashed tokens, depths by recursion, the 42 features and their similarity."""
+    from stabilis.operators import structure as S
+    from stabilis.plans.tokens import RELATIONS, TAGS
+
+    draw = lambda what: _hash(repr(what), "rid", "sentence_id", "t", "text")
+    listed = lambda names: "[" + ", ".join(map(repr, names)) + "]"
+    tags = lambda names: "(" + ", ".join(map(repr, names)) + ")"
+    name = lambda r: r.replace(":", "_")
+    ctes = [
+        *base,
+        f"st AS (SELECT rid, unnest(range(1, len(ss) + 1)) AS sentence_id, unnest(ss) AS sentence FROM (SELECT concat_ws('/', essay_file, prompt, response_index) AS rid, {_sentences('response')} AS ss FROM responses))",
+        f"wd AS (SELECT rid, sentence_id, unnest(range(0, len(ws))) AS t, unnest(ws) AS text FROM (SELECT rid, sentence_id, {_words('sentence')} AS ws FROM st))",
+        f"""tk AS (SELECT rid, sentence_id, t + 1 AS token_id, {listed(TAGS)}[{draw('u')} % {len(TAGS)} + 1] AS upos, {listed(RELATIONS)}[{draw('r')} % {len(RELATIONS)} + 1] AS rel,
+            CASE WHEN t > 0 THEN {draw('h')} % t + 1 END AS head FROM wd)""",
+        "kt AS (SELECT * FROM tk WHERE upos <> 'PUNCT')",
+        """dp AS (SELECT k.rid, k.sentence_id, k.token_id, CASE WHEN k.head IS NULL THEN 0 ELSE 1 END AS depth FROM kt k LEFT JOIN kt h ON h.rid = k.rid AND h.sentence_id = k.sentence_id AND h.token_id = k.head WHERE h.token_id IS NULL
+            UNION ALL SELECT k.rid, k.sentence_id, k.token_id, d.depth + 1 FROM kt k JOIN dp d ON k.rid = d.rid AND k.sentence_id = d.sentence_id AND k.head = d.token_id)""",
+    ]
+    counts = ", ".join(f"count(*) FILTER (WHERE rel = '{r}') AS {name(r)}" for r in (*S.PER_SENTENCE, *S.PER_NOUN, "advmod", *S.PER_VERB))
+    ctes += [
+        f"""fs AS (SELECT rid, {counts}, count(DISTINCT sentence_id) AS sentences, count(*) AS tokens, count(*) FILTER (WHERE upos IN {tags(S.NOUNS)}) AS nouns, count(*) FILTER (WHERE upos IN {tags(S.MODIFIED)}) AS modified,
+            count(*) FILTER (WHERE upos IN {tags(S.VERBS)}) AS verbs, sum(depth) AS total_token_depth, max(depth) AS maximum_dependency_depth_total, coalesce(sum(abs(token_id - head)), 0) AS total_dependency_distance,
+            coalesce(max(abs(token_id - head)), 0) AS maximum_dependency_distance_total, count(head) AS distances, count(*) FILTER (WHERE abs(token_id - head) >= 5) AS long_dependencies_ge_5 FROM kt JOIN dp USING (rid, sentence_id, token_id) GROUP BY rid)""",
+        f"fe AS (SELECT *, {' + '.join(name(r) for r in S.PER_SENTENCE)} AS embedded_clausal_nodes FROM fs)",
+    ]
+    per = lambda a, b: f"coalesce({a} / nullif({b}, 0)::DOUBLE, 0.0)"
+    rates = (
+        [per(name(r), "sentences") for r in S.PER_SENTENCE] + [per(name(r), "nouns") for r in S.PER_NOUN] + [per("advmod", "modified")] + [per(name(r), "verbs") for r in S.PER_VERB]
+        + [per("total_token_depth", "tokens"), per("embedded_clausal_nodes", "sentences"), "maximum_dependency_depth_total::DOUBLE", per("total_dependency_distance", "distances"), "maximum_dependency_distance_total::DOUBLE", per("long_dependencies_ge_5", "distances")]
+    )
+    ctes.append(f"ft AS (SELECT rid, {', '.join(f'{r} AS {n}' for r, n in zip(rates, S.RATES))}, {', '.join(f'{t}::DOUBLE AS {t}' for t in S.TOTALS)}, sentences, tokens, nouns, verbs FROM fe)")
+    names = [*S.RATES, *S.TOTALS]
+    out = {"structure_features": q(ctes, f"SELECT rid, {', '.join(f'round({n}, 6) AS {n}' for n in names)}, sentences, tokens, nouns, verbs FROM ft").replace("WITH r0", "WITH RECURSIVE r0", 1)}
+    alike = lambda n: f"coalesce(1 - abs({n}_1 - {n}_2) / nullif(greatest(abs({n}_1), abs({n}_2)), 0), 1.0)"
+    mean = lambda group: f"({' + '.join(map(alike, group))}) / {len(group)}"
+    ctes += [
+        "fk AS (SELECT essay_file, prompt, response_index, ft.* FROM responses JOIN ft ON rid = concat_ws('/', essay_file, prompt, response_index))",
+        paired(*names, of="fk", name="fp"),
+        f"sm AS (SELECT {KEY}, {mean(S.RATES)} AS n, {mean(S.TOTALS)} AS t FROM fp)",
+    ]
+    out["structure_similarity"] = q(ctes, f"SELECT {KEY}, round(n, 6) AS normalized, round(t, 6) AS total, round((n + t) / 2, 6) AS struct FROM sm").replace("WITH r0", "WITH RECURSIVE r0", 1)
+    return out
+
+
 def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     base = [
         """r0 AS (SELECT CAST(conv_id AS VARCHAR) AS essay_file, CASE role WHEN 'user' THEN 'A' ELSE 'B' END AS prompt,
@@ -263,5 +308,6 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
         """SELECT essay_file, prompt, round(any_value(wi.mean_distance), 6) AS mean_distance, round(quantile_cont(bw.mean_distance, 0.025), 6) AS low, round(quantile_cont(bw.mean_distance, 0.975), 6) AS high
         FROM bw JOIN wi USING (essay_file, prompt) GROUP BY essay_file, prompt""",
     )
+    out |= _structure(base, paired, q)
     out["stratified_sample"] = """SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', 0, doc_id)), doc_id) AS n FROM documents) WHERE n <= 10"""
     return out
