@@ -7,7 +7,6 @@ loss and flags texts whose two nearest codewords are close.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,9 +23,6 @@ FEATURE_BITS, GRAMS = 13, (2, 3, 4)
 #: Bytes that are hashed at a time.
 _CHUNK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def codewords(classes: int, seed: int = 0) -> np.ndarray:
     """A row of -1 and 1 per class: all dichotomies for up to five classes, else the best of seeded random codes."""
     if classes <= 1:
@@ -157,7 +153,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", marg
         m = sent.value
         out = []
         for text in texts:
-            if text is None or not m.languages or not _LETTER.search(text):
+            if text is None or not m.languages or not any(map(str.isalpha, text)):
                 out.append((UNDETERMINED, 0.0, False))
                 continue
             loss = m.losses(features(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))[None, :])[0]

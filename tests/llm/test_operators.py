@@ -180,7 +180,7 @@ def test_language_id(spark, nothing):
     model = langid.fit(df.filter("doc_id % 2 = 0"))
     out = langid.identify(df.filter("doc_id % 2 = 1"), model).collect()
     assert all(r["lang"] == r["lang_pred"] and 0.5 <= r["score"] <= 1 for r in out)
-    odd = spark.createDataFrame([(1, None, 3), (2, "", 3), (3, "123 !?", 3), (4, "und", 3)], "doc_id long, text string, score int")
+    odd = spark.createDataFrame([(1, None, 3), (2, "", 3), (3, "123 !? ²_½", 3), (4, "und", 3)], "doc_id long, text string, score int")
     assert [r["lang_pred"] for r in sorted(langid.identify(odd, model).collect())] == ["und", "und", "und", "de"]
     empty = langid.fit(nothing)
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
