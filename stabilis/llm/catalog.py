@@ -55,6 +55,10 @@ def op4_url_filters(spark, sf_dir):
     return urltree.url_verdicts(table(spark, sf_dir, "pages")).withColumn("risk", F.round("risk", 6))
 
 
+def op4_url_shapes(spark, sf_dir):
+    return urltree.url_verdicts(table(spark, sf_dir, "pages"), shapes=True).withColumn("risk", F.round("risk", 6))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
@@ -66,6 +70,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op1_language_id": op1_language_id,
     "op5_iso_media": op5_iso_media,
+    "op4_url_shapes": op4_url_shapes,
 }
 
 def _secret_sql() -> str:

@@ -329,6 +329,28 @@ def test_templates_and_purity(spark):
     assert urltree.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_shapes_reach_unlabelled_branches(spark):
+    """Rule-less branches take the verdict of labelled siblings of their shape, on every level, and of no others."""
+    rules = (("block", "h.org", "/a/en/"), ("allow", "h.org", "/a/doc/"))
+    urls = [f"http://h.org/a/{b}/{k}" for b in ("en", "fr") for k in range(1000, 1040)] + [f"http://h.org/a/{b}/{w}-page.html" for b in ("doc", "help") for w in "abcdefghijklmnopq"]
+    urls += [f"http://h.org/b/{'x' * k}yz" for k in range(20, 40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+    def verdicts(**how):
+        return {urls[r["page_id"]].rsplit("/", 1)[0][12:]: r["verdict"] for r in urltree.url_verdicts(pages, rules=rules, **how).collect()}
+
+    assert verdicts()["/a/fr"] == "allow"
+    assert verdicts(shapes=True) == {"/a/en": "block", "/a/fr": "block", "/a/doc": "allow", "/a/help": "allow", "/b": "allow"}
+    assert urltree.url_verdicts(pages.limit(0), shapes=True).count() == 0
+
+
+def test_shapes_decide_verdicts(spark):
+    """Verdicts of rule-less urls that differ from what no label at all would give: none by strict merging."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    counts = [urltree.url_verdicts(pages, shapes=s).filter("rule is null and risk <> 0.2").count() for s in (False, True)]
+    assert counts[0] == 0 and counts[1] > 50
+
+
 # secrets
 
 
