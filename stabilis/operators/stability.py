@@ -85,6 +85,7 @@ def draws(vectors: DataFrame, replicates: int, seed: int, attempts: int = 40) ->
     groups = vectors.groupBy("essay_file").agg(F.max("response_count").alias("k"))
     base = groups.select("essay_file", "k", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("prompt"))
     base = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    base = base.repartition("essay_file", "prompt", "replicate")
 
     def sample(attempt: Column) -> Column:
         def one(slot):

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from stabilis.functions import text as T
 from stabilis.operators import clauses, lexis, matching, organization, pairs, stability, structure, validation
 from stabilis.plans import oracle
+from stabilis.plans.checkpoint import checkpointed
 from stabilis.plans.tokens import synthetic_tokens
 from stabilis.sources import tables
 from stabilis.sources.tables import COMPONENTS, KEYS
 
-K, REPLICATES, SEED = 3, 30, 11
+K, REPLICATES, SEED = 3, 5_000, 11
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,8 +151,14 @@ def _of_vectors(f):
     return lambda spark, sf_dir: rounded(f(vectors(spark, sf_dir)))
 
 
+def _drawn(v):
+    """The vectors and their samples, each made once: a statistic reads both several times."""
+    kept = checkpointed(v)
+    return kept, checkpointed(stability.draws(kept, REPLICATES, SEED))
+
+
 def _bootstrap(f):
-    return lambda spark, sf_dir: rounded(f(v := vectors(spark, sf_dir), stability.draws(v, REPLICATES, SEED)))
+    return lambda spark, sf_dir: rounded(f(*_drawn(vectors(spark, sf_dir))))
 
 
 DELTAS = ["magnitude", *[f"delta_{c}" for c in COMPONENTS]]
@@ -227,9 +234,9 @@ def text_sizes(spark, sf_dir):
 
 def chart_intervals(spark, sf_dir):
     """Observed mean distance of each essay and prompt with its bootstrap interval."""
-    v = vectors(spark, sf_dir)
+    v, samples = _drawn(vectors(spark, sf_dir))
     points = stability.within_stability(v).select("essay_file", "prompt", "mean_distance")
-    bars = _within_intervals(v, stability.draws(v, REPLICATES, SEED)).filter("metric = 'mean_distance'")
+    bars = _within_intervals(v, samples).filter("metric = 'mean_distance'")
     return rounded(points.join(bars, ["essay_file", "prompt"]).select("essay_file", "prompt", "mean_distance", "low", "high"))
 
 

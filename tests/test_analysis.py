@@ -133,3 +133,10 @@ def test_hotelling(spark):
 def test_resume(vectors):
     done = vectors.filter("comparison_type = 'AB'").select(*KEYS)
     assert pairs.missing_pairs(vectors, done).count() == 24
+
+
+def test_registered_bootstrap_has_the_default_number_of_replicates(spark):
+    from stabilis.plans import catalog
+
+    got = catalog.QUERIES["bootstrap_overall"](spark, "/root/testdata/sf0.001").select("replicate").distinct()
+    assert got.count() == 5_000
