@@ -67,14 +67,21 @@ def track(data: memoryview, a: int, b: int) -> dict | None:
 
     header, stsd = one(b"mdia", b"mdhd"), one(b"mdia", b"minf", b"stbl", b"stsd")
     stts, stsc, stsz = (one(b"mdia", b"minf", b"stbl", k) for k in (b"stts", b"stsc", b"stsz"))
+    stz2 = one(b"mdia", b"minf", b"stbl", b"stz2")
     stco, co64, stss = (one(b"mdia", b"minf", b"stbl", k) for k in (b"stco", b"co64", b"stss"))
-    if not (header and stsd and stts and stsc and stsz and (stco or co64)):
+    if not (header and stsd and stts and stsc and (stsz or stz2) and (stco or co64)):
         return None
     wide = data[header[0]] == 1
     timescale, duration = struct.unpack_from(">IQ" if wide else ">II", data, header[0] + (20 if wide else 12))
     codec = bytes(data[stsd[0] + 12 : stsd[0] + 16]).decode("latin-1") if stsd[1] - stsd[0] >= 16 else ""
-    fixed, count = struct.unpack_from(">II", data, stsz[0] + 4)
-    if fixed:
+    fixed, count = struct.unpack_from(">II", data, (stsz or stz2)[0] + 4)
+    if not stsz:
+        bits, at = fixed & 0xFF, stz2[0] + 12
+        if bits not in (4, 8, 16):
+            return None
+        raw = np.frombuffer(data, ">u2" if bits == 16 else "u1", min(-(-count * bits // 8), stz2[1] - at) // (2 if bits == 16 else 1), at).astype(np.int64)
+        sizes = (np.stack([raw >> 4, raw & 15], 1).ravel() if bits == 4 else raw)[:count]
+    elif fixed:
         sizes = np.full(count, fixed, np.int64)
     else:
         sizes = np.frombuffer(data, ">u4", min(count, (stsz[1] - stsz[0] - 12) // 4), stsz[0] + 12).astype(np.int64)
@@ -124,6 +131,34 @@ def probe(content: bytes | None) -> dict | None:
     return None
 
 
+def probe_tracks(content: bytes | None) -> list[dict] | None:
+    """All tracks in file order: handler type, the fields of ``probe``, complete and fragmented; None for no container.
+
+    A track with missing or truncated tables has null fields. Samples of movie fragments are not listed: tracks of a
+    file with fragments are marked, and not complete.
+    """
+    if content is None:
+        return None
+    data, out = memoryview(content), []
+    fragmented = any(k == b"moof" for k, _, _ in boxes(data)) or next(find(data, (b"moov", b"mvex")), None) is not None
+    for a, b in find(data, (b"moov", b"trak")):
+        try:
+            at, t = next(find(data, (b"mdia", b"hdlr"), a, b), None), track(data, a, b)
+        except (struct.error, ValueError, IndexError):
+            t = None
+        keys = t["keys"] if t else []
+        out.append({
+            "handler": bytes(data[at[0] + 8 : at[0] + 12]).decode("latin-1") if at else None,
+            "codec": t["codec"] if t else None,
+            "seconds": t["duration"] / t["timescale"] if t and t["timescale"] else None,
+            "samples": len(t["sizes"]) if t else None,
+            "keyframes": [{"start": int(o), "length": int(n)} for o, n in zip(t["offsets"][keys], t["sizes"][keys])] if t else None,
+            "complete": t is not None and not fragmented,
+            "fragmented": fragmented,
+        })
+    return out or None
+
+
 def _box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     return struct.pack(">I4s", len(body) + 8, kind) + body
@@ -166,6 +201,18 @@ def padded(text: str | None, unit: int = UNIT) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(1, -(-len(raw) // unit)) * unit, b" ")
 
 
+def probe_media_tracks(df: DataFrame, content_col: str) -> DataFrame:
+    """The input with an array column ``tracks``: one struct of ``probe_tracks`` per track; null for no container."""
+
+    @F.pandas_udf("array<struct<handler: string, codec: string, seconds: double, samples: long, keyframes: array<struct<start: long, length: long>>, complete: boolean, fragmented: boolean>>")
+    def tracks(contents):
+        import pandas as pd
+
+        return pd.Series([probe_tracks(None if x is None else bytes(x)) for x in contents], dtype=object)
+
+    return df.withColumn("tracks", tracks(F.col(content_col)))
+
+
 def probe_media(df: DataFrame, content_col: str) -> DataFrame:
     """The input with a struct column ``media``: codec, seconds, samples, keyframes (start and length in the file).
 

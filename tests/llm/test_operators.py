@@ -299,6 +299,33 @@ def test_longest_previous_factor_on_strings():
     assert [bool(x) for x in found[: len(raw) - 8]] == [raw.find(raw[a : a + 9]) < a for a in range(len(raw) - 8)]
 
 
+def test_probe_lists_all_tracks(spark):
+    import struct
+
+    box = isomedia._box
+    one = isomedia.mux(b"x" * isomedia.UNIT * 9)
+    a, b = next(isomedia.find(memoryview(one), (b"moov", b"trak")))
+    sound = box(b"trak", one[a:b])
+    video = sound.replace(b"soun", b"vide").replace(b"raw ", b"avc1")
+    sizes = box(b"stsz", struct.pack(">3I", 0, isomedia.UNIT, 9))
+    nibbles = box(b"free", b"") + box(b"stz2", struct.pack(">3I", 0, 4, 9), bytes([0x12, 0x34, 0x56, 0x78, 0x90]))
+    assert isomedia.probe_tracks(None) is None and isomedia.probe_tracks(b"nothing") is None
+    both = box(b"moov", sound, video, box(b"trak", b""))
+    got = spark.createDataFrame([(1, both), (2, both + box(b"moof", b""))], "k int, c binary")
+    rows = {r["k"]: r["tracks"] for r in isomedia.probe_media_tracks(got, "c").collect()}
+    assert [(t["handler"], t["codec"], t["samples"], t["complete"]) for t in rows[1]] == [("soun", "raw ", 9, True), ("vide", "avc1", 9, True), (None, None, None, False)]
+    assert all(t["fragmented"] and not t["complete"] for t in rows[2])
+    # a compact table as its own track: table boxes wrapped again, so that all sizes of outer boxes are right
+    path = (b"mdia", b"minf", b"stbl")
+    m, mi, st = (next(isomedia.find(memoryview(sound[8:]), path[: n + 1])) for n in range(3))
+    raw = sound[8:]
+    table = raw[st[0] : st[1]].replace(sizes, nibbles)
+    minf = b"".join(box(k, table if k == b"stbl" else raw[x:y]) for k, x, y in isomedia.boxes(memoryview(raw), *mi))
+    mdia = b"".join(box(k, minf if k == b"minf" else raw[x:y]) for k, x, y in isomedia.boxes(memoryview(raw), *m))
+    found = isomedia.probe_tracks(box(b"moov", box(b"trak", box(b"mdia", mdia))))[0]
+    assert found["samples"] == 9 and [k["length"] for k in found["keyframes"]] == [1, 9]
+
+
 # url filters
 
 
