@@ -4,36 +4,40 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier (
 earlier start). Every such string (a window) belongs to one anchor: the leftmost of its 32-byte grams with the least
 hash. Equal windows have equal anchors at the same place, so only texts around equal anchors must be compared:
 
-1. Tasks list each document's anchors with the run of windows that belongs to each, a hash of the run's bytes, and
-   keep only the earliest of equal runs in a batch; the others are repeats of it.
-2. Of runs with equal hashes the earliest stays in question, all others are repeats. It is settled (no repeat) if its
-   anchor occurs nowhere else in another run.
-3. The bytes of the runs left in question are cut from their documents and meet by anchor. There a suffix order with
-   ties in corpus order, longest common prefixes and the previous smaller positions give the longest previous factor
-   of every window; factors of ``length`` or more are repeats. An anchor that very many different runs share is
-   settled window by window instead, by grouping the windows' bytes.
-4. Repeated windows' bytes are merged per document and cut out.
+1. Tasks list each document's anchors with the run of windows that belongs to each. Of runs with equal bytes in a
+   batch only the earliest goes on; the others repeat it. Around an anchor that many different runs of a batch share,
+   the batch's own longest previous factors are taken first, and only windows without one go on.
+2. Anchors that occur once are dropped (only hashes and places are shuffled for that).
+3. The bytes of the runs left are cut from their documents and meet by anchor. There a suffix order, the longest
+   common prefixes of its neighbours, and the previous and next smaller positions give the longest previous factor of
+   every window; windows whose factor has ``length`` bytes are repeats. Around anchors with very many runs the windows
+   meet one by one, by their own hash, in the same computation.
+4. Repeated windows are merged per document and cut out.
+
+Hashes only decide what is compared where; a byte is removed only after a comparison of bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stabilis.llm.common import checkpointed, mixed, utf8_buffer, words_at
+from stabilis.llm.common import mixed, utf8_buffer, words_at
 
 #: Bytes of a repeated string, and of the grams from which anchors are chosen.
 LENGTH, GRAM = 100, 32
-#: Runs around one anchor from which on its windows are grouped by their bytes.
-CROWDED = 20_000
+#: Runs around one anchor from which on its windows are dealt one by one: in a batch, and over all.
+LOCAL, CROWDED = 16, 20_000
 #: Windows of a document that are handled at a time; positions must fit in the low bits of an anchor's key.
 _CHUNK, _LOW = 1 << 18, 20
 #: Bytes of runs that are put in suffix order at a time.
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
+#: What a row of a run means: still open, repeat of an earlier one, open but crowded, sign that an anchor is crowded.
+_OPEN, _REPEAT, _HOT, _SIGN = range(4)
 
 _POWERS: dict = {}
 
@@ -90,170 +94,209 @@ def anchor_runs(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length:
     return h[anchor], run, first, number
 
 
-def repeated_windows(data: np.ndarray, length: int, starts: np.ndarray | None = None) -> np.ndarray:
-    """Whether each position's string of ``length`` bytes starts earlier in the data too, by longest previous factors.
+def _ranks(data: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+    """(8, 16, 32, ... up to ``most`` bytes, rank of each position's string of that many bytes)."""
+    word = words_at(data)[: max(len(data) - 7, 0)].byteswap()
+    out = [(8, np.unique(word, return_inverse=True)[1].astype(np.int64))]
+    while 2 * out[-1][0] <= most:
+        size, rank = out[-1]
+        m = len(rank) - size
+        out.append((2 * size, np.unique(rank[:m] * (len(data) + 1) + rank[size:], return_inverse=True)[1].astype(np.int64)))
+    return out
+
 
-    Only the positions ``starts`` (ascending; all if not given) count as starts; the others are never repeats.
+def _towards_smaller(value: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest common prefix of each suffix with the previous smaller position in suffix order; 0 where there is none.
 
-    The suffix order is built by doubling up to ``length``, with ties in the order of the positions; the longest
-    common prefix with the previous smaller position on either side, cut at ``length``, is the longest previous
-    factor. Suffixes that tie share ``length`` bytes, so the neighbour before in the order decides for them, and a
-    suffix that starts a tie has only shorter factors.
+    ``common[i]`` belongs to the suffixes i - 1 and i. A link to a greater position is replaced by that one's own link
+    (all between are greater still) until every link leads to a smaller position.
     """
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(len(data), bool)
-    # ranks by 8 bytes, then by 16, 32, ... as pairs of ranks
+    link, least = np.arange(-1, len(value) - 1), common.copy()
+    open_ = np.flatnonzero((link >= 0) & (value[link] > value))
+    while len(open_):
+        via = link[open_]
+        least[open_], link[open_] = np.minimum(least[open_], least[via]), link[via]
+        open_ = open_[(link[open_] >= 0) & (value[link[open_]] > value[open_])]
+    return np.where(link >= 0, least, 0)
+
+
+def previous_factors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each start (ascending), the longest prefix of its suffix, at most ``length`` bytes, that begins at an
+    earlier start too. Every start must have ``length`` bytes, at least 8."""
+    if length < 8:
+        raise ValueError("length must be at least 8")
+    if len(starts) < 2:
+        return np.zeros(len(starts), np.int64)
+    ranks = _ranks(data, length)
+    size, top = ranks[-1]
+    # suffix order of the starts by their first ``length`` bytes, ties in corpus order
+    order = np.lexsort((top[starts + (length - size)], top[starts]))
+    a, b = starts[order[:-1]], starts[order[1:]]
+    common = np.zeros(len(a), np.int64)
+    for size, rank in reversed(ranks):
+        fits = common + size <= length
+        x, y = (np.where(fits, p + common, 0) for p in (a, b))
+        common += size * (fits & (rank[x] == rank[y]))
     word = words_at(data)
-    rank = np.unique(word[: len(data) - 7], return_inverse=True)[1].astype(np.int64)
-    have = 8
-    while have < length:
-        step = min(have, length - have)
-        m = len(rank) - step
-        pair = rank[:m] * (len(data) + 1) + rank[step : step + m]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        have += step
-    starts = np.arange(n) if starts is None else starts
-    order = starts[np.argsort(rank[starts], kind="stable")]
-    factor = np.zeros(len(data), bool)
-    factor[order[1:]] = rank[order[1:]] == rank[order[:-1]]
-    return factor
-
-
-def _anchors(length: int):
+    last = np.minimum(np.stack([a, b]) + common, len(data) - 1)
+    differ = (word[last[0]] ^ word[last[1]]).view(np.uint8).reshape(-1, 8) != 0
+    tail = np.where(differ.any(1), differ.argmax(1), 8)
+    common = np.concatenate([[0], np.minimum(common + tail, length)])
+    before = _towards_smaller(order, common)
+    after = _towards_smaller(order[::-1], np.concatenate([[0], common[:0:-1]]))[::-1]
+    out = np.empty(len(starts), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
+
+
+def _sub_runs(pieces: list[bytes], count: np.ndarray, length: int):
+    """Pieces (in corpus order) with their numbers of windows, cut where repeated windows begin or end:
+    piece, offset of the first window, number of windows, whether they are repeats."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    begin = np.cumsum([0, *map(len, pieces)])[:-1]
+    ahead = np.cumsum(count) - count
+    piece = np.repeat(np.arange(len(count)), count)
+    starts = begin[piece] + np.arange(len(piece)) - ahead[piece]
+    found = previous_factors(data, starts, length) >= length
+    first = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (piece[1:] != piece[:-1])]))
+    return piece[first], first - ahead[piece[first]], np.diff(np.append(first, len(piece))), found[first]
+
+
+def _anchors(length: int, local: int):
+    """Rows of runs from batches of (id, key, text)."""
+
+    def listed(raw, off):
+        # cut documents into pieces that overlap by length - 1 bytes, then gather pieces up to the chunk size
+        pieces = []
+        for i in range(len(off) - 1):
+            for a in range(off[i], max(off[i + 1] - length + 1, off[i]), _CHUNK):
+                pieces.append((i, a, min(a + _CHUNK + length - 1, off[i + 1])))
+        k = 0
+        while k < len(pieces):
+            j = k + 1
+            while j < len(pieces) and pieces[j][2] - pieces[k][1] < 2 * _CHUNK and pieces[j][1] >= pieces[k][1]:
+                j += 1
+            group = np.array(pieces[k:j], np.int64)
+            base = group[0, 1]
+            anchor, run, first, number = anchor_runs(raw[base : group[-1, 2]], group[:, 1] - base, group[:, 2] - base, length)
+            yield anchor, run, group[np.searchsorted(group[:, 1] - base, first, "right") - 1, 0], first + base, number
+            k = j
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            raw, off = utf8_buffer(batch.column(1))
-            # cut documents into pieces that overlap by length - 1 bytes, then gather pieces up to the chunk size
-            pieces = []
-            for i in range(len(batch)):
-                for a in range(off[i], max(off[i + 1] - length + 1, off[i]), _CHUNK):
-                    pieces.append((i, a, min(a + _CHUNK + length - 1, off[i + 1])))
-            parts, k = [], 0
-            while k < len(pieces):
-                j = k + 1
-                while j < len(pieces) and pieces[j][2] - pieces[k][1] < 2 * _CHUNK and pieces[j][1] >= pieces[k][1]:
-                    j += 1
-                group = np.array(pieces[k:j], np.int64)
-                base = group[0, 1]
-                anchor, hashed, first, number = anchor_runs(raw[base : group[-1, 2]], group[:, 1] - base, group[:, 2] - base, length)
-                doc = group[np.searchsorted(group[:, 1] - base, first, "right") - 1, 0]
-                parts.append((anchor, hashed, ids[doc], first + base - off[doc], number))
-                k = j
+            key = batch.column(1).to_numpy(zero_copy_only=False)
+            raw, off = utf8_buffer(batch.column(2))
+            sort = [("id", "ascending"), ("key", "ascending")]
+            place = np.empty(len(batch), np.int64)
+            place[pc.sort_indices(pa.table({"id": batch.column(0), "key": batch.column(1)}), sort_keys=sort, null_placement="at_start").to_numpy()] = np.arange(len(batch))
+            parts = list(listed(raw, off))
             if not parts:
                 continue
-            anchor, hashed, doc, start, number = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((start, doc, hashed, anchor))
-            anchor, hashed, doc, start, number = (x[order] for x in (anchor, hashed, doc, start, number))
+            anchor, hashed, doc, first, number = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((first, place[doc], hashed, anchor))
+            anchor, hashed, doc, first, number = (x[order] for x in (anchor, hashed, doc, first, number))
+            start = first - off[doc]
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (hashed[1:] != hashed[:-1])])
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            own = (doc == doc[head]) & (start == start[head])  # the earliest itself, or a repeated row of it
+            own = (key[doc] == key[doc[head]]) & (start == start[head])  # the earliest itself, or a repeated row of it
+            text = raw.tobytes()
+            kind = np.full(len(anchor), _OPEN, np.int8)
+            for k in np.flatnonzero(~own).tolist():
+                a, b, n = first[k], first[head[k]], number[k] + length - 1
+                if text[a : a + n] == text[b : b + n]:
+                    kind[k] = _REPEAT
             once = new | ~own
-            yield pa.record_batch(
-                [
-                    pa.array(anchor[once].astype(np.int64)),
-                    pa.array(hashed[once].astype(np.int64)),
-                    pa.array(doc[once]),
-                    pa.array(start[once] * 256 + number[once]),
-                    pa.array(~own[once]),
-                ],
-                names=["anchor", "run", "doc", "at", "repeat"],
-            )
+            anchor, doc, first, start, number, kind = (x[once] for x in (anchor, doc, first, start, number, kind))
+            # anchors that many runs of this batch share
+            edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(anchor))))
+            many = np.bincount(group[kind == _OPEN], minlength=len(edge)) > local
+            sign = anchor[edge[many]]
+            crowd = np.flatnonzero(many[group] & (kind == _OPEN))
+            crowd = crowd[np.lexsort((start[crowd], place[doc[crowd]], group[crowd]))]
+            rest = np.ones(len(anchor), bool)
+            rest[crowd] = False
+            cols = [(anchor[rest], key[doc[rest]], start[rest] * 256 + number[rest], kind[rest])]
+            cols.append((sign, np.zeros(len(sign), np.int64), np.zeros(len(sign), np.int64), np.full(len(sign), _SIGN, np.int8)))
+            filled = np.cumsum(number[crowd] + length - 1) // _BLOCK
+            for part in np.split(crowd, np.flatnonzero((np.diff(filled) > 0) & (np.diff(group[crowd]) > 0)) + 1):
+                if len(part):
+                    spans = zip(first[part].tolist(), (first[part] + number[part] + length - 1).tolist())
+                    piece, offset, count, found = _sub_runs([text[a:b] for a, b in spans], number[part], length)
+                    rows = part[piece]
+                    cols.append((anchor[rows], key[doc[rows]], (start[rows] + offset) * 256 + count, np.where(found, _REPEAT, _HOT).astype(np.int8)))
+            anchor, key, at, kind = (np.concatenate(x) for x in zip(*cols))
+            # rows that need not meet others are dealt evenly
+            anchor = np.where((kind == _REPEAT) | (kind == _HOT), mixed(key.view(np.uint64) + at.astype(np.uint64)), anchor)
+            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(key), pa.array(at), pa.array(kind)], names=["anchor", "key", "at", "kind"])
 
     return run
 
 
 def _settle(length: int):
-    """Longest previous factors of the runs around each anchor; rows come sorted by anchor, then corpus order."""
-
-    def block(rows):
-        """rows: anchors' runs as (doc, start, number, bytes)."""
-        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        size = np.array([len(r[3]) for r in rows])
-        begin = np.cumsum(size) - size
-        count = np.array([r[2] for r in rows])
-        starts = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        found = repeated_windows(data, length, starts)
-        out = []
-        for (doc, start, number, _), a in zip(rows, begin.tolist()):
-            hit = found[a : a + number]
-            if hit.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                out.extend((doc, start + x, start + y - 1 + length) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()))
-        return out
+    """Longest previous factors around each anchor. Rows (anchor, key, at, data) come sorted by anchor, then in corpus
+    order; rows may repeat."""
 
-    def emit(out):
-        doc, a, b = zip(*out) if out else ((), (), ())
-        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc", "a", "b"])
+    def emit(rows):
+        key, at, data = (list(x) for x in zip(*rows))
+        count = np.array([x & 255 for x in at])
+        piece, offset, number, found = _sub_runs(data, count, length)
+        piece, offset, number = piece[found], offset[found], number[found]
+        a = np.array([x >> 8 for x in at])[piece] + offset
+        return pa.record_batch([pa.array(np.array(key)[piece]), pa.array(a), pa.array(a + number - 1 + length)], names=["key", "a", "b"])
 
     def run(batches):
-        group, filled, last = [], 0, None
+        rows, filled, last = [], 0, None
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for anchor, doc, at, data in zip(*columns):
+            for anchor, *row in zip(*[c.to_pylist() for c in batch.columns]):
                 if anchor != last and filled >= _BLOCK:
-                    yield emit(block(group))
-                    group, filled = [], 0
+                    yield emit(rows)
+                    rows, filled = [], 0
+                if anchor == last and rows and row[:2] == rows[-1][:2]:
+                    continue
                 last = anchor
-                group.append((doc, at >> 8, at & 255, data))
-                filled += len(data)
-        if group:
-            yield emit(block(group))
+                rows.append(row)
+                filled += len(row[2])
+        if rows:
+            yield emit(rows)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
-    """doc, a, b: byte ranges (stop exclusive, may overlap) to remove from each document.
-
-    Ids are whole numbers; rows with a null id count as one with the smallest id. Rows that repeat an id and text are
-    one document. Null texts are empty.
-    """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    runs = texts.mapInArrow(_anchors(length), "anchor long, run long, doc long, at long, repeat boolean")
-    return _spans(texts, checkpointed(_judged(runs)), length, crowded)
+def _places(at: Column) -> tuple[Column, Column]:
+    """First window and number of windows of a packed place."""
+    return F.shiftright(at, 8), at.bitwiseAND(F.lit(255))
 
 
-def _judged(runs: DataFrame) -> DataFrame:
-    """doc, at, anchor and state of each run that is a repeat (true) or still in question (false).
+def _judged(runs: DataFrame, crowded: int) -> DataFrame:
+    """key, anchor, at, repeat and hot of the runs that are repeats or whose anchor occurs elsewhere too.
 
-    One shuffle by anchor: batches send one row for equal runs, so an anchor has at most one row for each batch and
-    different text around it. Rows that batches have settled already go past it.
+    One shuffle of hashes and places. A batch sends a bounded number of rows for an anchor, however often it occurs.
     """
-    from pyspark.sql import Window as W
-
-    open_runs = runs.filter(~F.col("repeat"))
-    first = F.rank().over(W.partitionBy("anchor", "run").orderBy("doc", "at"))
-    ranked = open_runs.select("anchor", "run", "doc", "at", (first > 1).alias("repeat"))
-    others = W.partitionBy("anchor")
-    ranked = ranked.select("*", F.min("run").over(others).alias("low"), F.max("run").over(others).alias("high"))
-    known = ranked.filter(F.col("repeat") | (F.col("low") != F.col("high"))).select("doc", "at", "anchor", "repeat")
-    return known.unionAll(runs.filter("repeat").select("doc", "at", "anchor", "repeat"))
-
-
-def _spans(texts: DataFrame, judged: DataFrame, length: int, crowded: int) -> DataFrame:
-    start, number = F.shiftright("at", 8), F.col("at").bitwiseAND(F.lit(255))
-    repeats = judged.filter("repeat").select("doc", start.alias("a"), (start + number - 1 + length).alias("b"))
-    asked = judged.filter("NOT repeat").distinct()
-    per_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at")).alias("asked"))
-    pieces = (
-        texts.join(per_doc, "doc")
-        .select("doc", F.encode("text", "UTF-8").alias("raw"), F.explode("asked").alias("q"))
-        .select("q.anchor", "doc", "q.at", F.substring("raw", (F.shiftright("q.at", 8) + 1).cast("int"), (F.col("q.at").bitwiseAND(F.lit(255)) + (length - 1)).cast("int")).alias("data"))
-    )
-    pieces = checkpointed(pieces)
-    hot = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("anchor", F.lit(True).alias("hot"))
-    marked = pieces.join(hot, "anchor", "left")
-    settled = marked.filter(F.col("hot").isNull()).select("anchor", "doc", "at", "data").repartition("anchor").sortWithinPartitions("anchor", "doc", "at").mapInArrow(_settle(length), "doc long, a long, b long")
-    windows = (
-        marked.filter(F.col("hot"))
-        .select("doc", "data", F.shiftright("at", 8).alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("at").bitwiseAND(F.lit(255)) - 1)).alias("k"))
-        .select("doc", (F.col("start") + F.col("k")).alias("a"), F.substring("data", (F.col("k") + 1).cast("int"), F.lit(length)).alias("window"))
+    same = W.partitionBy("anchor")
+    known = runs.select("*", F.count_if(F.col("kind") == _OPEN).over(same).alias("n"), F.max(F.col("kind") == _SIGN).over(same).alias("sign"))
+    kept = known.filter(F.col("kind").isin(_REPEAT, _HOT) | (F.col("kind") == _OPEN) & ((F.col("n") > 1) | F.col("sign")))
+    hot = (F.col("kind") == _HOT) | F.col("sign") | (F.col("n") > crowded)
+    return kept.select("key", "anchor", "at", (F.col("kind") == _REPEAT).alias("repeat"), hot.alias("hot"))
+
+
+def _pieces(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """anchor, id, key, at and the bytes of every run in question; runs of crowded anchors window by window."""
+    start, number = _places(F.col("q.at"))
+    cut = (
+        texts.join(asked.filter(F.size("asked") > 0), "key")
+        .select("id", "key", F.encode("text", "UTF-8").alias("raw"), F.explode("asked").alias("q"))
+        .select("id", "key", "q.anchor", "q.at", "q.hot", F.substring("raw", (start + 1).cast("int"), (number + (length - 1)).cast("int")).alias("data"))
     )
-    earliest = windows.groupBy("window").agg(F.min(F.struct("doc", "a")).alias("least"))
-    late = windows.join(earliest, "window").filter(F.struct("doc", "a") != F.col("least")).select("doc", "a", (F.col("a") + length).alias("b"))
-    return repeats.unionAll(settled).unionAll(late)
+    start, number = _places(F.col("at"))
+
+    def alone(k: Column) -> Column:
+        window = F.substring(F.col("data"), (k + 1).cast("int"), F.lit(length))
+        return F.struct(F.xxhash64(window).alias("anchor"), ((start + k) * 256 + 1).alias("at"), window.alias("data"))
+
+    windows = F.transform(F.sequence(F.lit(0).cast("long"), number - 1), alone)
+    whole = F.array(F.struct(F.col("anchor"), F.col("at"), F.col("data")))
+    return cut.select("id", "key", F.explode(F.when(F.col("hot"), windows).otherwise(whole)).alias("p")).select("p.anchor", "id", "key", "p.at", "p.data")
 
 
 def _merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -269,16 +312,42 @@ def _merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowded: int = CROWDED, local: int = LOCAL, seed: int = 0
+) -> DataFrame:
     """Per row: id, removed (array of byte ranges), kept (the remaining bytes) and n_bytes.
 
-    Null texts are empty and lose nothing. A null id counts as smaller than all others. Rows that repeat an id and
-    text repeat their result. An empty table gives an empty result.
+    Ids may have any type that can be ordered. Null texts are empty and lose nothing. A null id counts as smaller than
+    all others. An id with several texts has so many documents, in the order of a hash; so has the null id. Rows that
+    repeat an id and text are one document, and repeat its result. An empty table gives an empty result.
+
+    Documents travel under a 64-bit hash of id and text. Should two of them share it, the job raises an error; another
+    ``seed`` parts them.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, crowded).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id")
-    ).join(spans, "doc", "left")
+    if length <= GRAM:
+        raise ValueError(f"length must be more than {GRAM}")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    rows = rows.select("id", F.xxhash64(F.lit(seed), "id", "text").alias("key"), "text")
+    # one row per document, dealt by key once: both joins below read this shuffle
+    check = F.hash(F.lit(seed), "id", "text")
+    texts = rows.groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min(check).alias("low"), F.max(check).alias("high"))
+    # (all its columns take part here, so that both joins need the same ones and the shuffle is shared)
+    texts = texts.filter(F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two documents share a key: choose another seed"))).otherwise(F.col("copies") > 0))
+    runs = rows.mapInArrow(_anchors(length, local), "anchor long, key long, at long, kind byte")
+    judged = _judged(runs, crowded).groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "repeat", "hot")).alias("runs"))
+    asked = judged.select("key", F.filter("runs", lambda r: ~r["repeat"]).alias("asked"))
+
+    def span(r: Column) -> Column:
+        start, number = _places(r["at"])
+        return F.struct(start.alias("a"), (start + number - 1 + length).alias("b"))
+
+    gone = judged.select("key", F.transform(F.filter("runs", lambda r: r["repeat"]), span).alias("gone"))
+    pieces = _pieces(texts, asked, length).repartition("anchor").sortWithinPartitions("anchor", "id", "key", "at").select("anchor", "key", "at", "data")
+    found = pieces.mapInArrow(_settle(length), "key long, a long, b long").groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("found"))
+    joined = texts.join(gone, "key", "left").join(found, "key", "left")
+    none = F.array().cast("array<struct<a: long, b: long>>")
+    joined = joined.select("id", "text", "copies", F.concat(F.coalesce("gone", none), F.coalesce("found", none)).alias("spans"))
 
     @F.pandas_udf("removed array<struct<a: long, b: long>>, kept binary, n_bytes long")
     def cut(texts, spans):
@@ -287,13 +356,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = []
         for text, found in zip(texts, spans):
             raw = text.encode("utf-8", "surrogatepass")
-            gone = _merged([(s["a"], s["b"]) for s in found], len(raw)) if found is not None else []
+            gone = _merged([(s["a"], s["b"]) for s in found], len(raw))
             stops = [0, *[b for _, b in gone]]
             starts = [*[a for a, _ in gone], len(raw)]
             out.append(([{"a": a, "b": b} for a, b in gone], b"".join(raw[x:y] for x, y in zip(stops, starts)), len(raw)))
         return pd.DataFrame(out, columns=["removed", "kept", "n_bytes"])
 
-    return rows.select(F.col("id").alias(id_col), cut("text", "spans").alias("r")).select(id_col, "r.removed", "r.kept", "r.n_bytes")
+    done = joined.select("id", "copies", cut("text", "spans").alias("r"))
+    each = done.select("id", "r", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return each.select(F.col("id").alias(id_col), "r.removed", "r.kept", "r.n_bytes")
 
 
 def removal_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -278,25 +278,52 @@ def test_repeats(docs, nothing):
     assert lpf.removal_digest(nothing).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [20_000, 2])
-def test_repeats_of_random_pieces(spark, crowded, monkeypatch):
+@pytest.mark.parametrize("crowded,local", [(20_000, 16), (2, 16), (20_000, 1)])
+def test_repeats_of_random_pieces(spark, crowded, local, monkeypatch):
+    """Shared pieces, long repeats and repeated rows that share anchors with other rows."""
     monkeypatch.setattr(lpf, "_CHUNK", 300)
     rng = np.random.default_rng(3)
     pieces = ["".join(rng.choice(list("abcd é"), int(n))) for n in rng.integers(20, 260, 12)]
     texts = {i: "".join(rng.choice(pieces, int(rng.integers(1, 9)))) for i in range(40)}
     texts[40], texts[41] = "x" * 1000, texts[0]
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
-    found = lpf.without_repeats(df, crowded=crowded).collect()
+    rows = [*texts.items(), *[(i, texts[i]) for i in (0, 3, 3, 7, 40)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = lpf.without_repeats(df, crowded=crowded, local=local).collect()
     want = without(texts)
+    assert sorted(r["doc_id"] for r in found) == sorted(i for i, _ in rows)
     for r in found:
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == want[r["doc_id"]][3], r["doc_id"]
 
 
-def test_longest_previous_factor_on_strings():
-    data = np.frombuffer(b"abcabcabcxabcabc" * 3, np.uint8)
-    found = lpf.repeated_windows(data, 9)
-    raw = data.tobytes()
-    assert [bool(x) for x in found[: len(raw) - 8]] == [raw.find(raw[a : a + 9]) < a for a in range(len(raw) - 8)]
+@pytest.mark.parametrize("crowded,local", [(20_000, 16), (2, 1)])
+def test_repeated_rows_lose_nothing(spark, crowded, local):
+    """90 shared bytes are no repeat, however often a row is listed."""
+    shared = PASSAGE[:90]
+    rng = np.random.default_rng(6)
+    texts = {i: "".join(rng.choice(list("abcdefgh "), 120)) + shared + "".join(rng.choice(list("ijklmnop "), 120)) for i in range(6)}
+    rows = [*texts.items(), (0, texts[0]), (3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["n_removed"] for r in lpf.removal_digest(df).collect()} == {0}
+    assert [len(r["removed"]) for r in lpf.without_repeats(df, crowded=crowded, local=local).collect()] == [0] * 8
+
+
+def test_repeats_with_odd_ids(spark):
+    """Null ids come first; an id with two texts is two documents; ids may be words."""
+    texts = [(None, "n" + PASSAGE), (None, "m" * 150), ("b", PASSAGE + "b"), ("b", "m" * 150 + "x"), ("a", PASSAGE)]
+    out = lpf.without_repeats(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    kept = sorted(((r["doc_id"] or "", bytes(r["kept"]).decode()) for r in out))
+    assert kept == sorted([("", "n" + PASSAGE), ("", "m"), ("b", "b"), ("b", "x"), ("a", "")])
+
+
+def test_longest_previous_factors_of_strings():
+    rng = np.random.default_rng(8)
+    strings = [b"abcabcabcxabcabc" * 3, b"a" * 60, bytes(rng.integers(97, 99, 300).astype(np.uint8)), bytes(rng.integers(0, 256, 80).astype(np.uint8)) * 3]
+    for raw in strings:
+        for length in (8, 9, 16, 27, 48):
+            starts = np.arange(0, len(raw) - length + 1, 1 if length % 2 else 2)
+            got = lpf.previous_factors(np.frombuffer(raw, np.uint8), starts, length)
+            same = lambda i, j: next((k for k in range(length) if raw[i + k] != raw[j + k]), length)
+            assert got.tolist() == [max((same(i, j) for j in starts[:n].tolist()), default=0) for n, i in enumerate(starts.tolist())]
 
 
 def test_probe_lists_all_tracks(spark):
