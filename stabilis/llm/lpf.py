@@ -5,13 +5,14 @@ earlier start). Every such string (a window) belongs to one anchor: the leftmost
 hash. Equal windows have equal anchors at the same place, so only texts around equal anchors must be compared:
 
 1. Tasks list each document's anchors with the run of windows that belongs to each. Of runs with equal bytes in a
-   batch only the earliest goes on; the others repeat it. Around an anchor that many different runs of a batch share,
-   the batch's own longest previous factors are taken first, and only windows without one go on.
+   batch only the earliest goes on; the others repeat it. Anchors that very many documents share are known from a sample:
+   around those the batch's own longest previous factors are taken at once, and windows without one go on one by one,
+   each with its own hash for an anchor. (The sample decides only where windows meet; results do not depend on it.)
 2. Anchors that occur once are dropped (only hashes and places are shuffled for that).
 3. The bytes of the runs left are cut from their documents and meet by anchor. There a suffix order, the longest
    common prefixes of its neighbours, and the previous and next smaller positions give the longest previous factor of
-   every window; windows whose factor has ``length`` bytes are repeats. Around anchors with very many runs the windows
-   meet one by one, by their own hash, in the same computation.
+   every window; windows whose factor has ``length`` bytes are repeats. Should an anchor still have very many runs,
+   their windows meet one by one in the same computation.
 4. Repeated windows are merged per document and cut out.
 
 Hashes only decide what is compared where; a byte is removed only after a comparison of bytes.
@@ -30,14 +31,18 @@ from stabilis.llm.common import mixed, utf8_buffer, words_at
 
 #: Bytes of a repeated string, and of the grams from which anchors are chosen.
 LENGTH, GRAM = 100, 32
-#: Runs around one anchor from which on its windows are dealt one by one: in a batch, and over all.
-LOCAL, CROWDED = 16, 20_000
+#: Runs around one anchor from which on its windows are dealt one by one.
+CROWDED = 20_000
+#: Shared anchors: one row in so many is sampled, an anchor counts as shared in more than one in so many of the sampled
+#: rows (and more than so many), and at most so many anchors are listed. They only balance the work.
+ONE_IN, SHARE, AT_LEAST, LISTED = 16, 1_024, 16, 1 << 16
 #: Windows of a document that are handled at a time; positions must fit in the low bits of an anchor's key.
 _CHUNK, _LOW = 1 << 18, 20
 #: Bytes of runs that are put in suffix order at a time.
 _BLOCK = 1 << 20
-#: What a row of a run means: still open, repeat of an earlier one, open but crowded, sign that an anchor is crowded.
-_OPEN, _REPEAT, _HOT, _SIGN = range(4)
+#: A place is the first window's start, shifted by so many bits, plus the number of windows.
+_SHIFT = 20
+_PLACE = 1 << _SHIFT
 
 _POWERS: dict = {}
 
@@ -54,6 +59,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def string_hashes(raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the string of ``size`` bytes (8 at least) at each position, and the sums and powers it was made from."""
+    up, down = _powers(len(raw))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words_at(raw)) * up)])
+    n = len(raw) - size + 1
+    return mixed((total[size - 7 : size - 7 + n] - total[:n]) * down[:n]), total, down
+
+
 def anchor_runs(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with a common anchor in pieces [start, stop) of a buffer, each piece by itself.
 
@@ -63,11 +76,8 @@ def anchor_runs(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, length:
     n = len(raw) - length + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
-    up, down = _powers(len(raw))
-    total = np.cumsum(mixed(words_at(raw)) * up)
-    total = np.concatenate([np.zeros(1, np.uint64), total])
-    grams = len(raw) - gram + 1
-    h = mixed((total[gram - 7 : gram - 7 + grams] - total[:grams]) * down[:grams])
+    h, total, down = string_hashes(raw, gram)
+    grams = len(h)
     key = (h >> np.uint64(_LOW)) << np.uint64(_LOW) | np.arange(grams, dtype=np.uint64)
     span, width = length - gram + 1, 1
     while 2 * width <= span:
@@ -162,25 +172,58 @@ def _sub_runs(pieces: list[bytes], count: np.ndarray, length: int):
     return piece[first], first - ahead[piece[first]], np.diff(np.append(first, len(piece))), found[first]
 
 
-def _anchors(length: int, local: int):
-    """Rows of runs from batches of (id, key, text)."""
-
-    def listed(raw, off):
-        # cut documents into pieces that overlap by length - 1 bytes, then gather pieces up to the chunk size
-        pieces = []
-        for i in range(len(off) - 1):
-            for a in range(off[i], max(off[i + 1] - length + 1, off[i]), _CHUNK):
-                pieces.append((i, a, min(a + _CHUNK + length - 1, off[i + 1])))
-        k = 0
-        while k < len(pieces):
-            j = k + 1
-            while j < len(pieces) and pieces[j][2] - pieces[k][1] < 2 * _CHUNK and pieces[j][1] >= pieces[k][1]:
-                j += 1
-            group = np.array(pieces[k:j], np.int64)
-            base = group[0, 1]
-            anchor, run, first, number = anchor_runs(raw[base : group[-1, 2]], group[:, 1] - base, group[:, 2] - base, length)
-            yield anchor, run, group[np.searchsorted(group[:, 1] - base, first, "right") - 1, 0], first + base, number
-            k = j
+def _listed(raw: np.ndarray, off: np.ndarray, length: int, chunk: int):
+    """Runs of all documents of a batch: anchor, hash of the run, document, first window in the buffer, windows."""
+    # cut documents into pieces that overlap by length - 1 bytes, then gather pieces up to the chunk size
+    pieces = []
+    for i in range(len(off) - 1):
+        for a in range(off[i], max(off[i + 1] - length + 1, off[i]), chunk):
+            pieces.append((i, a, min(a + chunk + length - 1, off[i + 1])))
+    parts, k = [(*(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 3)], 0
+    while k < len(pieces):
+        j = k + 1
+        while j < len(pieces) and pieces[j][2] - pieces[k][1] < 2 * chunk and pieces[j][1] >= pieces[k][1]:
+            j += 1
+        group = np.array(pieces[k:j], np.int64)
+        base = group[0, 1]
+        anchor, run, first, number = anchor_runs(raw[base : group[-1, 2]], group[:, 1] - base, group[:, 2] - base, length)
+        parts.append((anchor, run, group[np.searchsorted(group[:, 1] - base, first, "right") - 1, 0], first + base, number))
+        k = j
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _met(length: int):
+    """The distinct anchors of each document, from batches of texts."""
+
+    def run(batches):
+        for batch in batches:
+            anchor, _, doc, _, _ = _listed(*utf8_buffer(batch.column(0)), length, _CHUNK)
+            order = np.lexsort((doc, anchor))
+            anchor, doc = anchor[order], doc[order]
+            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])[: len(anchor)]
+            yield pa.record_batch([pa.array(anchor[new].view(np.int64))], names=["anchor"])
+
+    return run
+
+
+def shared_anchors(texts: DataFrame, length: int = LENGTH) -> np.ndarray:
+    """Anchors that occur in a large share of a sample of the rows (column text); at most ``LISTED``."""
+    sample = texts.sample(1 / ONE_IN, seed=0)
+    least = max(AT_LEAST, sample.count() // SHARE)
+    counts = sample.select("text").mapInArrow(_met(length), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.filter(F.col("n") > least).orderBy(F.desc("n"), "anchor").limit(LISTED).collect()
+    return np.sort(np.array([r["anchor"] for r in top], np.int64).view(np.uint64))
+
+
+def _anchors(length: int, shared: np.ndarray):
+    """anchor, key, at (a place) and repeat of runs, from batches of (id, key, text)."""
+
+    def joined(doc, first, number):
+        """Neighbouring runs of one document as one."""
+        order = np.lexsort((first, doc))
+        doc, first, number = doc[order], first[order], number[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + number[:-1])])[: len(doc)])
+        return doc[new], first[new], np.add.reduceat(number, new) if len(new) else number
 
     def run(batches):
         for batch in batches:
@@ -189,10 +232,9 @@ def _anchors(length: int, local: int):
             sort = [("id", "ascending"), ("key", "ascending")]
             place = np.empty(len(batch), np.int64)
             place[pc.sort_indices(pa.table({"id": batch.column(0), "key": batch.column(1)}), sort_keys=sort, null_placement="at_start").to_numpy()] = np.arange(len(batch))
-            parts = list(listed(raw, off))
-            if not parts:
+            anchor, hashed, doc, first, number = _listed(raw, off, length, _CHUNK)
+            if not len(anchor):
                 continue
-            anchor, hashed, doc, first, number = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((first, place[doc], hashed, anchor))
             anchor, hashed, doc, first, number = (x[order] for x in (anchor, hashed, doc, first, number))
             start = first - off[doc]
@@ -200,84 +242,91 @@ def _anchors(length: int, local: int):
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             own = (key[doc] == key[doc[head]]) & (start == start[head])  # the earliest itself, or a repeated row of it
             text = raw.tobytes()
-            kind = np.full(len(anchor), _OPEN, np.int8)
+            repeat = np.zeros(len(anchor), bool)
             for k in np.flatnonzero(~own).tolist():
                 a, b, n = first[k], first[head[k]], number[k] + length - 1
-                if text[a : a + n] == text[b : b + n]:
-                    kind[k] = _REPEAT
+                repeat[k] = text[a : a + n] == text[b : b + n]
             once = new | ~own
-            anchor, doc, first, start, number, kind = (x[once] for x in (anchor, doc, first, start, number, kind))
-            # anchors that many runs of this batch share
-            edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            group = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(anchor))))
-            many = np.bincount(group[kind == _OPEN], minlength=len(edge)) > local
-            sign = anchor[edge[many]]
-            crowd = np.flatnonzero(many[group] & (kind == _OPEN))
-            crowd = crowd[np.lexsort((start[crowd], place[doc[crowd]], group[crowd]))]
-            rest = np.ones(len(anchor), bool)
+            anchor, doc, first, number, repeat = (x[once] for x in (anchor, doc, first, number, repeat))
+            crowd = np.flatnonzero(np.isin(anchor, shared) & ~repeat)
+            crowd = crowd[np.lexsort((first[crowd] - off[doc[crowd]], place[doc[crowd]], anchor[crowd]))]
+            rest = ~repeat
             rest[crowd] = False
-            cols = [(anchor[rest], key[doc[rest]], start[rest] * 256 + number[rest], kind[rest])]
-            cols.append((sign, np.zeros(len(sign), np.int64), np.zeros(len(sign), np.int64), np.full(len(sign), _SIGN, np.int8)))
+            alone = [(anchor[rest], doc[rest], first[rest], number[rest])]
+            again = [(doc[repeat], first[repeat], number[repeat])]
             filled = np.cumsum(number[crowd] + length - 1) // _BLOCK
-            for part in np.split(crowd, np.flatnonzero((np.diff(filled) > 0) & (np.diff(group[crowd]) > 0)) + 1):
+            for part in np.split(crowd, np.flatnonzero((np.diff(filled) > 0) & (np.diff(anchor[crowd]) > 0)) + 1):
                 if len(part):
                     spans = zip(first[part].tolist(), (first[part] + number[part] + length - 1).tolist())
-                    piece, offset, count, found = _sub_runs([text[a:b] for a, b in spans], number[part], length)
-                    rows = part[piece]
-                    cols.append((anchor[rows], key[doc[rows]], (start[rows] + offset) * 256 + count, np.where(found, _REPEAT, _HOT).astype(np.int8)))
-            anchor, key, at, kind = (np.concatenate(x) for x in zip(*cols))
-            # rows that need not meet others are dealt evenly
-            anchor = np.where((kind == _REPEAT) | (kind == _HOT), mixed(key.view(np.uint64) + at.astype(np.uint64)), anchor)
-            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(key), pa.array(at), pa.array(kind)], names=["anchor", "key", "at", "kind"])
+                    pieces = [text[a:b] for a, b in spans]
+                    piece, offset, count, found = _sub_runs(pieces, number[part], length)
+                    again.append((doc[part[piece[found]]], first[part[piece[found]]] + offset[found], count[found]))
+                    piece, offset, count = piece[~found], offset[~found], count[~found]
+                    windows = np.repeat(offset - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    row = np.repeat(piece, count)
+                    begin = np.cumsum([0, *map(len, pieces)])[:-1]
+                    own_hash = string_hashes(np.frombuffer(b"".join(pieces), np.uint8), length)[0][begin[row] + windows]
+                    alone.append((own_hash, doc[part[row]], first[part[row]] + windows, np.ones(len(row), np.int64)))
+            spans = joined(*(np.concatenate(x) for x in zip(*again)))
+            anchor, doc, first, number = (np.concatenate(x) for x in zip(*alone, (spans[0].astype(np.uint64), *spans)))
+            at = (first - off[doc]) * _PLACE + number
+            repeat = np.arange(len(doc)) >= len(doc) - len(spans[0])
+            # repeats need not meet others: they are dealt evenly
+            anchor = np.where(repeat, mixed(key[doc].view(np.uint64) + at.astype(np.uint64)), anchor)
+            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(key[doc]), pa.array(at), pa.array(repeat)], names=["anchor", "key", "at", "repeat"])
 
     return run
 
 
 def _settle(length: int):
     """Longest previous factors around each anchor. Rows (anchor, key, at, data) come sorted by anchor, then in corpus
-    order; rows may repeat."""
+    order; rows may repeat. Of an anchor with very many rows only what is new is kept for the rows to come."""
 
-    def emit(rows):
+    def settled(rows):
         key, at, data = (list(x) for x in zip(*rows))
-        count = np.array([x & 255 for x in at])
-        piece, offset, number, found = _sub_runs(data, count, length)
-        piece, offset, number = piece[found], offset[found], number[found]
-        a = np.array([x >> 8 for x in at])[piece] + offset
-        return pa.record_batch([pa.array(np.array(key)[piece]), pa.array(a), pa.array(a + number - 1 + length)], names=["key", "a", "b"])
+        at = np.array(at)
+        piece, offset, number, found = _sub_runs(data, at % _PLACE, length)
+        start = (at // _PLACE)[piece] + offset
+        out = [pa.array(np.array(key)[piece][found]), pa.array(start[found]), pa.array((start + number - 1 + length)[found])]
+        fresh = [
+            [key[p], int(a) * _PLACE + int(n), data[p][o : o + n - 1 + length]]
+            for p, o, n, a, f in zip(piece.tolist(), offset.tolist(), number.tolist(), start.tolist(), found.tolist()) if not f
+        ]
+        return pa.record_batch(out, names=["key", "a", "b"]), fresh
 
     def run(batches):
-        rows, filled, last = [], 0, None
+        rows, filled, most, last, seen = [], 0, 8 * _BLOCK, None, None
         for batch in batches:
             for anchor, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if anchor != last and filled >= _BLOCK:
-                    yield emit(rows)
-                    rows, filled = [], 0
-                if anchor == last and rows and row[:2] == rows[-1][:2]:
+                if (anchor, *row[:2]) == seen:
                     continue
-                last = anchor
+                if anchor != last and filled >= _BLOCK:
+                    yield settled(rows)[0]
+                    rows, filled, most = [], 0, 8 * _BLOCK
+                elif filled >= most:
+                    out, rows = settled(rows)
+                    yield out
+                    filled = sum(len(r[2]) for r in rows)
+                    most = max(most, 2 * filled)
+                last, seen = anchor, (anchor, *row[:2])
                 rows.append(row)
                 filled += len(row[2])
         if rows:
-            yield emit(rows)
+            yield settled(rows)[0]
 
     return run
 
 
 def _places(at: Column) -> tuple[Column, Column]:
     """First window and number of windows of a packed place."""
-    return F.shiftright(at, 8), at.bitwiseAND(F.lit(255))
+    return F.shiftright(at, _SHIFT), at.bitwiseAND(F.lit(_PLACE - 1))
 
 
 def _judged(runs: DataFrame, crowded: int) -> DataFrame:
-    """key, anchor, at, repeat and hot of the runs that are repeats or whose anchor occurs elsewhere too.
-
-    One shuffle of hashes and places. A batch sends a bounded number of rows for an anchor, however often it occurs.
-    """
-    same = W.partitionBy("anchor")
-    known = runs.select("*", F.count_if(F.col("kind") == _OPEN).over(same).alias("n"), F.max(F.col("kind") == _SIGN).over(same).alias("sign"))
-    kept = known.filter(F.col("kind").isin(_REPEAT, _HOT) | (F.col("kind") == _OPEN) & ((F.col("n") > 1) | F.col("sign")))
-    hot = (F.col("kind") == _HOT) | F.col("sign") | (F.col("n") > crowded)
-    return kept.select("key", "anchor", "at", (F.col("kind") == _REPEAT).alias("repeat"), hot.alias("hot"))
+    """key, anchor, at, repeat and hot of the runs that are repeats or whose anchor occurs elsewhere too; one shuffle,
+    of hashes and places. Of runs with equal bytes a batch sends one, and of shared anchors' windows too."""
+    known = runs.select("*", F.count_if(~F.col("repeat")).over(W.partitionBy("anchor")).alias("n"))
+    return known.filter("repeat OR n > 1").select("key", "anchor", "at", "repeat", (F.col("n") > crowded).alias("hot"))
 
 
 def _pieces(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -292,7 +341,7 @@ def _pieces(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 
     def alone(k: Column) -> Column:
         window = F.substring(F.col("data"), (k + 1).cast("int"), F.lit(length))
-        return F.struct(F.xxhash64(window).alias("anchor"), ((start + k) * 256 + 1).alias("at"), window.alias("data"))
+        return F.struct(F.xxhash64(window).alias("anchor"), ((start + k) * _PLACE + 1).alias("at"), window.alias("data"))
 
     windows = F.transform(F.sequence(F.lit(0).cast("long"), number - 1), alone)
     whole = F.array(F.struct(F.col("anchor"), F.col("at"), F.col("data")))
@@ -313,7 +362,7 @@ def _merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowded: int = CROWDED, local: int = LOCAL, seed: int = 0
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowded: int = CROWDED, seed: int = 0
 ) -> DataFrame:
     """Per row: id, removed (array of byte ranges), kept (the remaining bytes) and n_bytes.
 
@@ -334,7 +383,7 @@ def without_repeats(
     texts = rows.groupBy("key").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.min(check).alias("low"), F.max(check).alias("high"))
     # (all its columns take part here, so that both joins need the same ones and the shuffle is shared)
     texts = texts.filter(F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two documents share a key: choose another seed"))).otherwise(F.col("copies") > 0))
-    runs = rows.mapInArrow(_anchors(length, local), "anchor long, key long, at long, kind byte")
+    runs = rows.mapInArrow(_anchors(length, shared_anchors(rows, length)), "anchor long, key long, at long, repeat boolean")
     judged = _judged(runs, crowded).groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "repeat", "hot")).alias("runs"))
     asked = judged.select("key", F.filter("runs", lambda r: ~r["repeat"]).alias("asked"))
 

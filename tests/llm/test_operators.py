@@ -278,33 +278,36 @@ def test_repeats(docs, nothing):
     assert lpf.removal_digest(nothing).count() == 0
 
 
-@pytest.mark.parametrize("crowded,local", [(20_000, 16), (2, 16), (20_000, 1)])
-def test_repeats_of_random_pieces(spark, crowded, local, monkeypatch):
+@pytest.mark.parametrize("crowded,at_least,block", [(20_000, 16, 1 << 20), (2, 16, 1 << 20), (20_000, 1, 1 << 20), (20_000, 16, 300)])
+def test_repeats_of_random_pieces(spark, crowded, at_least, block, monkeypatch):
     """Shared pieces, long repeats and repeated rows that share anchors with other rows."""
-    monkeypatch.setattr(lpf, "_CHUNK", 300)
+    for name, value in (("_CHUNK", 300), ("AT_LEAST", at_least), ("ONE_IN", 1 if at_least == 1 else 16), ("_BLOCK", block)):
+        monkeypatch.setattr(lpf, name, value)
     rng = np.random.default_rng(3)
     pieces = ["".join(rng.choice(list("abcd é"), int(n))) for n in rng.integers(20, 260, 12)]
     texts = {i: "".join(rng.choice(pieces, int(rng.integers(1, 9)))) for i in range(40)}
     texts[40], texts[41] = "x" * 1000, texts[0]
     rows = [*texts.items(), *[(i, texts[i]) for i in (0, 3, 3, 7, 40)]]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    found = lpf.without_repeats(df, crowded=crowded, local=local).collect()
+    found = lpf.without_repeats(df, crowded=crowded).collect()
     want = without(texts)
     assert sorted(r["doc_id"] for r in found) == sorted(i for i, _ in rows)
     for r in found:
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == want[r["doc_id"]][3], r["doc_id"]
 
 
-@pytest.mark.parametrize("crowded,local", [(20_000, 16), (2, 1)])
-def test_repeated_rows_lose_nothing(spark, crowded, local):
+@pytest.mark.parametrize("crowded,at_least", [(20_000, 16), (2, 16), (20_000, 1)])
+def test_repeated_rows_lose_nothing(spark, crowded, at_least, monkeypatch):
     """90 shared bytes are no repeat, however often a row is listed."""
+    monkeypatch.setattr(lpf, "AT_LEAST", at_least)
+    monkeypatch.setattr(lpf, "ONE_IN", 1)
     shared = PASSAGE[:90]
     rng = np.random.default_rng(6)
     texts = {i: "".join(rng.choice(list("abcdefgh "), 120)) + shared + "".join(rng.choice(list("ijklmnop "), 120)) for i in range(6)}
     rows = [*texts.items(), (0, texts[0]), (3, texts[3])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["n_removed"] for r in lpf.removal_digest(df).collect()} == {0}
-    assert [len(r["removed"]) for r in lpf.without_repeats(df, crowded=crowded, local=local).collect()] == [0] * 8
+    assert [len(r["removed"]) for r in lpf.without_repeats(df, crowded=crowded).collect()] == [0] * 8
 
 
 def test_repeats_with_odd_ids(spark):
