@@ -9,10 +9,11 @@ hash. Equal windows have equal anchors at the same place, so only texts around e
    around those the batch's own longest previous factors are taken at once, and windows without one go on one by one,
    each with its own hash for an anchor. (The sample decides only where windows meet; results do not depend on it.)
 2. Anchors that occur once are dropped (only hashes and places are shuffled for that).
-3. The bytes of the runs left are cut from their documents and meet by anchor. There a suffix order, the longest
-   common prefixes of its neighbours, and the previous and next smaller positions give the longest previous factor of
-   every window; windows whose factor has ``length`` bytes are repeats. Should an anchor still have very many runs,
-   their windows meet one by one in the same computation.
+3. Anchors that occur in the same documents form one group (those of two copies, or of a passage). The bytes of the
+   runs left are cut from their documents, neighbouring runs of a group as one piece, and meet by group. There a suffix
+   order, the longest common prefixes of its neighbours, and the previous and next smaller positions give the longest
+   previous factor of every window; windows whose factor has ``length`` bytes are repeats. Should an anchor still have
+   very many runs, their windows meet one by one in the same computation.
 4. Repeated windows are merged per document and cut out.
 
 Hashes only decide what is compared where; a byte is removed only after a comparison of bytes.
@@ -33,9 +34,9 @@ from stabilis.llm.common import mixed, utf8_buffer, words_at
 LENGTH, GRAM = 100, 32
 #: Runs around one anchor from which on its windows are dealt one by one.
 CROWDED = 20_000
-#: Shared anchors: one row in so many is sampled, an anchor counts as shared in more than one in so many of the sampled
-#: rows (and more than so many), and at most so many anchors are listed. They only balance the work.
-ONE_IN, SHARE, AT_LEAST, LISTED = 16, 1_024, 16, 1 << 16
+#: Shared anchors: one row in so many is sampled; an anchor counts as shared if it occurs in more sampled rows than so
+#: many, and than would fill half a shuffle partition; so many are listed at most. They only balance the work.
+ONE_IN, AT_LEAST, LISTED = 16, 16, 1 << 16
 #: Windows of a document that are handled at a time; positions must fit in the low bits of an anchor's key.
 _CHUNK, _LOW = 1 << 18, 20
 #: Bytes of runs that are put in suffix order at a time.
@@ -207,10 +208,13 @@ def _met(length: int):
 
 
 def shared_anchors(texts: DataFrame, length: int = LENGTH) -> np.ndarray:
-    """Anchors that occur in a large share of a sample of the rows (column text); at most ``LISTED``."""
-    sample = texts.sample(1 / ONE_IN, seed=0)
-    least = max(AT_LEAST, sample.count() // SHARE)
-    counts = sample.select("text").mapInArrow(_met(length), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    """Anchors that alone would fill half a shuffle partition, judged by a sample of the rows (column text); at most
+    ``LISTED``. Windows between two anchors number about half of those that one gram can serve."""
+    sample = texts.select("text").sample(1 / ONE_IN, seed=0)
+    size = sample.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    anchors = 2 * size / (length - GRAM + 2)
+    least = max(AT_LEAST, anchors / int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) / 2)
+    counts = sample.mapInArrow(_met(length), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     top = counts.filter(F.col("n") > least).orderBy(F.desc("n"), "anchor").limit(LISTED).collect()
     return np.sort(np.array([r["anchor"] for r in top], np.int64).view(np.uint64))
 
@@ -279,8 +283,8 @@ def _anchors(length: int, shared: np.ndarray):
 
 
 def _settle(length: int):
-    """Longest previous factors around each anchor. Rows (anchor, key, at, data) come sorted by anchor, then in corpus
-    order; rows may repeat. Of an anchor with very many rows only what is new is kept for the rows to come."""
+    """Longest previous factors in each group. Rows (meet, key, at, data) come sorted by group, then in corpus order;
+    rows may repeat. Of a group with very many rows only what is new is kept for the rows to come."""
 
     def settled(rows):
         key, at, data = (list(x) for x in zip(*rows))
@@ -297,10 +301,10 @@ def _settle(length: int):
     def run(batches):
         rows, filled, most, last, seen = [], 0, 8 * _BLOCK, None, None
         for batch in batches:
-            for anchor, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if (anchor, *row[:2]) == seen:
+            for meet, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if (meet, *row[:2]) == seen:
                     continue
-                if anchor != last and filled >= _BLOCK:
+                if meet != last and filled >= _BLOCK:
                     yield settled(rows)[0]
                     rows, filled, most = [], 0, 8 * _BLOCK
                 elif filled >= most:
@@ -308,7 +312,7 @@ def _settle(length: int):
                     yield out
                     filled = sum(len(r[2]) for r in rows)
                     most = max(most, 2 * filled)
-                last, seen = anchor, (anchor, *row[:2])
+                last, seen = meet, (meet, *row[:2])
                 rows.append(row)
                 filled += len(row[2])
         if rows:
@@ -330,22 +334,54 @@ def _judged(runs: DataFrame, crowded: int) -> DataFrame:
 
 
 def _pieces(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """anchor, id, key, at and the bytes of every run in question; runs of crowded anchors window by window."""
+    """meet, id, key, at and the bytes of every chain in question; runs of crowded anchors window by window."""
     start, number = _places(F.col("q.at"))
     cut = (
         texts.join(asked.filter(F.size("asked") > 0), "key")
         .select("id", "key", F.encode("text", "UTF-8").alias("raw"), F.explode("asked").alias("q"))
-        .select("id", "key", "q.anchor", "q.at", "q.hot", F.substring("raw", (start + 1).cast("int"), (number + (length - 1)).cast("int")).alias("data"))
+        .select("id", "key", "q.meet", "q.at", "q.hot", F.substring("raw", (start + 1).cast("int"), (number + (length - 1)).cast("int")).alias("data"))
     )
     start, number = _places(F.col("at"))
 
     def alone(k: Column) -> Column:
         window = F.substring(F.col("data"), (k + 1).cast("int"), F.lit(length))
-        return F.struct(F.xxhash64(window).alias("anchor"), ((start + k) * _PLACE + 1).alias("at"), window.alias("data"))
+        return F.struct(F.xxhash64(window).alias("meet"), ((start + k) * _PLACE + 1).alias("at"), window.alias("data"))
 
     windows = F.transform(F.sequence(F.lit(0).cast("long"), number - 1), alone)
-    whole = F.array(F.struct(F.col("anchor"), F.col("at"), F.col("data")))
-    return cut.select("id", "key", F.explode(F.when(F.col("hot"), windows).otherwise(whole)).alias("p")).select("p.anchor", "id", "key", "p.at", "p.data")
+    whole = F.array(F.struct("meet", "at", "data"))
+    return cut.select("id", "key", F.explode(F.when(F.col("hot"), windows).otherwise(whole)).alias("p")).select("p.meet", "id", "key", "p.at", "p.data")
+
+
+def _judged(runs: DataFrame, crowded: int) -> DataFrame:
+    """key, at, meet and hot of the runs that are repeats (meet is null) or whose anchor occurs elsewhere too; one
+    shuffle, of hashes and places. Of runs with equal bytes a batch sends one, and of shared anchors' windows too.
+
+    ``meet`` is the group: equal for anchors that occur in the same documents, near each other in the first of them. It
+    covers the fewer bytes of a document, the more documents there are.
+    """
+    same = W.partitionBy("anchor")
+    least = F.min(F.struct("key", "at")).over(same)
+    known = runs.select(
+        "*", F.count_if(~F.col("repeat")).over(same).alias("n"), least.alias("least"), F.max("key").over(same).alias("high"), F.expr("bit_xor(key)").over(same).alias("all")
+    )
+    part = F.shiftright(F.shiftright("least.at", _SHIFT) * F.least("n", F.lit(crowded)), _SHIFT)
+    meet = F.when(~F.col("repeat"), F.xxhash64("n", "least.key", "high", "all", part))
+    return known.filter("repeat OR n > 1").select("key", "at", meet.alias("meet"), (F.col("n") > crowded).alias("hot"))
+
+
+def _chains(judged: DataFrame) -> DataFrame:
+    """key and runs (array of at, meet, hot): neighbouring runs of one group as one, repeated rows once."""
+    order = W.partitionBy("key").orderBy("at", "meet")
+    rows = judged.withColumn("before", F.lag("at").over(order)).filter("before IS NULL OR before <> at")
+    start, number = _places(F.col("at"))
+    rows = rows.select("key", "meet", "hot", start.alias("start"), number.alias("number"))
+    order = W.partitionBy("key").orderBy("start", "number", "meet")
+    ahead = lambda c: F.lag(c).over(order)
+    half = _SHIFT - 1
+    joins = (ahead(F.col("start") + F.col("number")) == F.col("start")) & (ahead("meet") == F.col("meet")) & ~F.col("hot") & (F.shiftright(ahead("start"), half) == F.shiftright("start", half))
+    chain = F.sum(F.when(joins, 0).otherwise(1)).over(order)
+    joined = rows.withColumn("chain", chain).groupBy("key", "chain", "meet", "hot").agg(F.min("start").alias("start"), F.sum("number").alias("number"))
+    return joined.groupBy("key").agg(F.collect_list(F.struct((F.col("start") * _PLACE + F.col("number")).alias("at"), "meet", "hot")).alias("runs"))
 
 
 def _merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -384,15 +420,15 @@ def without_repeats(
     # (all its columns take part here, so that both joins need the same ones and the shuffle is shared)
     texts = texts.filter(F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two documents share a key: choose another seed"))).otherwise(F.col("copies") > 0))
     runs = rows.mapInArrow(_anchors(length, shared_anchors(rows, length)), "anchor long, key long, at long, repeat boolean")
-    judged = _judged(runs, crowded).groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "repeat", "hot")).alias("runs"))
-    asked = judged.select("key", F.filter("runs", lambda r: ~r["repeat"]).alias("asked"))
+    chains = _chains(_judged(runs, crowded))
+    asked = chains.select("key", F.filter("runs", lambda r: r["meet"].isNotNull()).alias("asked"))
 
     def span(r: Column) -> Column:
         start, number = _places(r["at"])
         return F.struct(start.alias("a"), (start + number - 1 + length).alias("b"))
 
-    gone = judged.select("key", F.transform(F.filter("runs", lambda r: r["repeat"]), span).alias("gone"))
-    pieces = _pieces(texts, asked, length).repartition("anchor").sortWithinPartitions("anchor", "id", "key", "at").select("anchor", "key", "at", "data")
+    gone = chains.select("key", F.transform(F.filter("runs", lambda r: r["meet"].isNull()), span).alias("gone"))
+    pieces = _pieces(texts, asked, length).repartition("meet").sortWithinPartitions("meet", "id", "key", "at").select("meet", "key", "at", "data")
     found = pieces.mapInArrow(_settle(length), "key long, a long, b long").groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("found"))
     joined = texts.join(gone, "key", "left").join(found, "key", "left")
     none = F.array().cast("array<struct<a: long, b: long>>")
