@@ -52,10 +52,6 @@ def op3_repeats(spark, sf_dir):
 
 
 def op4_url_filters(spark, sf_dir):
-    return urltree.url_verdicts(table(spark, sf_dir, "pages")).withColumn("risk", F.round("risk", 6))
-
-
-def op4_url_shapes(spark, sf_dir):
     return urltree.url_verdicts(table(spark, sf_dir, "pages"), shapes=True).withColumn("risk", F.round("risk", 6))
 
 
@@ -70,7 +66,6 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op1_language_id": op1_language_id,
     "op5_iso_media": op5_iso_media,
-    "op4_url_shapes": op4_url_shapes,
 }
 
 def _secret_sql() -> str:
@@ -125,11 +120,38 @@ def _url_sql() -> str:
         ]
     ctes += [
         f"pl AS (SELECT host, path, blocked, labelled, CASE WHEN template = '' THEN '/' ELSE template END AS template FROM l{depth + 1})",
-        r"f AS (SELECT *, regexp_replace(template, '^((?:/\*)*)/[^/*][^/]*', '\1/*') AS parent FROM (SELECT host, template, sum(blocked) AS blocked, sum(labelled) AS labelled FROM pl GROUP BY ALL))",
-        "ss AS (SELECT host, parent, count(*) AS k, min(labelled) AS least, sum(labelled) AS t, sum(blocked) AS b, sum(blocked * blocked / nullif(labelled, 0)::DOUBLE) AS q FROM f GROUP BY ALL)",
-        """al AS (SELECT host, parent, true AS alike FROM ss WHERE k > 1 AND least > 0
-            AND coalesce((q - b * (b / nullif(t, 0)::DOUBLE)) / nullif((b / nullif(t, 0)::DOUBLE) * (1 - b / nullif(t, 0)::DOUBLE), 0), 0.0) <= k - 1 + 2 * sqrt(2.0 * (k - 1)))""",
-        "g AS (SELECT host, template, blocked, labelled, CASE WHEN alike THEN parent ELSE template END AS merged FROM f LEFT JOIN al USING (host, parent))",
+        "ls AS (SELECT *, regexp_extract(path, '([^/]*)/?$', 1) AS last FROM pl)",
+        r"lt AS (SELECT *, regexp_extract(last, '^(.*?)(?:\.[A-Za-z0-9]{1,5})?$', 1) AS stem FROM ls)",
+        """kd AS (SELECT host, template, concat_ws('|', CASE WHEN regexp_matches(stem, '^[0-9]*$') THEN 'd' WHEN regexp_matches(stem, '^[0-9a-f]*$') THEN 'x' WHEN regexp_matches(stem, '^[^0-9]*$') THEN 'a' ELSE 'm' END,
+            length(stem)::VARCHAR, substr(last, length(stem) + 1, 9), (path LIKE '%/')::VARCHAR) AS kind, count(*) AS x, sum(blocked) AS blocked, sum(labelled) AS labelled FROM lt GROUP BY ALL)""",
+        f"f{depth + 1} AS (SELECT host, template, sum(blocked) AS blocked, sum(labelled) AS labelled, template AS node FROM kd GROUP BY host, template)",
+    ]
+    for k in reversed(range(depth + 1)):
+        literal = rf"^((?:/[^/]+){{{k}}})/[^/*][^/]*"
+        named = lambda mark, literal=literal: rf"regexp_replace(node, '{literal}', '\1/{mark}')"
+        ctes += [
+            f"h{k} AS (SELECT * FROM f{k + 1} WHERE regexp_matches(node, '{literal}'))",
+            f"hi{k} AS (SELECT host, node, kind, sum(kd.x) AS x FROM kd JOIN (SELECT host, template, node FROM h{k}) USING (host, template) GROUP BY ALL)",
+            f"""no{k} AS (SELECT host, node, {named('*')} AS parent, b, t, nx, kx FROM (SELECT host, node, sum(blocked) AS b, sum(labelled) AS t FROM h{k} GROUP BY ALL)
+                JOIN (SELECT host, node, sum(x) AS nx, count(*) AS kx FROM hi{k} GROUP BY ALL) USING (host, node))""",
+            f"po{k} AS (SELECT host, parent, sum(b) / sum(t)::DOUBLE AS rate FROM no{k} WHERE t > 0 GROUP BY ALL)",
+            f"""kn{k} AS (SELECT host, parent, node, CASE WHEN z > 2 THEN '*+' WHEN z < -2 THEN '*-' ELSE '*' END AS mark FROM
+                (SELECT host, parent, node, coalesce((b - t * rate) / nullif(sqrt(t * rate * (1 - rate)), 0), 0.0) AS z FROM no{k} JOIN po{k} USING (host, parent) WHERE t > 0))""",
+            f"cl{k} AS (SELECT host, parent, mark, kind, sum(x) AS y FROM kn{k} JOIN hi{k} USING (host, node) GROUP BY ALL)",
+            f"to{k} AS (SELECT host, parent, mark, sum(y) AS ny, count(*) AS ky FROM cl{k} GROUP BY ALL)",
+            f"""pa{k} AS (SELECT host, parent, node, mark, nx, ny, kx, ky, ny / nx::DOUBLE AS ratio, x, coalesce(y, 0) AS y, y IS NOT NULL AS hit FROM (SELECT * FROM no{k} WHERE t = 0)
+                JOIN to{k} USING (host, parent) JOIN hi{k} USING (host, node) LEFT JOIN cl{k} USING (host, parent, mark, kind))""",
+            f"""ch{k} AS (SELECT host, parent, node, mark, sum((sqrt(ratio) * x - y / sqrt(ratio)) ** 2 / (x + y)) + (ny - sum(y)) / ratio AS chi, kx + ky - count(*) FILTER (WHERE hit) - 1 AS free
+                FROM pa{k} GROUP BY host, parent, node, mark, nx, ny, kx, ky, ratio)""",
+            f"ne{k} AS (SELECT *, round(chi - free - 2 * sqrt(2.0 * free), 9) AS gap FROM ch{k})",
+            f"""me{k} AS (SELECT host, parent, node, mark FROM kn{k} UNION ALL
+                SELECT host, parent, node, mark FROM (SELECT *, row_number() OVER (PARTITION BY host, parent, node ORDER BY gap, mark) AS n FROM ne{k} WHERE gap <= 0) WHERE n = 1)""",
+            f"in{k} AS (SELECT host, node, mark FROM me{k} JOIN (SELECT host, parent, mark FROM me{k} GROUP BY ALL HAVING count(*) > 1) USING (host, parent, mark))",
+            f"""f{k} AS (SELECT host, template, blocked, labelled, CASE WHEN mark IS NULL THEN node WHEN mark = '*' THEN {named('*')} WHEN mark = '*+' THEN {named('*+')} ELSE {named('*-')} END AS node
+                FROM f{k + 1} LEFT JOIN in{k} USING (host, node))""",
+        ]
+    ctes += [
+        "g AS (SELECT host, template, blocked, labelled, node AS merged FROM f0)",
         f"ri AS (SELECT host, merged, (sum(blocked) + {urltree.STRENGTH * urltree.PRIOR}::DOUBLE) / (sum(labelled) + {urltree.STRENGTH}::DOUBLE) AS risk FROM g GROUP BY ALL)",
     ]
     return (

@@ -26,14 +26,23 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the session; one is made only where none is set."""
+    """Cut lineage through the reliable checkpoint folder of the session. Where none is set, one is made for a session
+    on one machine; on a cluster that is an error, as executors do not share local folders."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
 
 
+def keyed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows as one struct column ``row``, and keys beside it; no name of theirs can clash."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def utf8_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column without copying its values; null counts as empty."""
     if isinstance(array, pa.ChunkedArray):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stabilis.llm.common import BLANK
+from stabilis.llm.common import BLANK, keyed
 
 
 def normalised(text: Column) -> Column:
@@ -73,7 +73,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The input's rows and columns without exact copies; of rows that also repeat the kept id, all stay.
 
-    Only the ids of copies are joined (left anti), so texts are compared in the combining stages alone.
+    Rows are told apart by id and content, so an id with several texts loses only those that are copies. Only ids and
+    digests of copies are joined (left anti), so texts are compared in the combining stages alone. Any names of columns
+    may occur.
     """
-    gone = exact_dedup(docs, id_col, text_col, salts).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col, salts).filter(~F.col("kept")).select(F.col(id_col).alias("gone"), F.col("text_sha256").alias("gone_digest"))
+    rows = keyed(docs, id=F.col(id_col), digest=F.sha2(normalised(F.col(text_col)), 256))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("digest") == F.col("gone_digest")), "left_anti").select("row.*")

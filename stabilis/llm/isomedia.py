@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 #: Bytes in a sample, samples in a second and samples from one keyframe to the next, as ``mux`` writes them.
 UNIT, RATE, KEY_EVERY = 192, 8_000, 8
+#: A track that promises more samples than this and than its file has bytes is damaged.
+MOST_SAMPLES = 1 << 24
 
 
 def boxes(data: memoryview, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
@@ -81,6 +83,8 @@ def track(data: memoryview, a: int, b: int) -> dict | None:
             return None
         raw = np.frombuffer(data, ">u2" if bits == 16 else "u1", min(-(-count * bits // 8), stz2[1] - at) // (2 if bits == 16 else 1), at).astype(np.int64)
         sizes = (np.stack([raw >> 4, raw & 15], 1).ravel() if bits == 4 else raw)[:count]
+    elif count > max(len(data), MOST_SAMPLES):
+        return None
     elif fixed:
         sizes = np.full(count, fixed, np.int64)
     else:
@@ -89,10 +93,11 @@ def track(data: memoryview, a: int, b: int) -> dict | None:
     runs = _table(data, stsc, ">u4", 3)
     # samples per chunk: each run of the table holds from its first chunk to the next run's
     per_chunk = runs[np.searchsorted(runs[:, 0], np.arange(1, len(chunks) + 1), "right") - 1, 1] if len(runs) else np.zeros(len(chunks), np.int64)
-    chunk_of = np.repeat(np.arange(len(chunks)), per_chunk)[: len(sizes)]
-    sizes = sizes[: len(chunk_of)]
+    upto = np.cumsum(per_chunk)
+    sizes = sizes[: int(upto[-1]) if len(upto) else 0]
+    chunk_of = np.searchsorted(upto, np.arange(len(sizes)), "right")
     before = np.concatenate([[0], np.cumsum(sizes)])
-    first = np.concatenate([[0], np.cumsum(per_chunk)])[chunk_of]
+    first = (upto - per_chunk)[chunk_of]
     offsets = chunks[chunk_of] + before[:-1] - before[np.minimum(first, len(sizes))] if len(sizes) else sizes
     keys = _table(data, stss, ">u4", 1)[:, 0] - 1 if stss else np.arange(len(sizes))
     times = _table(data, stts, ">u4", 2)
@@ -243,7 +248,8 @@ def mux_texts(docs: DataFrame, text_col: str = "text", content_col: str = "conte
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the text stored in a container, read back through its tables, and what the tables say.
 
-    Columns: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. The payload
+    Columns: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, keyframes (all
+    byte ranges in the container, array of start and length). The payload
     hashed is the bytes that the sample tables point to. The feature names the codec, the duration in ticks and
     seconds, the samples, and the number and total length of keyframes with the first and last one's byte range.
     Null and empty texts store one unit of blanks. Equal texts give equal rows but for the id.
@@ -251,7 +257,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, ranges = [], []
             for text in batch.column(1).to_pylist():
                 n, payload = padded(text)
                 media = mux(payload)
@@ -263,6 +269,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 spans = [(int(offsets[i]), int(offsets[j - 1] + sizes[j - 1])) for i, j in zip([0, *breaks], [*breaks, len(sizes)])]
                 back = b"".join([data[a:b] for a, b in spans])
                 first, last = keys[0], keys[-1]
+                ranges.append((offsets[keys], sizes[keys]))
                 rows.append(
                     (
                         n,
@@ -278,15 +285,18 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
             columns = list(zip(*rows)) if rows else [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            start, length = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*ranges) if ranges else ((), ())))
+            ends = np.cumsum([0, *[len(x) for x, _ in ranges]]).astype(np.int32)
+            keyframes = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(start), pa.array(length)], ["start", "length"]))
             names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.record_batch([batch.column(0), *[pa.array(x, k) for x, k in zip(columns, kinds)]], names=["id", *names])
+            yield pa.record_batch([batch.column(0), *[pa.array(x, k) for x, k in zip(columns, kinds)], keyframes], names=["id", *names, "keyframes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .mapInArrow(
             run,
-            f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+            f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<start: long, length: long>>",
         )
         .withColumnRenamed("id", id_col)
     )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stabilis.llm.common import mixed, utf8_buffer, words_at
+from stabilis.llm.common import keyed, mixed, utf8_buffer, words_at
 
 #: Undetermined: null texts and texts without a letter.
 UNDETERMINED = "und"
@@ -106,20 +106,23 @@ def train(rows: list[tuple[str, bytes]], ridge: float = 0.02) -> LanguageModel:
     return LanguageModel(languages, code, (x.T @ alpha).astype(np.float32), hits / hits.sum(1, keepdims=True))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 600, most_languages: int = 200, seed: int = 1) -> LanguageModel:
-    """Fit on a bounded sample: about ``per_language`` texts (hash-chosen) of each of the commonest languages.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = 2400, seed: int = 1) -> LanguageModel:
+    """Fit on a bounded sample: about ``texts`` distinct texts in all (hash-chosen), as many of every language.
 
-    The bound on what reaches the driver is 2 * per_language * most_languages feature vectors of 16 KB. Rows with a
-    null language or text are not used; with no usable row the model has no language.
+    Every language can be predicted: one that would get no text gets one at least. What reaches the driver is about
+    ``texts`` feature vectors of 16 KB (or one per language, if there are more languages), and the classifiers of all
+    bits come from one matrix of that many rows. Rows with a null language or text are not used; with no usable row
+    the model has no language.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    draw = F.pmod(F.xxhash64(F.lit(seed), text_col), F.lit(1 << 30))
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).orderBy("lang").collect()
     if not counts:
         return train([])
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(seed), text_col), F.lit(1 << 30)) / float(1 << 30)
+    each = max(1, texts // len(counts))
+    # a language's texts up to this draw, its own least one in any case
+    upto = {r["lang"]: max(r["least"], int(min(1.0, each / r["n"]) * (1 << 30))) for r in counts}
+    limits = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])
 
     def vectors(batches):
         for batch in batches:
@@ -128,10 +131,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["lang", "x"])
 
     sample = (
-        rows.filter(draw < share)
+        rows.filter(draw <= limits[F.col(lang_col)])
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        .distinct()
         .mapInArrow(vectors, "lang string, x binary")
-        .limit(2 * per_language * len(counts))
         .collect()
     )
     return train(sorted((r["lang"], bytes(r["x"])) for r in sample))
@@ -163,4 +166,6 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", marg
         return pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
 
     names = ["lang_pred", "score", "ambiguous"]
-    return docs.select(*[c for c in docs.columns if c not in names], run(F.col(text_col)).alias("_found")).select("*", *[F.col(f"_found.{n}").alias(n) for n in names]).drop("_found")
+    rest = [c for c in docs.columns if c not in names]
+    rows = keyed(docs, text=F.col(text_col)).select("row", run(F.col("text")).alias("found"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in rest], *[F.col(f"found.{n}") for n in names])

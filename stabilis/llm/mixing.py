@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stabilis.llm.common import BLANK
+from stabilis.llm.common import BLANK, keyed
 
 #: Words that the knapsack fits at most (the shares come nearer than that where documents are short enough).
 KNAPSACK = 8_192
@@ -119,15 +119,9 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int =
     return take
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """Per row: id, source, size, source_size, target, copies, taken (size times copies).
-
-    Every document is taken floor(target / source_size) times (at most ``most`` times), and as many documents more,
-    once each, as bring the source near its target. Null sources are one source; null texts have size 0 and are
-    taken 0 words. Rows that repeat an id and text share one place in the seeded order and are told apart by it in
-    no particular order, so the mix takes as many of them either way. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, seed: int) -> DataFrame:
+    """Per row: id, twin (a hash of the text), source, size, source_size, target and copies."""
+    rows = docs.select(F.col(id_col).alias("id"), _twin(text_col).alias("twin"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     order = F.xxhash64(F.lit(seed), "id")
     rows = rows.withColumn("order", order).withColumn("part", F.pmod("order", F.lit(RANGES)).cast("int"))
     counts = rows.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -159,17 +153,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     ranked = rows.alias("d").join(
         ranged.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.size") == F.col("r.size")) & (F.col("d.part") == F.col("r.part"))
-    ).select("id", F.col("d.source").alias("source"), F.col("d.size").alias("size"), F.col("d.part").alias("part"), "order", "source_size", "target", "passes", "more")
-    place = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("order", "id"))
+    ).select("id", "twin", F.col("d.source").alias("source"), F.col("d.size").alias("size"), F.col("d.part").alias("part"), "order", "source_size", "target", "passes", "more")
+    place = F.row_number().over(W.partitionBy("source", "size", "part").orderBy("order", "id", "twin"))
     copies = (F.col("passes") + (place <= F.col("more")).cast("long")).alias("copies")
-    return ranked.select("id", "source", "size", "source_size", "target", copies).select(
+    return ranked.select("id", "twin", "source", "size", "source_size", "target", copies)
+
+
+def _twin(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """Per row: id, source, size, source_size, target, copies, taken (size times copies).
+
+    Every document is taken floor(target / source_size) times (at most ``most`` times), and as many documents more,
+    once each, as bring the source near its target. Null sources are one source; null texts have size 0 and are
+    taken 0 words. Rows that repeat an id, text and source stand next to each other in the seeded order, so that which
+    of them is taken makes no difference. An empty table gives an empty result.
+
+    The plan of a source sees its lengths (distinct sizes and their counts), not its documents. What remains of its
+    target after equal shares is met by the longest documents that fit, down to ``KNAPSACK`` words, which the dynamic
+    programme settles exactly over all documents no longer than that; if all others are longer, at most half the
+    shortest one's length stays unmet or is taken too much.
+    """
+    return _planned(docs, id_col, text_col, source_col, weights, share, most, seed).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The input's columns, each row as often as the mix takes it; documents without words stay once."""
-    plan = mix(docs, id_col, **options).select(F.col(id_col).alias("_id"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("_copies"))
-    plan = plan.groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id"))).filter(F.col("_copies") > 0)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7
+) -> DataFrame:
+    """The input's columns, each row as often as the mix takes it; documents without words stay once.
+
+    Rows are told apart by id, text (a hash) and source; of rows that repeat all three, each takes its own share. Any
+    names of columns may occur.
+    """
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
+    plan = _planned(docs, id_col, text_col, source_col, weights, share, most, seed)
+    plan = plan.groupBy(F.col("id").alias("p_id"), F.col("twin").alias("p_twin"), F.col("source").alias("p_source")).agg(F.sort_array(F.collect_list(copies)).alias("copies"))
+    rows = keyed(docs, id=F.col(id_col), twin=_twin(text_col), source=F.col(source_col))
+    same = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("twin") == F.col("p_twin")) & F.col("source").eqNullSafe(F.col("p_source"))
+    joined = rows.join(plan.filter(F.element_at("copies", -1) > 0), same)
+    # rows that repeat each other are numbered where the join has brought them together
+    turn = F.row_number().over(W.partitionBy("id", "twin", "source").orderBy("twin"))
+    taken = joined.withColumn("times", F.when(F.size("copies") == 1, F.element_at("copies", 1)).otherwise(F.element_at("copies", turn)))
+    return taken.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

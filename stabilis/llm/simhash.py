@@ -12,10 +12,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stabilis.llm.common import checkpointed
+from stabilis.llm.common import checkpointed, keyed
 
 #: Fixed by the contract: seed of XXH64, words in a shingle, bits that may differ.
 SEED, WORDS, BITS = 42, 3, 3
@@ -49,7 +49,8 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """id and fp (the fingerprint's 64 bits as a signed long) of each row; null text counts as empty."""
+    """id, twin (a hash of the text) and fp (the fingerprint's 64 bits as a signed long) of each row; null text counts
+    as empty."""
 
     @F.pandas_udf("long")
     def run(texts):
@@ -57,7 +58,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS
 
         return pd.Series(np.array([fingerprint(t, words, seed) for t in texts], np.uint64).astype(np.int64))
 
-    return docs.select(F.col(id_col).alias("id"), run(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), _twin(text_col).alias("twin"), run(F.col(text_col)).alias("fp"))
+
+
+def _twin(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -213,6 +218,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int, bits: int, crowded: int) -> DataFrame:
+    """Per row: id, twin, fp, component_id, component_size and first, the (id, twin) that stands for the component."""
+    rows = checkpointed(fingerprints(docs, id_col, text_col, words, seed))
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "twin")
+    distinct = rows.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n"))
+    roots = components(links(distinct.select("fp"), bits, crowded))
+    labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    names = labelled.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("component_size"))
+    named = labelled.select("fp", "root").join(names, "root").select("fp", F.col("first.id").alias("component_id"), "component_size", "first")
+    return rows.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED, bits: int = BITS, crowded: int = CROWDED) -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (smallest id reachable over links), component_size.
 
@@ -220,13 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints link; repeated rows repeat their result. Null ids never name a component unless it has no other id.
     An empty table gives an empty result. Other columns are ignored.
     """
-    rows = checkpointed(fingerprints(docs, id_col, text_col, words, seed))
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    roots = components(links(distinct.select("fp"), bits, crowded))
-    labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    names = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    named = labelled.select("fp", "root").join(names, "root").select("fp", "component_id", "component_size")
-    return rows.join(named, "fp").select(
+    return _grouped(docs, id_col, text_col, words, seed, bits, crowded).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -234,8 +245,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input's rows and columns with one id of each component: the smallest (null only where it has no other)."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED, bits: int = BITS, crowded: int = CROWDED) -> DataFrame:
+    """The input's rows and columns with one document of each component: that of the smallest id (null only where it
+    has no other) and, if this id has several texts in the component, of one text. Rows that repeat it stay.
+
+    Rows are told apart by id and a hash of the text, so an id with several texts loses only those that go.
+    """
+    found = _grouped(docs, id_col, text_col, words, seed, bits, crowded)
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("twin") == F.col("first.twin"))
+    gone = found.filter(~stays).select(F.col("id").alias("gone"), F.col("twin").alias("gone_twin"))
+    rows = keyed(docs, id=F.col(id_col), twin=_twin(text_col))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("twin") == F.col("gone_twin")), "left_anti").select("row.*")

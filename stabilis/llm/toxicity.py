@@ -71,7 +71,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.scale * (logit - self.cut) + np.log(CUT / (1 - CUT)), -30, 30))))
 
 
-def screened(counts: DataFrame, positives: int, unlabelled: int, most: int = 1500, least: int = 40, clearly: float = 3.8) -> np.ndarray:
+def screened(counts: DataFrame, positives: int, unlabelled: int, most: int = 1500, least: int = 40, clearly: float = 2.7) -> np.ndarray:
     """The ``least`` to ``most`` features (h) whose shares of positives (p) and unlabelled texts (u) differ most clearly."""
     p, u = F.col("p") / positives, F.col("u") / unlabelled
     spread = p * (1 - p) / positives + u * (1 - u) / unlabelled + 1 / positives**2
@@ -79,7 +79,7 @@ def screened(counts: DataFrame, positives: int, unlabelled: int, most: int = 150
     return np.array(sorted(r["h"] for k, r in enumerate(top) if k < least or r["clear"] >= clearly), np.int64)
 
 
-def nnpu(columns: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> ToxicityModel:
+def nnpu(columns: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-4) -> ToxicityModel:
     """Train by Adam on the non-negative risk with the logistic loss, full batch.
 
     xp and xu hold the presence of the features ``columns`` in positive and unlabelled texts. Without either kind the
