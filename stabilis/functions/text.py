@@ -21,6 +21,16 @@ ORDERS = {
 }
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def words(text: Column, pattern: str = WORD) -> Column:
     """Lower-cased words in order; null text has none."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
@@ -29,21 +39,25 @@ def words(text: Column, pattern: str = WORD) -> Column:
 def sentences(text: Column) -> Column:
     """Pieces after ., ! or ? with white space, or at line breaks; blank pieces are dropped."""
     pieces = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+")
-    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(pieces, stripped), lambda s: s != "")
 
 
 def flat_sentences(text: Column) -> Column:
     """Sentences of a text whose white space is collapsed first, so that line breaks do not end one."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.filter(F.split(flat, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    flat = stripped(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.filter(F.split(flat, r"(?<=[.!?])\s+"), lambda s: stripped(s) != "")
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), stripped), lambda p: p != "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined windows of n tokens; none if there are fewer."""
+    return bound(tokens, lambda t: _ngrams(t, n))
+
+
+def _ngrams(tokens: Column, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
     grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
@@ -53,9 +67,21 @@ def mattr(tokens: Column, window: int = 25) -> Column:
     """Mean type-token ratio of all windows; of the whole text if it is not longer; 0 if it is empty."""
     if window < 1:
         raise ValueError("window must be at least 1")
+    return bound(tokens, lambda t: _mattr(t, window))
+
+
+def _mattr(tokens: Column, window: int) -> Column:
+    """The types of all windows are counted token by token: a token counts in the windows that hold it, but not the
+    token before it of the same type; only the window's reach is searched for that."""
     n = F.size(tokens)
-    ratios = F.transform(F.sequence(F.lit(1), F.greatest(n - (window - 1), F.lit(1))), lambda i: F.size(F.array_distinct(F.slice(tokens, i, window))))
-    total = F.aggregate(ratios, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def windows(token: Column, at: Column) -> Column:
+        reach = F.reverse(F.slice(tokens, F.greatest(at - (window - 2), F.lit(1)), F.least(at, F.lit(window - 1))))
+        since = F.array_position(reach, token).cast("int")  # distance to the token before, 0 if out of reach
+        first = F.greatest(F.lit(0), at - (window - 1), F.when(since > 0, at - since + 1).otherwise(0))
+        return F.greatest(F.lit(0), F.least(at, n - window) - first + 1)
+
+    total = F.aggregate(F.transform(tokens, windows), F.lit(0).cast("long"), lambda a, x: a + x)
     return (
         F.when(n == 0, 0.0)
         .when(n <= window, F.size(F.array_distinct(tokens)) / n)
@@ -99,14 +125,14 @@ def ratio_similarity(a: Column, b: Column) -> Column:
 
 def without_thoughts(text: Column) -> Column:
     """Drop <think> blocks, then stray tags, then outer blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"</?think>", ""))
+    return stripped(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"</?think>", ""))
 
 
 def flattened_json(text: Column, fields: list[str]) -> Column:
     """Stripped required string fields joined by blank lines; null where one is missing or not a string."""
-    schema = "map<string,string>"
-    parsed = F.from_json(text, schema)
-    parts = [F.trim(parsed[f]) for f in fields]
+    parsed = F.try_parse_json(text)
+    value = lambda f: F.try_variant_get(parsed, f"$['{f}']", "variant")
+    parts = [F.when(F.schema_of_variant(value(f)) == "STRING", stripped(F.try_variant_get(parsed, f"$['{f}']", "string"))) for f in fields]
     ok = F.lit(True)
     for p in parts:
         ok = ok & p.isNotNull()

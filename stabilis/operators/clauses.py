@@ -1,76 +1,154 @@
-"""Clauses of parsed sentences: loose and strict splitting.
+"""Clauses of parsed sentences: loose and strict splitting, and the joining of fragments.
 
-A clause is the part of a dependency tree below a split root. Splitting works sentence by sentence; the only thing
-that Python sees is one sentence's tokens.
+A clause is the part of a dependency tree below a split root; the rest of the sentence is the main clause. The only
+thing that Python sees is one sentence's tokens.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+# Tags, relations, words and least sizes of the rules.
 CONTENT = {"NOUN", "PROPN", "VERB", "ADJ", "ADV", "NUM"}
 NOMINAL = {"NOUN", "PROPN", "PRON"}
-SUBJECTS = {"nsubj", "nsubj:pass", "csubj"}
-#: Relations at which a clause may split off.
-SPLITS = {"conj", "advcl", "ccomp", "parataxis", "acl:relcl"}
+SUBJECTS = {"nsubj", "nsubj:pass"}
+COPULAS = {"cop", "aux:pass"}
+SPLITS = {"conj", "advcl", "acl:relcl"}
+WEAK_STARTS = {"and", "or", "but", "that", "which", "because", "to", "by", "with"}
+COORDINATORS = {"and", "or", "but"}
+RELATIVES = {"who", "which", "that"}
+DISCOURSE = {"for example", "however"}
+LOOSE, STRICT = (4, 2), (5, 3)
+
+
+class Token(NamedTuple):
+    text: str
+    upos: str
+    relation: str
+    head: int | None
+    xpos: str | None = None
+
+
+class Part:
+    """Some tokens of a sentence, and the facts about them that rules ask for."""
+
+    def __init__(self, sentence: dict[int, Token], ids):
+        self.ids = sorted(ids)
+        self.tokens = [sentence[i] for i in self.ids]
+        self.words = [t for t in self.tokens if t.upos != "PUNCT"]
+        self.relations = {t.relation for t in self.tokens}
+
+    @property
+    def text(self) -> str:
+        return " ".join(t.text for t in self.words).replace(" ,", ",").replace(" .", ".")
+
+    @property
+    def opening(self) -> str | None:
+        return self.words[0].text.lower() if self.words else None
+
+    @property
+    def has_subject(self) -> bool:
+        return bool(self.relations & SUBJECTS)
 
+    @property
+    def is_discourse(self) -> bool:
+        return self.text.lower() in DISCOURSE
 
-def _below(children: dict, root: int) -> list[int]:
-    """Tokens of the subtree, the root first; a token is visited once."""
-    out, stack, seen = [], [root], set()
+    @property
+    def joins_previous(self) -> bool:
+        """A fragment that continues the clause before it."""
+        return self.opening is None or self.opening in WEAK_STARTS
+
+    def reaches(self, words: int, content: int) -> bool:
+        return len(self.words) >= words and sum(t.upos in CONTENT for t in self.tokens) >= content
+
+    def splits_loosely(self, root: Token) -> bool:
+        return root.upos == "VERB" and (self.has_subject or root.relation == "conj") and self.reaches(*LOOSE)
+
+    def splits_strictly(self, root: Token) -> bool:
+        predicate = root.upos == "VERB" or (root.upos in ("ADJ", "NOUN") and self.relations & COPULAS)
+        anchored = any(t.upos in NOMINAL for t in self.tokens)
+        if not (predicate and anchored and (self.has_subject or root.relation == "conj") and self.reaches(*STRICT)) or self.is_discourse:
+            return False
+        if self.joins_previous and not (self.opening in COORDINATORS and self.has_subject):
+            return False
+        if root.relation == "advcl":
+            return not (root.xpos == "VB" and any(t.text.lower() == "to" and t.relation == "mark" for t in self.tokens))
+        if root.relation == "acl:relcl":
+            return self.has_subject and any(t.upos in CONTENT and t.text.lower() not in RELATIVES for t in self.tokens)
+        return True
+
+
+def _subtree(children: dict[int, list[int]], root: int) -> set[int]:
+    """A token and all below it; a token is visited once, so a cycle ends."""
+    out, stack = set(), [root]
     while stack:
         at = stack.pop()
-        if at not in seen:
-            seen.add(at)
-            out.append(at)
-            stack.extend(reversed(children.get(at, [])))
+        if at not in out:
+            out.add(at)
+            stack.extend(children.get(at, ()))
     return out
 
 
-def split_sentence(tokens: dict[int, tuple[str, str, str, int | None]], strict: bool) -> list[list[int]]:
-    """Clauses as sorted token ids, by first token. tokens: id -> (text, upos, relation, head).
+def split_sentence(tokens: dict[int, tuple], strict: bool, merge: bool = True) -> list[list[int]]:
+    """Clauses as sorted token ids, by first token. tokens: id -> (text, upos, relation, head[, xpos]).
 
-    Loose: a verb below one of ``SPLITS`` with a subject of its own (or a conjunct), four words and two content words
-    splits off with its subtree; nested splits keep their tokens in both. Strict: five words, three content words and
-    a nominal are needed, and nested splits stay with the outer one. What is left, if it has words, is a clause.
+    Loose: a verb below one of ``SPLITS`` whose subtree has a subject (or which is a conjunct), four words and two
+    content words splits off with its subtree; nested splits keep their tokens in both. Strict: see
+    ``Part.splits_strictly``; nested splits stay with the outer one, bare discourse markers are dropped, and with
+    ``merge`` a clause that opens with one of ``WEAK_STARTS`` is joined to the one before it. What is left of the
+    sentence is the main clause, even if it is punctuation only.
     """
+    sentence = {i: Token(*t) for i, t in sorted(tokens.items())}
     children: dict[int, list[int]] = {}
-    for t, (_, _, _, head) in sorted(tokens.items()):
-        if head is not None:
-            children.setdefault(head, []).append(t)
-    subtrees = {}
-    for t, (_, upos, relation, head) in sorted(tokens.items()):
-        if relation not in SPLITS or upos != "VERB" or head is None:
-            continue
-        part = _below(children, t)
-        words = [x for x in part if x in tokens and tokens[x][1] != "PUNCT"]
-        content = sum(tokens[x][1] in CONTENT for x in words)
-        subject = any(tokens[c][2] in SUBJECTS for c in children.get(t, []) if c in tokens)
-        nominal = any(tokens[x][1] in NOMINAL for x in words)
-        if (subject or relation == "conj") and len(words) >= (5 if strict else 4) and content >= (3 if strict else 2) and (nominal or not strict):
-            subtrees[t] = part
-    roots = [t for t in subtrees if not strict or not any(t in subtrees[o] for o in subtrees if o != t)]
-    taken = {x for t in roots for x in subtrees[t]}
-    clauses = [sorted(x for x in subtrees[t] if x in tokens) for t in roots]
-    rest = sorted(set(tokens) - taken)
-    if any(tokens[x][1] != "PUNCT" for x in rest):
-        clauses.append(rest)
-    return sorted(clauses)
+    for i, t in sentence.items():
+        if t.head is not None:
+            children.setdefault(t.head, []).append(i)
+    below = {i: _subtree(children, i) for i, t in sentence.items() if t.relation in SPLITS}
+    fits = Part.splits_strictly if strict else Part.splits_loosely
+    below = {i: ids for i, ids in below.items() if fits(Part(sentence, ids), sentence[i])}
+    if strict:
+        below = {i: ids for i, ids in below.items() if not any(i in other for j, other in below.items() if j != i)}
+    main = set(sentence).difference(*below.values())
+    clauses = sorted(([sorted(ids) for ids in [main, *below.values()] if ids]), key=lambda c: c[0])
+    if not strict:
+        return clauses
+    clauses = [c for c in clauses if not Part(sentence, c).is_discourse]
+    joined: list[list[int]] = []
+    for c in clauses:
+        if merge and joined and Part(sentence, c).joins_previous:
+            joined[-1] = sorted(joined[-1] + c)
+        else:
+            joined.append(c)
+    return joined
 
 
 def split_clauses(tokens: DataFrame, key: str, strict: bool = False) -> DataFrame:
-    """key, sentence_id, clause (from 0), n_tokens, text (words without punctuation)."""
+    """key, sentence_id, clause (from 0), n_tokens, text (words without punctuation), token_ids.
+
+    A column ``xpos`` is used where there is one (infinitives); without it no clause counts as an infinitive.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         heads = [None if h is None or h != h else int(h) for h in pdf["head_token_id"]]
-        sentence = {int(t): (x, u, r, h) for t, x, u, r, h in zip(pdf["token_id"], pdf["text"], pdf["upos"], pdf["dependency_relation"], heads)}
-        rows = [
-            (pdf[key].iloc[0], int(pdf["sentence_id"].iloc[0]), k, len(c), " ".join(sentence[t][0] for t in c if sentence[t][1] != "PUNCT"))
-            for k, c in enumerate(split_sentence(sentence, strict))
-        ]
-        return pd.DataFrame(rows, columns=[key, "sentence_id", "clause", "n_tokens", "text"])
+        sentence = {int(t): (x, u, r, h, p) for t, x, u, r, h, p in zip(pdf["token_id"], pdf["text"], pdf["upos"], pdf["dependency_relation"], heads, pdf["xpos"])}
+        named = {i: Token(*t) for i, t in sentence.items()}
+        rows = [(pdf[key].iloc[0], int(pdf["sentence_id"].iloc[0]), k, len(c), Part(named, c).text, c) for k, c in enumerate(split_sentence(sentence, strict))]
+        return pd.DataFrame(rows, columns=[key, "sentence_id", "clause", "n_tokens", "text", "token_ids"])
 
     kind = tokens.schema[key].dataType.simpleString()
-    rows = tokens.select(key, "sentence_id", "token_id", "text", "upos", "dependency_relation", "head_token_id")
-    return rows.groupBy(key, "sentence_id").applyInPandas(run, f"{key} {kind}, sentence_id int, clause int, n_tokens int, text string")
+    xpos = F.col("xpos") if "xpos" in tokens.columns else F.lit(None).cast("string").alias("xpos")
+    rows = tokens.select(key, "sentence_id", "token_id", "text", "upos", "dependency_relation", "head_token_id", xpos)
+    return rows.groupBy(key, "sentence_id").applyInPandas(run, f"{key} {kind}, sentence_id int, clause int, n_tokens int, text string, token_ids array<int>")
+
+
+def clause_tokens(tokens: DataFrame, clauses: DataFrame, key: str) -> DataFrame:
+    """Tokens with the place of their clause (``pos``, from 0 over the whole text); a token of nested clauses repeats."""
+    order = W.partitionBy(key).orderBy("sentence_id", "clause")
+    placed = clauses.withColumn("pos", F.row_number().over(order) - 1).select(key, "sentence_id", "pos", F.explode("token_ids").alias("token_id"))
+    return tokens.join(placed, [key, "sentence_id", "token_id"])

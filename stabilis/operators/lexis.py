@@ -1,7 +1,7 @@
 """Lexis: vocabulary diversity, vector-space and phrase similarity of text pairs.
 
-Every measure of a single text is computed once per text, before pairs are made. Pair measures work on pair keys and
-long count tables, joined on the pair and the term.
+Every measure of a single text is computed once per text, before pairs are made: its diversity and the counts of its
+terms and phrases, as maps. The measures of a pair are expressions over the maps of both sides, without a shuffle.
 """
 
 from __future__ import annotations
@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stabilis.functions.text import TERM, mattr, mtld, ngrams, ratio_similarity, sentences, words
+from stabilis.functions.text import TERM, bound, mattr, mtld, ngrams, ratio_similarity, sentences, stripped, words
 
 SMOOTHING = 1e-9
-EMPTY_STRINGS = "array<string>"
+COUNTS = "map<string,bigint>"
 
 
 def phrase_list(text: Column, n: int) -> Column:
-    """All n-grams of a text, none of which crosses a sentence."""
-    return F.flatten(F.transform(sentences(text), lambda s: ngrams(words(s), n)))
+    """All n-grams of a text, none of which crosses a sentence; a sentence is taken apart once."""
+    return F.flatten(F.transform(F.transform(sentences(text), lambda s: words(s)), lambda w: ngrams(w, n)))
 
 
 def phrase_counts(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -25,50 +25,83 @@ def phrase_counts(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return docs.select(key, F.explode(phrase_list(F.col(text), n)).alias("phrase")).groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _sides(pairs: DataFrame, keys: list[str], one: Column, two: Column) -> DataFrame:
-    """keys, term, a, b: counts of each term on either side of a pair, zero where it is missing."""
-    both = pairs.select(*keys, F.explode(F.concat(F.transform(one, lambda t: F.struct(t.alias("term"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(two, lambda t: F.struct(t.alias("term"), F.lit(0).alias("a"), F.lit(1).alias("b"))))).alias("x"))
-    return both.groupBy(*keys, "x.term").agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
+def counted(texts: DataFrame, keys: list[str], **lists: Column) -> DataFrame:
+    """The texts with a map of counts for each named list of strings. Keys must tell the texts apart."""
+    of = lambda n, c: F.transform(c, lambda t: F.struct(F.lit(n).alias("kind"), t.alias("term")))
+    long = texts.select(*keys, F.explode(F.concat(*[of(n, c) for n, c in lists.items()])).alias("x")).select(*keys, "x.kind", "x.term")
+    counts = long.groupBy(*keys, "kind", "term").agg(F.count(F.lit(1)).alias("n"))
+    one = lambda n: F.map_from_entries(F.collect_list(F.when(F.col("kind") == n, F.struct("term", "n")))).alias(n)
+    maps = counts.groupBy(*keys).agg(*[one(n) for n in lists])
+    empty = F.create_map().cast(COUNTS)
+    rest = [c for c in texts.columns if c not in lists]
+    return texts.select(*rest).join(maps, keys, "left").select(*rest, *[F.coalesce(n, empty).alias(n) for n in lists])
 
 
-def phrase_divergence(pairs: DataFrame, keys: list[str], one: Column, two: Column, name: str) -> DataFrame:
-    """keys and the Jensen-Shannon divergence (base 2, clamped to 0..1) of the sides' smoothed phrase distributions.
+def both_counts(one: Column, two: Column) -> Column:
+    """Array of (a, b): counts of every term of either side, zero where it is missing."""
+    zero = F.lit(0).cast("bigint")
+    return F.map_values(F.map_zip_with(one, two, lambda _, a, b: F.struct(F.coalesce(a, zero).cast("double").alias("a"), F.coalesce(b, zero).cast("double").alias("b"))))
 
-    Every phrase of either side gets the smoothing on both; a side without phrases gives 1. Pairs without any phrase
-    have no row.
+
+def _total(rows: Column, value) -> Column:
+    return F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + value(r))
+
+
+def divergence(one: Column, two: Column) -> Column:
+    """Jensen-Shannon divergence (base 2, clamped to 0..1) of the smoothed distributions of two maps of counts.
+
+    Every phrase of either side gets the smoothing on both. One side without phrases gives 1; none at all null.
     """
-    counts = _sides(pairs, keys, one, two)
-    sizes = counts.groupBy(*keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count(F.lit(1)).alias("v"))
-    p = (F.col("a") + SMOOTHING) / (F.col("na") + SMOOTHING * F.col("v"))
-    q = (F.col("b") + SMOOTHING) / (F.col("nb") + SMOOTHING * F.col("v"))
-    m = (p + q) / 2
-    half = F.sum((p * F.log2(p / m) + q * F.log2(q / m)) / 2)
-    joined = counts.join(sizes, keys)
-    out = joined.groupBy(*keys).agg(half.alias("d"), F.min(F.least("na", "nb")).alias("least"))
-    return out.select(*keys, F.when(F.col("least") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "d"))).alias(name))
 
+    def found(rows: Column) -> Column:
+        def of(sums: Column) -> Column:
+            def part(r: Column) -> Column:
+                p, q = (r["a"] + SMOOTHING) / (sums["a"] + sums["v"]), (r["b"] + SMOOTHING) / (sums["b"] + sums["v"])
+                return (p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q))) / 2
+
+            unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _total(rows, part)))
+            return F.when(F.size(rows) == 0, None).when((sums["a"] == 0) | (sums["b"] == 0), 1.0).otherwise(unit)
 
-def tfidf_cosine(pairs: DataFrame, keys: list[str], one: Column, two: Column, name: str = "tfidf") -> DataFrame:
-    """keys and the cosine of raw-count vectors weighted by smooth idf over the two texts of the pair.
+        sums = F.struct(_total(rows, lambda r: r["a"]).alias("a"), _total(rows, lambda r: r["b"]).alias("b"), (F.size(rows) * F.lit(SMOOTHING)).alias("v"))
+        return bound(sums, of)
 
-    Terms of one side weigh 1 + ln 1.5, shared ones 1. A side without terms gives 0; pairs without any term no row.
+    return bound(both_counts(one, two), found)
+
+
+def cosine(one: Column, two: Column) -> Column:
+    """Cosine of raw-count vectors (maps) weighted by smooth idf over the two texts of the pair.
+
+    Terms of one side weigh 1 + ln 1.5, shared ones 1. One side without terms gives 0; none at all null.
     """
-    counts = _sides(pairs, keys, one, two)
-    idf = F.when((F.col("a") > 0) & (F.col("b") > 0), 1.0).otherwise(1 + F.log(F.lit(1.5)))
-    wa, wb = F.col("a") * idf, F.col("b") * idf
-    sums = counts.groupBy(*keys).agg(F.sum(wa * wb).alias("dot"), F.sum(wa * wa).alias("aa"), F.sum(wb * wb).alias("bb"))
-    return sums.select(*keys, F.coalesce(F.try_divide("dot", F.sqrt("aa") * F.sqrt("bb")), F.lit(0.0)).alias(name))
-
-
-def lexical_columns(responses: DataFrame, text: str = "response", window: int = 25) -> DataFrame:
-    """What the pair measures need of each text: words (mattr), terms, grams2 and grams3."""
-    stripped = F.trim(F.coalesce(F.col(text), F.lit("")))
-    return responses.select(
-        "*", mattr(words(stripped), window).alias("mattr"), words(stripped, TERM).alias("terms"), phrase_list(stripped, 2).alias("grams2"), phrase_list(stripped, 3).alias("grams3")
-    )
 
+    def found(rows: Column) -> Column:
+        weigh = lambda r: F.when((r["a"] > 0) & (r["b"] > 0), 1.0).otherwise(1 + F.log(F.lit(1.5)))
+        square = lambda c: F.sqrt(_total(rows, lambda r: (r[c] * weigh(r)) * (r[c] * weigh(r))))
+        dot = _total(rows, lambda r: r["a"] * r["b"])
+        return F.when(F.size(rows) > 0, F.coalesce(F.try_divide(dot, square("a") * square("b")), F.lit(0.0)))
 
-def lexical_similarity(pairs: DataFrame, keys: list[str], size: int = 99, threshold: float = 0.72) -> DataFrame:
+    return bound(both_counts(one, two), found)
+
+
+def overlap_f1(one: Column, two: Column) -> Column:
+    """F1 of greedy matching where tokens are alike only if equal: the shares of either side's tokens (maps of counts)
+    that the other side has too. 0 if a side is empty."""
+
+    def found(rows: Column) -> Column:
+        share = lambda c, o: F.coalesce(F.try_divide(_total(rows, lambda r: F.when(r[o] > 0, r[c]).otherwise(0.0)), _total(rows, lambda r: r[c])), F.lit(0.0))
+        return bound(F.struct(share("a", "b").alias("p"), share("b", "a").alias("r")), lambda s: F.coalesce(F.try_divide(2 * s["p"] * s["r"], s["p"] + s["r"]), F.lit(0.0)))
+
+    return bound(both_counts(one, two), found)
+
+
+def lexical_columns(responses: DataFrame, keys: list[str], text: str = "response", window: int = 25) -> DataFrame:
+    """What the pair measures need of each text: its diversity (mattr), and counts (maps) of terms, grams2, grams3."""
+    clean = stripped(F.coalesce(F.col(text), F.lit("")))
+    counts = counted(responses, keys, terms=words(clean, TERM), grams2=phrase_list(clean, 2), grams3=phrase_list(clean, 3))
+    return counts.withColumn("mattr", mattr(words(clean), window))
+
+
+def lexical_similarity(pairs: DataFrame, keys: list[str], size: int = 99) -> DataFrame:
     """keys, mattr_sim, tfidf, phrase_sim, lex from pairs that carry ``lexical_columns`` with suffixes _1 and _2.
 
     lex = 0.8 * mean(diversity similarity, tfidf) + 0.2 * mean(1 - divergence of 2- and 3-grams). From a text size of
@@ -78,16 +111,11 @@ def lexical_similarity(pairs: DataFrame, keys: list[str], size: int = 99, thresh
         diversity = ratio_similarity(F.col("mtld_1"), F.col("mtld_2"))
     else:
         diversity = 1 - F.abs(F.col("mattr_1") - F.col("mattr_2"))
-    base = pairs.select(*keys, diversity.alias("mattr_sim"))
-    for part in (
-        tfidf_cosine(pairs, keys, F.col("terms_1"), F.col("terms_2")),
-        phrase_divergence(pairs, keys, F.col("grams2_1"), F.col("grams2_2"), "jsd2"),
-        phrase_divergence(pairs, keys, F.col("grams3_1"), F.col("grams3_2"), "jsd3"),
-    ):
-        base = base.join(part, keys, "left")
-    phrase = (2 - F.coalesce("jsd2", F.lit(1.0)) - F.coalesce("jsd3", F.lit(1.0))) / 2
-    tfidf = F.coalesce("tfidf", F.lit(0.0))
-    return base.select(*keys, "mattr_sim", tfidf.alias("tfidf"), phrase.alias("phrase_sim"), (0.8 * (F.col("mattr_sim") + tfidf) / 2 + 0.2 * phrase).alias("lex"))
+    apart = lambda n: F.coalesce(divergence(F.col(f"{n}_1"), F.col(f"{n}_2")), F.lit(1.0))
+    parts = pairs.select(
+        *keys, diversity.alias("mattr_sim"), F.coalesce(cosine(F.col("terms_1"), F.col("terms_2")), F.lit(0.0)).alias("tfidf"), ((2 - apart("grams2") - apart("grams3")) / 2).alias("phrase_sim")
+    )
+    return parts.withColumn("lex", 0.8 * (F.col("mattr_sim") + F.col("tfidf")) / 2 + 0.2 * F.col("phrase_sim"))
 
 
 def with_mtld(responses: DataFrame, text: str = "response") -> DataFrame:

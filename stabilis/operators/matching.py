@@ -109,25 +109,58 @@ def positions(matches: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFram
 
 
 def continuity(matches: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, sequence: share of neighbouring units whose matches are neighbours too, averaged over both directions.
+    """keys, sequence: share of neighbouring matched units whose matches are neighbours too, averaged over both
+    directions; sizes has keys, n_a, n_b.
 
-    A side with one unit has no neighbours and scores 1.
+    Only neighbours that both have matches are compared; a side without such neighbours scores 0, a side of one unit
+    1, and a pair without matches 0.
     """
 
-    def one_way(a: str, b: str, n: str) -> DataFrame:
+    def one_way(a: str, b: str) -> DataFrame:
         targets = matches.groupBy(*keys, a).agg(F.collect_set(b).alias("t"))
         following = targets.select(*keys, (F.col(a) - 1).alias(a), F.col("t").alias("t2"))
-        kept = targets.join(following, [*keys, a]).withColumn("hit", F.size(F.array_intersect(F.transform("t", lambda x: x + 1), F.col("t2"))) > 0)
-        hits = kept.groupBy(*keys).agg(F.count_if("hit").alias("hits"))
-        return sizes.join(hits, keys, "left").select(*keys, F.when(F.col(n) < 2, 1.0).otherwise(F.coalesce("hits", F.lit(0)) / (F.col(n) - 1)).alias(f"c_{a}"))
+        hit = F.arrays_overlap(F.transform("t", lambda x: x + 1), F.col("t2"))
+        return targets.join(following, [*keys, a]).groupBy(*keys).agg(F.avg(hit.cast("int")).alias(f"c_{a}"))
 
-    return one_way("i", "j", "n_a").join(one_way("j", "i", "n_b"), keys).select(*keys, ((F.col("c_i") + F.col("c_j")) / 2).alias("sequence"))
+    side = lambda a, n: F.when(F.col(n) < 2, 1.0).otherwise(F.coalesce(f"c_{a}", F.lit(0.0)))
+    matched = matches.select(*keys).distinct().withColumn("any", F.lit(True))
+    rows = sizes.join(matched, keys, "left").join(one_way("i", "j"), keys, "left").join(one_way("j", "i"), keys, "left")
+    return rows.select(*keys, F.when(F.col("any"), (side("i", "n_a") + side("j", "n_b")) / 2).otherwise(0.0).alias("sequence"))
 
 
 def hard_organization(tau: Column, position: Column, sequence: Column) -> Column:
     return 0.34 * tau + 0.33 * position + 0.33 * sequence
 
 
+def organization_of_matches(matches: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tau, position, sequence, org of every pair in ``sizes``: order measures over matches; all 0 without any."""
+    rows = sizes.select(*keys)
+    for part in (kendall(matches, keys), positions(matches, sizes, keys), continuity(matches, sizes, keys)):
+        rows = rows.join(part, keys, "left")
+    parts = [F.coalesce(c, F.lit(0.0)) for c in ("tau", "position", "sequence")]
+    return rows.select(*keys, *[p.alias(c) for p, c in zip(parts, ("tau", "position", "sequence"))], hard_organization(*parts).alias("org"))
+
+
+def mean_over_matches(matches: DataFrame, units: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """keys, mean: mean score of a pair's matches, 0 for pairs (rows of ``units``) without a match."""
+    found = matches.groupBy(*keys).agg(F.avg(score).alias("mean"))
+    return units.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
+def ordered(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Matches of each pair by first unit, falling score, second unit; sorted inside partitions dealt by pair."""
+    return matches.repartition(*keys).sortWithinPartitions(*keys, "i", F.desc("score"), "j")
+
+
+def scored(cells: DataFrame, metric: str) -> DataFrame:
+    """Matrix cells with one of ``precision``, ``recall``, ``f1`` as score; a value that is not finite is an error."""
+    if metric not in ("precision", "recall", "f1"):
+        raise ValueError("metric must be precision, recall or f1")
+    value = F.col(metric)
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    return cells.withColumn("score", F.when(bad, F.raise_error(F.lit("score is not finite")).cast("double")).otherwise(value))
+
+
 def blended(bert: Column, tfidf: Column, position: Column | None = None, weight: float = 0.0) -> Column:
     """Mean of two scores, optionally mixed with the closeness of positions."""
     if not 0 <= weight <= 1:

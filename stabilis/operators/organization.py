@@ -24,33 +24,33 @@ def sliding(sents: Column, window: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(at(i), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def sentence_matrix(pairs: DataFrame, keys: list[str], one: Column, two: Column) -> DataFrame:
+def sentence_terms(responses: DataFrame, keys: list[str], sents: Column) -> DataFrame:
+    """keys, pos, term, tf: terms of each sentence (array ``sents``), counted once per text."""
+    rows = responses.select(*keys, F.posexplode(sents).alias("pos", "s"))
+    return rows.select(*keys, "pos", F.explode(words(F.col("s"), TERM)).alias("term")).groupBy(*keys, "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def sentence_matrix(pairs: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """keys, i, j, score: TF-IDF cosine of every sentence of one side with every one of the other.
 
-    ``one`` and ``two`` are sentence arrays. Inverse document frequencies are smooth and come from all sentences of
-    both sides. Cells without a shared term are 0. Only the cells' own pair is crossed.
+    ``pairs`` has keys, one and two (what tells the texts apart), n_1 and n_2 (their numbers of sentences); ``terms``
+    has text, pos, term and tf, counted before. Inverse document frequencies are smooth and come from all sentences
+    of both sides. Cells without a shared term are 0. Only the cells' own pair is crossed: rows are dealt by pair
+    once, for the frequencies, the norms and the products.
     """
-    both = pairs.select(
-        *keys,
-        F.explode(
-            F.concat(
-                F.transform(one, lambda s, p: F.struct(F.lit(1).alias("side"), p.alias("pos"), s.alias("s"))),
-                F.transform(two, lambda s, p: F.struct(F.lit(2).alias("side"), p.alias("pos"), s.alias("s"))),
-            )
-        ).alias("x"),
-    ).select(*keys, "x.side", "x.pos", "x.s")
-    size = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"))
-    tf = both.select(*keys, "side", "pos", F.explode(words(F.col("s"), TERM)).alias("term")).groupBy(*keys, "side", "pos", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = tf.join(df, [*keys, "term"]).join(size, keys).withColumn("w", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
-    norms = weighed.groupBy(*keys, "side", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighed.join(norms, [*keys, "side", "pos"]).select(*keys, "side", "pos", "term", (F.col("w") / F.col("norm")).alias("w"))
-    a = unit.filter("side = 1").select(*keys, F.col("pos").alias("i"), "term", F.col("w").alias("wa"))
-    b = unit.filter("side = 2").select(*keys, F.col("pos").alias("j"), "term", F.col("w").alias("wb"))
-    cells = a.join(b, [*keys, "term"]).groupBy(*keys, "i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
-    grid = pairs.select(*keys, F.size(two).alias("m"), F.explode(F.sequence(F.lit(0), F.size(one) - 1)).alias("i")).filter("m > 0")
-    grid = grid.select(*keys, "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-    return grid.join(cells, [*keys, "i", "j"], "left").select(*keys, "i", "j", F.coalesce("score", F.lit(0.0)).alias("score"))
+    sides = pairs.select(*keys, "n_1", "n_2", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("one").alias("text")), F.struct(F.lit(2).alias("side"), F.col("two").alias("text")))).alias("x"))
+    rows = sides.select(*keys, (F.col("n_1") + F.col("n_2")).alias("docs"), "x.side", "x.text").join(terms, "text").drop("text").repartition(*keys)
+    rows = rows.withColumn("df", F.count(F.lit(1)).over(W.partitionBy(*keys, "term")))
+    rows = rows.withColumn("w", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
+    rows = rows.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*keys, "side", "pos"))))
+    cell = lambda n: F.collect_list(F.when(F.col("side") == n, F.struct("pos", "w"))).alias(f"s{n}")
+    shared = rows.groupBy(*keys, "term").agg(cell(1), cell(2)).filter((F.size("s1") > 0) & (F.size("s2") > 0))
+    products = shared.select(*keys, F.explode("s1").alias("a"), "s2").select(*keys, "a", F.explode("s2").alias("b")).select(
+        *keys, F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), (F.col("a.w") * F.col("b.w")).alias("score")
+    )
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    grid = pairs.filter("n_1 > 0 AND n_2 > 0").select(*keys, F.explode(upto("n_1")).alias("i"), "n_2").select(*keys, "i", F.explode(upto("n_2")).alias("j"), F.lit(0.0).alias("score"))
+    return grid.unionByName(products).groupBy(*keys, "i", "j").agg(F.sum("score").alias("score"))
 
 
 def _one_way(cells: DataFrame, keys: list[str], row: str, col: str, temperature: float) -> DataFrame:
@@ -82,8 +82,9 @@ def soft_organization(cells: DataFrame, keys: list[str], temperature: float = 0.
     """
     if not temperature > 0:
         raise ValueError("temperature must be positive")
-    both = _one_way(cells, keys, "i", "j", temperature).unionAll(_one_way(cells, keys, "j", "i", temperature))
-    return both.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("side"))).alias("org"))
+    dealt = cells.repartition(*keys)  # all windows and sums below are of one pair
+    one, two = _one_way(dealt, keys, "i", "j", temperature), _one_way(dealt, keys, "j", "i", temperature).withColumnRenamed("side", "other")
+    return one.join(two, keys).select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("side") + F.col("other")) / 2)).alias("org"))
 
 
 def cosine_affine(a: Column, b: Column) -> Column:

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from stabilis.sources.tables import KEYS
 
 
-def responses_from_turns(turns: DataFrame, k: int = 3) -> DataFrame:
-    """Responses from conversation turns: user turns answer prompt A, assistant turns B; conversations with k of each.
+RESPONSE = ["essay_file", "prompt", "response_index"]
 
-    Ties of turn numbers are ordered by text.
+
+def responses_from_turns(turns: DataFrame, k: int | None = None) -> DataFrame:
+    """Responses from conversation turns: user turns answer prompt A, assistant turns B, numbered in order.
+
+    All turns of all conversations count, unless ``k`` asks for the balanced design: the first k of each prompt, of
+    conversations that have so many. Ties of turn numbers are ordered by text.
     """
     rows = turns.filter(F.col("role").isin("user", "assistant")).select(
         F.col("conv_id").cast("string").alias("essay_file"),
@@ -20,11 +24,29 @@ def responses_from_turns(turns: DataFrame, k: int = 3) -> DataFrame:
         F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn", "text")).alias("response_index"),
         F.col("text").alias("response"),
     )
+    if k is None:
+        return rows
     kept = rows.filter(F.col("response_index") <= k)
     full = kept.groupBy("essay_file").count().filter(F.col("count") == 2 * k).select("essay_file")
     return kept.join(full, "essay_file", "left_semi")
 
 
+def packed(pairs: DataFrame) -> DataFrame:
+    """The pairs with one number ``pair`` instead of prompts and indices: unique inside an essay, see ``unpacked``."""
+    bit = lambda c: (F.col(c) == "B").cast("long")
+    number = ((bit("prompt_1") * 2 + bit("prompt_2")) * (1 << 60)) + F.col("response_index_1").cast("long") * (1 << 30) + F.col("response_index_2")
+    rest = [c for c in pairs.columns if c not in KEYS]
+    return pairs.select("essay_file", number.alias("pair"), *rest)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """Rows of ``packed`` pairs with their five keys again."""
+    part = lambda shift, bits: F.shiftright("pair", shift).bitwiseAND(F.lit((1 << bits) - 1))
+    letter = lambda at: F.when(part(at, 1) == 1, "B").otherwise("A")
+    keys = [letter(61).alias("prompt_1"), part(30, 30).cast("int").alias("response_index_1"), letter(60).alias("prompt_2"), part(0, 30).cast("int").alias("response_index_2")]
+    return rows.select("essay_file", *keys, *[c for c in rows.columns if c not in ("essay_file", "pair")])
+
+
 def canonical_pairs(responses: DataFrame, *carry: str) -> DataFrame:
     """Keys and comparison type of AA and BB (i <= j, self pairs included) and AB (all); ``carry`` columns of both
     sides follow with suffixes _1 and _2. One equi-join on the essay."""

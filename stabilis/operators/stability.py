@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,70 +75,154 @@ def prompt_shift(vectors: DataFrame) -> DataFrame:
 
 
 def overall_shift(shifts: DataFrame) -> DataFrame:
-    """Number of essays, mean magnitude and mean shift (mean of magnitudes, not magnitude of the mean)."""
-    return shifts.agg(F.count(F.lit(1)).alias("essay_count"), F.avg("magnitude").alias("magnitude"), *[F.avg(f"delta_{c}").alias(f"delta_{c}") for c in COMPONENTS])
+    """Number of essays, mean magnitude and mean shift (mean of magnitudes, not magnitude of the mean). Essays without a
+    shift (a prompt with one response) do not count."""
+    return shifts.agg(F.count("magnitude").alias("essay_count"), F.avg("magnitude").alias("magnitude"), *[F.avg(f"delta_{c}").alias(f"delta_{c}") for c in COMPONENTS])
+
 
+DELTAS = ["magnitude", *[f"delta_{c}" for c in COMPONENTS]]
+#: Attempts at a sample with two different responses before it counts as impossible.
+ATTEMPTS = 40
 
-def draws(vectors: DataFrame, replicates: int, seed: int, attempts: int = 40) -> DataFrame:
-    """essay_file, prompt, replicate, slot, id: seeded samples of responses with replacement.
+
+def drawn(seed: int, essay: str, prompt: str, k: int, replicates: int, attempts: int = ATTEMPTS) -> np.ndarray:
+    """Seeded samples of k responses with replacement, a row per replicate, ids from 1.
 
     Draws are hashes of (seed, essay, prompt, replicate, attempt, slot). The first attempt with two different ids
-    counts; only the samples that failed so far are drawn again, and it raises if some fail every time.
+    counts; it raises if a sample fails every time.
     """
-    groups = vectors.groupBy("essay_file").agg(F.max("response_count").alias("k"))
-    base = groups.select("essay_file", "k", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("prompt"))
-    base = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    base = base.repartition("essay_file", "prompt", "replicate")
+    out = np.empty((replicates, k), np.int64)
+    for r in range(replicates):
+        for attempt in range(attempts):
+            head = f"{seed}|{essay}|{prompt}|{r + 1}|{attempt}|"
+            ids = [int(hashlib.md5(f"{head}{slot}".encode()).hexdigest()[:8], 16) % k + 1 for slot in range(1, k + 1)]
+            if min(ids) < max(ids):
+                break
+        else:
+            raise ValueError("a bootstrap sample kept a single response")
+        out[r] = ids
+    return out
+
+
+def counted(ids: np.ndarray, k: int) -> np.ndarray:
+    """How often each id (column) occurs in each sample (row)."""
+    rows = np.arange(len(ids))[:, None] * (k + 1) + ids
+    return np.bincount(rows.ravel(), minlength=len(ids) * (k + 1)).reshape(len(ids), k + 1).astype(float)
+
+
+def weighted_means(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Per sample: mean distance to its centroid and the centroid, of pairs (i, j) that weigh the product of the
+    counts of both ids: as often as pairs of slots show them."""
+    weight = first[:, i] * second[:, j]
+    total = weight.sum(1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        centre = weight @ scores / total
+        distance = np.sqrt(((scores[None] - centre[:, None]) ** 2).sum(2))
+        return np.concatenate([(weight * distance).sum(1, keepdims=True) / total, centre], 1)
+
+
+#: Samples whose distances are held at a time.
+_SLICE = 1_000
+
+
+def _resampled(rows, essay: str, replicates: int, seed: int) -> dict[str, np.ndarray]:
+    """Mean distance and centroid of every replicate by comparison type. A prompt with a single response has none."""
+    kinds: dict[str, list] = {"AA": [], "BB": [], "AB": []}
+    size = {"A": 0, "B": 0}
+    for kind, i, j, *scores in rows:
+        if kind not in kinds:
+            continue
+        if kind != "AB":
+            size[kind[0]] = max(size[kind[0]], i, j)
+        if kind == "AB" or i != j:
+            kinds[kind].append((i, j, *scores))
+    counts = {p: counted(drawn(seed, essay, p, k, replicates), k) for p, k in size.items() if k > 1}
+    out = {}
+    for kind, pairs in kinds.items():
+        if pairs and kind[0] in counts and kind[1] in counts:
+            table = np.array(pairs, float)
+            i, j = table[:, 0].astype(int), table[:, 1].astype(int)
+            out[kind] = np.concatenate(
+                [weighted_means(counts[kind[0]][r : r + _SLICE], counts[kind[1]][r : r + _SLICE], i, j, table[:, 2:]) for r in range(0, replicates, _SLICE)]
+            )
+    return out
+
+
+def _replicated(vectors: DataFrame, replicates: int, seed: int, groups: str, names: list[str], rows_of) -> DataFrame:
+    """One row per essay meets its own samples; an essay has some K * K pairs, however many essays there are."""
+    if replicates < 1 or seed < 0:
+        raise ValueError("replicates must be at least 1 and seed at least 0")
+    essays = vectors.groupBy("essay_file").agg(F.collect_list(F.struct("comparison_type", "response_index_1", "response_index_2", *COMPONENTS)).alias("pairs"))
+
+    def run(batches):
+        for batch in batches:
+            for essay, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list(rows_of(essay, _resampled([tuple(p.values()) for p in pairs], essay, replicates, seed)))
+                if found:
+                    columns = [pa.array([f[n] for f in found]) for n in range(len(found[0]) - 1)]
+                    values = [pa.array([f[-1][:, n] for f in found], pa.list_(pa.float64())) for n in range(len(names))]
+                    yield pa.record_batch(columns + values, names=[*[g.split()[0] for g in groups.split(", ")], *names])
+
+    return essays.mapInArrow(run, f"{groups}, " + ", ".join(f"{n} array<double>" for n in names))
+
+
+def within_replicates(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """essay_file, prompt and per metric the array of its values in every replicate of the resampled responses."""
+
+    def rows(essay, found):
+        for kind in ("AA", "BB"):
+            if kind in found:
+                yield essay, kind[0], found[kind]
+
+    return _replicated(vectors, replicates, seed, "essay_file string, prompt string", METRICS, rows)
+
+
+def shift_replicates(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """essay_file and, for the magnitude and shift of the prompt contrast, the array of its values in every replicate."""
+
+    def rows(essay, found):
+        if len(found) == 3:
+            delta = found["AB"][:, 1:] - (found["AA"][:, 1:] + found["BB"][:, 1:]) / 2
+            yield essay, np.concatenate([np.sqrt((delta**2).sum(1, keepdims=True)), delta], 1)
+
+    return _replicated(vectors, replicates, seed, "essay_file string", DELTAS, rows)
+
+
+def replicate_rows(replicated: DataFrame, groups: list[str], metrics: list[str]) -> DataFrame:
+    """groups, replicate and metrics: a row per replicate."""
+    rows = replicated.select(*groups, F.posexplode(F.arrays_zip(*metrics)).alias("pos", "x"))
+    return rows.select(*groups, (F.col("pos") + 1).alias("replicate"), *[F.col(f"x.{m}").alias(m) for m in metrics])
+
 
-    def sample(attempt: Column) -> Column:
-        def one(slot):
-            digest = F.md5(F.concat_ws("|", F.lit(seed), "essay_file", "prompt", "replicate", attempt, slot).cast("binary"))
-            return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("k") + 1).cast("int")
+def bootstrap_within(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """essay_file, prompt, replicate, mean_distance and component means of the resampled within-prompt pairs."""
+    return replicate_rows(within_replicates(vectors, replicates, seed), ["essay_file", "prompt"], METRICS)
 
-        return F.transform(F.sequence(F.lit(1), F.col("k")), one)
 
-    tried = F.filter(F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), sample), lambda s: F.size(F.array_distinct(s)) > 1)
-    # most samples succeed at once; the list of attempts is made for the others only
-    once = sample(F.lit(0))
-    ids = F.when(F.size(F.array_distinct(once)) > 1, once).otherwise(F.coalesce(F.get(tried, F.lit(0)), F.raise_error(F.lit("a bootstrap sample kept a single response")).cast("array<int>")))
-    return base.withColumn("ids", ids).select("essay_file", "prompt", "replicate", F.posexplode("ids").alias("slot", "id"))
+def bootstrap_shift(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """essay_file, replicate, magnitude and shift of the resampled prompt contrast."""
+    return replicate_rows(shift_replicates(vectors, replicates, seed), ["essay_file"], DELTAS)
 
 
-def bootstrap_within(vectors: DataFrame, samples: DataFrame) -> DataFrame:
-    """essay_file, prompt, replicate, mean_distance and component means of the resampled within-prompt pairs.
+def replicate_intervals(replicated: DataFrame, groups: list[str], metrics: list[str], directional=(), confidence: float = 0.95) -> DataFrame:
+    """``intervals`` of arrays of replicates; every group's values are in its own row, so nothing is shuffled."""
+    if not 0 < confidence < 1:
+        raise ValueError("confidence must be between 0 and 1")
 
-    Pairs of slots with different ids count as often as they occur, so ids are first counted: a pair weighs the
-    product of its two counts.
-    """
-    counts = samples.groupBy("essay_file", "prompt", "replicate", "id").agg(F.count(F.lit(1)).alias("m"))
-    pairs = without_self(vectors.filter(F.col("comparison_type").isin("AA", "BB"))).withColumnRenamed("prompt_1", "prompt")
-    one = counts.select("essay_file", "prompt", "replicate", F.col("id").alias("response_index_1"), F.col("m").alias("m1"))
-    two = counts.select("essay_file", "prompt", "replicate", F.col("id").alias("response_index_2"), F.col("m").alias("m2"))
-    picked = pairs.join(one, ["essay_file", "prompt", "response_index_1"]).join(two, ["essay_file", "prompt", "replicate", "response_index_2"]).withColumn("w", F.col("m1") * F.col("m2"))
-    group = ["essay_file", "prompt", "replicate"]
-    over = W.partitionBy(*group)
-    centre = {c: F.sum(F.col(c) * F.col("w")).over(over) / F.sum("w").over(over) for c in COMPONENTS}
-    placed = picked.withColumn("distance", norm([F.col(c) - centre[c] for c in COMPONENTS]))
-    mean = lambda c: F.sum(F.col(c) * F.col("w")) / F.sum("w")
-    return placed.groupBy(*group).agg(mean("distance").alias("mean_distance"), *[mean(c).alias(f"{c}_mean") for c in COMPONENTS])
-
-
-def bootstrap_shift(vectors: DataFrame, samples: DataFrame) -> DataFrame:
-    """essay_file, replicate, magnitude and shift of the resampled prompt contrast."""
-    counts = samples.groupBy("essay_file", "prompt", "replicate", "id").agg(F.count(F.lit(1)).alias("m"))
-    cross = vectors.filter(F.col("comparison_type") == "AB")
-    a = counts.filter("prompt = 'A'").select("essay_file", "replicate", F.col("id").alias("response_index_1"), F.col("m").alias("m1"))
-    b = counts.filter("prompt = 'B'").select("essay_file", "replicate", F.col("id").alias("response_index_2"), F.col("m").alias("m2"))
-    w = F.col("m1") * F.col("m2")
-    ab = cross.join(a, ["essay_file", "response_index_1"]).join(b, ["essay_file", "replicate", "response_index_2"]).groupBy("essay_file", "replicate").agg(
-        *[(F.sum(F.col(c) * w) / F.sum(w)).alias(f"ab_{c}") for c in COMPONENTS]
-    )
-    inner = bootstrap_within(vectors, samples)
-    sides = inner.groupBy("essay_file", "replicate").agg(
-        *[F.max(F.when(F.col("prompt") == p, F.col(f"{c}_mean"))).alias(f"{p.lower() * 2}_{c}") for p in "AB" for c in COMPONENTS]
-    )
-    out = _contrast(ab.join(sides, ["essay_file", "replicate"]), ["essay_file", "replicate"], lambda t, c: F.col(f"{t.lower()}_{c}"))
-    return out.select("essay_file", "replicate", "magnitude", *[f"delta_{c}" for c in COMPONENTS])
+    def quantile(values: Column, q: float) -> Column:
+        place = (F.size(values) - 1) * F.lit(q)
+        low = F.floor(place).cast("int")
+        a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+        return a + (b - a) * (place - low)
+
+    def interval(m: str) -> Column:
+        share = F.size(F.filter(m, lambda x: x >= 0)) / F.size(m) if m in directional else F.lit(None).cast("double")
+        tail = (1 - confidence) / 2
+        return F.struct(F.lit(m).alias("metric"), F.array_sort(m).alias("v"), share.alias("directional"), F.lit(tail).alias("tail"))
+
+    rows = replicated.select(*groups, F.explode(F.array(*[interval(m) for m in metrics])).alias("x")).select(*groups, "x.*")
+    tail = (1 - confidence) / 2
+    return rows.select(*groups, "metric", quantile(F.col("v"), tail).alias("low"), quantile(F.col("v"), 1 - tail).alias("high"), "directional")
 
 
 def bootstrap_overall(shifts: DataFrame) -> DataFrame:
@@ -156,9 +243,11 @@ def hotelling(shifts: DataFrame) -> DataFrame:
     """status, essays, t2, f, df1, df2, p of the one-sample test that the mean shift is zero; one row.
 
     Means, covariances and the largest magnitudes come from one aggregate; the driver solves a 4 x 4 system.
-    Unavailable with four essays or fewer, a rank under four or a condition number over 1e12.
+    Unavailable with four essays or fewer, a rank under four or a condition number over 1e12. Essays without a shift
+    do not count.
     """
     names = [f"delta_{c}" for c in COMPONENTS]
+    shifts = shifts.dropna(subset=names)
     p = len(names)
     row = shifts.agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"m{i}") for i, a in enumerate(names)],

@@ -116,8 +116,38 @@ def multiset_jaccard(left: DataFrame, right: DataFrame, keys: list[str], item: s
     return both.groupBy(*keys).agg(F.sum(F.least("a", "b")).alias("low"), F.sum(F.greatest("a", "b")).alias("high")).select(*keys, (F.col("low") / F.col("high")).alias("jaccard"))
 
 
+def map_jaccard(one: Column, two: Column) -> Column:
+    """Multiset Jaccard of two maps of counts (bigint); null if both are empty."""
+    zero = F.lit(0).cast("bigint")
+    low = F.map_values(F.map_zip_with(one, two, lambda _, a, b: F.least(F.coalesce(a, zero), F.coalesce(b, zero))))
+    high = F.map_values(F.map_zip_with(one, two, lambda _, a, b: F.greatest(F.coalesce(a, zero), F.coalesce(b, zero))))
+    total = lambda x: F.aggregate(x, zero, lambda s, v: s + v)
+    return F.try_divide(total(low), total(high))
+
+
 def patterns(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pattern (head tag, relation, tag) of tokens whose head is in the same clause; no punctuation."""
     kept = tokens.filter(F.col("upos") != "PUNCT")
     heads = kept.select(*keys, F.col("token_id").alias("head_token_id"), F.col("upos").alias("head_upos"))
     return kept.join(heads, [*keys, "head_token_id"]).select(*keys, F.concat_ws("|", "head_upos", "dependency_relation", "upos").alias("pattern"))
+
+
+def matched_patterns(matches: DataFrame, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Per match (keys, i, j): structurality (multiset Jaccard of patterns, 0 without any), the number of patterns and
+    of pattern types of either side, and of types they share.
+
+    ``left`` and ``right`` hold keys, pos and pattern (see ``patterns``). Patterns are counted per unit before they
+    meet a match, so a unit with several matches is counted once.
+    """
+    count = lambda d, side, n: d.groupBy(*keys, F.col("pos").alias(side), "pattern").agg(F.count(F.lit(1)).alias(n))
+    pairs = matches.select(*keys, "i", "j").distinct()
+    a = pairs.join(count(left, "i", "a"), [*keys, "i"]).withColumn("b", F.lit(0).cast("long"))
+    b = pairs.join(count(right, "j", "b"), [*keys, "j"]).withColumn("a", F.lit(0).cast("long"))
+    both = a.unionByName(b).groupBy(*keys, "i", "j", "pattern").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = both.groupBy(*keys, "i", "j").agg(
+        F.sum(F.least("a", "b")).alias("low"), F.sum(F.greatest("a", "b")).alias("high"), F.sum("a").alias("n_patterns_a"), F.sum("b").alias("n_patterns_b"),
+        F.count_if(F.col("a") > 0).alias("n_pattern_types_a"), F.count_if(F.col("b") > 0).alias("n_pattern_types_b"), F.count_if(F.least("a", "b") > 0).alias("n_shared_pattern_types"),
+    )
+    counts = ["n_patterns_a", "n_patterns_b", "n_pattern_types_a", "n_pattern_types_b", "n_shared_pattern_types"]
+    rows = pairs.join(sums, [*keys, "i", "j"], "left")
+    return rows.select(*keys, "i", "j", F.coalesce(F.try_divide("low", "high"), F.lit(0.0)).alias("structurality"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts])

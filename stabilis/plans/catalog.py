@@ -1,7 +1,8 @@
 """Named queries over the driver's tables and the SQL each one is checked against.
 
 Doubles are rounded to six places on both sides. Stand-ins, where no model is at hand: dependency tokens are drawn from
-hashes of words (not a linguistic parse), and the vectors of the statistical queries from hashes of pair keys.
+hashes of words (not a linguistic parse), a response's embedding is a row of ``embeddings`` that a hash of it picks, and
+the contextual score counts equal words.
 """
 
 from __future__ import annotations
@@ -12,16 +13,22 @@ from pyspark.sql import functions as F
 from stabilis.functions import text as T
 from stabilis.operators import clauses, lexis, matching, organization, pairs, stability, structure, validation
 from stabilis.plans import oracle
-from stabilis.plans.checkpoint import checkpointed
+from stabilis.plans.checkpoint import stored
 from stabilis.plans.tokens import synthetic_tokens
 from stabilis.sources import tables
 from stabilis.sources.tables import COMPONENTS, KEYS
 
+#: Responses of each prompt in the balanced design, replicates and seed of the bootstrap.
 K, REPLICATES, SEED = 3, 5_000, 11
+#: What tells packed pairs apart.
+PAIR = ["essay_file", "pair"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that its file deals to fewer tasks than there are cores is dealt anew (a large one is not)."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    few = name in ("documents", "conversations") and rows.rdd.getNumPartitions() < cores
+    return rows.repartition(cores) if few else rows
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -29,11 +36,17 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def responses(spark, sf_dir):
+    """All turns of all conversations."""
+    return pairs.responses_from_turns(_table(spark, sf_dir, "conversations"))
+
+
+def balanced_responses(spark, sf_dir):
+    """The balanced design that validation asks for: K responses of each prompt."""
     return pairs.responses_from_turns(_table(spark, sf_dir, "conversations"), K)
 
 
-def _pairs(spark, sf_dir, *carry):
-    return pairs.canonical_pairs(responses(spark, sf_dir), *carry)
+def _pairs(spark, sf_dir, *carry, of=responses):
+    return pairs.canonical_pairs(of(spark, sf_dir), *carry)
 
 
 def canonical_pairs(spark, sf_dir):
@@ -50,7 +63,7 @@ def response_violations(spark, sf_dir):
 
 
 def _done(spark, sf_dir):
-    return _pairs(spark, sf_dir).filter("comparison_type = 'AA'")
+    return _pairs(spark, sf_dir, of=balanced_responses).filter("comparison_type = 'AA'")
 
 
 def pair_coverage_violations(spark, sf_dir):
@@ -58,7 +71,7 @@ def pair_coverage_violations(spark, sf_dir):
 
 
 def resume_missing_pairs(spark, sf_dir):
-    return pairs.missing_pairs(_pairs(spark, sf_dir), _done(spark, sf_dir)).select(*KEYS, "comparison_type")
+    return pairs.missing_pairs(_pairs(spark, sf_dir, of=balanced_responses), _done(spark, sf_dir)).select(*KEYS, "comparison_type")
 
 
 def mattr(spark, sf_dir):
@@ -76,18 +89,17 @@ def _ngrams(n):
 
 
 def _lexical_pairs(spark, sf_dir):
-    return pairs.canonical_pairs(lexis.lexical_columns(responses(spark, sf_dir)), "mattr", "terms", "grams2", "grams3")
+    return pairs.canonical_pairs(lexis.lexical_columns(responses(spark, sf_dir), pairs.RESPONSE), "mattr", "terms", "grams2", "grams3")
 
 
 def phraseology_jsd(spark, sf_dir):
-    p = _lexical_pairs(spark, sf_dir)
-    two, three = (lexis.phrase_divergence(p, KEYS, F.col(f"grams{n}_1"), F.col(f"grams{n}_2"), f"jsd{n}") for n in (2, 3))
-    return rounded(two.join(three, KEYS, "left"))
+    apart = lambda n: lexis.divergence(F.col(f"grams{n}_1"), F.col(f"grams{n}_2")).alias(f"jsd{n}")
+    return rounded(_lexical_pairs(spark, sf_dir).select(*KEYS, apart(2), apart(3)).filter("jsd2 IS NOT NULL"))
 
 
 def tfidf_cosine_pairs(spark, sf_dir):
-    p = _lexical_pairs(spark, sf_dir)
-    return rounded(lexis.tfidf_cosine(p, KEYS, F.col("terms_1"), F.col("terms_2")))
+    found = _lexical_pairs(spark, sf_dir).select(*KEYS, lexis.cosine(F.col("terms_1"), F.col("terms_2")).alias("tfidf"))
+    return rounded(found.filter("tfidf IS NOT NULL"))
 
 
 def lexical_similarity(spark, sf_dir):
@@ -100,17 +112,30 @@ def embedding_meaning(spark, sf_dir):
     return rounded(e.join(following, "vec_id").select("vec_id", organization.cosine_affine(F.col("embedding"), F.col("other")).alias("meaning")))
 
 
-def _matrix(spark, sf_dir):
-    rows = responses(spark, sf_dir).withColumn("s", T.sentences(F.col("response")))
-    return organization.sentence_matrix(pairs.canonical_pairs(rows, "s"), KEYS, F.col("s_1"), F.col("s_2"))
+def _matrix(spark, sf_dir, windows=None):
+    """Cells of every pair under (essay_file, pair); of windows of sentences, if a size is given."""
+    rows = responses(spark, sf_dir).withColumn("s", T.sentences(F.col("response"))).drop("response")
+    if windows:
+        rows = rows.withColumn("s", organization.sliding(F.col("s"), windows))
+    rows = rows.withColumn("text", F.struct(*pairs.RESPONSE)).withColumn("n", F.size("s"))
+    both = pairs.packed(pairs.canonical_pairs(rows.drop("s"), "text", "n")).withColumnsRenamed({"text_1": "one", "text_2": "two"})
+    return organization.sentence_matrix(both, organization.sentence_terms(rows, ["text"], F.col("s")), PAIR)
 
 
 def sentence_matrix_tfidf(spark, sf_dir):
-    return rounded(_matrix(spark, sf_dir))
+    return rounded(pairs.unpacked(_matrix(spark, sf_dir)))
+
+
+def sliding_matrix(spark, sf_dir):
+    return rounded(pairs.unpacked(_matrix(spark, sf_dir, 3)))
+
+
+def _organization(spark, sf_dir):
+    return organization.soft_organization(_matrix(spark, sf_dir), PAIR)
 
 
 def soft_organization(spark, sf_dir):
-    return rounded(organization.soft_organization(_matrix(spark, sf_dir), KEYS))
+    return rounded(pairs.unpacked(_organization(spark, sf_dir)))
 
 
 def _tokens(spark, sf_dir):
@@ -122,28 +147,54 @@ def structure_features(spark, sf_dir):
     return rounded(structure.features(_tokens(spark, sf_dir), "rid"))
 
 
-def structure_similarity(spark, sf_dir):
+def _structure(spark, sf_dir):
+    """Similarity of the features of both sides; a response without tokens has features 0."""
+    names = [*structure.RATES, *structure.TOTALS]
     found = structure.features(_tokens(spark, sf_dir), "rid")
     ids = responses(spark, sf_dir).withColumn("rid", F.concat_ws("/", "essay_file", "prompt", "response_index"))
-    names = [*structure.RATES, *structure.TOTALS]
-    both = pairs.canonical_pairs(ids.drop("response").join(found, "rid"), *names)
-    return rounded(structure.structure_similarity(both, KEYS))
+    return structure.structure_similarity(pairs.canonical_pairs(ids.drop("response").join(found, "rid", "left").na.fill(0.0, names), *names), KEYS)
+
+
+def structure_similarity(spark, sf_dir):
+    return rounded(_structure(spark, sf_dir))
 
 
 def multiset_jaccard(spark, sf_dir):
-    p = _pairs(spark, sf_dir, "response")
-    side = lambda n: p.select(*KEYS, F.explode(T.words(F.col(f"response_{n}"))).alias("word"))
-    return rounded(structure.multiset_jaccard(side(1), side(2), KEYS, "word"))
+    rows = lexis.counted(responses(spark, sf_dir), pairs.RESPONSE, w=T.words(F.col("response")))
+    both = pairs.canonical_pairs(rows, "w").select(*KEYS, structure.map_jaccard(F.col("w_1"), F.col("w_2")).alias("jaccard"))
+    return rounded(both.filter("jaccard IS NOT NULL"))
+
+
+def _meaning(spark, sf_dir):
+    """Meaning without a model at hand: the contextual half is greedy matching where only equal words are alike, and
+    the embedding of a response is the row of ``embeddings`` that a hash of its text picks."""
+    table = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = table.agg(F.count(F.lit(1)).alias("size"))
+    rows = lexis.counted(responses(spark, sf_dir), pairs.RESPONSE, w=T.words(F.col("response")))
+    picked = F.conv(F.substring(F.md5(F.coalesce(F.col("response"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % F.col("size")
+    rows = rows.crossJoin(F.broadcast(size)).withColumn("vec_id", picked).join(table, "vec_id", "left")
+    both = pairs.canonical_pairs(rows, "w", "embedding")
+    half = F.coalesce(organization.cosine_affine(F.col("embedding_1"), F.col("embedding_2")), F.lit(0.0))
+    return both.select(*KEYS, organization.meaning(lexis.overlap_f1(F.col("w_1"), F.col("w_2")), half).alias("meaning"))
+
+
+def olms_vectors(spark, sf_dir):
+    """The vector of every pair: organization, lexis, meaning and structure of its two texts, to twelve places."""
+    counts = responses(spark, sf_dir).groupBy("essay_file").agg(F.max("response_index").alias("response_count"))
+    rows = _pairs(spark, sf_dir).join(counts, "essay_file").select(*KEYS, "comparison_type", "response_count")
+    lex = lexis.lexical_similarity(_lexical_pairs(spark, sf_dir), KEYS).select(*KEYS, "lex")
+    for part in (pairs.unpacked(_organization(spark, sf_dir)), lex, _meaning(spark, sf_dir), _structure(spark, sf_dir).select(*KEYS, "struct")):
+        rows = rows.join(part, KEYS, "left")
+    return rows.select(*KEYS, "comparison_type", "response_count", *[F.round(F.coalesce(c, F.lit(0.0)), 12).alias(c) for c in COMPONENTS])
 
 
 def vectors(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    score = lambda c: F.conv(F.substring(F.md5(F.concat_ws("|", *KEYS, F.lit(c)).cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
-    return p.select(*KEYS, "comparison_type", F.lit(K).alias("response_count"), *[score(c).alias(c) for c in COMPONENTS])
+    """The vector table that statistics read: scored once, then stored."""
+    return stored(spark, "vectors", sf_dir, lambda: olms_vectors(spark, sf_dir))
 
 
 def vector_violations(spark, sf_dir):
-    bad = vectors(spark, sf_dir).withColumn("comparison_type", F.when(F.col("response_index_2") == K, "XX").otherwise(F.col("comparison_type")))
+    bad = vectors(spark, sf_dir).withColumn("response_count", F.lit(99)).withColumn("comparison_type", F.when(F.col("response_index_2") == K, "XX").otherwise(F.col("comparison_type")))
     return tables.vector_violations(bad)
 
 
@@ -151,61 +202,70 @@ def _of_vectors(f):
     return lambda spark, sf_dir: rounded(f(vectors(spark, sf_dir)))
 
 
-def _drawn(v):
-    """The vectors and their samples, each made once: a statistic reads both several times."""
-    kept = checkpointed(v)
-    return kept, checkpointed(stability.draws(kept, REPLICATES, SEED))
+def _bootstrap(f, *groups, metrics=stability.DELTAS, by=None):
+    """A query over replicates (arrays per group): rows, or what ``by`` makes of them."""
+    make = by or (lambda r: stability.replicate_rows(r, list(groups), metrics))
+    return lambda spark, sf_dir: rounded(make(f(vectors(spark, sf_dir), REPLICATES, SEED)))
+
 
+def _within_intervals(r):
+    return stability.replicate_intervals(r, ["essay_file", "prompt"], stability.METRICS)
 
-def _bootstrap(f):
-    return lambda spark, sf_dir: rounded(f(*_drawn(vectors(spark, sf_dir))))
 
+def _shift_intervals(r):
+    return stability.replicate_intervals(r, ["essay_file"], stability.DELTAS, stability.DELTAS[1:])
 
-DELTAS = ["magnitude", *[f"delta_{c}" for c in COMPONENTS]]
 
+def _overall(r):
+    return stability.bootstrap_overall(stability.replicate_rows(r, ["essay_file"], stability.DELTAS))
 
-def _within_intervals(v, s):
-    return stability.intervals(stability.bootstrap_within(v, s), ["essay_file", "prompt"], stability.METRICS)
 
+def _sizes(spark, sf_dir):
+    rows = responses(spark, sf_dir).withColumn("n", F.size(T.sentences(F.col("response"))))
+    return pairs.packed(pairs.canonical_pairs(rows, "n")).select(*PAIR, F.col("n_1").alias("n_a"), F.col("n_2").alias("n_b"))
 
-def _shift_intervals(v, s):
-    return stability.intervals(stability.bootstrap_shift(v, s), ["essay_file"], DELTAS, DELTAS[1:])
 
+def _matches(spark, sf_dir):
+    """The matcher's result over cells rounded to six places."""
+    return matching.match_units(_matrix(spark, sf_dir).withColumn("score", F.round("score", 6)), PAIR)
 
-def _overall(v, s):
-    return stability.bootstrap_overall(stability.bootstrap_shift(v, s))
 
+def unit_matches(spark, sf_dir):
+    return rounded(pairs.unpacked(_matches(spark, sf_dir)))
 
-def _best_matches(spark, sf_dir):
-    """Each first-side sentence with its best cell; enough for the order measures."""
-    cells = _matrix(spark, sf_dir).withColumn("score", F.round("score", 6)).filter("score > 0")
-    best = cells.groupBy(*KEYS, "i").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("j"))).alias("b"))
-    return best.select(*KEYS, "i", F.col("b.j").alias("j"), (-F.col("b.s")).alias("score"))
 
+def matched_sentences(spark, sf_dir):
+    """The matcher's result, scored once, then stored."""
+    return stored(spark, "matches", sf_dir, lambda: _matches(spark, sf_dir))
 
-def _sizes(spark, sf_dir):
-    rows = responses(spark, sf_dir).withColumn("n", F.size(T.sentences(F.col("response"))))
-    return pairs.canonical_pairs(rows, "n").select(*KEYS, F.col("n_1").alias("n_a"), F.col("n_2").alias("n_b"))
+
+def _best_matches(spark, sf_dir):
+    """Each first-side sentence with its best cell: links that SQL can repeat."""
+    cells = _matrix(spark, sf_dir).withColumn("score", F.round("score", 6)).filter("score > 0")
+    best = cells.groupBy(*PAIR, "i").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("j"))).alias("b"))
+    return best.select(*PAIR, "i", F.col("b.j").alias("j"), (-F.col("b.s")).alias("score"))
 
 
-def kendall_tau_b(spark, sf_dir):
-    return rounded(matching.kendall(_best_matches(spark, sf_dir), KEYS))
+def _best_order(f):
+    return lambda spark, sf_dir: rounded(pairs.unpacked(f(_best_matches(spark, sf_dir), _sizes(spark, sf_dir))))
 
 
-def position_matching(spark, sf_dir):
-    return rounded(matching.positions(_best_matches(spark, sf_dir), _sizes(spark, sf_dir), KEYS))
+def _order(f):
+    return lambda spark, sf_dir: rounded(pairs.unpacked(f(matched_sentences(spark, sf_dir), _sizes(spark, sf_dir))))
 
 
-def continuity(spark, sf_dir):
-    return rounded(matching.continuity(_best_matches(spark, sf_dir), _sizes(spark, sf_dir), KEYS))
+def _clauses(strict):
+    return lambda spark, sf_dir: clauses.split_clauses(_tokens(spark, sf_dir), "rid", strict).drop("token_ids")
 
 
-def unit_matches(spark, sf_dir):
-    return rounded(matching.match_units(_matrix(spark, sf_dir), KEYS))
+def _clause_patterns(spark, sf_dir):
+    found = clauses.clause_tokens(_tokens(spark, sf_dir), clauses.split_clauses(_tokens(spark, sf_dir), "rid"), "rid")
+    return structure.patterns(found, ["rid", "sentence_id", "pos"]).select("rid", "pos", "pattern")
 
 
-def _clauses(strict):
-    return lambda spark, sf_dir: clauses.split_clauses(_tokens(spark, sf_dir), "rid", strict)
+def clause_patterns(spark, sf_dir):
+    """How often each pattern occurs in each loose clause."""
+    return _clause_patterns(spark, sf_dir).groupBy("rid", "pos", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 def validation_edits(spark, sf_dir):
@@ -234,9 +294,9 @@ def text_sizes(spark, sf_dir):
 
 def chart_intervals(spark, sf_dir):
     """Observed mean distance of each essay and prompt with its bootstrap interval."""
-    v, samples = _drawn(vectors(spark, sf_dir))
+    v = vectors(spark, sf_dir)
     points = stability.within_stability(v).select("essay_file", "prompt", "mean_distance")
-    bars = _within_intervals(v, samples).filter("metric = 'mean_distance'")
+    bars = stability.replicate_intervals(stability.within_replicates(v, REPLICATES, SEED), ["essay_file", "prompt"], ["mean_distance"])
     return rounded(points.join(bars, ["essay_file", "prompt"]).select("essay_file", "prompt", "mean_distance", "low", "high"))
 
 
@@ -255,11 +315,12 @@ QUERIES = {
     "lexical_similarity": lexical_similarity,
     "embedding_meaning": embedding_meaning,
     "sentence_matrix_tfidf": sentence_matrix_tfidf,
+    "sliding_matrix": sliding_matrix,
     "soft_organization": soft_organization,
     "structure_features": structure_features,
     "structure_similarity": structure_similarity,
     "multiset_jaccard": multiset_jaccard,
-    "vectors": lambda spark, sf_dir: rounded(vectors(spark, sf_dir)),
+    "vectors": lambda spark, sf_dir: rounded(olms_vectors(spark, sf_dir)),
     "vector_violations": vector_violations,
     "vector_distances": _of_vectors(stability.vector_distances),
     "within_stability": _of_vectors(stability.within_stability),
@@ -267,15 +328,18 @@ QUERIES = {
     "prompt_shift": _of_vectors(stability.prompt_shift),
     "overall_prompt_shift": _of_vectors(lambda v: stability.overall_shift(stability.prompt_shift(v))),
     "hotelling_t2": _of_vectors(lambda v: stability.hotelling(stability.prompt_shift(v))),
-    "bootstrap_within": _bootstrap(stability.bootstrap_within),
-    "bootstrap_shift": _bootstrap(stability.bootstrap_shift),
-    "bootstrap_overall": _bootstrap(_overall),
-    "within_intervals": _bootstrap(_within_intervals),
-    "shift_intervals": _bootstrap(_shift_intervals),
+    "bootstrap_within": _bootstrap(stability.within_replicates, "essay_file", "prompt", metrics=stability.METRICS),
+    "bootstrap_shift": _bootstrap(stability.shift_replicates, "essay_file"),
+    "bootstrap_overall": _bootstrap(stability.shift_replicates, by=_overall),
+    "within_intervals": _bootstrap(stability.within_replicates, by=_within_intervals),
+    "shift_intervals": _bootstrap(stability.shift_replicates, by=_shift_intervals),
     "chart_intervals": chart_intervals,
-    "kendall_tau_b": kendall_tau_b,
-    "position_matching": position_matching,
-    "continuity": continuity,
+    "kendall_tau_b": _best_order(lambda m, n: matching.kendall(m, PAIR)),
+    "position_matching": _best_order(lambda m, n: matching.positions(m, n, PAIR)),
+    "continuity": _best_order(lambda m, n: matching.continuity(m, n, PAIR)),
+    "hard_organization": _order(lambda m, n: matching.organization_of_matches(m, n, PAIR)),
+    "mean_match_score": _order(lambda m, n: matching.mean_over_matches(m, n, PAIR)),
+    "clause_patterns": clause_patterns,
     "unit_matches": unit_matches,
     "clause_split_loose": _clauses(False),
     "clause_split_strict": _clauses(True),

@@ -1,15 +1,43 @@
-"""Lineage cuts that outlive executors."""
+"""Written tables that outlive executors."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set, a new one for a session on one machine; on a cluster that is
+    an error, as executors do not share local folders."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` made from ``source``: written once in a session, as Parquet in the shared folder, then read."""
+    mark = hashlib.md5(source.encode()).hexdigest()[:12]
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{mark}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the rows to the session's checkpoint folder (a new one only where none is set) and read them from there."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    """The rows, written to the session's checkpoint folder and read from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -12,9 +12,13 @@ def _words(text: str, pattern: str = WORD) -> str:
     return f"regexp_extract_all(lower({text}), '{pattern}')"
 
 
+def _stripped(text: str) -> str:
+    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+
+
 def _sentences(text: str) -> str:
     pieces = rf"string_split(regexp_replace(coalesce({text}, ''), '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1))"
-    return f"list_filter(list_transform({pieces}, lambda x: trim(x)), lambda x: x <> '')"
+    return f"list_filter(list_transform({pieces}, lambda x: {_stripped('x')}), lambda x: x <> '')"
 
 
 def _grams(text: str, n: int) -> str:
@@ -87,14 +91,15 @@ def _structure(base: list[str], paired, q) -> dict[str, str]:
     )
     ctes.append(f"ft AS (SELECT rid, {', '.join(f'{r} AS {n}' for r, n in zip(rates, S.RATES))}, {', '.join(f'{t}::DOUBLE AS {t}' for t in S.TOTALS)}, sentences, tokens, nouns, verbs FROM fe)")
     names = [*S.RATES, *S.TOTALS]
-    out = {"structure_features": q(ctes, f"SELECT rid, {', '.join(f'round({n}, 6) AS {n}' for n in names)}, sentences, tokens, nouns, verbs FROM ft").replace("WITH r0", "WITH RECURSIVE r0", 1)}
+    out = {"ctes": ctes, "structure_features": q(ctes, f"SELECT rid, {', '.join(f'round({n}, 6) AS {n}' for n in names)}, sentences, tokens, nouns, verbs FROM ft").replace("WITH r0", "WITH RECURSIVE r0", 1)}
     alike = lambda n: f"coalesce(1 - abs({n}_1 - {n}_2) / nullif(greatest(abs({n}_1), abs({n}_2)), 0), 1.0)"
     mean = lambda group: f"({' + '.join(map(alike, group))}) / {len(group)}"
     ctes += [
-        "fk AS (SELECT essay_file, prompt, response_index, ft.* FROM responses JOIN ft ON rid = concat_ws('/', essay_file, prompt, response_index))",
+        f"fk AS (SELECT essay_file, prompt, response_index, {', '.join(f'coalesce({n}, 0.0) AS {n}' for n in names)} FROM responses LEFT JOIN ft ON rid = concat_ws('/', essay_file, prompt, response_index))",
         paired(*names, of="fk", name="fp"),
         f"sm AS (SELECT {KEY}, {mean(S.RATES)} AS n, {mean(S.TOTALS)} AS t FROM fp)",
     ]
+    out["ctes"] = ctes
     out["structure_similarity"] = q(ctes, f"SELECT {KEY}, round(n, 6) AS normalized, round(t, 6) AS total, round((n + t) / 2, 6) AS struct FROM sm").replace("WITH r0", "WITH RECURSIVE r0", 1)
     return out
 
@@ -104,6 +109,10 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
         """r0 AS (SELECT CAST(conv_id AS VARCHAR) AS essay_file, CASE role WHEN 'user' THEN 'A' ELSE 'B' END AS prompt,
             CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS INTEGER) AS response_index, text AS response
             FROM conversations WHERE role IN ('user', 'assistant'))""",
+        "responses AS (SELECT * FROM r0)",
+    ]
+    balanced = [
+        base[0],
         f"r1 AS (SELECT * FROM r0 WHERE response_index <= {k})",
         f"responses AS (SELECT * FROM r1 WHERE essay_file IN (SELECT essay_file FROM r1 GROUP BY 1 HAVING count(*) = {2 * k}))",
     ]
@@ -118,11 +127,12 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
         return "WITH " + ",\n".join(ctes) + "\n" + select
 
     p = [*base, paired("response")]
+    pb = [*balanced, paired("response")]
     out = {
         "responses": q(base, "SELECT * FROM responses"),
         "canonical_pairs": q(p, f"SELECT {KEY}, comparison_type FROM pairs"),
-        "resume_missing_pairs": q(p, f"SELECT {KEY}, comparison_type FROM pairs WHERE comparison_type <> 'AA'"),
-        "pair_coverage_violations": q(p, f"SELECT {KEY}, 'missing' AS problem FROM pairs WHERE comparison_type <> 'AA'"),
+        "resume_missing_pairs": q(pb, f"SELECT {KEY}, comparison_type FROM pairs WHERE comparison_type <> 'AA'"),
+        "pair_coverage_violations": q(pb, f"SELECT {KEY}, 'missing' AS problem FROM pairs WHERE comparison_type <> 'AA'"),
         "sha256_digest": "SELECT conv_id, turn, sha256(text) AS digest FROM conversations",
         "derived_seed": q(
             base,
@@ -149,21 +159,18 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     lex = [
         *base,
         f"""lx AS (SELECT essay_file, prompt, response_index, {_mattr('w')} AS mattr, terms, grams2, grams3 FROM
-            (SELECT *, {_words('trim(response)')} AS w, {_words('trim(response)', TERM)} AS terms, {_grams('trim(response)', 2)} AS grams2, {_grams('trim(response)', 3)} AS grams3 FROM responses))""",
+            (SELECT *, {_words(_stripped('response'))} AS w, {_words(_stripped('response'), TERM)} AS terms, {_grams(_stripped('response'), 2)} AS grams2, {_grams(_stripped('response'), 3)} AS grams3 FROM responses))""",
         paired("mattr", "terms", "grams2", "grams3", of="lx", name="lp"),
-        *_cosine_terms("terms", "tf"),
+        *_cosine_terms("terms", "tc"),
         *_divergence("grams2", "jsd2"),
         *_divergence("grams3", "jsd3"),
     ]
-    out["tfidf_cosine_pairs"] = q(lex, f"SELECT {KEY}, round(tfidf, 6) AS tfidf FROM tf")
+    out["tfidf_cosine_pairs"] = q(lex, f"SELECT {KEY}, round(tfidf, 6) AS tfidf FROM tc")
     out["phraseology_jsd"] = q(lex, f"SELECT {KEY}, round(jsd2, 6) AS jsd2, round(jsd3, 6) AS jsd3 FROM jsd2 LEFT JOIN jsd3 USING ({KEY})")
+    parts = f"""parts AS (SELECT {KEY}, 1 - abs(mattr_1 - mattr_2) AS m, coalesce(tfidf, 0.0) AS t, (2 - coalesce(jsd2, 1.0) - coalesce(jsd3, 1.0)) / 2 AS ph
+        FROM lp LEFT JOIN tc USING ({KEY}) LEFT JOIN jsd2 USING ({KEY}) LEFT JOIN jsd3 USING ({KEY}))"""
     out["lexical_similarity"] = q(
-        [
-            *lex,
-            f"""parts AS (SELECT {KEY}, 1 - abs(mattr_1 - mattr_2) AS m, coalesce(tfidf, 0.0) AS t, (2 - coalesce(jsd2, 1.0) - coalesce(jsd3, 1.0)) / 2 AS ph
-            FROM lp LEFT JOIN tf USING ({KEY}) LEFT JOIN jsd2 USING ({KEY}) LEFT JOIN jsd3 USING ({KEY}))""",
-        ],
-        f"SELECT {KEY}, round(m, 6) AS mattr_sim, round(t, 6) AS tfidf, round(ph, 6) AS phrase_sim, round(0.8 * (m + t) / 2 + 0.2 * ph, 6) AS lex FROM parts",
+        [*lex, parts], f"SELECT {KEY}, round(m, 6) AS mattr_sim, round(t, 6) AS tfidf, round(ph, 6) AS phrase_sim, round(0.8 * (m + t) / 2 + 0.2 * ph, 6) AS lex FROM parts"
     )
     dot = lambda x, y: f"list_sum(list_transform(range(1, len({x}) + 1), lambda i: {x}[i]::DOUBLE * {y}[i]::DOUBLE))"
     out["embedding_meaning"] = f"""SELECT a.vec_id, round(greatest(0.0, least(1.0, ({dot('a.embedding', 'b.embedding')} / (sqrt({dot('a.embedding', 'a.embedding')}) * sqrt({dot('b.embedding', 'b.embedding')})) + 1) / 2)), 6) AS meaning
@@ -180,13 +187,14 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
         f"wt AS (SELECT {KEY}, side, pos, term, tf * (ln((1 + docs) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING ({KEY}, term) JOIN nd USING ({KEY}))",
         f"un AS (SELECT {KEY}, side, pos, term, w / sqrt(sum(w * w) OVER (PARTITION BY {KEY}, side, pos)) AS w FROM wt)",
         f"""cl AS (SELECT {KEY}, a.pos AS i, b.pos AS j, sum(a.w * b.w) AS score FROM (SELECT * FROM un WHERE side = 1) a JOIN (SELECT * FROM un WHERE side = 2) b USING ({KEY}, term) GROUP BY ALL)""",
-        f"""cells AS (SELECT {KEY}, CAST(x.pos AS INTEGER) AS i, CAST(y.pos AS INTEGER) AS j, coalesce(score, 0.0) AS score FROM (SELECT {KEY}, pos FROM sx WHERE side = 1) x JOIN (SELECT {KEY}, pos FROM sx WHERE side = 2) y USING ({KEY})
-            LEFT JOIN (SELECT {KEY}, i AS xi, j AS yj, score FROM cl) c USING ({KEY}) WHERE false)""",
+        None,
     ]
     # the grid of cells, joined to the scores by position
     matrix[-1] = f"""cells AS (SELECT g.*, coalesce(cl.score, 0.0) AS score FROM (SELECT {', '.join('x.' + c for c in KEYS)}, CAST(x.pos AS INTEGER) AS i, CAST(y.pos AS INTEGER) AS j
             FROM sx x JOIN sx y ON {' AND '.join(f'x.{c} = y.{c}' for c in KEYS)} AND x.side = 1 AND y.side = 2) g LEFT JOIN cl ON {' AND '.join(f'g.{c} = cl.{c}' for c in [*KEYS, 'i', 'j'])})"""
     out["sentence_matrix_tfidf"] = q(matrix, f"SELECT {KEY}, i, j, round(score, 6) AS score FROM cells")
+    slid = f"rs AS (SELECT essay_file, prompt, response_index, list_transform(range(1, len(s) + 1), lambda i: array_to_string(list_transform(range(0, 3), lambda o: s[least(i + o, len(s))]), ' ')) AS s FROM (SELECT *, {_sentences('response')} AS s FROM responses))"
+    out["sliding_matrix"] = q([slid if c.startswith("rs AS") else c for c in matrix], f"SELECT {KEY}, i, j, round(score, 6) AS score FROM cells")
 
     def one_way(row: str, col: str) -> list[str]:
         n = f"sw_{row}"
@@ -199,10 +207,8 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
             f"{n} AS (SELECT {KEY}, CASE WHEN sum(c) = 0 THEN avg(p) ELSE sum(p * c) / sum(c) END AS side FROM {n}3 GROUP BY {KEY})",
         ]
 
-    out["soft_organization"] = q(
-        [*matrix, *one_way("i", "j"), *one_way("j", "i")],
-        f"SELECT {KEY}, round(greatest(0.0, least(1.0, (a.side + b.side) / 2)), 6) AS org FROM sw_i a JOIN sw_j b USING ({KEY})",
-    )
+    org = [*matrix, *one_way("i", "j"), *one_way("j", "i"), f"og AS (SELECT {KEY}, greatest(0.0, least(1.0, (a.side + b.side) / 2)) AS org FROM sw_i a JOIN sw_j b USING ({KEY}))"]
+    out["soft_organization"] = q(org, f"SELECT {KEY}, round(org, 6) AS org FROM og")
     best = [
         *matrix,
         f"mt AS (SELECT {KEY}, i, j FROM (SELECT {KEY}, i, j, row_number() OVER (PARTITION BY {KEY}, i ORDER BY round(score, 6) DESC, j) AS rk FROM cells WHERE round(score, 6) > 0) WHERE rk = 1)",
@@ -219,13 +225,18 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     place = lambda c, n: f"CASE WHEN {n} > 1 THEN {c} / ({n} - 1)::DOUBLE ELSE 0.0 END"
     out["position_matching"] = q(best, f"SELECT {KEY}, round(avg(1 - abs({place('i', 'n_a')} - {place('j', 'n_b')})), 6) AS position FROM mt JOIN sz USING ({KEY}) GROUP BY {KEY}")
 
-    def hits(a: str, b: str) -> str:
-        return f"h_{a} AS (SELECT {KEY}, count(DISTINCT x.{a}) AS hits FROM mt x JOIN mt y USING ({KEY}) WHERE y.{a} = x.{a} + 1 AND y.{b} = x.{b} + 1 GROUP BY {KEY})"
+    def neighbours(a: str, b: str) -> list[str]:
+        """Of the neighbouring units that both have a match: how many, and how many have neighbouring matches."""
+        return [
+            f"nb_{a} AS (SELECT {KEY}, x.{a} AS unit, max((y.{b} = x.{b} + 1)::INT) AS kept FROM mt x JOIN mt y USING ({KEY}) WHERE y.{a} = x.{a} + 1 GROUP BY {KEY}, x.{a})",
+            f"nc_{a} AS (SELECT {KEY}, sum(kept) / count(*)::DOUBLE AS share FROM nb_{a} GROUP BY {KEY})",
+        ]
 
-    half = lambda n, h: f"CASE WHEN {n} < 2 THEN 1.0 ELSE coalesce({h}.hits, 0) / ({n} - 1)::DOUBLE END"
+    half = lambda n, c: f"CASE WHEN {n} < 2 THEN 1.0 ELSE coalesce({c}.share, 0.0) END"
     out["continuity"] = q(
-        [*best, hits("i", "j"), hits("j", "i")],
-        f"SELECT {KEY}, round(({half('n_a', 'h_i')} + {half('n_b', 'h_j')}) / 2, 6) AS sequence FROM sz LEFT JOIN h_i USING ({KEY}) LEFT JOIN h_j USING ({KEY})",
+        [*best, *neighbours("i", "j"), *neighbours("j", "i"), f"an AS (SELECT DISTINCT {KEY}, true AS matched FROM mt)"],
+        f"""SELECT {KEY}, round(CASE WHEN matched THEN ({half('n_a', 'nc_i')} + {half('n_b', 'nc_j')}) / 2 ELSE 0.0 END, 6) AS sequence
+        FROM sz LEFT JOIN an USING ({KEY}) LEFT JOIN nc_i USING ({KEY}) LEFT JOIN nc_j USING ({KEY})""",
     )
     out["multiset_jaccard"] = q(
         [
@@ -235,11 +246,31 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
         ],
         f"SELECT {KEY}, round(sum(least(a, b)) / sum(greatest(a, b))::DOUBLE, 6) AS jaccard FROM wc GROUP BY {KEY}",
     )
-    score = lambda c: f"{_hash(*KEYS, repr(c))} / 4294967296.0"
-    v = [*p, f"vectors AS (SELECT {KEY}, comparison_type, {k} AS response_count, {', '.join(f'{score(c)} AS {c}' for c in COMPONENTS)} FROM pairs)"]
+    structure = _structure(base, paired, q)
+    parse = structure.pop("ctes")
+    picked = "('0x' || substr(md5(response), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)"
+    cos = f"{dot('embedding_1', 'embedding_2')} / (sqrt({dot('embedding_1', 'embedding_1')}) * sqrt({dot('embedding_2', 'embedding_2')}))"
+    meaning = [
+        paired("response", name="mp"),
+        f"mw AS (SELECT {KEY}, unnest({_words('response_1')}) AS word, 1 AS a, 0 AS b FROM mp UNION ALL SELECT {KEY}, unnest({_words('response_2')}), 0, 1 FROM mp)",
+        f"mc AS (SELECT {KEY}, word, sum(a) AS a, sum(b) AS b FROM mw GROUP BY ALL)",
+        f"mr AS (SELECT {KEY}, coalesce(sum(a) FILTER (WHERE b > 0) / nullif(sum(a), 0)::DOUBLE, 0.0) AS p, coalesce(sum(b) FILTER (WHERE a > 0) / nullif(sum(b), 0)::DOUBLE, 0.0) AS r FROM mc GROUP BY {KEY})",
+        f"me AS (SELECT essay_file, prompt, response_index, embedding FROM (SELECT *, {picked} AS vec_id FROM responses) JOIN embeddings USING (vec_id))",
+        paired("embedding", of="me", name="ep"),
+        f"mn AS (SELECT {KEY}, (coalesce(2 * p * r / nullif(p + r, 0), 0.0) + coalesce(greatest(0.0, least(1.0, ({cos} + 1) / 2)), 0.0)) / 2 AS meaning FROM mp LEFT JOIN mr USING ({KEY}) LEFT JOIN ep USING ({KEY}))",
+    ]
+    v = [
+        *org, *lex[len(base):], parts, *parse[len(base):], *meaning, paired(),
+        "rc AS (SELECT essay_file, max(response_index) AS response_count FROM responses GROUP BY 1)",
+        f"""vectors AS MATERIALIZED (SELECT {KEY}, comparison_type, response_count, round(coalesce(org, 0.0), 12) AS org, round(0.8 * (pt.m + pt.t) / 2 + 0.2 * pt.ph, 12) AS lex, round(meaning, 12) AS meaning,
+            round((sm.n + sm.t) / 2, 12) AS struct FROM pairs JOIN rc USING (essay_file) LEFT JOIN og USING ({KEY}) JOIN parts pt USING ({KEY}) JOIN mn USING ({KEY}) JOIN sm USING ({KEY}))""",
+    ]
     rounds = lambda names: ", ".join(f"round({n}, 6) AS {n}" for n in names)
     out["vectors"] = q(v, f"SELECT {KEY}, comparison_type, response_count, {rounds(COMPONENTS)} FROM vectors")
-    out["vector_violations"] = q(v, f"SELECT 'wrong_type' AS rule, count(*) AS rows FROM vectors WHERE response_index_2 = {k} HAVING count(*) > 0")
+    out["vector_violations"] = q(
+        v,
+        f"""SELECT 'wrong_type' AS rule, count(*) AS rows FROM vectors WHERE response_index_2 = {k} HAVING count(*) > 0""",
+    )
     centred = " + ".join(f"({c} - avg({c}) OVER g) ** 2" for c in COMPONENTS)
     d = [
         *v,
@@ -257,9 +288,9 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     metrics = ["mean_distance", *means]
     out["between_stability"] = q(
         [*within, "ml AS (" + " UNION ALL ".join(f"SELECT prompt, '{m}' AS metric, {m} AS x FROM wi" for m in metrics) + ")",
-         """st AS (SELECT prompt, metric, count(x) AS "count", avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS "min", quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3, max(x) AS "max" FROM ml GROUP BY ALL)"""],
+         """sb AS (SELECT prompt, metric, count(x) AS "count", avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS "min", quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3, max(x) AS "max" FROM ml GROUP BY ALL)"""],
         """SELECT prompt, metric, "count", round(mean, 6) AS mean, round(sd, 6) AS sd, round("min", 6) AS "min", round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round("max", 6) AS "max",
-        round(q3 - q1, 6) AS iqr, round("max" - "min", 6) AS "range", round(sd / mean, 6) AS cv FROM st""",
+        round(q3 - q1, 6) AS iqr, round("max" - "min", 6) AS "range", round(sd / mean, 6) AS cv FROM sb""",
     )
     sides = [f"{t}_{c}" for t in ("aa", "bb", "ab") for c in COMPONENTS]
     shift = [
@@ -272,20 +303,23 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     ]
     deltas = [f"delta_{c}" for c in COMPONENTS]
     out["prompt_shift"] = q(shift, f"SELECT essay_file, {rounds([*sides, *[f'baseline_{c}' for c in COMPONENTS], *deltas, 'magnitude'])} FROM sh")
-    out["overall_prompt_shift"] = q(shift, f"SELECT count(*) AS essay_count, {', '.join(f'round(avg({x}), 6) AS {x}' for x in ['magnitude', *deltas])} FROM sh")
-    draw = f"{_hash(str(seed), 'essay_file', 'prompt', 'replicate', 'attempt', 'slot')} % {k} + 1"
+    out["overall_prompt_shift"] = q(shift, f"SELECT count(magnitude) AS essay_count, {', '.join(f'round(avg({x}), 6) AS {x}' for x in ['magnitude', *deltas])} FROM sh")
+    draw = lambda attempt: f"list_transform(range(1, k + 1), lambda slot: {_hash(str(seed), 'essay_file', 'prompt', 'replicate', str(attempt), 'slot')} % k + 1)"
+    again = "len(list_distinct(ids)) < 2"
+    last = 40
     boot = [
         *d,
-        f"dr AS (SELECT essay_file, prompt, replicate, attempt, slot, {draw} AS id FROM (SELECT DISTINCT essay_file FROM vectors), (VALUES ('A'), ('B')) x(prompt), range(1, {replicates + 1}) r(replicate), range(0, 40) a(attempt), range(1, {k + 1}) s(slot))",
-        "ok AS (SELECT essay_file, prompt, replicate, attempt FROM dr GROUP BY ALL HAVING count(DISTINCT id) > 1)",
-        "fa AS (SELECT essay_file, prompt, replicate, min(attempt) AS attempt FROM ok GROUP BY ALL)",
-        "sm AS (SELECT essay_file, prompt, replicate, slot, id FROM dr JOIN fa USING (essay_file, prompt, replicate, attempt))",
-        f"""bw0 AS (SELECT essay_file, prompt, replicate, {', '.join(COMPONENTS)} FROM sm a JOIN sm b USING (essay_file, prompt, replicate)
-            JOIN dist USING (essay_file, prompt) WHERE a.slot < b.slot AND a.id <> b.id AND response_index_1 = least(a.id, b.id) AND response_index_2 = greatest(a.id, b.id))""",
-        f"bw1 AS (SELECT *, sqrt({centred}) AS distance FROM bw0 WINDOW g AS (PARTITION BY essay_file, prompt, replicate))",
-        f"bw AS (SELECT essay_file, prompt, replicate, avg(distance) AS mean_distance, {', '.join(f'avg({c}) AS {c}_mean' for c in COMPONENTS)} FROM bw1 GROUP BY essay_file, prompt, replicate)",
-        f"""bx AS (SELECT essay_file, replicate, {', '.join(f'avg({c}) AS {c}' for c in COMPONENTS)} FROM (SELECT * FROM sm WHERE prompt = 'A') a JOIN (SELECT * FROM sm WHERE prompt = 'B') b USING (essay_file, replicate)
-            JOIN vectors USING (essay_file) WHERE comparison_type = 'AB' AND response_index_1 = a.id AND response_index_2 = b.id GROUP BY ALL)""",
+        "kp AS (SELECT essay_file, prompt_1 AS prompt, max(response_index_2) AS k FROM vectors WHERE comparison_type <> 'AB' GROUP BY ALL HAVING max(response_index_2) > 1)",
+        f"t0 AS MATERIALIZED (SELECT essay_file, prompt, k, replicate, {draw(0)} AS ids FROM kp, range(1, {replicates + 1}) r(replicate))",
+        *[f"t{n} AS MATERIALIZED (SELECT essay_file, prompt, k, replicate, {draw(n)} AS ids FROM t{n - 1} WHERE {again})" for n in range(1, last)],
+        "dr AS (" + " UNION ALL ".join(f"SELECT essay_file, prompt, replicate, unnest(ids) AS id FROM t{n} WHERE NOT ({again})" for n in range(last)) + ")",
+        "ct AS MATERIALIZED (SELECT essay_file, prompt, replicate, id, count(*) AS m FROM dr GROUP BY ALL)",
+        f"""bw0 AS (SELECT essay_file, prompt, replicate, a.m * b.m AS w, {', '.join(COMPONENTS)} FROM dist JOIN ct a USING (essay_file, prompt) JOIN ct b USING (essay_file, prompt, replicate)
+            WHERE a.id = response_index_1 AND b.id = response_index_2)""",
+        f"bw1 AS (SELECT *, sqrt({' + '.join(f'({c} - sum(w * {c}) OVER g / sum(w) OVER g) ** 2' for c in COMPONENTS)}) AS distance FROM bw0 WINDOW g AS (PARTITION BY essay_file, prompt, replicate))",
+        f"bw AS (SELECT essay_file, prompt, replicate, sum(w * distance) / sum(w) AS mean_distance, {', '.join(f'sum(w * {c}) / sum(w) AS {c}_mean' for c in COMPONENTS)} FROM bw1 GROUP BY essay_file, prompt, replicate)",
+        f"""bx AS (SELECT essay_file, replicate, {', '.join(f'sum(a.m * b.m * {c}) / sum(a.m * b.m) AS {c}' for c in COMPONENTS)} FROM vectors JOIN (SELECT * FROM ct WHERE prompt = 'A') a USING (essay_file)
+            JOIN (SELECT * FROM ct WHERE prompt = 'B') b USING (essay_file, replicate) WHERE comparison_type = 'AB' AND response_index_1 = a.id AND response_index_2 = b.id GROUP BY ALL)""",
         f"""bd AS (SELECT essay_file, replicate, {', '.join(f'bx.{c} - (x.{c}_mean + y.{c}_mean) / 2 AS delta_{c}' for c in COMPONENTS)} FROM bx JOIN (SELECT * FROM bw WHERE prompt = 'A') x USING (essay_file, replicate)
             JOIN (SELECT * FROM bw WHERE prompt = 'B') y USING (essay_file, replicate))""",
         f"bs AS (SELECT *, sqrt({' + '.join(f'delta_{c} ** 2' for c in COMPONENTS)}) AS magnitude FROM bd)",
@@ -308,6 +342,9 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
         """SELECT essay_file, prompt, round(any_value(wi.mean_distance), 6) AS mean_distance, round(quantile_cont(bw.mean_distance, 0.025), 6) AS low, round(quantile_cont(bw.mean_distance, 0.975), 6) AS high
         FROM bw JOIN wi USING (essay_file, prompt) GROUP BY essay_file, prompt""",
     )
-    out |= _structure(base, paired, q)
+    out |= structure
+    for name, sql in out.items():
+        if "vectors AS MATERIALIZED" in sql:
+            out[name] = sql.replace("WITH r0", "WITH RECURSIVE r0", 1)
     out["stratified_sample"] = """SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', 0, doc_id)), doc_id) AS n FROM documents) WHERE n <= 10"""
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from stabilis.operators.pairs import canonical_pairs, missing_pairs
+from stabilis.plans.checkpoint import exists
 from stabilis.sources.tables import KEYS
 
 
@@ -34,7 +35,4 @@ def score_stream(responses: DataFrame, stored: str, done: str, checkpoint: str,
 
 def _read(spark, path: str, like: DataFrame) -> DataFrame:
     """A Parquet folder, or no rows where it is not there yet."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.parquet(path) if there else like.limit(0)
+    return spark.read.parquet(path) if exists(spark, path) else like.limit(0)

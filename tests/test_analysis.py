@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,8 +67,7 @@ def test_self_pairs_do_not_count(vectors):
     poisoned = vectors.withColumn("org", F.when((F.col("comparison_type") != "AB") & (F.col("response_index_1") == F.col("response_index_2")), 100.0).otherwise(F.col("org")))
     same = lambda f: f(vectors).exceptAll(f(poisoned)).count() == 0
     assert same(stability.within_stability) and same(stability.prompt_shift)
-    samples = stability.draws(vectors, 5, 1)
-    assert same(lambda v: stability.bootstrap_within(v, samples))
+    assert same(lambda v: stability.bootstrap_within(v, 5, 1)) and same(lambda v: stability.bootstrap_shift(v, 5, 1))
 
 
 def test_described(spark):
@@ -85,27 +85,59 @@ def test_prompt_shift(spark):
     assert overall["essay_count"] == 2 and overall["magnitude"] == pytest.approx(0.2) and overall["delta_org"] == pytest.approx(0)
 
 
-def test_bootstrap_keeps_multiplicity(spark):
+def test_bootstrap_keeps_multiplicity(spark, monkeypatch):
     v = fixture(spark, 1, 4)
-    samples = spark.createDataFrame([("essay_0.md", p, 1, s, i) for p in "AB" for s, i in enumerate([1, 2, 2, 3])], "essay_file string, prompt string, replicate int, slot int, id int")
-    got = {r["prompt"]: r for r in stability.bootstrap_within(v, samples).collect()}
+    rows = [tuple(r) for r in v.select("comparison_type", "response_index_1", "response_index_2", *COMPONENTS).collect()]
+    monkeypatch.setattr(stability, "drawn", lambda *a: np.array([[1, 2, 2, 3]]))
+    got = stability._resampled(rows, "essay_0.md", 1, 0)
     kept = [(1, 2), (1, 2), (1, 3), (2, 3), (2, 3)]
-    for prompt, offset in (("A", 0.2), ("B", 0.3)):
+    for kind, offset in (("AA", 0.2), ("BB", 0.3)):
         x = [offset + 0.02 * (i + j) for i, j in kept]
-        assert got[prompt]["org_mean"] == pytest.approx(sum(x) / 5)
+        assert got[kind][0, 1] == pytest.approx(sum(x) / 5)
         scale = math.sqrt(1 + 0.64 + 1 + 0.49)
-        assert got[prompt]["mean_distance"] == pytest.approx(sum(abs(a - sum(x) / 5) for a in x) / 5 * scale)
-    shift = stability.bootstrap_shift(v, samples).first()
+        assert got[kind][0, 0] == pytest.approx(sum(abs(a - sum(x) / 5) for a in x) / 5 * scale)
     ab = sum(0.1 + 0.02 * (i + j) for i in (1, 2, 2, 3) for j in (1, 2, 2, 3)) / 16
-    base = sum(0.25 + 0.02 * (i + j) for i, j in kept) / 5
-    assert shift["delta_org"] == pytest.approx(ab - base)
+    assert got["AB"][0, 1] == pytest.approx(ab)
+
+
+def test_bootstrap_of_essays(spark, vectors):
+    """Rows against slots walked one by one; a prompt with one response has no replicate."""
+    got = {(r["essay_file"], r["prompt"], r["replicate"]): r for r in stability.bootstrap_within(vectors, 7, 3).collect()}
+    shift = {(r["essay_file"], r["replicate"]): r for r in stability.bootstrap_shift(vectors, 7, 3).collect()}
+    assert len(got) == 2 * 2 * 7 and len(shift) == 2 * 7
+    table = {tuple(r[k] for k in KEYS): [r[c] for c in COMPONENTS] for r in vectors.collect()}
+    for e in ("essay_0.md", "essay_1.md"):
+        ids = {p: stability.drawn(3, e, p, 3, 7) for p in "AB"}
+        for n in range(7):
+            means = {}
+            for p in "AB":
+                s = ids[p][n].tolist()
+                x = np.array([table[(e, p, min(a, b), p, max(a, b))] for a, b in itertools.combinations(s, 2) if a != b])
+                means[p] = x.mean(0)
+                row = got[(e, p, n + 1)]
+                assert [row[f"{c}_mean"] for c in COMPONENTS] == pytest.approx(list(means[p]))
+                assert row["mean_distance"] == pytest.approx(np.sqrt(((x - means[p]) ** 2).sum(1)).mean())
+            ab = np.array([table[(e, "A", a, "B", b)] for a in ids["A"][n].tolist() for b in ids["B"][n].tolist()]).mean(0)
+            assert [shift[(e, n + 1)][f"delta_{c}"] for c in COMPONENTS] == pytest.approx(list(ab - (means["A"] + means["B"]) / 2))
+    lone = vectors.filter("prompt_1 = 'A' AND prompt_2 = 'A' OR response_index_1 = 1 AND response_index_2 = 1")
+    assert {r["prompt"] for r in stability.bootstrap_within(lone, 3, 1).collect()} == {"A"} and stability.bootstrap_shift(lone, 3, 1).count() == 0
+
+
+def test_draws_are_seeded_and_not_degenerate():
+    a, b = (stability.drawn(3, "e", "A", 2, 200) for _ in range(2))
+    assert (a == b).all() and a.shape == (200, 2) and set(a.ravel().tolist()) == {1, 2} and (a.min(1) < a.max(1)).all()
+    assert (stability.drawn(4, "e", "A", 5, 50) != stability.drawn(3, "e", "A", 5, 50)).any()
+    with pytest.raises(ValueError):
+        stability.drawn(3, "e", "A", 1, 1)
 
 
-def test_draws_are_seeded_and_not_degenerate(vectors):
-    a, b = (stability.draws(vectors, 20, 3) for _ in range(2))
-    assert a.exceptAll(b).count() == 0 and a.count() == 2 * 2 * 20 * 3
-    groups = a.groupBy("essay_file", "prompt", "replicate").agg(F.count_distinct("id").alias("n"))
-    assert groups.filter("n < 2").count() == 0
+def test_intervals_of_arrays(spark):
+    df = spark.createDataFrame([("g", [2.0, -2.0, 0.0, 1.0, -1.0], [1.0] * 5)], "g string, x array<double>, y array<double>")
+    got = {r["metric"]: r for r in stability.replicate_intervals(df, ["g"], ["x", "y"], ["x"], 0.5).collect()}
+    assert (got["x"]["low"], got["x"]["high"], got["x"]["directional"]) == (-1.0, 1.0, 0.6)
+    assert (got["y"]["low"], got["y"]["high"], got["y"]["directional"]) == (1.0, 1.0, None)
+    with pytest.raises(ValueError):
+        stability.replicate_intervals(df, ["g"], ["x"], [], 1.0)
 
 
 def test_intervals(spark):

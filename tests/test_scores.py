@@ -15,11 +15,11 @@ from stabilis.operators.pairs import canonical_pairs
 
 def pairs_of(spark, *texts):
     rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(texts)], "k int, a string, b string")
-    cols = [F.col("k")]
-    for side, c in ((1, "a"), (2, "b")):
-        t = F.trim(F.col(c))
-        cols += [T.mattr(T.words(t)).alias(f"mattr_{side}"), T.words(t, T.TERM).alias(f"terms_{side}"), lexis.phrase_list(t, 2).alias(f"grams2_{side}"), lexis.phrase_list(t, 3).alias(f"grams3_{side}"), T.mtld(T.words(t)).alias(f"mtld_{side}")]
-    return rows.select(*cols)
+    sides = []
+    for n, c in ((1, "a"), (2, "b")):
+        side = lexis.with_mtld(lexis.lexical_columns(rows.select("k", F.col(c).alias("response")), ["k"]))
+        sides.append(side.select("k", *[F.col(x).alias(f"{x}_{n}") for x in ("mattr", "terms", "grams2", "grams3", "mtld")]))
+    return sides[0].join(sides[1], "k")
 
 
 def test_bigrams_stay_in_sentences(spark):
@@ -38,7 +38,7 @@ def test_lexical_similarity(spark):
 
 
 def test_tfidf_by_hand(spark):
-    got = lexis.tfidf_cosine(pairs_of(spark, ("aa bb bb", "bb cc")), ["k"], F.col("terms_1"), F.col("terms_2")).first()["tfidf"]
+    got = pairs_of(spark, ("aa bb bb", "bb cc")).select(lexis.cosine(F.col("terms_1"), F.col("terms_2")).alias("tfidf")).first()["tfidf"]
     w = 1 + math.log(1.5)
     assert got == pytest.approx(2 / (math.sqrt(w * w + 4) * math.sqrt(1 + w * w)))
 
@@ -155,13 +155,91 @@ def test_order_measures(spark):
     assert seq[1] == 1 and seq[2] == 0 and seq[3] == 1
 
 
+def test_continuity_by_hand(spark):
+    """Only neighbours that both have matches are compared; no such neighbours give 0, no matches give 0."""
+    m = {1: [(0, 0), (1, 1), (4, 4)], 2: [(0, 0), (2, 2)], 4: [(0, 0), (1, 1), (2, 0)]}
+    df = spark.createDataFrame([(k, i, j, 0.5) for k, x in m.items() for i, j in x], "k int, i int, j int, score double")
+    sizes = spark.createDataFrame([(k, 5, 5) for k in (1, 2, 3, 4)], "k int, n_a int, n_b int")
+    seq = {r["k"]: r["sequence"] for r in matching.continuity(df, sizes, ["k"]).collect()}
+    # pair 4: 0-1 kept, 1-2 not; the other way 0 -> {0, 2} and 1 -> {1}, kept
+    assert seq == {1: 1.0, 2: 0.0, 3: 0.0, 4: pytest.approx((0.5 + 1) / 2)}
+    org = {r["k"]: r for r in matching.organization_of_matches(df, sizes, ["k"]).collect()}
+    assert org[1]["org"] == pytest.approx(1) and org[3]["org"] == 0 and org[2]["org"] == pytest.approx(0.34 + 0.33)
+    mean = {r["k"]: r["mean"] for r in matching.mean_over_matches(df, sizes, ["k"]).collect()}
+    assert mean == {1: 0.5, 2: 0.5, 3: 0.0, 4: 0.5}
+    first = matching.ordered(df, ["k"]).filter("k = 1").collect()
+    assert [(r["i"], r["j"]) for r in first] == m[1]
+
+
+def test_metric_of_cells(spark):
+    cells = spark.createDataFrame([(1.0, 0.5, 0.6), (0.0, 1.0, None)], "precision double, recall double, f1 double")
+    assert [r["score"] for r in matching.scored(cells, "recall").collect()] == [0.5, 1.0]
+    with pytest.raises(Exception, match="not finite"):
+        matching.scored(cells, "f1").collect()
+    with pytest.raises(ValueError):
+        matching.scored(cells, "f2")
+
+
+def words_of(*rows):
+    """id -> token, from (text, tag, relation, head) in order."""
+    return {n: r for n, r in enumerate(rows, 1)}
+
+
 def test_clauses():
-    # she says (2) that he (4) wrote (5) long letters (7) home
-    t = {1: ("she", "PRON", "nsubj", 2), 2: ("says", "VERB", "root", None), 3: ("that", "SCONJ", "mark", 5), 4: ("he", "PRON", "nsubj", 5), 5: ("wrote", "VERB", "ccomp", 2), 6: ("long", "ADJ", "amod", 7), 7: ("letters", "NOUN", "obj", 5), 8: (".", "PUNCT", "punct", 2)}
-    assert clauses.split_sentence(t, False) == [[1, 2, 8], [3, 4, 5, 6, 7]]
-    assert clauses.split_sentence(t, True) == [[1, 2, 8], [3, 4, 5, 6, 7]]
-    t[5] = ("wrote", "VERB", "obj", 2)
-    assert clauses.split_sentence(t, False) == [[1, 2, 3, 4, 5, 6, 7, 8]]
+    # complements do not split off; conjuncts do, with a subject or without
+    says = words_of(("she", "PRON", "nsubj", 2), ("says", "VERB", "root", None), ("that", "SCONJ", "mark", 5), ("he", "PRON", "nsubj", 5), ("wrote", "VERB", "ccomp", 2), ("long", "ADJ", "amod", 7), ("letters", "NOUN", "obj", 5), (".", "PUNCT", "punct", 2))
+    assert clauses.split_sentence(says, False) == clauses.split_sentence(says, True) == [[1, 2, 3, 4, 5, 6, 7, 8]]
+    ran = words_of(("he", "PRON", "nsubj", 2), ("ran", "VERB", "root", None), ("and", "CCONJ", "cc", 4), ("wrote", "VERB", "conj", 2), ("long", "ADJ", "amod", 6), ("letters", "NOUN", "obj", 4), (".", "PUNCT", "punct", 2))
+    assert clauses.split_sentence(ran, False) == [[1, 2, 7], [3, 4, 5, 6]]
+    assert clauses.split_sentence(ran, True) == [[1, 2, 3, 4, 5, 6, 7]]  # four words are too few
+    # five words; it opens with "and" and has no subject, so it is weak
+    ran[7] = ("home", "NOUN", "obl", 4)
+    assert clauses.split_sentence(ran, True) == [[1, 2, 3, 4, 5, 6, 7]]
+    # a subject deeper in the subtree makes it strong; joined again unless asked not to
+    ran[6] = ("letters", "NOUN", "nsubj", 4)
+    assert clauses.split_sentence(ran, True) == [[1, 2, 3, 4, 5, 6, 7]]
+    assert clauses.split_sentence(ran, True, merge=False) == [[1, 2], [3, 4, 5, 6, 7]]
+    # an adjective with a copula is a strict predicate, but no loose one
+    when = words_of(("we", "PRON", "nsubj", 2), ("left", "VERB", "root", None), ("when", "ADV", "mark", 7), ("the", "DET", "det", 5), ("rain", "NOUN", "nsubj", 7), ("was", "AUX", "cop", 7), ("heavy", "ADJ", "advcl", 2), ("outside", "ADV", "advmod", 7))
+    assert clauses.split_sentence(when, False) == [[1, 2, 3, 4, 5, 6, 7, 8]]
+    assert clauses.split_sentence(when, True) == [[1, 2], [3, 4, 5, 6, 7, 8]]
+    # an infinitive of purpose stays
+    go = words_of(("we", "PRON", "nsubj", 2), ("left", "VERB", "root", None), ("early", "ADV", "advmod", 5), ("to", "PART", "mark", 5), ("see", "VERB", "advcl", 2), ("old", "ADJ", "amod", 7), ("friends", "NOUN", "nsubj", 5))
+    go = {n: (*t, "VB" if t[0] == "see" else None) for n, t in go.items()}
+    assert clauses.split_sentence(go, True) == [[1, 2, 3, 4, 5, 6, 7]]
+    go[5] = ("see", "VERB", "advcl", 2, "VBP")
+    assert clauses.split_sentence(go, True) == [[1, 2], [3, 4, 5, 6, 7]]
+    # nested splits: both keep their tokens loosely, the outer one takes all strictly
+    nest = words_of(("a", "NOUN", "root", None), ("b", "NOUN", "nsubj", 3), ("c", "VERB", "advcl", 1), ("d", "NOUN", "obj", 3), ("e", "VERB", "conj", 3), ("f", "NOUN", "obj", 5), ("g", "ADV", "advmod", 5), ("h", "NOUN", "obl", 5), ("i", "ADV", "advmod", 5))
+    assert clauses.split_sentence(nest, False) == [[1], [2, 3, 4, 5, 6, 7, 8, 9], [5, 6, 7, 8, 9]]
+    assert clauses.split_sentence(nest, True) == [[1], [2, 3, 4, 5, 6, 7, 8, 9]]
+    # a bare discourse marker is dropped; a cycle ends
+    assert clauses.split_sentence(words_of(("However", "ADV", "root", None), (",", "PUNCT", "punct", 1)), True) == []
+    assert clauses.split_sentence(words_of(("x", "VERB", "conj", 2), ("y", "VERB", "conj", 1)), False) == [[1, 2]]
+    assert clauses.Part({1: clauses.Token("a", "X", "", None), 2: clauses.Token(",", "X", "", 1)}, [1, 2]).text == "a,"
+
+
+def test_patterns_of_matched_clauses(spark):
+    unit = "k int, pos int, pattern string"
+    left = spark.createDataFrame([(1, 0, "x"), (1, 0, "x"), (1, 0, "y"), (1, 1, "z")], unit)
+    right = spark.createDataFrame([(1, 0, "x"), (1, 0, "w"), (1, 2, "z")], unit)
+    matches = spark.createDataFrame([(1, 0, 0), (1, 1, 2), (1, 5, 5)], "k int, i int, j int")
+    got = {(r["i"], r["j"]): tuple(r)[3:] for r in structure.matched_patterns(matches, left, right, ["k"]).collect()}
+    assert got == {(0, 0): (0.25, 3, 2, 2, 2, 1), (1, 2): (1.0, 1, 1, 1, 1, 1), (5, 5): (0.0, 0, 0, 0, 0, 0)}
+
+
+def test_long_sentences_are_taken_apart_once(spark):
+    """Twice the words take about twice the time, not four times."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"w{x % 97}" for x in range(n)),)], "t string")
+        began = time.perf_counter()
+        df.select(F.size(lexis.phrase_list(F.col("t"), 2)).alias("n"), T.mattr(T.words(F.col("t")))).collect()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 4 * seconds(20_000) + 1
 
 
 def test_clauses_on_spark(spark):
@@ -190,7 +268,7 @@ def test_small_functions(spark):
     import hashlib
     import json
 
-    one = spark.createDataFrame([("a_b_final_essay.md", "<think>x\ny</think> hi </think>", '{"p": " a ", "q": "b"}', "e.md", "A", 3)], "f string, t string, j string, e string, p string, i int")
+    one = spark.createDataFrame([("a_b_final_essay.md", "<think>x\ny</think> hi\n </think>", '{"p": " a\\n", "q": "b"}', "e.md", "A", 3)], "f string, t string, j string, e string, p string, i int")
     r = one.select(
         T.short_name(F.col("f")).alias("n"), T.without_thoughts(F.col("t")).alias("t"), T.flattened_json(F.col("j"), ["p", "q"]).alias("j"), T.flattened_json(F.col("j"), ["p", "z"]).alias("z"),
         T.derived_seed(42, F.col("e"), F.col("p"), F.col("i")).alias("s"), T.fixed(F.lit(0.5)).alias("x"),

@@ -92,7 +92,7 @@ def test_catalogue(spark):
     assert df.count() > 0 and "lex" in df.columns
 
 
-@pytest.mark.parametrize("name", ["responses", "lexical_similarity", "soft_organization", "bootstrap_shift", "between_stability", "continuity"])
+@pytest.mark.parametrize("name", ["responses", "lexical_similarity", "soft_organization", "vectors", "bootstrap_shift", "between_stability", "continuity"])
 def test_against_sql(spark, name):
     import duckdb
 
