@@ -191,11 +191,11 @@ def mixed_documents(
     """
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
     plan = _planned(docs, id_col, text_col, source_col, weights, share, most, seed)
-    plan = plan.groupBy(F.col("id").alias("p_id"), F.col("twin").alias("p_twin"), F.col("source").alias("p_source")).agg(F.sort_array(F.collect_list(copies)).alias("copies"))
-    rows = keyed(docs, id=F.col(id_col), twin=_twin(text_col), source=F.col(source_col))
-    same = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("twin") == F.col("p_twin")) & F.col("source").eqNullSafe(F.col("p_source"))
-    joined = rows.join(plan.filter(F.element_at("copies", -1) > 0), same)
+    # nulls are equal inside a struct; one key column lets the window below read what the join has dealt
+    plan = plan.groupBy(F.struct("id", "twin", "source").alias("key")).agg(F.sort_array(F.collect_list(copies)).alias("copies"))
+    rows = keyed(docs, key=F.struct(F.col(id_col).alias("id"), _twin(text_col).alias("twin"), F.col(source_col).alias("source")))
+    joined = rows.join(plan.filter(F.element_at("copies", -1) > 0), "key")
     # rows that repeat each other are numbered where the join has brought them together
-    turn = F.row_number().over(W.partitionBy("id", "twin", "source").orderBy("twin"))
+    turn = F.row_number().over(W.partitionBy("key").orderBy("key"))
     taken = joined.withColumn("times", F.when(F.size("copies") == 1, F.element_at("copies", 1)).otherwise(F.element_at("copies", turn)))
     return taken.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
