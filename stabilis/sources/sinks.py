@@ -53,3 +53,47 @@ def write_report(path: str, sections: dict[str, DataFrame], title: str = "Stabil
     with open(path, "x", encoding="utf-8") as f:
         f.write(f"# {title}\n" + "".join(f"\n## {name}\n\n{markdown(df)}\n" for name, df in sections.items()))
     return path
+
+
+def append_vectors(vectors: DataFrame, path: str) -> None:
+    """Append vector rows after their rules hold; a broken rule writes nothing."""
+    from stabilis.sources.tables import vector_violations
+
+    if broken := [r["rule"] for r in vector_violations(vectors).collect()]:
+        raise ValueError(f"vector rows break rules: {', '.join(sorted(broken))}")
+    append_by_essay(vectors, path)
+
+
+def numbered(units: DataFrame, key: str, label: str = "label", most: int = 1000) -> str:
+    """Markdown of text units (key, label, pos, text): a heading per text and label, then its units in order.
+
+    For a few texts that someone reads; longer input says how many units are shown.
+    """
+    rows = units.orderBy(key, label, "pos").limit(most + 1).collect()
+    lines, last = [], (None, None)
+    for r in rows[:most]:
+        if r[key] != last[0]:
+            lines += [f"## Filename: {r[key]}", ""]
+        if (r[key], r[label]) != last:
+            lines += [f"### {r[label]}", ""]
+        last = (r[key], r[label])
+        lines.append(f"{r['pos'] + 1}. {r['text']}")
+    return "\n".join(lines + (["", f"More than {most} units; see the data."] if len(rows) > most else []))
+
+
+def match_log(matches: DataFrame, keys: list[str], most: int = 1000) -> str:
+    """Markdown of matches in their order: by pair, first unit, falling score, second unit."""
+    from pyspark.sql import functions as F
+
+    return markdown(matches.orderBy(*keys, "i", F.desc("score"), "j"), most)
+
+
+def calibration_report(scores: DataFrame, metrics: list[str], key: str = "filename") -> str:
+    """Markdown of section pairs (key, place, section_1, section_2, metrics): a table per text and one of means."""
+    from pyspark.sql import functions as F
+
+    name = F.concat_ws("-", "section_1", "section_2").alias("comparison")
+    texts = [r[key] for r in scores.select(key).distinct().orderBy(key).collect()]
+    parts = [f"## {t}\n\n{markdown(scores.filter(F.col(key) == t).orderBy('place').select(name, *metrics))}" for t in texts]
+    means = scores.groupBy("place", name).agg(*[F.avg(m).alias(m) for m in metrics]).orderBy("place").drop("place")
+    return "\n\n".join([*parts, f"## Mean\n\n{markdown(means)}"]) + "\n"

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stabilis.functions.text import stripped
+
 RESPONSES = "essay_file STRING, prompt STRING, response_index INT, response STRING"
 VECTORS = (
     "essay_file STRING, prompt_1 STRING, response_index_1 INT, prompt_2 STRING, response_index_2 INT, "
@@ -38,7 +41,7 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.md", recursive:
     """Whole stripped files with their names: path, filename, text."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
     where = F.input_file_name()
-    return rows.select(where.alias("path"), F.element_at(F.split(where, "/"), -1).alias("filename"), F.trim("value").alias("text"))
+    return rows.select(where.alias("path"), F.element_at(F.split(where, "/"), -1).alias("filename"), stripped(F.col("value")).alias("text"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -56,10 +59,10 @@ def sections(texts: DataFrame, names=("I", "II", "III", "IV"), key: str = "filen
     found = F.regexp_extract_all(F.col(text), F.lit(head), F.lit(1))
     bodies = F.slice(F.split(F.col(text), head), 2, 1 << 20)
     wanted = F.array(*[F.lit(n) for n in names])
-    ok = (F.size(found) == len(names)) & (F.size(F.array_except(wanted, found)) == 0) & ~F.exists(bodies, lambda b: F.trim(F.regexp_replace(b, r"\s+", " ")) == "")
+    ok = (F.size(found) == len(names)) & (F.size(F.array_except(wanted, found)) == 0) & ~F.exists(bodies, lambda b: stripped(b) == "")
     rows = F.arrays_zip(found.alias("section"), bodies.alias("body"))
     checked = F.when(ok, rows).otherwise(F.raise_error(F.concat(F.lit("sections missing, duplicate or empty in "), F.col(key))))
-    return texts.select(key, F.explode(checked).alias("s")).select(key, "s.section", F.trim("s.body").alias("body"))
+    return texts.select(key, F.explode(checked).alias("s")).select(key, "s.section", stripped(F.col("s.body")).alias("body"))
 
 
 def read_metadata(path: str) -> dict:
@@ -93,7 +96,7 @@ def parse_conllu(parses: DataFrame, name: str = "name", conllu: str = "conllu")
 
 def response_violations(responses: DataFrame, expected: int | None = None) -> DataFrame:
     """rule, rows: how often each rule is broken; no row if none is. One pass over rows and one over groups."""
-    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    blank = lambda c: F.col(c).isNull() | (stripped(F.col(c)) == "")
     rows = responses.agg(
         F.count_if(blank("essay_file")).alias("blank_essay"),
         F.count_if(F.coalesce(~F.col("prompt").isin("A", "B"), F.lit(True))).alias("unknown_prompt"),
@@ -122,7 +125,7 @@ def vector_violations(vectors: DataFrame) -> DataFrame:
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     false = F.lit(False)
     rules = {
-        "blank_essay": F.col("essay_file").isNull() | (F.trim("essay_file") == ""),
+        "blank_essay": F.col("essay_file").isNull() | (stripped(F.col("essay_file")) == ""),
         "bad_index": ~F.coalesce((i >= 1) & (j >= 1), false),
         "not_canonical": ~F.coalesce(p1.isin("A", "B") & p2.isin("A", "B") & canonical, false),
         "wrong_type": ~F.coalesce(F.col("comparison_type") == F.concat(p1, p2), false),
@@ -132,3 +135,81 @@ def vector_violations(vectors: DataFrame) -> DataFrame:
     rows = vectors.agg(*[F.count_if(c).alias(n) for n, c in rules.items()], (F.count_distinct("response_count") - 1).alias("several_counts"))
     repeated = vectors.groupBy(*KEYS).count().filter("count > 1").agg(F.count(F.lit(1)).alias("duplicate_key"))
     return _broken(rows.join(F.broadcast(repeated)))
+
+
+def differing(old: dict, new: dict, ignore: tuple[str, ...] = ("complete",)) -> list[str]:
+    """Names whose values differ between two metadata documents; a run resumes only if there are none."""
+    return sorted(k for k in (old.keys() | new.keys()) - set(ignore) if old.get(k) != new.get(k))
+
+
+def check_resume(old: dict, new: dict, ignore: tuple[str, ...] = ("complete",)) -> None:
+    """Raise where a stored run was made with other settings."""
+    if names := differing(old, new, ignore):
+        raise ValueError(f"stored results were made with other settings: {', '.join(names)}")
+
+
+def check_response_resume(old: dict, new: dict) -> None:
+    """Raise unless version, repeats, settings and seed policy are equal and no known essay has changed; new essays may
+    be added. Essays are a name -> digest mapping under ``essays``."""
+    check_resume(old, new, ("complete", "essays"))
+    known, now = old.get("essays", {}), new.get("essays", {})
+    if changed := sorted(e for e in known if known[e] != now.get(e)):
+        raise ValueError(f"essays have changed: {', '.join(changed)}")
+
+
+def check_complete(vectors: DataFrame, metadata: dict) -> None:
+    """Raise unless the metadata says the run ended, and names the essays and the count that the vectors have."""
+    if not metadata.get("complete"):
+        raise ValueError("the vectors are not complete")
+    found = vectors.agg(F.count_distinct("essay_file").alias("n"), F.min("response_count").alias("low"), F.max("response_count").alias("high")).first()
+    missing = vectors.sparkSession.createDataFrame([(e,) for e in metadata["essays"]], "essay_file string").join(vectors.select("essay_file").distinct(), "essay_file", "left_anti")
+    if found["n"] != len(metadata["essays"]) or missing.limit(1).count():
+        raise ValueError("the vectors are of other essays than the metadata names")
+    if not found["low"] == found["high"] == metadata["response_count"]:
+        raise ValueError("the vectors have another response count than the metadata says")
+
+
+def chart_violations(within: DataFrame) -> DataFrame:
+    """rule, rows over a within-essay table: one row per essay and prompt, both prompts, finite values."""
+    needed = ["essay_file", "prompt", "mean_distance", *[f"{c}_mean" for c in COMPONENTS]]
+    if absent := [c for c in needed if c not in within.columns]:
+        raise ValueError(f"missing columns: {', '.join(absent)}")
+    bad = F.lit(False)
+    for c in needed[2:]:
+        bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    rows = within.agg(F.count_if(bad).alias("not_finite"), F.count_if(~F.col("prompt").isin("A", "B")).alias("unknown_prompt"))
+    groups = within.groupBy("essay_file").agg(F.count_if(F.col("prompt") == "A").alias("a"), F.count_if(F.col("prompt") == "B").alias("b"))
+    sums = groups.agg(F.count_if((F.col("a") > 1) | (F.col("b") > 1)).alias("duplicate_row"), F.count_if((F.col("a") == 0) | (F.col("b") == 0)).alias("missing_prompt"))
+    return _broken(rows.join(F.broadcast(sums)))
+
+
+def with_originals(metadata: DataFrame, texts: DataFrame, key: str = "filename") -> DataFrame:
+    """Metadata rows with their original texts; raises (when run) where a text has no file."""
+    found = metadata.join(texts.select(key, F.col("text").alias("original")), key, "left")
+    gone = F.raise_error(F.concat(F.lit("no original for "), F.col(key))).cast("string")
+    return found.withColumn("original", F.when(F.col("original").isNull(), gone).otherwise(F.col("original")))
+
+
+def provided(rows: DataFrame, keys: list[str], text: str, name: str, schema: str, make: Callable[[], Callable[[list[str]], Iterator]], batch: int = 64) -> DataFrame:
+    """The rows with a column ``name`` that a provider makes of each distinct text (parser, embedder, encoder).
+
+    ``make`` builds the provider once per task; it takes a list of at most ``batch`` texts and gives back a value for
+    each, and an error if it does not. Equal texts are sent once; null texts are sent as empty ones.
+    """
+    import pandas as pd
+
+    def run(batches):
+        provider = make()
+        for pdf in batches:
+            values: list = []
+            for k in range(0, len(pdf), batch):
+                part = pdf["text"].iloc[k : k + batch].tolist()
+                got = list(provider(part))
+                if len(got) != len(part):
+                    raise ValueError(f"the provider gave {len(got)} values for {len(part)} texts")
+                values += got
+            yield pd.DataFrame({"text": pdf["text"], "value": pd.Series(values, dtype=object, index=pdf.index)})
+
+    source = rows.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = source.select("text").distinct().mapInPandas(run, f"text string, value {schema}")
+    return rows.join(source.join(made, "text").select(*keys, F.col("value").alias(name)), keys)

@@ -85,6 +85,59 @@ def test_incremental_scoring(spark, tmp_path):
     assert done.count() == 42 == done.select(*tables.KEYS).distinct().count()
 
 
+def test_gates(spark):
+    old = {"repeats": 3, "seed": 1, "complete": False, "essays": {"a": "1"}}
+    tables.check_resume(old, {**old, "complete": True})
+    tables.check_response_resume(old, {**old, "essays": {"a": "1", "b": "2"}})
+    for bad, check in (({**old, "repeats": 4}, tables.check_resume), ({**old, "essays": {"a": "2"}}, tables.check_response_resume), ({**old, "seed": 2}, tables.check_response_resume)):
+        with pytest.raises(ValueError):
+            check(old, bad)
+    row = ("e", "A", 1, "A", 1, "AA", 3, 0.1, 0.2, 0.3, 0.4)
+    vectors = spark.createDataFrame([row], tables.VECTORS)
+    tables.check_complete(vectors, {"complete": True, "essays": ["e"], "response_count": 3})
+    for change in ({"complete": False}, {"essays": ["f"]}, {"essays": ["e", "f"]}, {"response_count": 4}):
+        with pytest.raises(ValueError):
+            tables.check_complete(vectors, {"complete": True, "essays": ["e"], "response_count": 3, **change})
+
+
+def test_chart_rules(spark):
+    names = "essay_file string, prompt string, mean_distance double, " + ", ".join(f"{c}_mean double" for c in tables.COMPONENTS)
+    good = [("e", p, 0.1, 0.1, 0.1, 0.1, 0.1) for p in "AB"]
+    rules = lambda rows: {r["rule"] for r in tables.chart_violations(spark.createDataFrame(rows, names)).collect()}
+    assert rules(good) == set()
+    assert rules([*good, good[0]]) == {"duplicate_row"} and rules(good[:1]) == {"missing_prompt"} and rules([*good[:1], (*good[1][:2], float("nan"), 0.1, 0.1, 0.1, 0.1)]) == {"not_finite"}
+    with pytest.raises(ValueError):
+        tables.chart_violations(spark.createDataFrame(good, names).drop("prompt"))
+
+
+def test_originals_and_providers(spark):
+    meta = spark.createDataFrame([("a",), ("b",)], "filename string")
+    texts = spark.createDataFrame([("a", "x"), ("c", "y")], "filename string, text string")
+    assert [r["original"] for r in tables.with_originals(meta.filter("filename = 'a'"), texts).collect()] == ["x"]
+    with pytest.raises(Exception, match="no original for b"):
+        tables.with_originals(meta, texts).collect()
+    rows = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "aa"), (4, None)], "k int, t string")
+    got = tables.provided(rows, ["k"], "t", "v", "array<double>", lambda: lambda ts: [[float(len(t))] for t in ts], batch=2)
+    assert {r["k"]: r["v"] for r in got.collect()} == {1: [2.0], 2: [1.0], 3: [2.0], 4: [0.0]}
+    with pytest.raises(Exception, match="gave 0 values"):
+        tables.provided(rows, ["k"], "t", "v", "double", lambda: lambda ts: []).collect()
+
+
+def test_logs(spark, tmp_path):
+    units = spark.createDataFrame([("f", "loose", 1, "b"), ("f", "loose", 0, "a"), ("f", "strict", 0, "c")], "name string, label string, pos int, text string")
+    assert sinks.numbered(units, "name").splitlines() == ["## Filename: f", "", "### loose", "", "1. a", "2. b", "### strict", "", "1. c"]
+    found = spark.createDataFrame([(1, 0, 1, 0.5), (1, 0, 0, 0.9)], "k int, i int, j int, score double")
+    assert sinks.match_log(found, ["k"]).splitlines()[2:] == ["| 1 | 0 | 0 | 0.900000 |", "| 1 | 0 | 1 | 0.500000 |"]
+    scores = spark.createDataFrame([(f, n, "I", s, x) for f, x in (("a", 0.5), ("b", 1.0)) for n, s in ((1, "II"), (2, "III"))], "filename string, place int, section_1 string, section_2 string, lex double")
+    report = sinks.calibration_report(scores, ["lex"])
+    assert report.count("## ") == 3 and "| I-II | 0.750000 |" in report
+    bad = spark.createDataFrame([("e", "A", 0, "A", 1, "AA", 3, 0.1, 0.2, 0.3, 0.4)], tables.VECTORS)
+    with pytest.raises(ValueError, match="bad_index"):
+        sinks.append_vectors(bad, str(tmp_path / "v"))
+    sinks.append_vectors(bad.withColumn("response_index_1", F.lit(1)), str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v")).count() == 1
+
+
 def test_catalogue(spark):
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and len(found) >= 40
