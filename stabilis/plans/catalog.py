@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stabilis.functions import text as T
 from stabilis.operators import clauses, lexis, matching, organization, pairs, stability, structure, validation
-from stabilis.plans import oracle
+from stabilis.plans import oracle, texts
 from stabilis.plans.checkpoint import stored
 from stabilis.plans.tokens import synthetic_tokens
 from stabilis.sources import tables
@@ -292,6 +292,10 @@ def text_sizes(spark, sf_dir):
     return docs.select("doc_id", F.size(T.sentences(t)).cast("long").alias("sentences"), F.size(T.words(t)).cast("long").alias("words"), T.english_word_count(t).cast("long").alias("joined_words"))
 
 
+def _parts(f, table="documents"):
+    return lambda spark, sf_dir: rounded(f(_table(spark, sf_dir, table)))
+
+
 def chart_intervals(spark, sf_dir):
     """Observed mean distance of each essay and prompt with its bootstrap interval."""
     v = vectors(spark, sf_dir)
@@ -348,6 +352,15 @@ QUERIES = {
     "sha256_digest": sha256_digest,
     "derived_seed": derived_seed,
     "text_sizes": text_sizes,
+    "paragraphs": _parts(texts.paragraphs),
+    "flat_sentences": _parts(texts.flat_sentences),
+    "cleaned_answers": _parts(texts.cleaned_answers, "conversations"),
+    "flattened_answers": _parts(texts.flattened_answers),
+    "short_names": _parts(texts.short_names),
+    "section_pairs": _parts(texts.section_pairs),
+    "greedy_token_scores": _parts(texts.greedy_token_scores, "embeddings"),
+    "missing_responses": lambda spark, sf_dir: texts.missing_responses(responses(spark, sf_dir)),
+    "conllu_tokens": lambda spark, sf_dir: texts.conllu_tokens(_tokens(spark, sf_dir)),
 }
 
 ORACLE_SQL = oracle.build(K, REPLICATES, SEED)

@@ -104,6 +104,83 @@ def _structure(base: list[str], paired, q) -> dict[str, str]:
     return out
 
 
+def _mtld(tokens: str, name: str) -> str:
+    """A CTE (doc_id, n, the number of words per factor) from ``words`` (doc_id, w): a fold over the words in order."""
+    state = lambda types, size, factors: f"{{'word': '', 'types': {types}, 'size': {size}, 'factors': {factors}}}"
+    start = state("[]::VARCHAR[]", "0::BIGINT", "0::BIGINT")
+    seen = "list_contains(acc.types, el.word)"
+    step = f"""CASE WHEN (len(acc.types) + (NOT {seen})::INT) / (acc.size + 1)::DOUBLE <= 0.72::DOUBLE THEN {state("[]::VARCHAR[]", "0::BIGINT", "acc.factors + 1")}
+        ELSE {state(f"CASE WHEN {seen} THEN acc.types ELSE list_append(acc.types, el.word) END", "acc.size + 1", "acc.factors")} END"""
+    items = f"list_transform({tokens}, lambda word: {{'word': word, 'types': []::VARCHAR[], 'size': 0::BIGINT, 'factors': 0::BIGINT}})"
+    total = "(z.factors + CASE WHEN z.size > 0 THEN (1 - len(z.types) / z.size::DOUBLE) / (1 - 0.72::DOUBLE) ELSE 0.0 END)"
+    return f"""{name} AS (SELECT doc_id, n, CASE WHEN {total} = 0 THEN n::DOUBLE ELSE n / {total} END AS per FROM
+        (SELECT doc_id, len(w) AS n, list_reduce({items}, lambda acc, el: {step}, {start}) AS z FROM words))"""
+
+
+def _hotelling(shift: list[str], q) -> str:
+    """The quadratic form of mean and inverse covariance by elimination: rows and columns 0 to 3 are the covariance,
+    4 is the mean; when the first four are eliminated, the last corner is minus the form."""
+    p = len(COMPONENTS)
+    up = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+
+    def first(i: int, j: int) -> str:
+        if i == p:
+            return "0.0::DOUBLE"
+        return f"avg(delta_{COMPONENTS[i]})" if j == p else f"covar_samp(delta_{COMPONENTS[i]}, delta_{COMPONENTS[j]})"
+
+    ctes = [f"g0 AS (SELECT count(*) AS n, {', '.join(f'{first(i, j)} AS x{i}{j}' for i, j in up)} FROM sh WHERE magnitude IS NOT NULL)"]
+    for k in range(p):
+        kept = ", ".join(f"x{i}{j} - x{k}{i} * x{k}{j} / x{k}{k} AS x{i}{j}" for i, j in up if i > k)
+        ctes.append(f"g{k + 1} AS (SELECT n, {kept} FROM g{k})")
+    ctes.append(f"g AS (SELECT n, -n * x{p}{p} AS t2, (n - {p}) / ({p}.0::DOUBLE * (n - 1)) * (-n * x{p}{p}) AS f, n - {p} AS df2 FROM g{p})")
+    tail = f"df2 / (df2 + {p} * f)"
+    return q(
+        [*shift, *ctes],
+        f"""SELECT 'available' AS status, n AS essays, round(t2, 6) AS t2, round(f, 6) AS f, {p}::INT AS df1, df2::INT AS df2, round(({tail}) ** (df2 / 2.0) * (1 + df2 / 2.0 * (1 - {tail})), 6) AS p FROM g""",
+    )
+
+
+def _flat(text: str) -> str:
+    flat = _stripped(rf"regexp_replace({text}, '\s+', ' ', 'g')")
+    return rf"list_filter(string_split(regexp_replace({flat}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_stripped('x')} <> '')"
+
+
+def _texts() -> dict[str, str]:
+    """SQL of the queries over parts of texts, from the plain columns."""
+    paras = rf"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\n\s*\n', chr(1), 'g'), chr(1)), lambda x: {_stripped('x')}), lambda x: x <> '')"
+    one = f"pa AS (SELECT doc_id, CAST(unnest(range(len(ps))) AS INTEGER) AS p, unnest(ps) AS paragraph FROM (SELECT doc_id, {paras} AS ps FROM documents))"
+    orders = "[[1, 2, 3, 4, 5, 6, 7, 8], [8, 2, 3, 4, 5, 6, 7, 1], [2, 1, 4, 3, 6, 5, 8, 7], [8, 7, 6, 5, 4, 3, 2, 1]]"
+    fields = [_stripped(c) for c in ("lang", "source", "text")]
+    body = {"I": "doc_id", "II": "lang", "III": "source", "IV": "n_chars"}
+    held = ", ".join(f"coalesce({c}::VARCHAR, 'none') AS \"{n}\"" for n, c in body.items())
+    places = [("I", "II"), ("I", "III"), ("II", "III"), ("I", "IV"), ("II", "IV"), ("III", "IV")]
+    dot = lambda x, y: f"list_dot_product({x}::DOUBLE[], {y}::DOUBLE[])"
+    cos = lambda x, y: f"{dot(x, y)} / (sqrt({dot(x, x)}) * sqrt({dot(y, y)}))"
+    four = ", ".join(f"{cos(f'{x}.embedding', f'{y}.embedding')} AS {x}{y}" for x in "ab" for y in "cd")
+    scaled = lambda x: f"round(({x} - 0.25) / 0.75, 6)"
+    return {
+        "mtld": f"""WITH words AS (SELECT doc_id, coalesce({_words('text')}, []) AS w FROM documents), {_mtld('w', 'ahead')}, {_mtld('list_reverse(w)', 'back')}
+            SELECT doc_id, round(CASE WHEN ahead.n = 0 THEN 0.0 ELSE (ahead.per + back.per) / 2 END, 6) AS mtld FROM ahead JOIN back USING (doc_id)""",
+        "paragraphs": f"WITH {one} SELECT * FROM pa",
+        "flat_sentences": f"SELECT doc_id, CAST(unnest(range(len(fs))) AS INTEGER) AS s, unnest(fs) AS sentence FROM (SELECT doc_id, {_flat("coalesce(text, '')")} AS fs FROM documents)",
+        "validation_edits": f"""WITH {one}, fl AS (SELECT doc_id, p, {_flat('paragraph')} AS fs FROM pa),
+            ch AS (SELECT doc_id, fs[1:8] AS fs, row_number() OVER (PARTITION BY doc_id ORDER BY md5(concat_ws('|', 0, doc_id, p)), p) AS rk FROM fl WHERE len(fs) >= 8),
+            tu AS (SELECT doc_id, fs, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 4 + 1 AS INTEGER) AS turn FROM ch WHERE rk = 1)
+            SELECT doc_id, ['keep_same', 'intro_conc_swap', 'adjacent_swap', 'reverse'][turn] AS edit, array_to_string(fs, ' ') AS original,
+            array_to_string(list_transform({orders}[turn], lambda i: fs[i]), ' ') AS edited FROM tu""",
+        "cleaned_answers": f"SELECT conv_id, turn, {_stripped('text')} AS answer FROM conversations",
+        "flattened_answers": f"""SELECT doc_id, CASE WHEN lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL
+            THEN array_to_string(list_filter([{', '.join(fields)}], lambda x: x <> ''), chr(10) || chr(10)) END AS answer FROM documents""",
+        "short_names": """SELECT doc_id, CASE WHEN len(parts) > 2 THEN array_to_string(parts[3:], '_') ELSE stem END AS name, printf('%.6f', n_chars / 8::DOUBLE) AS shown
+            FROM (SELECT *, string_split(stem, '_') AS parts FROM (SELECT *, concat_ws('_', lang, 'set', source, doc_id || '.x') AS stem FROM documents))""",
+        "section_pairs": f"WITH se AS (SELECT doc_id, {held} FROM documents)\n"
+        + " UNION ALL ".join(f"""SELECT doc_id, '{a}' AS section_1, "{a}" AS body_1, '{b}' AS section_2, "{b}" AS body_2, {n} AS place FROM se""" for n, (a, b) in enumerate(places, 1)),
+        "greedy_token_scores": f"""WITH c4 AS (SELECT a.vec_id AS pair_id, {four} FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2 JOIN embeddings d ON d.vec_id = a.vec_id + 3),
+            pr AS (SELECT pair_id, (greatest(ac, ad) + 2 * greatest(bc, bd)) / 3 AS p, (3 * greatest(ac, bc) + greatest(ad, bd)) / 4 AS r FROM c4)
+            SELECT pair_id, {scaled('p')} AS precision, {scaled('r')} AS recall, {scaled('coalesce(2 * p * r / nullif(p + r, 0), 0.0)')} AS f1 FROM pr""",
+    }
+
+
 def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     base = [
         """r0 AS (SELECT CAST(conv_id AS VARCHAR) AS essay_file, CASE role WHEN 'user' THEN 'A' ELSE 'B' END AS prompt,
@@ -248,6 +325,15 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     )
     structure = _structure(base, paired, q)
     parse = structure.pop("ctes")
+    out["conllu_tokens"] = q(
+        parse,
+        """SELECT rid, CAST(sentence_id AS INTEGER) AS sentence_id, CAST(token_id AS INTEGER) AS token_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY sentence_id, token_id) AS INTEGER) AS global_token_id,
+        text, upos, CAST(coalesce(head, 0) AS INTEGER) AS head_token_id, rel AS dependency_relation FROM tk JOIN (SELECT rid, sentence_id, t + 1 AS token_id, text FROM wd) USING (rid, sentence_id, token_id)""",
+    ).replace("WITH r0", "WITH RECURSIVE r0", 1)
+    out["missing_responses"] = q(
+        base,
+        "SELECT * FROM (SELECT essay_file, prompt, CAST(i AS INTEGER) AS response_index FROM (SELECT DISTINCT essay_file FROM responses), (VALUES ('A'), ('B')) p(prompt), range(1, 6) r(i)) ANTI JOIN responses USING (essay_file, prompt, response_index)",
+    )
     picked = "('0x' || substr(md5(response), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)"
     cos = f"{dot('embedding_1', 'embedding_2')} / (sqrt({dot('embedding_1', 'embedding_1')}) * sqrt({dot('embedding_2', 'embedding_2')}))"
     meaning = [
@@ -304,6 +390,7 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     deltas = [f"delta_{c}" for c in COMPONENTS]
     out["prompt_shift"] = q(shift, f"SELECT essay_file, {rounds([*sides, *[f'baseline_{c}' for c in COMPONENTS], *deltas, 'magnitude'])} FROM sh")
     out["overall_prompt_shift"] = q(shift, f"SELECT count(magnitude) AS essay_count, {', '.join(f'round(avg({x}), 6) AS {x}' for x in ['magnitude', *deltas])} FROM sh")
+    out["hotelling_t2"] = _hotelling(shift, q)
     draw = lambda attempt: f"list_transform(range(1, k + 1), lambda slot: {_hash(str(seed), 'essay_file', 'prompt', 'replicate', str(attempt), 'slot')} % k + 1)"
     again = "len(list_distinct(ids)) < 2"
     last = 40
@@ -347,4 +434,4 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
         if "vectors AS MATERIALIZED" in sql:
             out[name] = sql.replace("WITH r0", "WITH RECURSIVE r0", 1)
     out["stratified_sample"] = """SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', 0, doc_id)), doc_id) AS n FROM documents) WHERE n <= 10"""
-    return out
+    return out | _texts()

@@ -145,7 +145,7 @@ def test_catalogue(spark):
     assert df.count() > 0 and "lex" in df.columns
 
 
-@pytest.mark.parametrize("name", ["responses", "lexical_similarity", "soft_organization", "vectors", "bootstrap_shift", "between_stability", "continuity"])
+@pytest.mark.parametrize("name", ["responses", "lexical_similarity", "soft_organization", "vectors", "bootstrap_shift", "between_stability", "continuity", "hotelling_t2", "mtld", "validation_edits", "cleaned_answers", "flattened_answers", "short_names", "section_pairs", "greedy_token_scores", "missing_responses", "conllu_tokens"])
 def test_against_sql(spark, name):
     import duckdb
 
