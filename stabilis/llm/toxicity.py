@@ -21,7 +21,7 @@ FEATURE_BITS, GRAMS = 20, (5, 7)
 #: Score from which a text is predicted toxic.
 CUT = 0.3
 #: Bytes that are hashed at a time.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 #: ASCII letters are folded, other ASCII becomes a blank.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
@@ -183,14 +183,12 @@ def classify(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> D
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(texts):
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
         m = sent.value
         w, stamp = m.table(), np.zeros(1 << FEATURE_BITS, np.int32)
-        raws = (np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8) for t in texts)
-        import pandas as pd
-
-        return pd.Series([m.score(float(w[present(raw, stamp)].sum(dtype=np.float64)) + m.bias) for raw in raws], dtype="float64")
+        raw, off = utf8_buffer(texts)
+        return pa.array([m.score(float(w[present(raw[a:b], stamp)].sum(dtype=np.float64)) + m.bias) for a, b in zip(off, off[1:])], pa.float64())
 
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*rest, run(F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
