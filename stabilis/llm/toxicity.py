@@ -26,9 +26,8 @@ _CHUNK = 1 << 18
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
 
-def _hashes(raw: np.ndarray) -> np.ndarray:
-    """Features of a text, repeats included: one per byte and n-gram length; a blank is put before and after."""
-    text = np.concatenate([[np.uint8(32)], _FOLD[raw], [np.uint8(32)]])
+def _hashes(text: np.ndarray) -> np.ndarray:
+    """Features of folded bytes, repeats included: one per place and n-gram length."""
     word = words_at(text)
     out = []
     for n in GRAMS:
@@ -40,11 +39,13 @@ def _hashes(raw: np.ndarray) -> np.ndarray:
 
 
 def present(raw: np.ndarray, stamp: np.ndarray) -> np.ndarray:
-    """Distinct features of a text. ``stamp`` is scratch of one integer per feature and needs no clearing."""
-    reach = max(GRAMS)
+    """Distinct features of a text with a blank before and after it. ``stamp`` is scratch of one integer per feature
+    and needs no clearing."""
+    text = np.concatenate([[np.uint8(32)], _FOLD[raw], [np.uint8(32)]])
+    reach = max(GRAMS) - 1
     parts = []
-    for a in range(0, max(len(raw), 1), _CHUNK):
-        h = _hashes(raw[a : a + _CHUNK + reach])
+    for a in range(0, len(text), _CHUNK):
+        h = _hashes(text[a : a + _CHUNK + reach])
         order = np.arange(len(h), dtype=np.int32)
         stamp[h] = order
         parts.append(h[stamp[h] == order])

@@ -521,7 +521,7 @@ def test_present_counts_each_feature_once():
     stamp = np.zeros(1 << toxicity.FEATURE_BITS, np.int32)
     once = toxicity.present(np.frombuffer(b"some words here some words here", np.uint8), stamp)
     assert len(once) == len(set(once.tolist()))
-    assert set(once.tolist()) == set(toxicity._hashes(np.frombuffer(b"some words here some words here", np.uint8)).tolist())
+    assert set(once.tolist()) == set(toxicity._hashes(np.frombuffer(b" some words here some words here ", np.uint8)).tolist())
 
 
 # SimHash
@@ -577,3 +577,16 @@ def test_links_keep_components(spark, crowded, few, monkeypatch):
     want = grouped(fps)
     parts = lambda f: sorted(sorted(x for x in fps if f(x) == k) for k in {f(x) for x in fps})
     assert parts(lambda x: roots.get(x, x)) == parts(lambda x: want[x])
+
+
+def test_toxicity_features_do_not_depend_on_chunks(monkeypatch):
+    """A long text is hashed in pieces; its features are those of the whole."""
+    from stabilis.llm import toxicity
+
+    raw = np.random.default_rng(3).integers(97, 123, 5_000).astype(np.uint8)
+    for size in (0, 1, 6, 7, 99, 5_000):
+        monkeypatch.setattr(toxicity, "_CHUNK", 1 << 18)
+        whole = set(toxicity.present(raw[:size], np.zeros(1 << toxicity.FEATURE_BITS, np.int32)).tolist())
+        monkeypatch.setattr(toxicity, "_CHUNK", 64)
+        parts = toxicity.present(raw[:size], np.zeros(1 << toxicity.FEATURE_BITS, np.int32)).tolist()
+        assert set(parts) == whole and len(parts) == len(set(parts))
