@@ -1,11 +1,11 @@
-"""Queries of the ten training-data operators over their whole tables, and SQL for those that SQL can express."""
+"""Queries of the training-data operators over their whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from stabilis.llm import bpe, exactdedup, isomedia, langid, lpf, mixing, secrets, simhash, toxicity, urltree
+from stabilis.llm import bpe, exactdedup, isomedia, langid, lpf, mixing, phrases, resampling, secrets, simhash, toxicity, tput, urltree
 from stabilis.llm.common import held_out, table
 
 
@@ -55,6 +55,18 @@ def op4_url_filters(spark, sf_dir):
     return urltree.url_verdicts(table(spark, sf_dir, "pages"), shapes=True).withColumn("risk", F.round("risk", 6))
 
 
+def op11_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return tput.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrases(spark, sf_dir):
+    return phrases.removal_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op10_bpe": op10_bpe,
@@ -66,8 +78,13 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op1_language_id": op1_language_id,
     "op5_iso_media": op5_iso_media,
+    "op11_resampling": op11_resampling,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_phrases": op13_phrases,
 }
 
+
+
 def _secret_sql() -> str:
     """Positions from splitting at each pattern, then a self-join within ``SCOPE`` characters for weak parts."""
     kinds, ctes, parts = list(secrets.KINDS), [], []
@@ -161,7 +178,65 @@ def _url_sql() -> str:
     )
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _resampling_sql() -> str:
+    """CRC-32 bit by bit in a table made by rule, then byte by byte over each distinct feature."""
+    b = resampling.BUCKETS
+    grams = lambda name: f"""SELECT uid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+            list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM {name}"""
+    words = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {words} AS w FROM documents),
+        q AS (SELECT row_number() OVER () AS uid, {words} AS w FROM benchmark),
+        df AS ({grams('d')}), qf AS ({grams('q')}),
+        crc AS (SELECT list(v ORDER BY n) AS c FROM (SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(n))),
+        e AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM qf)),
+        y AS (SELECT f, list_transform(range(1, length(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT) AS bytes FROM e),
+        k AS (SELECT f, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, z: xor(a >> 8, c[(xor(a, z) & 255) + 1])), 4294967295) % {b} AS bucket FROM y, crc),
+        s AS (SELECT bucket, count(*) AS s FROM df JOIN k USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM qf JOIN k USING (f) GROUP BY bucket),
+        g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + {b}) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM qf) + {b})))) AS BIGINT) AS gain
+            FROM (SELECT n AS bucket FROM range({b}) r(n)) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+        w AS (SELECT uid, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM df JOIN k USING (f) JOIN g USING (bucket) GROUP BY uid),
+        h AS (SELECT uid, doc_id, len(w) AS n_words, ('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d),
+        o AS (SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h LEFT JOIN w USING (uid)),
+        r AS (SELECT *, n_words >= {resampling.LEAST_WORDS} AS fits, row_number() OVER (PARTITION BY n_words >= {resampling.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST) AS n FROM o)
+        SELECT doc_id, n_features, weight, score, CASE WHEN fits AND n <= {resampling.PERCENT} * (SELECT count(*) FROM r WHERE fits) // 100 THEN n END AS rank FROM r"""
+
+
+def _search_sql() -> str:
+    """All scores of all pairs that share a term."""
+    words = lambda name: f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM {name}"
+    return f"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {words('documents')}),
+        q AS (SELECT row_number() OVER () AS qid, item_id, {words('benchmark')}),
+        z AS (SELECT count(*) FILTER (WHERE len(w) > 0)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d),
+        p AS (SELECT uid, doc_id, 100 - 90 + (90 * len(w) * n) // l AS m, unnest(w) AS term FROM d, z WHERE len(w) > 0),
+        f AS (SELECT uid, doc_id, m, term, count(*) AS tf FROM p GROUP BY ALL),
+        i AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, z GROUP BY term, n),
+        s AS (SELECT qid, item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM (SELECT DISTINCT qid, item_id, unnest(w) AS term FROM q) JOIN i USING (term) JOIN f USING (term) GROUP BY qid, item_id, uid, doc_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {tput.TOP}"""
+
+
+def _phrases_sql() -> str:
+    """All windows as text, and the first place of each."""
+    n = phrases.LENGTH
+    return f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS uid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        v AS (SELECT uid, unnest(range(1, len(w) - {n - 2})) AS a, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS phrase FROM d WHERE len(w) >= {n}),
+        f AS (SELECT phrase, min((uid, a)) AS first FROM v GROUP BY phrase),
+        c AS (SELECT DISTINCT uid, unnest(range(a, a + {n})) AS k FROM v JOIN f USING (phrase) WHERE (uid, a) <> first),
+        x AS (SELECT uid, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
+        y AS (SELECT uid, count(*) AS kept, string_agg(word, ' ' ORDER BY k) AS rest FROM x ANTI JOIN c USING (uid, k) GROUP BY uid)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM d LEFT JOIN y USING (uid)"""
+
+
 ORACLE_SQL = {
+    "op11_resampling": _resampling_sql(),
+    "op12_ranked_search": _search_sql(),
+    "op13_phrases": _phrases_sql(),
     "op4_url_filters": _url_sql(),
     "op6_secrets": _secret_sql(),
     "op8_exact_dedup": r"""

@@ -38,6 +38,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with ``rank``, 1, 2, 3 ... in the given total order. The sort is dealt by ranges; the driver sees only the number
+    of rows of each range. No column of df may be named rank."""
+    low = 33  # bits of a row's number within its partition
+    rows = checkpointed(df.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()))
+    part = F.shiftright("rank", low)
+    counts = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    ahead = np.cumsum([0, *[n for _, n in counts]])[:-1].tolist()
+    offsets = df.sparkSession.createDataFrame([(p, a) for (p, _), a in zip(counts, ahead)], "ranked_part long, ranked_ahead long")
+    inside = F.col("rank").bitwiseAND(F.lit((1 << low) - 1))
+    return (
+        rows.join(F.broadcast(offsets), part == F.col("ranked_part"))
+        .withColumn("rank", F.col("ranked_ahead") + inside + 1)
+        .drop("ranked_part", "ranked_ahead")
+    )
+
+
 def keyed(docs: DataFrame, **keys: Column) -> DataFrame:
     """The rows as one struct column ``row``, and keys beside it; no name of theirs can clash."""
     return docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()])
@@ -58,6 +75,23 @@ def utf8_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def words_of(raw: np.ndarray, off: np.ndarray, word: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of documents (a buffer and its n + 1 offsets), folded, a space after each, as one buffer; first byte, length
+    and document of each word. ``word`` tells for each byte whether it belongs to a word, ``fold`` what it becomes."""
+    # a blank after every document, so that no word goes from one into the next
+    spaced = np.insert(raw, off[1:] - off[0], 32)
+    inside = word[spaced]
+    step = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    kept = inside.copy()
+    kept[last] = True
+    joined = np.where(inside, fold[spaced], np.uint8(32))[kept]
+    size = last - first
+    begin = np.cumsum(size + 1) - size - 1
+    ends = off[1:] - off[0] + np.arange(1, len(off))
+    return joined, begin, size, np.searchsorted(ends, first, "right")
+
+
 def words_at(raw: np.ndarray) -> np.ndarray:
     """The little-endian 64-bit word that starts at each byte; the last seven reach into zero padding."""
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
