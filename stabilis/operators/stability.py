@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stabilis.plans.checkpoint import checkpointed
 from stabilis.sources.tables import COMPONENTS
 
 METRICS = ["mean_distance", *[f"{c}_mean" for c in COMPONENTS]]
@@ -42,22 +43,69 @@ def within_stability(vectors: DataFrame) -> DataFrame:
     )
 
 
-def described(values: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """count, mean, sd, min, q1, median, q3, max, iqr, range, cv per group; undefined ones are null."""
-    q = values.groupBy(*groups).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-    )
-    q1, q3 = F.get("q", F.lit(0)), F.get("q", F.lit(2))
+#: Ranges that a group's values are dealt to in each of two rounds before the wanted ranks are looked for.
+RANGES = 4_096
+
+
+def _narrowed(rows: DataFrame, wanted: DataFrame, groups: list[str], small) -> tuple[DataFrame, DataFrame]:
+    """Deal each part of each group to ranges between its smallest and largest value; keep the ranges that hold a wanted rank.
+
+    ``rows`` has groups, part and value, ``wanted`` groups, part, rank (from 0, within the part) and place. Counts per range
+    are combined before they are shuffled.
+    """
+    keys = [*groups, "part"]
+    ends = rows.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    share = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
+    dealt = rows.join(small(ends), keys).withColumn("range", F.coalesce(F.least(F.floor(share * RANGES), F.lit(RANGES - 1)), F.lit(0).cast("long"))).drop("low", "high")
+    counts = dealt.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    found = wanted.join(counts.withColumn("before", before), keys).filter("rank >= before AND rank < before + n")
+    found = found.select(*groups, F.concat_ws("/", "part", "range").alias("part"), (F.col("rank") - F.col("before")).alias("rank"), "place")
+    kept = dealt.select(*groups, F.concat_ws("/", "part", "range").alias("part"), "value")
+    return kept.join(small(found.select(*keys).distinct()), keys, "left_semi"), found
+
+
+def at_ranks(values: DataFrame, wanted: DataFrame, groups: list[str], value: str, few: bool) -> DataFrame:
+    """groups, place and value of the values at wanted ranks (groups, rank from 0, place): exact, and no task holds a group.
+
+    Two rounds of counts per range leave the ranges that hold a wanted rank; their distinct values are numbered. ``few``
+    says that the number of groups has a bound, so that tables by group may be broadcast.
+    """
+    small = F.broadcast if few else (lambda df: df)
+    rows = values.select(*groups, F.lit("").alias("part"), F.col(value).alias("value")).filter("value IS NOT NULL")
+    wanted = wanted.withColumn("part", F.lit(""))
+    for _ in range(2):
+        rows, wanted = _narrowed(rows, wanted, groups, small)
+    keys = [*groups, "part"]
+    counts = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    to = F.sum("n").over(W.partitionBy(*keys).orderBy("value"))
+    return counts.withColumn("to", to).join(wanted, keys).filter("rank >= to - n AND rank < to").select(*groups, "place", "value")
+
+
+def described(values: DataFrame, groups: list[str], value: str, few: bool = False) -> DataFrame:
+    """count, mean, sd, min, q1, median, q3, max, iqr, range, cv per group; undefined ones are null, and null values do not
+    count. Quartiles are exact and interpolated; see ``at_ranks`` for ``few``. A null in a group column is an error."""
+    sums = values.groupBy(*groups).agg(
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max")
+    )
+    names = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    place = {n: (F.col("count") - 1) * F.lit(q) for n, q in names.items()}
+    ranks = F.array(*[F.struct(F.lit(f"{n}_{side}").alias("place"), f(place[n]).cast("long").alias("rank")) for n in names for side, f in (("low", F.floor), ("high", F.ceil))])
+    wanted = sums.filter("count > 0").select(*groups, F.explode(ranks).alias("x")).select(*groups, "x.place", "x.rank")
+    found = at_ranks(values, wanted, groups, value, few).groupBy(*groups)
+    found = found.agg(*[F.max(F.when(F.col("place") == f"{n}_{side}", F.col("value"))).alias(f"{n}_{side}") for n in names for side in ("low", "high")])
+    between = lambda n: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (place[n] - F.floor(place[n]))
+    q = sums.join(F.broadcast(found) if few else found, groups, "left").withColumns({n: between(n) for n in names})
     return q.select(
-        *groups, "count", "mean", "sd", "min", q1.alias("q1"), F.get("q", F.lit(1)).alias("median"), q3.alias("q3"), "max",
-        (q3 - q1).alias("iqr"), (F.col("max") - F.col("min")).alias("range"), F.try_divide("sd", "mean").alias("cv"),
+        *groups, "count", "mean", "sd", "min", "q1", "median", "q3", "max",
+        (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("max") - F.col("min")).alias("range"), F.try_divide("sd", "mean").alias("cv"),
     )
 
 
 def between_stability(within: DataFrame) -> DataFrame:
-    """``described`` across essays per prompt and metric."""
-    return described(within.select("prompt", *METRICS).unpivot("prompt", METRICS, "metric", "value"), ["prompt", "metric"], "value")
+    """``described`` across essays per prompt and metric: two prompts and five metrics, ten groups of any size."""
+    values = checkpointed(within.select("prompt", *METRICS)).unpivot("prompt", METRICS, "metric", "value")
+    return described(values, ["prompt", "metric"], "value", few=True)
 
 
 def _contrast(rows: DataFrame, keys: list[str], side) -> DataFrame:
@@ -83,25 +131,39 @@ def overall_shift(shifts: DataFrame) -> DataFrame:
 DELTAS = ["magnitude", *[f"delta_{c}" for c in COMPONENTS]]
 #: Attempts at a sample with two different responses before it counts as impossible.
 ATTEMPTS = 40
+#: Replicates that are made at a time, and cells (replicates x pairs) that a tile of them may have.
+CHUNK, TILE = 1_250, 1 << 19
+#: Fixed values of the counter-based generator: steps between counters, multipliers of the mixer.
+REPLICATE_STEP, SLOT_STEP, MIX = 0x9E3779B1, 0x85EBCA6B, (0x7FEB352D, 0x846CA68B)
+_LOW32 = np.uint64(0xFFFFFFFF)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """32 near-random bits for each of 32 bits (held in 64)."""
+    for shift, factor in zip((16, 15), MIX):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & _LOW32
+    return x ^ (x >> np.uint64(16))
 
 
-def drawn(seed: int, essay: str, prompt: str, k: int, replicates: int, attempts: int = ATTEMPTS) -> np.ndarray:
-    """Seeded samples of k responses with replacement, a row per replicate, ids from 1.
+def drawn(seed: int, essay: str, prompt: str, k: int, first: int, replicates: int, attempts: int = ATTEMPTS) -> np.ndarray:
+    """Seeded samples of k responses with replacement, a row for each of so many replicates from ``first`` (1, 2, ...) on;
+    ids from 1.
 
-    Draws are hashes of (seed, essay, prompt, replicate, attempt, slot). The first attempt with two different ids
-    counts; it raises if a sample fails every time.
+    Draws are mixed counters: a key from (seed, essay, prompt), a step for each replicate, a step for each slot of each
+    attempt; any replicate can be drawn by itself. The first attempt with two different ids counts; it raises if a sample
+    fails every time.
     """
-    out = np.empty((replicates, k), np.int64)
-    for r in range(replicates):
-        for attempt in range(attempts):
-            head = f"{seed}|{essay}|{prompt}|{r + 1}|{attempt}|"
-            ids = [int(hashlib.md5(f"{head}{slot}".encode()).hexdigest()[:8], 16) % k + 1 for slot in range(1, k + 1)]
-            if min(ids) < max(ids):
-                break
-        else:
-            raise ValueError("a bootstrap sample kept a single response")
-        out[r] = ids
-    return out
+    key = int(hashlib.md5(f"{seed}|{essay}|{prompt}".encode()).hexdigest()[:8], 16)
+    stream = _mixed((np.uint64(key) + np.arange(first, first + replicates, dtype=np.uint64) * np.uint64(REPLICATE_STEP)) & _LOW32)
+    out, open_ = np.empty((replicates, k), np.int64), np.arange(replicates)
+    for attempt in range(attempts):
+        slots = np.arange(attempt * k, (attempt + 1) * k, dtype=np.uint64) * np.uint64(SLOT_STEP)
+        ids = (_mixed((stream[open_, None] + slots) & _LOW32) % np.uint64(k)).astype(np.int64) + 1
+        out[open_] = ids
+        open_ = open_[ids.min(1) == ids.max(1)]
+        if not len(open_):
+            return out
+    raise ValueError("a bootstrap sample kept a single response")
 
 
 def counted(ids: np.ndarray, k: int) -> np.ndarray:
@@ -110,98 +172,123 @@ def counted(ids: np.ndarray, k: int) -> np.ndarray:
     return np.bincount(rows.ravel(), minlength=len(ids) * (k + 1)).reshape(len(ids), k + 1).astype(float)
 
 
-def weighted_means(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    """Per sample: mean distance to its centroid and the centroid, of pairs (i, j) that weigh the product of the
-    counts of both ids: as often as pairs of slots show them."""
-    weight = first[:, i] * second[:, j]
-    total = weight.sum(1, keepdims=True)
+def weighted_means(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray, distances: bool = True) -> np.ndarray:
+    """Per sample: mean distance to its centroid (if asked for) and the centroid, of pairs (i, j) that weigh the product of
+    the counts of both ids: as often as pairs of slots show them. Pairs are walked in tiles."""
+    step = max(1, TILE // max(1, len(first)))
+    tiles = [slice(a, a + step) for a in range(0, len(i), step)]
+    total, centre, apart = np.zeros((len(first), 1)), np.zeros((len(first), scores.shape[1])), np.zeros((len(first), 1))
+    for t in tiles:
+        weight = first[:, i[t]] * second[:, j[t]]
+        total += weight.sum(1, keepdims=True)
+        centre += weight @ scores[t]
     with np.errstate(invalid="ignore", divide="ignore"):
-        centre = weight @ scores / total
-        distance = np.sqrt(((scores[None] - centre[:, None]) ** 2).sum(2))
-        return np.concatenate([(weight * distance).sum(1, keepdims=True) / total, centre], 1)
-
-
-#: Samples whose distances are held at a time.
-_SLICE = 1_000
-
-
-def _resampled(rows, essay: str, replicates: int, seed: int) -> dict[str, np.ndarray]:
-    """Mean distance and centroid of every replicate by comparison type. A prompt with a single response has none."""
-    kinds: dict[str, list] = {"AA": [], "BB": [], "AB": []}
-    size = {"A": 0, "B": 0}
-    for kind, i, j, *scores in rows:
-        if kind not in kinds:
-            continue
-        if kind != "AB":
-            size[kind[0]] = max(size[kind[0]], i, j)
-        if kind == "AB" or i != j:
-            kinds[kind].append((i, j, *scores))
-    counts = {p: counted(drawn(seed, essay, p, k, replicates), k) for p, k in size.items() if k > 1}
+        centre /= total
+        if not distances:
+            return centre
+        for t in tiles:
+            square = sum((scores[t, c] - centre[:, c, None]) ** 2 for c in range(scores.shape[1]))
+            apart += (first[:, i[t]] * second[:, j[t]] * np.sqrt(square)).sum(1, keepdims=True)
+        return np.concatenate([apart / total, centre], 1)
+
+
+def _resampled(pairs: dict[str, np.ndarray], essay: str, first: int, replicates: int, seed: int, distances: bool) -> dict[str, np.ndarray]:
+    """``weighted_means`` of so many replicates from ``first`` on by comparison type, of tables (i, j, components). A prompt
+    with a single response has none. Cross pairs have no distances."""
+    counts, size = {}, {}
+    for kind in ("AA", "BB"):
+        if len(pairs[kind]):
+            size[kind[0]] = int(pairs[kind][:, :2].max())
+    for p, k in size.items():
+        if k > 1:
+            counts[p] = counted(drawn(seed, essay, p, k, first, replicates), k)
     out = {}
-    for kind, pairs in kinds.items():
-        if pairs and kind[0] in counts and kind[1] in counts:
-            table = np.array(pairs, float)
+    for kind, table in pairs.items():
+        if kind != "AB":
+            table = table[table[:, 0] != table[:, 1]]
+        if len(table) and kind[0] in counts and kind[1] in counts:
             i, j = table[:, 0].astype(int), table[:, 1].astype(int)
-            out[kind] = np.concatenate(
-                [weighted_means(counts[kind[0]][r : r + _SLICE], counts[kind[1]][r : r + _SLICE], i, j, table[:, 2:]) for r in range(0, replicates, _SLICE)]
-            )
+            out[kind] = weighted_means(counts[kind[0]], counts[kind[1]], i, j, table[:, 2:], distances and kind != "AB")
     return out
 
 
-def _replicated(vectors: DataFrame, replicates: int, seed: int, groups: str, names: list[str], rows_of) -> DataFrame:
-    """One row per essay meets its own samples; an essay has some K * K pairs, however many essays there are."""
+def _replicated(vectors: DataFrame, replicates: int, seed: int, groups: list[str], names: list[str], kinds: list[str], distances: bool, rows_of, arrays: bool) -> DataFrame:
+    """Replicates of every essay, a row each or (``arrays``) as one array per group and chunk.
+
+    Essays (some K * K pairs each) are dealt with chunks of their replicates, so that few essays fill all cores too. The
+    number of partitions is given, as there is far more to compute than to shuffle.
+    """
     if replicates < 1 or seed < 0:
         raise ValueError("replicates must be at least 1 and seed at least 0")
-    essays = vectors.groupBy("essay_file").agg(F.collect_list(F.struct("comparison_type", "response_index_1", "response_index_2", *COMPONENTS)).alias("pairs"))
+    spark = vectors.sparkSession
+    rows = vectors.filter(F.col("comparison_type").isin(*kinds))
+    essays = rows.groupBy("essay_file").agg(F.collect_list(F.struct("comparison_type", F.array(F.col("response_index_1").cast("double"), F.col("response_index_2").cast("double"), *COMPONENTS).alias("row"))).alias("pairs"))
+    dealt = essays.select("essay_file", "pairs", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(CHUNK))).alias("first"))
+    dealt = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "essay_file", "first")
+
+    def made(essay, pairs, first):
+        # tables of pairs in one order, whatever order the shuffle gave
+        kind, row = pairs.field("comparison_type").to_numpy(zero_copy_only=False), pairs.field("row").flatten().to_numpy()
+        row = row.reshape(-1, 2 + len(COMPONENTS))
+        tables = {k: row[kind == k] for k in kinds}
+        tables = {k: t[np.lexsort((t[:, 1], t[:, 0]))] for k, t in tables.items()}
+        return rows_of(essay, _resampled(tables, essay, first, min(CHUNK, replicates - first + 1), seed, distances))
 
     def run(batches):
         for batch in batches:
-            for essay, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = list(rows_of(essay, _resampled([tuple(p.values()) for p in pairs], essay, replicates, seed)))
-                if found:
-                    columns = [pa.array([f[n] for f in found]) for n in range(len(found[0]) - 1)]
-                    values = [pa.array([f[-1][:, n] for f in found], pa.list_(pa.float64())) for n in range(len(names))]
-                    yield pa.record_batch(columns + values, names=[*[g.split()[0] for g in groups.split(", ")], *names])
-
-    return essays.mapInArrow(run, f"{groups}, " + ", ".join(f"{n} array<double>" for n in names))
-
-
-def within_replicates(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """essay_file, prompt and per metric the array of its values in every replicate of the resampled responses."""
+            pairs = batch.column(1)
+            ends = pairs.offsets.to_numpy()
+            for n, (essay, first) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                for *group, found in made(essay, pairs.values.slice(ends[n], ends[n + 1] - ends[n]), first):
+                    size = len(found)
+                    values = [pa.array(np.ascontiguousarray(found[:, c])) for c in range(len(names))]
+                    if arrays:
+                        ahead = pa.array([0, size], pa.int32())
+                        yield pa.record_batch([*[pa.array([g]) for g in group], pa.array([first], pa.int32()), *[pa.ListArray.from_arrays(ahead, v) for v in values]], names=[*groups, "first", *names])
+                    else:
+                        keys = [pa.array([g]).take(pa.array(np.zeros(size, np.int64))) for g in group]
+                        yield pa.record_batch([*keys, pa.array(np.arange(first, first + size, dtype=np.int32)), *values], names=[*groups, "replicate", *names])
+
+    kind = "array<double>" if arrays else "double"
+    schema = ", ".join([*[f"{g} string" for g in groups], "first int" if arrays else "replicate int", *[f"{n} {kind}" for n in names]])
+    found = dealt.mapInArrow(run, schema)
+    if not arrays:
+        return found
+    chunks = found.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("first", *names))).alias("c"))
+    return chunks.select(*groups, *[F.flatten(F.col(f"c.{n}")).alias(n) for n in names])
+
+
+def within_replicates(vectors: DataFrame, replicates: int, seed: int, arrays: bool = True) -> DataFrame:
+    """essay_file, prompt and per metric the array of its values in every replicate of the resampled responses (or,
+    without ``arrays``, replicate and its values, a row each)."""
 
     def rows(essay, found):
-        for kind in ("AA", "BB"):
-            if kind in found:
-                yield essay, kind[0], found[kind]
+        return [(essay, kind[0], found[kind]) for kind in ("AA", "BB") if kind in found]
 
-    return _replicated(vectors, replicates, seed, "essay_file string, prompt string", METRICS, rows)
+    return _replicated(vectors, replicates, seed, ["essay_file", "prompt"], METRICS, ["AA", "BB"], True, rows, arrays)
 
 
-def shift_replicates(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """essay_file and, for the magnitude and shift of the prompt contrast, the array of its values in every replicate."""
+def shift_replicates(vectors: DataFrame, replicates: int, seed: int, arrays: bool = True) -> DataFrame:
+    """essay_file and, for the magnitude and shift of the prompt contrast, the array of its values in every replicate (or,
+    without ``arrays``, replicate and its values, a row each)."""
 
     def rows(essay, found):
-        if len(found) == 3:
-            delta = found["AB"][:, 1:] - (found["AA"][:, 1:] + found["BB"][:, 1:]) / 2
-            yield essay, np.concatenate([np.sqrt((delta**2).sum(1, keepdims=True)), delta], 1)
-
-    return _replicated(vectors, replicates, seed, "essay_file string", DELTAS, rows)
-
+        if len(found) < 3:
+            return []
+        delta = found["AB"] - (found["AA"] + found["BB"]) / 2
+        return [(essay, np.concatenate([np.sqrt((delta**2).sum(1, keepdims=True)), delta], 1))]
 
-def replicate_rows(replicated: DataFrame, groups: list[str], metrics: list[str]) -> DataFrame:
-    """groups, replicate and metrics: a row per replicate."""
-    rows = replicated.select(*groups, F.posexplode(F.arrays_zip(*metrics)).alias("pos", "x"))
-    return rows.select(*groups, (F.col("pos") + 1).alias("replicate"), *[F.col(f"x.{m}").alias(m) for m in metrics])
+    return _replicated(vectors, replicates, seed, ["essay_file"], DELTAS, ["AA", "BB", "AB"], False, rows, arrays)
 
 
 def bootstrap_within(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:
     """essay_file, prompt, replicate, mean_distance and component means of the resampled within-prompt pairs."""
-    return replicate_rows(within_replicates(vectors, replicates, seed), ["essay_file", "prompt"], METRICS)
+    return within_replicates(vectors, replicates, seed, arrays=False)
 
 
 def bootstrap_shift(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:
     """essay_file, replicate, magnitude and shift of the resampled prompt contrast."""
-    return replicate_rows(shift_replicates(vectors, replicates, seed), ["essay_file"], DELTAS)
+    return shift_replicates(vectors, replicates, seed, arrays=False)
 
 
 def replicate_intervals(replicated: DataFrame, groups: list[str], metrics: list[str], directional=(), confidence: float = 0.95) -> DataFrame:
@@ -230,7 +317,8 @@ def bootstrap_overall(shifts: DataFrame) -> DataFrame:
 
 
 def intervals(replicates: DataFrame, groups: list[str], metrics: list[str], directional=(), confidence: float = 0.95) -> DataFrame:
-    """groups, metric, low, high, directional: percentile interval; share of values >= 0 for directional metrics."""
+    """groups, metric, low, high, directional: percentile interval; share of values >= 0 for directional metrics. A group has
+    a row for each replicate, some thousands, however many essays there are."""
     if not 0 < confidence < 1:
         raise ValueError("confidence must be between 0 and 1")
     tail = (1 - confidence) / 2

@@ -190,7 +190,7 @@ def olms_vectors(spark, sf_dir):
 
 def vectors(spark, sf_dir):
     """The vector table that statistics read: scored once, then stored."""
-    return stored(spark, "vectors", sf_dir, lambda: olms_vectors(spark, sf_dir))
+    return stored(spark, "vectors", [f"{sf_dir}/{t}.parquet" for t in ("conversations", "embeddings")], lambda: olms_vectors(spark, sf_dir))
 
 
 def vector_violations(spark, sf_dir):
@@ -202,22 +202,17 @@ def _of_vectors(f):
     return lambda spark, sf_dir: rounded(f(vectors(spark, sf_dir)))
 
 
-def _bootstrap(f, *groups, metrics=stability.DELTAS, by=None):
-    """A query over replicates (arrays per group): rows, or what ``by`` makes of them."""
-    make = by or (lambda r: stability.replicate_rows(r, list(groups), metrics))
-    return lambda spark, sf_dir: rounded(make(f(vectors(spark, sf_dir), REPLICATES, SEED)))
+def _bootstrap(f):
+    """A query over vectors, replicates and seed."""
+    return lambda spark, sf_dir: rounded(f(vectors(spark, sf_dir), REPLICATES, SEED))
 
 
-def _within_intervals(r):
-    return stability.replicate_intervals(r, ["essay_file", "prompt"], stability.METRICS)
+def _within_intervals(v, replicates, seed):
+    return stability.replicate_intervals(stability.within_replicates(v, replicates, seed), ["essay_file", "prompt"], stability.METRICS)
 
 
-def _shift_intervals(r):
-    return stability.replicate_intervals(r, ["essay_file"], stability.DELTAS, stability.DELTAS[1:])
-
-
-def _overall(r):
-    return stability.bootstrap_overall(stability.replicate_rows(r, ["essay_file"], stability.DELTAS))
+def _shift_intervals(v, replicates, seed):
+    return stability.replicate_intervals(stability.shift_replicates(v, replicates, seed), ["essay_file"], stability.DELTAS, stability.DELTAS[1:])
 
 
 def _sizes(spark, sf_dir):
@@ -236,7 +231,7 @@ def unit_matches(spark, sf_dir):
 
 def matched_sentences(spark, sf_dir):
     """The matcher's result, scored once, then stored."""
-    return stored(spark, "matches", sf_dir, lambda: _matches(spark, sf_dir))
+    return stored(spark, "matches", [f"{sf_dir}/conversations.parquet"], lambda: _matches(spark, sf_dir))
 
 
 def _best_matches(spark, sf_dir):
@@ -332,11 +327,11 @@ QUERIES = {
     "prompt_shift": _of_vectors(stability.prompt_shift),
     "overall_prompt_shift": _of_vectors(lambda v: stability.overall_shift(stability.prompt_shift(v))),
     "hotelling_t2": _of_vectors(lambda v: stability.hotelling(stability.prompt_shift(v))),
-    "bootstrap_within": _bootstrap(stability.within_replicates, "essay_file", "prompt", metrics=stability.METRICS),
-    "bootstrap_shift": _bootstrap(stability.shift_replicates, "essay_file"),
-    "bootstrap_overall": _bootstrap(stability.shift_replicates, by=_overall),
-    "within_intervals": _bootstrap(stability.within_replicates, by=_within_intervals),
-    "shift_intervals": _bootstrap(stability.shift_replicates, by=_shift_intervals),
+    "bootstrap_within": _bootstrap(stability.bootstrap_within),
+    "bootstrap_shift": _bootstrap(stability.bootstrap_shift),
+    "bootstrap_overall": _bootstrap(lambda v, n, seed: stability.bootstrap_overall(stability.bootstrap_shift(v, n, seed))),
+    "within_intervals": _bootstrap(_within_intervals),
+    "shift_intervals": _bootstrap(_shift_intervals),
     "chart_intervals": chart_intervals,
     "kendall_tau_b": _best_order(lambda m, n: matching.kendall(m, PAIR)),
     "position_matching": _best_order(lambda m, n: matching.positions(m, n, PAIR)),

@@ -26,9 +26,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` made from ``source``: written once in a session, as Parquet in the shared folder, then read."""
-    mark = hashlib.md5(source.encode()).hexdigest()[:12]
+def state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files of a table."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return "|".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files))
+
+
+def stored(spark: SparkSession, name: str, sources: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` made from the tables ``sources``: written once in a session, as Parquet in the shared folder, then
+    read. Where their files have changed since, it is made anew."""
+    mark = hashlib.md5("\n".join(state(spark, s) for s in sources).encode()).hexdigest()[:12]
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{mark}"
     if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)

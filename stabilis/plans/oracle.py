@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stabilis.operators.stability import MIX, REPLICATE_STEP, SLOT_STEP
 from stabilis.sources.tables import COMPONENTS, KEYS
 
 KEY = ", ".join(KEYS)
@@ -391,14 +392,20 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     out["prompt_shift"] = q(shift, f"SELECT essay_file, {rounds([*sides, *[f'baseline_{c}' for c in COMPONENTS], *deltas, 'magnitude'])} FROM sh")
     out["overall_prompt_shift"] = q(shift, f"SELECT count(magnitude) AS essay_count, {', '.join(f'round(avg({x}), 6) AS {x}' for x in ['magnitude', *deltas])} FROM sh")
     out["hotelling_t2"] = _hotelling(shift, q)
-    draw = lambda attempt: f"list_transform(range(1, k + 1), lambda slot: {_hash(str(seed), 'essay_file', 'prompt', 'replicate', str(attempt), 'slot')} % k + 1)"
+    # counters mixed in unsigned integers: a stream for each replicate, then a number for each slot of an attempt
+    turned = lambda xs, shift, factor: f"list_transform({xs}, lambda x: xor(x, x >> {shift}) * {factor} % 4294967296)"
+    mix = lambda xs: f"list_transform({turned(turned(xs, 16, MIX[0]), 15, MIX[1])}, lambda x: xor(x, x >> 16))"
+    key = f"('0x' || substr(md5(concat_ws('|', '{seed}', essay_file, prompt)), 1, 8))::UBIGINT"
+    stream = mix(f"[({key} + replicate::UBIGINT * {REPLICATE_STEP}) % 4294967296]") + "[1]"
+    counters = lambda attempt: f"list_transform(range({attempt} * k, {attempt + 1} * k), lambda c: (stream + c::UBIGINT * {SLOT_STEP}) % 4294967296)"
+    draw = lambda attempt: f"list_transform({mix(counters(attempt))}, lambda x: (x % k::UBIGINT)::BIGINT + 1)"
     again = "len(list_distinct(ids)) < 2"
     last = 40
     boot = [
         *d,
         "kp AS (SELECT essay_file, prompt_1 AS prompt, max(response_index_2) AS k FROM vectors WHERE comparison_type <> 'AB' GROUP BY ALL HAVING max(response_index_2) > 1)",
-        f"t0 AS MATERIALIZED (SELECT essay_file, prompt, k, replicate, {draw(0)} AS ids FROM kp, range(1, {replicates + 1}) r(replicate))",
-        *[f"t{n} AS MATERIALIZED (SELECT essay_file, prompt, k, replicate, {draw(n)} AS ids FROM t{n - 1} WHERE {again})" for n in range(1, last)],
+        f"t0 AS MATERIALIZED (SELECT *, {draw(0)} AS ids FROM (SELECT essay_file, prompt, k, replicate, {stream} AS stream FROM kp, range(1, {replicates + 1}) r(replicate)))",
+        *[f"t{n} AS MATERIALIZED (SELECT essay_file, prompt, k, replicate, stream, {draw(n)} AS ids FROM t{n - 1} WHERE {again})" for n in range(1, last)],
         "dr AS (" + " UNION ALL ".join(f"SELECT essay_file, prompt, replicate, unnest(ids) AS id FROM t{n} WHERE NOT ({again})" for n in range(last)) + ")",
         "ct AS MATERIALIZED (SELECT essay_file, prompt, replicate, id, count(*) AS m FROM dr GROUP BY ALL)",
         f"""bw0 AS (SELECT essay_file, prompt, replicate, a.m * b.m AS w, {', '.join(COMPONENTS)} FROM dist JOIN ct a USING (essay_file, prompt) JOIN ct b USING (essay_file, prompt, replicate)

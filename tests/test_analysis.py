@@ -87,9 +87,9 @@ def test_prompt_shift(spark):
 
 def test_bootstrap_keeps_multiplicity(spark, monkeypatch):
     v = fixture(spark, 1, 4)
-    rows = [tuple(r) for r in v.select("comparison_type", "response_index_1", "response_index_2", *COMPONENTS).collect()]
+    table = lambda kind: np.array([tuple(r) for r in v.filter(F.col("comparison_type") == kind).select("response_index_1", "response_index_2", *COMPONENTS).collect()])
     monkeypatch.setattr(stability, "drawn", lambda *a: np.array([[1, 2, 2, 3]]))
-    got = stability._resampled(rows, "essay_0.md", 1, 0)
+    got = stability._resampled({kind: table(kind) for kind in ("AA", "BB", "AB")}, "essay_0.md", 1, 1, 0, True)
     kept = [(1, 2), (1, 2), (1, 3), (2, 3), (2, 3)]
     for kind, offset in (("AA", 0.2), ("BB", 0.3)):
         x = [offset + 0.02 * (i + j) for i, j in kept]
@@ -97,7 +97,7 @@ def test_bootstrap_keeps_multiplicity(spark, monkeypatch):
         scale = math.sqrt(1 + 0.64 + 1 + 0.49)
         assert got[kind][0, 0] == pytest.approx(sum(abs(a - sum(x) / 5) for a in x) / 5 * scale)
     ab = sum(0.1 + 0.02 * (i + j) for i in (1, 2, 2, 3) for j in (1, 2, 2, 3)) / 16
-    assert got["AB"][0, 1] == pytest.approx(ab)
+    assert got["AB"][0, 0] == pytest.approx(ab)
 
 
 def test_bootstrap_of_essays(spark, vectors):
@@ -107,7 +107,7 @@ def test_bootstrap_of_essays(spark, vectors):
     assert len(got) == 2 * 2 * 7 and len(shift) == 2 * 7
     table = {tuple(r[k] for k in KEYS): [r[c] for c in COMPONENTS] for r in vectors.collect()}
     for e in ("essay_0.md", "essay_1.md"):
-        ids = {p: stability.drawn(3, e, p, 3, 7) for p in "AB"}
+        ids = {p: stability.drawn(3, e, p, 3, 1, 7) for p in "AB"}
         for n in range(7):
             means = {}
             for p in "AB":
@@ -124,11 +124,73 @@ def test_bootstrap_of_essays(spark, vectors):
 
 
 def test_draws_are_seeded_and_not_degenerate():
-    a, b = (stability.drawn(3, "e", "A", 2, 200) for _ in range(2))
+    a, b = (stability.drawn(3, "e", "A", 2, 1, 200) for _ in range(2))
     assert (a == b).all() and a.shape == (200, 2) and set(a.ravel().tolist()) == {1, 2} and (a.min(1) < a.max(1)).all()
-    assert (stability.drawn(4, "e", "A", 5, 50) != stability.drawn(3, "e", "A", 5, 50)).any()
+    assert (stability.drawn(4, "e", "A", 5, 1, 50) != stability.drawn(3, "e", "A", 5, 1, 50)).any()
     with pytest.raises(ValueError):
-        stability.drawn(3, "e", "A", 1, 1)
+        stability.drawn(3, "e", "A", 1, 1, 1)
+
+
+def test_any_replicate_can_be_drawn_by_itself():
+    whole = stability.drawn(3, "e", "A", 3, 1, 500)
+    assert (stability.drawn(3, "e", "A", 3, 101, 50) == whole[100:150]).all()
+    share = np.bincount(stability.drawn(5, "e", "B", 10, 1, 20_000).ravel(), minlength=11)[1:] / 200_000
+    assert abs(share - 0.1).max() < 0.005
+
+
+@pytest.mark.parametrize("chunk,tile", [(1_250, 1 << 19), (3, 8)])
+def test_chunks_and_tiles_do_not_change_replicates(spark, vectors, monkeypatch, chunk, tile):
+    want = {f: sorted(map(repr, f(vectors, 10, 3).collect())) for f in (stability.bootstrap_within, stability.bootstrap_shift)}
+    arrays = stability.within_replicates(vectors, 10, 3).collect()
+    monkeypatch.setattr(stability, "CHUNK", chunk)
+    monkeypatch.setattr(stability, "TILE", tile)
+    for f, rows in want.items():
+        got = f(vectors, 10, 3).collect()
+        assert len(got) == len(rows) and [pytest.approx(r[-4:]) for r in sorted(got, key=lambda r: repr(r[:3]))] == [r[-4:] for r in sorted(f(vectors, 10, 3).collect(), key=lambda r: repr(r[:3]))]
+    again = {(r["essay_file"], r["prompt"]): r for r in stability.within_replicates(vectors, 10, 3).collect()}
+    for r in arrays:
+        for m in stability.METRICS:
+            assert again[r["essay_file"], r["prompt"]][m] == pytest.approx(r[m])
+
+
+def test_bootstrap_of_an_essay_with_200_responses(spark):
+    """Tiles keep memory small: 60,000 pairs and 40 replicates, in tiles of half a million cells."""
+    k = 200
+    rng = np.random.default_rng(1)
+    tables = {kind: np.array([(i, j, *rng.random(4)) for i in range(1, k + 1) for j in range(1, k + 1) if kind == "AB" or i <= j]) for kind in ("AA", "BB", "AB")}
+    import tracemalloc
+
+    tracemalloc.start()
+    got = stability._resampled(tables, "e", 1, 40, 7, True)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    ids = {p: stability.drawn(7, "e", p, k, 1, 40)[11] for p in "AB"}
+    plain = {kind: {(int(r[0]), int(r[1])): r[2:] for r in t} for kind, t in tables.items()}
+    x = np.array([plain["AA"][min(a, b), max(a, b)] for a, b in itertools.combinations(ids["A"].tolist(), 2) if a != b])
+    assert got["AA"][11, 1:] == pytest.approx(x.mean(0)) and got["AA"][11, 0] == pytest.approx(np.sqrt(((x - x.mean(0)) ** 2).sum(1)).mean())
+    ab = np.array([plain["AB"][a, b] for a in ids["A"].tolist() for b in ids["B"].tolist()])
+    assert got["AB"][11] == pytest.approx(ab.mean(0))
+
+
+def test_replicates_are_made_in_many_tasks(spark, vectors):
+    made = stability.bootstrap_within(fixture(spark, 8, 3), 5_000, 1)
+    used = made.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 1 and made.count() == 8 * 2 * 5_000
+
+
+@pytest.mark.parametrize("ranges", [4_096, 3])
+def test_quartiles_are_exact(spark, monkeypatch, ranges):
+    """Against numpy: ties, one value, few rows, heavy concentration, nulls; few and many ranges."""
+    monkeypatch.setattr(stability, "RANGES", ranges)
+    rng = np.random.default_rng(2)
+    groups = {"ties": rng.integers(0, 4, 301).astype(float), "one": np.array([5.0]), "two": np.array([1.0, 2.0]), "same": np.full(50, 0.3), "wide": np.append(rng.random(200), [1e12, -1e9]), "small": rng.normal(size=97) * 1e-9}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("ties", None), ("none", None)], "g string, x double").repartition(3)
+    for few in (True, False):
+        got = {r["g"]: r for r in stability.described(df, ["g"], "x", few).collect()}
+        for g, v in groups.items():
+            assert [got[g][n] for n in ("q1", "median", "q3")] == pytest.approx(np.quantile(v, [0.25, 0.5, 0.75]).tolist())
+            assert got[g]["count"] == len(v)
+        assert got["none"]["count"] == 0 and got["none"]["median"] is None
 
 
 def test_intervals_of_arrays(spark):
