@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,46 +45,163 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return row_of
 
 
+def components(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """A number for each cell, equal for cells that are linked through common rows and columns."""
+    label = rows.copy()
+    while True:
+        by_col = np.full(cols.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(by_col, cols, label)
+        by_row = np.full(rows.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(by_row, rows, by_col[cols])
+        if (by_row[rows] == label).all():
+            return label
+        label = by_row[rows]
+
+
+def sparse_assignment(rows: np.ndarray, cols: np.ndarray, score: np.ndarray) -> list[int]:
+    """Cells of an assignment with as many cells as possible and, among those, the greatest total score.
+
+    Shortest augmenting paths over lists of cells by row, with a heap; memory grows with the cells. Every row has a column
+    of its own where it stays alone, at a price above all that scores can make up for, so each path ends.
+    """
+    n, m = int(rows.max()) + 1, int(cols.max()) + 1
+    alone = float(score.max() - score.min()) * (n + 1) + 1
+    row, col = [*rows.tolist(), *range(n)], [*cols.tolist(), *range(m, m + n)]
+    cost = [*(score.max() - score).tolist(), *[alone] * n]
+    by_row: list[list[int]] = [[] for _ in range(n)]
+    for c, r in enumerate(row):
+        by_row[r].append(c)
+    u, v = [0.0] * n, [0.0] * (m + n)
+    cell_of_col: dict[int, int] = {}
+    cell_of_row: dict[int, int] = {}
+    for first in range(n):
+        far, via, closed, heap = {}, {}, {}, []
+        at, base = first, 0.0
+        while True:
+            for c in by_row[at]:
+                j = col[c]
+                d = base + cost[c] - u[at] - v[j]
+                if j not in closed and d < far.get(j, np.inf):
+                    far[j], via[j] = d, c
+                    heapq.heappush(heap, (d, j))
+            base, j = heapq.heappop(heap)
+            while j in closed:
+                base, j = heapq.heappop(heap)
+            if j not in cell_of_col:
+                break
+            closed[j] = base
+            at = row[cell_of_col[j]]
+        u[first] += base
+        for k, d in closed.items():
+            u[row[cell_of_col[k]]] += base - d
+            v[k] -= base - d
+        while True:
+            c = via[j]
+            before = cell_of_row.get(row[c])
+            cell_of_col[j] = cell_of_row[row[c]] = c
+            if row[c] == first:
+                break
+            j = col[before]
+    return sorted(c for c in cell_of_row.values() if c < len(rows))
+
+
+#: A component whose cells fill at least one in so many places of its matrix is solved as a matrix.
+DENSE = 3
+
+
+def _core(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which eligible cells an assignment takes: components apart, dense ones as matrices."""
+    taken = np.zeros(len(i), bool)
+    label = components(i, j)
+    order = np.argsort(label, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        rows, r = np.unique(i[own], return_inverse=True)
+        cols, c = np.unique(j[own], return_inverse=True)
+        if len(own) * DENSE < len(rows) * len(cols):
+            taken[own[sparse_assignment(r, c, score[own])]] = True
+            continue
+        # as many cells as possible come first: a missing one costs more than scores can make up for
+        cost = np.full((len(rows), len(cols)), float(score[own].max() - score[own].min()) * (len(rows) + 1) + 1)
+        cost[r, c] = score[own].max() - score[own]
+        row_of = assignment(cost.T if len(rows) > len(cols) else cost)
+        taken[own] = row_of[r] == c if len(rows) > len(cols) else row_of[c] == r
+    return taken
+
+
+def _matched(i: np.ndarray, j: np.ndarray, score: np.ndarray, capacity: int):
+    """Cells taken by the assignment and, in order, as leftovers."""
+    core = _core(i, j, score)
+    used_i, used_j = np.bincount(i[core], minlength=i.max() + 1), np.bincount(j[core], minlength=j.max() + 1)
+    open_ = np.flatnonzero((used_i[i] == 0) | (used_j[j] == 0))
+    rest = []
+    for k in open_[np.lexsort((j[open_], i[open_], -score[open_]))].tolist():
+        if used_i[i[k]] < capacity and used_j[j[k]] < capacity:
+            used_i[i[k]] += 1
+            used_j[j[k]] += 1
+            rest.append(k)
+    return np.flatnonzero(core), np.array(rest, np.int64)
+
+
 def match_units(cells: DataFrame, keys: list[str], capacity: int = 2, least: float = 0.0) -> DataFrame:
-    """keys, i, j, score, phase: one-to-one matches of the greatest total score, then leftovers.
+    """keys, i, j, score, phase: one-to-one matches, as many as possible and of the greatest total score, then leftovers.
 
-    Cells (keys, i, j, score) under ``least`` never match. After the assignment, pairs of which at least one side is
-    still unmatched are taken by falling score (ties by i, then j) while both have matched under ``capacity`` times.
-    A group is one text pair's matrix and runs in one task; it is as large as two texts have sentences.
+    Cells (keys, i, j, score) under ``least`` or without a score never match. After the assignment, pairs of which at least
+    one side is still unmatched are taken by falling score (ties by i, then j) while both have matched under ``capacity``
+    times. Eligible cells are dealt by pair and walked batch by batch; a pair's memory grows with its eligible cells.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m = int(pdf["i"].max()) + 1, int(pdf["j"].max()) + 1
-        score = np.full((n, m), -np.inf)
-        score[pdf["i"], pdf["j"]] = pdf["score"]
-        usable = score >= least
-        cost = np.where(usable, -score, 1e6)
-        flip = n > m
-        row_of = assignment(cost.T if flip else cost)
-        core = [(int(c), int(r)) if flip else (int(r), int(c)) for c, r in enumerate(row_of) if r >= 0]
-        core = [(i, j) for i, j in core if usable[i, j]]
-        used_i, used_j = np.zeros(n, int), np.zeros(m, int)
-        for i, j in core:
-            used_i[i] += 1
-            used_j[j] += 1
-        free_i, free_j = used_i == 0, used_j == 0
-        rows, cols = np.nonzero(usable & (free_i[:, None] | free_j[None, :]))
-        rest = []
-        for k in np.lexsort((cols, rows, -score[rows, cols])):
-            i, j = int(rows[k]), int(cols[k])
-            if used_i[i] < capacity and used_j[j] < capacity:
-                used_i[i] += 1
-                used_j[j] += 1
-                rest.append((i, j))
-        out = pd.DataFrame([(i, j, float(score[i, j]), p) for p, part in (("assignment", core), ("leftover", rest)) for i, j in part], columns=["i", "j", "score", "phase"])
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[[*keys, "i", "j", "score", "phase"]]
+    rows = cells.filter(F.col("score") >= least).select(*keys, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("score").cast("double").alias("score"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "i", "j")
+
+    def settled(table: pa.Table) -> pa.Table:
+        """Matches of whole pairs, in order."""
+        i, j, score = (table.column(n).to_numpy() for n in ("i", "j", "score"))
+        takes, phases = [], []
+        edges = _edges(table, keys)
+        for a, b in zip(edges, edges[1:]):
+            core, rest = _matched(i[a:b].astype(np.int64), j[a:b].astype(np.int64), score[a:b], capacity)
+            takes += [core + a, rest + a]
+            phases += ["assignment"] * len(core) + ["leftover"] * len(rest)
+        out = table.take(pa.array(np.concatenate(takes).astype(np.int64)))
+        return out.append_column("phase", pa.array(phases, pa.string())).combine_chunks()
+
+    def run(batches):
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            edges = _edges(table, keys)
+            # the last pair of a batch may go on in the next one
+            if held and (len(edges) > 2 or _apart(held[-1], table, keys)):
+                cut = 0 if _apart(held[-1], table, keys) else edges[1]
+                yield from settled(pa.concat_tables([*held, table.slice(0, cut)])).to_batches()
+                held, table = [], table.slice(cut)
+                edges = _edges(table, keys)
+            if not held and len(edges) > 2:
+                yield from settled(table.slice(0, edges[-2])).to_batches()
+                table = table.slice(edges[-2])
+            held.append(table)
+        if held:
+            yield from settled(pa.concat_tables(held)).to_batches()
 
     kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
-    return cells.groupBy(*keys).applyInPandas(run, f"{kinds}, i int, j int, score double, phase string")
+    return dealt.mapInArrow(run, f"{kinds}, i int, j int, score double, phase string")
+
+
+def _edges(table: pa.Table, keys: list[str]) -> list[int]:
+    """Where runs of equal keys begin, and the end."""
+    new = np.zeros(max(0, len(table) - 1), bool)
+    for k in keys:
+        code = pc.fill_null(pc.dictionary_encode(table.column(k)).combine_chunks().indices, -1).to_numpy(zero_copy_only=False)
+        new |= code[1:] != code[:-1]
+    return [0, *(np.flatnonzero(new) + 1).tolist(), len(table)]
+
+
+def _apart(before: pa.Table, after: pa.Table, keys: list[str]) -> bool:
+    """Whether the last row of one table and the first of the next belong to different pairs."""
+    return any(before.column(k)[-1].as_py() != after.column(k)[0].as_py() for k in keys)
 
 
 def unmatched(units: DataFrame, matches: DataFrame, keys: list[str], side: str) -> DataFrame:

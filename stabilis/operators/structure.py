@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,35 +29,77 @@ TOTALS = [_name(r) for r in (*PER_SENTENCE, *PER_NOUN, "advmod", *PER_VERB)] + [
 ]
 
 
-def depths(tokens: DataFrame, key: str) -> DataFrame:
-    """key, sentence_id, token_id, depth of the tokens that are not punctuation.
+def _sentence_depths(nodes: Column) -> Column:
+    """Depth of each node of a sentence (array of structs with token_id, kept and head_token_id, sorted by token_id).
 
-    The root has depth 0. A head that is missing or punctuation counts as one hop and ends the walk, as does a node
-    seen before. One Arrow batch per group of sentences; a walk needs its sentence only.
+    Heads become places in the array. Links are then doubled, a logarithmic number of times: a node's link leads twice as
+    far each time, and its distance grows by that of the node it leads to. Where links never end (a cycle), the walk goes
+    step by step until it meets a node again.
     """
+    nowhere, size = F.lit(-1), F.size(nodes)
+
+    def place(head: Column) -> Column:
+        """Where a head is: in most sentences ids have no gaps, else it is looked for."""
+        straight = (head - F.get(nodes, F.lit(0))["token_id"]).cast("int")
+        direct = (straight >= 0) & F.coalesce(F.get(nodes, F.greatest(straight, F.lit(0)))["token_id"] == head, F.lit(False))
+        sought = F.array_position(nodes["token_id"], head).cast("int") - 1
+        found = F.when(direct, straight).otherwise(sought)
+        return F.when(head.isNull(), nowhere).when((found >= 0) & F.get(nodes, F.greatest(found, F.lit(0)))["kept"], found).otherwise(nowhere)
+
+    start = F.struct(
+        F.transform(nodes, lambda n: place(n["head_token_id"])).alias("to"),
+        F.transform(nodes, lambda n: n["head_token_id"].isNotNull().cast("int")).alias("far"),
+    )
+
+    def double(s: Column, _: Column) -> Column:
+        return F.struct(
+            F.transform(s["to"], lambda t: F.when(t < 0, t).otherwise(F.get(s["to"], t))).alias("to"),
+            F.transform(s["far"], lambda d, i: d + F.coalesce(F.get(s["far"], F.nullif(F.get(s["to"], i), nowhere)), F.lit(0))).alias("far"),
+        )
+
+    rounds = F.ceil(F.log2(F.greatest(size, F.lit(2)).cast("double"))).cast("int")
+    ended = F.aggregate(F.sequence(F.lit(1), rounds), start, double)
+
+    def walked(s: Column, i: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            open_ = (at["to"] >= 0) & ~F.array_contains(at["seen"], at["to"])
+            to = F.greatest(at["to"], F.lit(0))
+            return F.struct(
+                F.when(open_, F.get(s["to"], to)).otherwise(nowhere).alias("to"),
+                F.when(open_, at["far"] + F.get(s["far"], to)).otherwise(at["far"]).alias("far"),
+                F.when(open_, F.concat(at["seen"], F.array(to))).otherwise(at["seen"]).alias("seen"),
+            )
+
+        first = F.struct(F.get(s["to"], i).alias("to"), F.get(s["far"], i).alias("far"), F.array(i).alias("seen"))
+        return F.aggregate(F.sequence(F.lit(1), size), first, step, lambda at: at["far"])
+
+    either = lambda s, e: F.transform(e["far"], lambda d, i: F.when(F.get(e["to"], i) < 0, d).otherwise(walked(s, i)))
+    # (both states are bound once, as one element arrays)
+    return F.flatten(F.transform(F.array(F.struct(start.alias("s"), ended.alias("e"))), lambda b: either(b["s"], b["e"])))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = pdf[pdf["upos"] != "PUNCT"]
-        out = []
-        heads = {(s, t): h for s, t, h in zip(kept["sentence_id"], kept["token_id"], kept["head_token_id"])}
-        for s, t in heads:
-            depth, seen, at = 0, {t}, heads[s, t]
-            while at is not None and at == at:
-                depth += 1
-                if at in seen or (s, at) not in heads:
-                    break
-                seen.add(at)
-                at = heads[s, at]
-            out.append((pdf[key].iloc[0], s, t, depth))
-        return pd.DataFrame(out, columns=[key, "sentence_id", "token_id", "depth"])
-
-    kind = tokens.schema[key].dataType.simpleString()
-    return tokens.select(key, "sentence_id", "token_id", "upos", "head_token_id").groupBy(key).applyInPandas(walk, f"{key} {kind}, sentence_id int, token_id int, depth int")
+
+def with_depths(tokens: DataFrame, key: str) -> DataFrame:
+    """The tokens that are not punctuation (key, sentence_id, token_id, upos, head_token_id, dependency_relation) with their
+    depth in the sentence's tree. Dealt once by key; no Python.
+
+    The root has depth 0. A head that is missing or punctuation counts as one hop and ends the walk, as does a node seen
+    before. Of tokens that repeat an id, the first is the one that others hang on.
+    """
+    node = F.struct("token_id", (F.col("upos") != "PUNCT").alias("kept"), "head_token_id", "upos", "dependency_relation")
+    sentences = tokens.repartition(key).groupBy(key, "sentence_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    deep = F.arrays_zip(F.col("nodes").alias("n"), _sentence_depths(F.col("nodes")).alias("depth"))
+    rows = sentences.select(key, "sentence_id", F.explode(F.filter(deep, lambda x: x["n"]["kept"])).alias("x"))
+    return rows.select(key, "sentence_id", "x.n.token_id", "x.n.upos", "x.n.head_token_id", "x.n.dependency_relation", "x.depth")
+
+
+def depths(tokens: DataFrame, key: str) -> DataFrame:
+    """key, sentence_id, token_id and depth of the tokens that are not punctuation; see ``with_depths``."""
+    return with_depths(tokens, key).select(key, "sentence_id", "token_id", "depth")
 
 
 def features(tokens: DataFrame, key: str, threshold: int = 5) -> DataFrame:
     """key, the 21 rates and the 21 totals, and the sizes (sentences, tokens, nouns, verbs)."""
-    kept = tokens.filter(F.col("upos") != "PUNCT").join(depths(tokens, key), [key, "sentence_id", "token_id"])
+    kept = with_depths(tokens, key)
     distance = F.abs(F.col("token_id") - F.col("head_token_id"))
     rel = F.col("dependency_relation")
     counts = [F.count_if(rel == r).alias(_name(r)) for r in (*PER_SENTENCE, *PER_NOUN, "advmod", *PER_VERB)]

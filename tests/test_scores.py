@@ -1,8 +1,10 @@
 """Lexis, organization, structure, matching, clauses and text functions against plain Python."""
 
+import functools
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -138,6 +140,130 @@ def test_match_units(spark):
     assert [r["pos"] for r in matching.unmatched(units, matching.match_units(cells, ["k"]), ["k"], "j").collect()] == [3]
 
 
+def plain_best(cells):
+    """Largest number of cells of an assignment and, with it, the greatest total; by trying all."""
+    rows = sorted({i for i, _ in cells})
+
+    @functools.lru_cache(None)
+    def best(k, used):
+        if k == len(rows):
+            return 0, 0.0
+        found = [best(k + 1, used)]
+        for (i, j), s in cells.items():
+            if i == rows[k] and j not in used:
+                n, t = best(k + 1, used | {j})
+                found.append((n + 1, t + s))
+        return max(found, key=lambda x: (x[0], round(x[1], 9)))
+
+    return best(0, frozenset())
+
+
+def plain_leftovers(cells, core, capacity):
+    used = [[c for c, _ in core], [c for _, c in core]]
+    alone = [(i, j) for i, j in cells if i not in used[0] or j not in used[1]]
+    out = []
+    for i, j in sorted(alone, key=lambda c: (-cells[c], c)):
+        if used[0].count(i) < capacity and used[1].count(j) < capacity:
+            used[0].append(i)
+            used[1].append(j)
+            out.append((i, j))
+    return out
+
+
+def checked_matches(found, cells, capacity):
+    core = [(r["i"], r["j"]) for r in found if r["phase"] == "assignment"]
+    assert len({i for i, _ in core}) == len({j for _, j in core}) == len(core)
+    n, total = plain_best(cells)
+    assert len(core) == n and sum(cells[c] for c in core) == pytest.approx(total, abs=1e-5)
+    assert sorted((r["i"], r["j"]) for r in found if r["phase"] == "leftover") == sorted(plain_leftovers(cells, core, capacity))
+    assert all(r["score"] == cells[r["i"], r["j"]] for r in found)
+
+
+@pytest.mark.parametrize("density,dense", [(0.15, 3), (0.4, 3), (1.0, 3), (0.5, 0), (1.0, 0), (0.15, 10**9)])
+def test_matches_are_the_best_ones(spark, monkeypatch, density, dense):
+    """Random matrices against trying everything: by matrix, by lists of cells, and pairs that go over several batches."""
+    monkeypatch.setattr(matching, "DENSE", dense)
+    rng = np.random.default_rng(int(density * 100) + min(dense, 5))
+    rows = []
+    for k in range(40):
+        n, m = rng.integers(1, 8, 2)
+        rows += [(f"e{k % 3}", k, i, j, round(float(rng.random()), int(rng.integers(1, 6)))) for i in range(n) for j in range(m) if rng.random() < density]
+    cells = spark.createDataFrame([*rows, ("e9", 99, 0, 0, None), ("e9", 98, 0, 0, 0.01)], "e string, k long, i int, j int, score double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = matching.match_units(cells, ["e", "k"], least=0.05).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in {r[1] for r in rows}:
+        eligible = {(i, j): s for _, kk, i, j, s in rows if kk == k and s >= 0.05}
+        checked_matches([r for r in found if r["k"] == k], eligible, 2)
+    assert not [r for r in found if r["k"] > 40]
+
+
+def test_memory_of_a_sparse_pair_grows_with_its_cells():
+    """20,000 units on either side, three cells each: as a matrix, 3 GB."""
+    n = 20_000
+    i = np.repeat(np.arange(n), 3)
+    j = (i * 7 + np.tile([0, 1, 5], n)) % n
+    score = ((i * 31 + j * 17) % 97 + 1) / 100
+    tracemalloc.start()
+    rows, cols = i[: 3 * 2_000], j[: 3 * 2_000]
+    core, rest = matching._matched(rows, cols, score[: len(rows)], 2)
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+    assert len(core) == 2_000
+
+
+def test_registered_matches_against_trying_everything(spark):
+    """The stored cells of sf0.001: core and leftovers of every pair whose smaller side is small enough to try."""
+    from stabilis.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    cells, found = {}, {}
+    for r in catalog._matrix(spark, sf).collect():
+        cells.setdefault((r["essay_file"], r["pair"]), {})[r["i"], r["j"]] = round(r["score"], 6)
+    for r in catalog._matches(spark, sf).collect():
+        found.setdefault((r["essay_file"], r["pair"]), []).append(r)
+    tried = 0
+    for pair, own in cells.items():
+        small = min(len({i for i, _ in own}), len({j for _, j in own}))
+        if small <= 6 and len(own) <= 60:
+            flipped = {(j, i): s for (i, j), s in own.items()} if len({i for i, _ in own}) > small else own
+            core = [r for r in found[pair] if r["phase"] == "assignment"]
+            n, total = plain_best(flipped)
+            assert len(core) == n and sum(r["score"] for r in core) == pytest.approx(total, abs=1e-5)
+            left = sorted((r["i"], r["j"]) for r in found[pair] if r["phase"] == "leftover")
+            assert left == sorted(plain_leftovers(own, [(r["i"], r["j"]) for r in core], 2))
+            tried += 1
+    assert tried > 50
+
+
+def test_depths_of_chains_gaps_and_cycles(spark):
+    """Walks one by one: long chains, gaps in the ids, cycles with tails, missing and punctuated heads."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for s in range(30):
+        ids = sorted(rng.choice(np.arange(1, 60), int(rng.integers(1, 40)), replace=False).tolist()) if s % 2 else list(range(1, 30))
+        tags = {t: "PUNCT" if rng.random() < 0.1 else "NOUN" for t in ids}
+        heads = {t: (None if rng.random() < 0.15 else int(rng.choice([*ids, 99]))) if s % 3 else (t - 1 or None) for t in ids}
+        for t in ids:
+            rows.append(("x", s, t, tags[t], heads[t], "dep"))
+            if tags[t] == "PUNCT":
+                continue
+            depth, seen, at = 0, {t}, heads[t]
+            while at is not None:
+                depth += 1
+                if at in seen or tags.get(at, "PUNCT") == "PUNCT":
+                    break
+                seen.add(at)
+                at = heads[at]
+            want[s, t] = depth
+    df = spark.createDataFrame(rows, "name string, sentence_id int, token_id int, upos string, head_token_id int, dependency_relation string")
+    assert {(r["sentence_id"], r["token_id"]): r["depth"] for r in structure.depths(df, "name").collect()} == want
+    plan = structure.features(df, "name")._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_order_measures(spark):
     m = {1: [(0, 0), (1, 1), (2, 2)], 2: [(0, 2), (1, 1), (2, 0)], 3: [(0, 0)], 4: [(0, 1), (1, 1), (2, 0), (2, 2)]}
     df = spark.createDataFrame([(k, i, j) for k, x in m.items() for i, j in x], "k int, i int, j int")
