@@ -2,7 +2,7 @@
 
 Doubles are rounded to six places on both sides. Stand-ins, where no model is at hand: dependency tokens are drawn from
 hashes of words (not a linguistic parse), a response's embedding is a row of ``embeddings`` that a hash of it picks, and
-the contextual score counts equal words.
+token vectors are digests of words and their neighbours.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stabilis.functions import text as T
-from stabilis.operators import clauses, lexis, matching, organization, pairs, stability, structure, validation
+from stabilis.operators import clauses, contextual, lexis, matching, organization, pairs, stability, structure, validation
 from stabilis.plans import oracle, texts
 from stabilis.plans.checkpoint import stored
 from stabilis.plans.tokens import synthetic_tokens
@@ -165,17 +165,29 @@ def multiset_jaccard(spark, sf_dir):
     return rounded(both.filter("jaccard IS NOT NULL"))
 
 
+def _contextual(spark, sf_dir):
+    """Best cosines of token vectors, weighed by idf over all responses; a hashed stand-in for a token encoder."""
+    return contextual.contextual_similarity(contextual.token_vectors(responses(spark, sf_dir)))
+
+
+def contextual_similarity(spark, sf_dir):
+    return rounded(_contextual(spark, sf_dir))
+
+
 def _meaning(spark, sf_dir):
-    """Meaning without a model at hand: the contextual half is greedy matching where only equal words are alike, and
-    the embedding of a response is the row of ``embeddings`` that a hash of its text picks."""
+    """The contextual half, and the similarity of embeddings: without a model at hand, the embedding of a response is the
+    row of ``embeddings`` that a hash of its text picks."""
     table = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     size = table.agg(F.count(F.lit(1)).alias("size"))
-    rows = lexis.counted(responses(spark, sf_dir), pairs.RESPONSE, w=T.words(F.col("response")))
     picked = F.conv(F.substring(F.md5(F.coalesce(F.col("response"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % F.col("size")
-    rows = rows.crossJoin(F.broadcast(size)).withColumn("vec_id", picked).join(table, "vec_id", "left")
-    both = pairs.canonical_pairs(rows, "w", "embedding")
+    rows = responses(spark, sf_dir).crossJoin(F.broadcast(size)).withColumn("vec_id", picked).join(table, "vec_id", "left")
+    both = pairs.canonical_pairs(rows.select(*pairs.RESPONSE, "embedding"), "embedding")
     half = F.coalesce(organization.cosine_affine(F.col("embedding_1"), F.col("embedding_2")), F.lit(0.0))
-    return both.select(*KEYS, organization.meaning(lexis.overlap_f1(F.col("w_1"), F.col("w_2")), half).alias("meaning"))
+    return both.select(*KEYS, half.alias("half")).join(_contextual(spark, sf_dir), KEYS).select(*KEYS, organization.meaning(F.col("f1"), F.col("half")).alias("meaning"))
+
+
+def meaning(spark, sf_dir):
+    return rounded(_meaning(spark, sf_dir))
 
 
 def olms_vectors(spark, sf_dir):
@@ -319,6 +331,8 @@ QUERIES = {
     "structure_features": structure_features,
     "structure_similarity": structure_similarity,
     "multiset_jaccard": multiset_jaccard,
+    "contextual_similarity": contextual_similarity,
+    "meaning": meaning,
     "vectors": lambda spark, sf_dir: rounded(olms_vectors(spark, sf_dir)),
     "vector_violations": vector_violations,
     "vector_distances": _of_vectors(stability.vector_distances),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stabilis.operators.contextual import NEIGHBOUR, WIDTH
 from stabilis.operators.stability import MIX, REPLICATE_STEP, SLOT_STEP
 from stabilis.sources.tables import COMPONENTS, KEYS
 
@@ -339,13 +340,25 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     cos = f"{dot('embedding_1', 'embedding_2')} / (sqrt({dot('embedding_1', 'embedding_1')}) * sqrt({dot('embedding_2', 'embedding_2')}))"
     meaning = [
         paired("response", name="mp"),
-        f"mw AS (SELECT {KEY}, unnest({_words('response_1')}) AS word, 1 AS a, 0 AS b FROM mp UNION ALL SELECT {KEY}, unnest({_words('response_2')}), 0, 1 FROM mp)",
-        f"mc AS (SELECT {KEY}, word, sum(a) AS a, sum(b) AS b FROM mw GROUP BY ALL)",
-        f"mr AS (SELECT {KEY}, coalesce(sum(a) FILTER (WHERE b > 0) / nullif(sum(a), 0)::DOUBLE, 0.0) AS p, coalesce(sum(b) FILTER (WHERE a > 0) / nullif(sum(b), 0)::DOUBLE, 0.0) AS r FROM mc GROUP BY {KEY})",
+        f"c0 AS (SELECT essay_file, prompt, response_index, {_words('response')} AS w FROM responses)",
+        f"""c1 AS (SELECT *, list_transform(w, lambda x: list_transform(range(0, {WIDTH}), lambda d: ('0x' || substr(md5(x), 4 * d + 1, 4))::INT / 32768.0::DOUBLE - 1)) AS o FROM c0)""",
+        f"""c2 AS (SELECT essay_file, prompt, response_index, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS token,
+            unnest(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(1, {WIDTH + 1}), lambda d: o[i][d] + {NEIGHBOUR} * (coalesce(o[i - 1][d], 0) + coalesce(o[i + 1][d], 0))))) AS v FROM c1)""",
+        "c3 AS (SELECT token, count(DISTINCT (essay_file, prompt, response_index)) AS df FROM c2 GROUP BY token)",
+        """c4 AS MATERIALIZED (SELECT essay_file, prompt, response_index, p, ln(((SELECT count(*) FROM responses) + 1)::DOUBLE / (df + 1)) AS idf,
+            list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM c2 JOIN c3 USING (token))""",
+        f"""c5 AS MATERIALIZED (SELECT {', '.join('mp.' + x for x in KEYS)}, a.p AS i, b.p AS j, a.idf AS wi, b.idf AS wj, list_dot_product(a.v, b.v) AS cos FROM mp
+            JOIN c4 a ON a.essay_file = mp.essay_file AND a.prompt = prompt_1 AND a.response_index = response_index_1 JOIN c4 b ON b.essay_file = mp.essay_file AND b.prompt = prompt_2 AND b.response_index = response_index_2)""",
+        f"c6 AS (SELECT {KEY}, sum(best * w) / nullif(sum(w), 0) AS p FROM (SELECT {KEY}, i, any_value(wi) AS w, max(cos) AS best FROM c5 GROUP BY {KEY}, i) GROUP BY {KEY})",
+        f"c7 AS (SELECT {KEY}, sum(best * w) / nullif(sum(w), 0) AS r FROM (SELECT {KEY}, j, any_value(wj) AS w, max(cos) AS best FROM c5 GROUP BY {KEY}, j) GROUP BY {KEY})",
+        f"mr AS (SELECT {', '.join('mp.' + x for x in KEYS)}, coalesce(p, 0.0) AS p, coalesce(r, 0.0) AS r FROM mp LEFT JOIN c6 USING ({KEY}) LEFT JOIN c7 USING ({KEY}))",
         f"me AS (SELECT essay_file, prompt, response_index, embedding FROM (SELECT *, {picked} AS vec_id FROM responses) JOIN embeddings USING (vec_id))",
         paired("embedding", of="me", name="ep"),
         f"mn AS (SELECT {KEY}, (coalesce(2 * p * r / nullif(p + r, 0), 0.0) + coalesce(greatest(0.0, least(1.0, ({cos} + 1) / 2)), 0.0)) / 2 AS meaning FROM mp LEFT JOIN mr USING ({KEY}) LEFT JOIN ep USING ({KEY}))",
     ]
+    contextual = [*base, *meaning[:-3]]
+    out["contextual_similarity"] = q(contextual, f"SELECT {KEY}, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) AS f1 FROM mr")
+    out["meaning"] = q([*base, *meaning], f"SELECT {KEY}, round(meaning, 6) AS meaning FROM mn")
     v = [
         *org, *lex[len(base):], parts, *parse[len(base):], *meaning, paired(),
         "rc AS (SELECT essay_file, max(response_index) AS response_count FROM responses GROUP BY 1)",

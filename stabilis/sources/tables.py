@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -188,28 +187,3 @@ def with_originals(metadata: DataFrame, texts: DataFrame, key: str = "filename")
     found = metadata.join(texts.select(key, F.col("text").alias("original")), key, "left")
     gone = F.raise_error(F.concat(F.lit("no original for "), F.col(key))).cast("string")
     return found.withColumn("original", F.when(F.col("original").isNull(), gone).otherwise(F.col("original")))
-
-
-def provided(rows: DataFrame, keys: list[str], text: str, name: str, schema: str, make: Callable[[], Callable[[list[str]], Iterator]], batch: int = 64) -> DataFrame:
-    """The rows with a column ``name`` that a provider makes of each distinct text (parser, embedder, encoder).
-
-    ``make`` builds the provider once per task; it takes a list of at most ``batch`` texts and gives back a value for
-    each, and an error if it does not. Equal texts are sent once; null texts are sent as empty ones.
-    """
-    import pandas as pd
-
-    def run(batches):
-        provider = make()
-        for pdf in batches:
-            values: list = []
-            for k in range(0, len(pdf), batch):
-                part = pdf["text"].iloc[k : k + batch].tolist()
-                got = list(provider(part))
-                if len(got) != len(part):
-                    raise ValueError(f"the provider gave {len(got)} values for {len(part)} texts")
-                values += got
-            yield pd.DataFrame({"text": pdf["text"], "value": pd.Series(values, dtype=object, index=pdf.index)})
-
-    source = rows.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    made = source.select("text").distinct().mapInPandas(run, f"text string, value {schema}")
-    return rows.join(source.join(made, "text").select(*keys, F.col("value").alias(name)), keys)

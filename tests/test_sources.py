@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from stabilis.operators import pairs
-from stabilis.sources import sinks, tables
+from stabilis.sources import providers, sinks, tables
 from stabilis.streaming.resume import score_stream
 
 
@@ -117,10 +117,10 @@ def test_originals_and_providers(spark):
     with pytest.raises(Exception, match="no original for b"):
         tables.with_originals(meta, texts).collect()
     rows = spark.createDataFrame([(1, "aa"), (2, "b"), (3, "aa"), (4, None)], "k int, t string")
-    got = tables.provided(rows, ["k"], "t", "v", "array<double>", lambda: lambda ts: [[float(len(t))] for t in ts], batch=2)
+    got = providers.provided(rows, ["k"], "t", "v", "array<double>", lambda: lambda ts: [[float(len(t))] for t in ts], batch=2)
     assert {r["k"]: r["v"] for r in got.collect()} == {1: [2.0], 2: [1.0], 3: [2.0], 4: [0.0]}
     with pytest.raises(Exception, match="gave 0 values"):
-        tables.provided(rows, ["k"], "t", "v", "double", lambda: lambda ts: []).collect()
+        providers.provided(rows, ["k"], "t", "v", "double", lambda: lambda ts: []).collect()
 
 
 def test_logs(spark, tmp_path):
