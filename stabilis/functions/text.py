@@ -144,9 +144,23 @@ def reordered(sents: Column, order: str) -> Column:
     return F.when(F.size(sents) == 8, F.array(*[F.element_at(sents, i) for i in ORDERS[order]]))
 
 
+def json_ascii(text: Column) -> Column:
+    """A JSON string of ASCII characters: others as escapes of their UTF-16 units."""
+    unit = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("([0-9A-F]{4})"), F.lit(1))
+    short = {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "000C": "\\f", "000A": "\\n", "000D": "\\r", "0009": "\\t"}
+
+    def escaped(u: Column) -> Column:
+        found = F.when((u >= "0020") & (u <= "007E"), F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8")).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+        for code, shown in short.items():
+            found = F.when(u == code, F.lit(shown)).otherwise(found)
+        return found
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(unit, escaped), ""), F.lit('"'))
+
+
 def derived_seed(seed: int, essay: Column, prompt: Column, index: Column) -> Column:
-    """The first four bytes of SHA-256 over the JSON list [seed, essay, prompt, index], for ASCII names."""
-    text = F.concat(F.lit(f"[{json.dumps(seed)}, "), F.to_json(F.array(essay)).substr(F.lit(2), F.length(F.to_json(F.array(essay))) - 2), F.lit(', "'), prompt, F.lit('", '), index.cast("string"), F.lit("]"))
+    """The first four bytes of SHA-256 over the JSON list [seed, essay, prompt, index], as Python writes it."""
+    text = F.concat(F.lit(f"[{json.dumps(seed)}, "), json_ascii(essay), F.lit(", "), json_ascii(prompt), F.lit(", "), index.cast("string"), F.lit("]"))
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
 
 

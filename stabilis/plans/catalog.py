@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stabilis.functions import text as T
-from stabilis.operators import clauses, contextual, lexis, matching, organization, pairs, stability, structure, validation
+from stabilis.operators import clauses, contextual, lexis, matching, organization, pairs, scoring, stability, structure, validation
 from stabilis.plans import oracle, texts
 from stabilis.plans.checkpoint import stored
 from stabilis.plans.tokens import synthetic_tokens
@@ -227,6 +227,14 @@ def _shift_intervals(v, replicates, seed):
     return stability.replicate_intervals(stability.shift_replicates(v, replicates, seed), ["essay_file"], stability.DELTAS, stability.DELTAS[1:])
 
 
+def rescored_pairs(spark, sf_dir):
+    """Lexical scores of all pairs: those of the first prompt from a store, the rest made anew."""
+    rows, by = responses(spark, sf_dir), scoring.scorer("lexical")
+    wanted = pairs.canonical_pairs(rows).select(*KEYS)
+    made = stored(spark, "lexical", [f"{sf_dir}/conversations.parquet"], lambda: by(rows, wanted.filter("prompt_2 = 'A'")))
+    return rounded(scoring.scored(rows, wanted, by, made))
+
+
 def _sizes(spark, sf_dir):
     rows = responses(spark, sf_dir).withColumn("n", F.size(T.sentences(F.col("response"))))
     return pairs.packed(pairs.canonical_pairs(rows, "n")).select(*PAIR, F.col("n_1").alias("n_a"), F.col("n_2").alias("n_b"))
@@ -322,6 +330,7 @@ QUERIES = {
     "ngram_counts_2": _ngrams(2),
     "ngram_counts_3": _ngrams(3),
     "phraseology_jsd": phraseology_jsd,
+    "rescored_pairs": rescored_pairs,
     "tfidf_cosine_pairs": tfidf_cosine_pairs,
     "lexical_similarity": lexical_similarity,
     "embedding_meaning": embedding_meaning,

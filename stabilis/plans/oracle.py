@@ -251,6 +251,7 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
     out["lexical_similarity"] = q(
         [*lex, parts], f"SELECT {KEY}, round(m, 6) AS mattr_sim, round(t, 6) AS tfidf, round(ph, 6) AS phrase_sim, round(0.8 * (m + t) / 2 + 0.2 * ph, 6) AS lex FROM parts"
     )
+    out["rescored_pairs"] = q([*lex, parts], f"SELECT {KEY}, round(0.8 * (m + t) / 2 + 0.2 * ph, 6) AS lex, CASE WHEN prompt_2 = 'A' THEN 'stored' ELSE 'scored' END AS source FROM parts")
     dot = lambda x, y: f"list_sum(list_transform(range(1, len({x}) + 1), lambda i: {x}[i]::DOUBLE * {y}[i]::DOUBLE))"
     out["embedding_meaning"] = f"""SELECT a.vec_id, round(greatest(0.0, least(1.0, ({dot('a.embedding', 'b.embedding')} / (sqrt({dot('a.embedding', 'a.embedding')}) * sqrt({dot('b.embedding', 'b.embedding')})) + 1) / 2)), 6) AS meaning
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
