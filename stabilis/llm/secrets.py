@@ -41,6 +41,17 @@ def _accepted(kind: str, match: Column, value: Column | None) -> Column | None:
     return None
 
 
+def scanned(values: Column, join, back: bool = False) -> Column:
+    """Each value joined with all before it (or, ``back``, all after it). Distances double, so the work is n log n."""
+
+    def step(acc, _):
+        other = lambda i: F.get(acc["a"], i + acc["d"] if back else i - acc["d"])
+        return F.struct(F.transform(acc["a"], lambda x, i: join(x, other(i))).alias("a"), (acc["d"] * 2).alias("d"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)).cast("double"))).cast("int"))
+    return F.aggregate(rounds, F.struct(values.alias("a"), F.lit(1).alias("d")), step, lambda acc: acc["a"])
+
+
 def spans(text: Column, kind: str) -> Column:
     """Start and stop (code points, stop exclusive) of the kind's leftmost non-overlapping matches that count.
 
@@ -51,19 +62,38 @@ def spans(text: Column, kind: str) -> Column:
     order = list(KINDS).index(kind)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else matches
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), values.alias("value"))
 
-    def step(acc, row):
-        start = acc["at"] + F.length(row["gap"])
-        stop = start + F.length(row["match"])
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), stop.alias("stop")))
+    def measured(row):
         accepted = _accepted(kind, row["match"], row["value"])
         keep = row["match"].isNotNull() if accepted is None else F.coalesce(accepted, F.lit(False))
-        return F.struct(F.coalesce(stop, start).alias("at"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        size = F.coalesce(F.length(row["match"]), F.lit(0))
+        return F.struct((F.length(row["gap"]) + size).alias("step"), size.alias("size"), keep.alias("keep"))
+
+    def placed(rows):
+        stops = scanned(F.transform(rows, lambda r: r["step"]), lambda x, y: x + F.coalesce(y, F.lit(0)))
+        both = F.filter(F.arrays_zip(rows.alias("r"), stops.alias("stop")), lambda z: z["r"]["keep"])
+        return F.transform(both, lambda z: F.struct((z["stop"] - z["r"]["size"]).alias("start"), F.lit(order).alias("ord"), z["stop"].alias("stop")))
+
+    rows = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), values.alias("value")), measured)
+    # (bound once, as a one element array)
+    found = F.flatten(F.transform(F.array(rows), placed))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+
+
+def apart(strong: Column, weak: Column) -> Column:
+    """The weak spans that overlap no strong one. In the order of starts, a span overlaps if a strong one before it ends
+    later than it starts, or a strong one after it starts before it ends."""
+    mark = lambda spans, flag: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(flag).alias("weak"), s["ord"].alias("ord"), s["stop"].alias("stop")))
+
+    def cleared(rows):
+        last = scanned(F.transform(rows, lambda r: F.when(r["weak"] == 0, r["stop"]).otherwise(-1)), F.greatest)
+        following = scanned(F.transform(rows, lambda r: F.when(r["weak"] == 0, r["start"]).otherwise((1 << 31) - 1)), F.least, back=True)
+        clear = lambda z: (z["r"]["weak"] == 1) & (z["last"] <= z["r"]["start"]) & (z["following"] >= z["r"]["stop"])
+        return F.transform(F.filter(F.arrays_zip(rows.alias("r"), last.alias("last"), following.alias("following")), clear), lambda z: F.struct(z["r"]["start"].alias("start"), z["r"]["ord"].alias("ord"), z["r"]["stop"].alias("stop")))
 
-    empty = F.array().cast(_SPAN)
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    both = F.array_sort(F.concat(mark(strong, 0), mark(weak, 1)))
+    found = F.flatten(F.transform(F.array(both), cleared))
+    return F.when((F.size(strong) > 0) & (F.size(weak) > 0), found).otherwise(weak)
 
 
 def listed(parts: Column) -> Column:
@@ -94,21 +124,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     """Per row: id, n_assign, n_access, n_hex, base_sha256 (of the strong spans) and spans (strong and linked ones).
 
     Null text counts as empty and has no span. Rows are told apart by their own row number, so repeated rows and null
-    ids each get their result. Weak candidates that overlap a strong span are part of it and not listed. Texts are read once; only spans are written to the checkpoint folder and joined.
+    ids each get their result. Weak candidates that overlap a strong span are part of it and not listed. Texts are read
+    once; only spans are written to the checkpoint folder and joined. The work on a text's m matches grows as m log m.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), *[spans(text, k).alias(k) for k in KINDS]
     )
-    weak = [k for k in KINDS if k not in STRONG]
-    strong = F.concat(*STRONG)
-    apart = lambda w: ~F.exists(strong, lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"]))
-    found = checkpointed(found.withColumns({k: F.filter(k, apart) for k in weak}))
-    parts = found.filter(F.size(F.concat(*weak)) > 0).select("uid", F.explode(F.concat(*KINDS)).alias("s")).select("uid", "s.*")
+    found = found.select("id", "uid", *STRONG, F.concat(*STRONG).alias("strong"), F.concat(*[k for k in KINDS if k not in STRONG]).alias("weak"))
+    found = checkpointed(found.select("id", "uid", *[F.size(k).cast("long").alias(f"n_{k}") for k in STRONG], "strong", apart(F.col("strong"), F.col("weak")).alias("weak")))
+    parts = found.filter(F.size("weak") > 0).select("uid", F.explode(F.concat("strong", "weak")).alias("s")).select("uid", "s.*")
     extra = linked(parts, scope).groupBy("uid").agg(F.collect_list(F.struct("start", "ord", "stop")).alias("extra"))
     return found.join(extra, "uid", "left").select(
         F.col("id").alias(id_col),
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in STRONG],
-        F.sha2(listed(strong), 256).alias("base_sha256"),
-        listed(F.concat(strong, F.coalesce("extra", F.array().cast(_SPAN)))).alias("spans"),
+        *[f"n_{k}" for k in STRONG],
+        F.sha2(listed(F.col("strong")), 256).alias("base_sha256"),
+        listed(F.concat("strong", F.coalesce("extra", F.array().cast(_SPAN)))).alias("spans"),
     )

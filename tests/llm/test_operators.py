@@ -485,6 +485,62 @@ def test_weak_parts_need_each_other(spark):
     assert cases[4][1][a:b] == key
 
 
+def plain_spans(text):
+    """Strong spans, and weak ones that overlap none of them, one by one."""
+    def accepted(kind, m):
+        if kind == "assign":
+            return len(m.group(2)) >= 12
+        if kind == "key_id":
+            return bool(re.search("[0-9]", m.group())) and bool(re.search("[A-Z]", m.group())) and not m.group().startswith("AKIA") and len(m.group()) < 40
+        return len(m.group()) == 40 if kind == "key" else True
+
+    found = {k: [(m.start(), m.end()) for m in re.finditer(secrets.KINDS[k][0], text) if accepted(k, m)] for k in secrets.KINDS}
+    strong = [s for k in secrets.STRONG for s in found[k]]
+    for k in secrets.KINDS:
+        if k not in secrets.STRONG:
+            found[k] = [s for s in found[k] if not any(a < s[1] and s[0] < b for a, b in strong)]
+    return found
+
+
+def plain_scan(text):
+    found = plain_spans(text)
+    parts = [(s, k) for k, spans in found.items() for s in spans]
+    out = [(s[0], list(secrets.KINDS).index(k), s[1], k) for s, k in parts if k in secrets.STRONG]
+    for s, k in parts:
+        if k not in secrets.STRONG:
+            near = {secrets.KINDS[o][1] for t, o in parts if abs(t[0] - s[0]) <= secrets.SCOPE}
+            if set(secrets.NEEDS[k]) <= near:
+                out.append((s[0], list(secrets.KINDS).index(k), s[1], k))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_secrets_of_crowded_texts(spark):
+    """Random parts next to and inside each other, and a text with thousands of them."""
+    rng = np.random.default_rng(4)
+    parts = ["0123456789abcdef0", "AKIA" + "B" * 16, "KEY0123456789ABCDEF", "A1b2" * 10, "https://a.example/x?k=" + "f" * 20, 'token: "AbCdEf0123456789ZZ"', "é 日本 words between " * 4, "secret=" + "9" * 40, "x" * 500, "\n"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(1, 40))).tolist()) for _ in range(30)] + [" ".join(rng.choice(parts[:-2], 3_000).tolist())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df).collect():
+        assert r["spans"] == plain_scan(texts[r["doc_id"]])
+        assert r["n_hex"] == len(plain_spans(texts[r["doc_id"]])["hex"])
+
+
+def test_secrets_grow_in_proportion_to_matches(spark):
+    """Twice the matches take about twice the time beyond what any scan takes."""
+    import time
+
+    def took(n):
+        text = " ".join(f"0123456789abcdef{k:06d} https://a.b/{k} KEY{k:013d}AB" for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert secrets.scan(df).collect()[0]["n_hex"] == n
+        return time.perf_counter() - began
+
+    base = min(took(10) for _ in range(2))
+    half, whole = (max(min(took(n) for _ in range(2)) - base, 0.5) for n in (10_000, 20_000))
+    assert whole < 3.2 * half
+
+
 def test_secrets_stay_native(docs):
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
