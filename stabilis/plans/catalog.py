@@ -283,6 +283,40 @@ def clause_patterns(spark, sf_dir):
     return _clause_patterns(spark, sf_dir).groupBy("rid", "pos", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _clause_parts(spark, sf_dir):
+    """Cells of clauses of every pair, how many clauses both sides have, and patterns of clauses by response."""
+    split = stored(spark, "clauses", [f"{sf_dir}/conversations.parquet"], lambda: clauses.split_clauses(_tokens(spark, sf_dir), "rid"))
+    texts_of = split.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "clause", "text"))).alias("c")).select("rid", F.col("c.text").alias("s"))
+    rows = responses(spark, sf_dir).drop("response").withColumn("rid", F.concat_ws("/", "essay_file", "prompt", "response_index")).join(texts_of, "rid", "left")
+    rows = rows.withColumns({"s": F.coalesce("s", F.array().cast("array<string>")), "text": F.struct(*pairs.RESPONSE), "n": F.size(F.coalesce("s", F.array().cast("array<string>")))})
+    both = pairs.packed(pairs.canonical_pairs(rows.drop("s"), "text", "n", "rid")).withColumnsRenamed({"text_1": "one", "text_2": "two"})
+    cells = organization.sentence_matrix(both, organization.sentence_terms(rows, ["text"], F.col("s")), PAIR)
+    found = structure.patterns(clauses.clause_tokens(_tokens(spark, sf_dir), split, "rid"), ["rid", "sentence_id", "pos"]).select("rid", "pos", "pattern")
+    return cells, both.select(*PAIR, "n_1", "n_2", "rid_1", "rid_2"), found
+
+
+#: Share of the closeness of places in the score of two clauses, and the least score of a match.
+POSITION, LEAST = 0.25, 0.3
+
+
+def _clause_matches(cells, sizes):
+    """Clauses matched by similarity blended with the closeness of their places."""
+    place = lambda c, n: F.when(F.col(n) > 1, F.col(c) / (F.col(n) - 1)).otherwise(0.0)
+    close = 1 - F.abs(place("i", "n_1") - place("j", "n_2"))
+    score = F.round(matching.blended(F.col("score"), F.col("score"), close, POSITION), 6)
+    return matching.match_units(cells.join(sizes, PAIR).select(*PAIR, "i", "j", score.alias("score")), PAIR, least=LEAST)
+
+
+def _matched_patterns(cells, sizes, found):
+    side = lambda n: sizes.select(*PAIR, F.col(f"rid_{n}").alias("rid")).join(found, "rid").select(*PAIR, "pos", "pattern")
+    return structure.matched_patterns(_clause_matches(cells, sizes), side(1), side(2), PAIR)
+
+
+def matched_clause_patterns(spark, sf_dir):
+    """Structure of matched clauses: texts to clauses, clauses to a matrix, matches, and the patterns both sides share."""
+    return rounded(pairs.unpacked(_matched_patterns(*_clause_parts(spark, sf_dir))))
+
+
 def validation_edits(spark, sf_dir):
     found = validation.extracts(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return validation.edits(found, "doc_id")
@@ -362,6 +396,7 @@ QUERIES = {
     "hard_organization": _order(lambda m, n: matching.organization_of_matches(m, n, PAIR)),
     "mean_match_score": _order(lambda m, n: matching.mean_over_matches(m, n, PAIR)),
     "clause_patterns": clause_patterns,
+    "matched_clause_patterns": matched_clause_patterns,
     "unit_matches": unit_matches,
     "clause_split_loose": _clauses(False),
     "clause_split_strict": _clauses(True),

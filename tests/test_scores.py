@@ -238,6 +238,37 @@ def test_registered_matches_against_trying_everything(spark):
     assert tried > 50
 
 
+def test_matched_clause_patterns_against_plain_counting(spark):
+    """Clauses, matrix, matcher with places, patterns: all matches of sf0.001 counted one by one."""
+    from collections import Counter
+
+    from stabilis.plans import catalog
+
+    cells, sizes, found = catalog._clause_parts(spark, "/root/testdata/sf0.001")
+    n = {(r["essay_file"], r["pair"]): r for r in sizes.collect()}
+    score = {}
+    for r in cells.collect():
+        own = n[r["essay_file"], r["pair"]]
+        place = lambda x, size: x / (size - 1) if size > 1 else 0.0
+        close = 1 - abs(place(r["i"], own["n_1"]) - place(r["j"], own["n_2"]))
+        score[r["essay_file"], r["pair"], r["i"], r["j"]] = 0.75 * r["score"] + 0.25 * close
+    matches = catalog._clause_matches(cells, sizes).collect()
+    assert matches and all(r["score"] >= catalog.LEAST and r["score"] == pytest.approx(score[r["essay_file"], r["pair"], r["i"], r["j"]], abs=1e-6) for r in matches)
+    core = [r for r in matches if r["phase"] == "assignment"]
+    assert len({(r["essay_file"], r["pair"], r["i"]) for r in core}) == len({(r["essay_file"], r["pair"], r["j"]) for r in core}) == len(core)
+    patterns = {}
+    for r in found.collect():
+        patterns.setdefault((r["rid"], r["pos"]), Counter())[r["pattern"]] += 1
+    got = catalog._matched_patterns(cells, sizes, found).collect()
+    assert sorted((r["essay_file"], r["pair"], r["i"], r["j"]) for r in got) == sorted((r["essay_file"], r["pair"], r["i"], r["j"]) for r in matches)
+    for r in got:
+        own = n[r["essay_file"], r["pair"]]
+        a, b = (patterns.get((own[f"rid_{s}"], r[c]), Counter()) for s, c in ((1, "i"), (2, "j")))
+        high = sum((a | b).values())
+        assert r["structurality"] == pytest.approx(sum((a & b).values()) / high if high else 0.0)
+        assert (r["n_patterns_a"], r["n_pattern_types_b"], r["n_shared_pattern_types"]) == (sum(a.values()), len(b), len(a & b))
+
+
 def test_depths_of_chains_gaps_and_cycles(spark):
     """Walks one by one: long chains, gaps in the ids, cycles with tails, missing and punctuated heads."""
     rng = np.random.default_rng(8)
