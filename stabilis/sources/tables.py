@@ -43,6 +43,23 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.md", recursive:
     return rows.select(where.alias("path"), F.element_at(F.split(where, "/"), -1).alias("filename"), stripped(F.col("value")).alias("text"))
 
 
+def read_essays(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
+    """essay_file and text of a folder's files. A folder that is not there, one without such files, and a file without text
+    are errors: they would end in a run without essays, or with blank ones."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where) or not system.getFileStatus(where).isDirectory():
+        raise NotADirectoryError(f"there is no folder {path}")
+    found = system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where, pattern))
+    if found is None or not len(found):
+        raise ValueError(f"there are no files {pattern} in {path}")
+    rows = read_texts(spark, path, pattern)
+    blank = rows.filter(F.coalesce(F.col("text"), F.lit("")) == "").select("filename").limit(1).collect()
+    if blank or rows.count() < len(found):
+        raise ValueError(f"there is no text in {blank[0]['filename'] if blank else 'a file'}")
+    return rows.select(F.col("filename").alias("essay_file"), "text")
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Text files below domain/subject folders: domain, subject, filename, text; shallower files are left out."""
     rows = read_texts(spark, path, "*.txt", recursive=True)

@@ -212,3 +212,24 @@ def test_order_of_vectors(spark, tmp_path):
     got = [(r["essay_file"], r["comparison_type"], r["response_index_1"], r["response_index_2"]) for r in files.in_order(spark, path)]
     kinds = {"AA": 0, "BB": 1, "AB": 2}
     assert got == sorted(got, key=lambda r: (r[0], kinds[r[1]], r[2], r[3])) and len(got) == len(rows)
+
+
+def test_essays_must_be_there_and_have_text(spark, tmp_path):
+    folder = tmp_path / "essays"
+    with pytest.raises(NotADirectoryError):
+        tables.read_essays(spark, str(folder))
+    folder.mkdir()
+    (folder / "notes.txt").write_text("other")
+    with pytest.raises(ValueError, match="no files"):
+        tables.read_essays(spark, str(folder))
+    (folder / "b.md").write_text("  Second.\n")
+    (folder / "a.md").write_text("First\nof two lines.")
+    assert sorted(tuple(r) for r in tables.read_essays(spark, str(folder)).collect()) == [("a.md", "First\nof two lines."), ("b.md", "Second.")]
+    with pytest.raises(NotADirectoryError):
+        tables.read_essays(spark, str(folder / "a.md"))
+    (folder / "c.md").write_text(" \n\t ")
+    with pytest.raises(ValueError, match="c.md"):
+        tables.read_essays(spark, str(folder))
+    (folder / "c.md").write_text("")
+    with pytest.raises(ValueError, match="no text"):
+        tables.read_essays(spark, str(folder))
