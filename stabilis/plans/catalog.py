@@ -353,6 +353,13 @@ def chart_intervals(spark, sf_dir):
     return rounded(points.join(bars, ["essay_file", "prompt"]).select("essay_file", "prompt", "mean_distance", "low", "high"))
 
 
+def chart_components(spark, sf_dir):
+    """Panels of components: each essay's and prompt's mean of each component, under the essay's short name."""
+    points = stability.within_stability(vectors(spark, sf_dir))
+    panels = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(f"{c}_mean").alias("similarity")) for c in COMPONENTS])).alias("p")
+    return rounded(points.select("essay_file", T.short_name(F.col("essay_file")).alias("name"), "prompt", panels).select("essay_file", "name", "prompt", "p.*"))
+
+
 QUERIES = {
     "responses": responses,
     "response_violations": response_violations,
@@ -390,6 +397,7 @@ QUERIES = {
     "within_intervals": _bootstrap(_within_intervals),
     "shift_intervals": _bootstrap(_shift_intervals),
     "chart_intervals": chart_intervals,
+    "chart_components": chart_components,
     "kendall_tau_b": _best_order(lambda m, n: matching.kendall(m, PAIR)),
     "position_matching": _best_order(lambda m, n: matching.positions(m, n, PAIR)),
     "continuity": _best_order(lambda m, n: matching.continuity(m, n, PAIR)),

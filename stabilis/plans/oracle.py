@@ -450,6 +450,12 @@ def build(k: int, replicates: int, seed: int) -> dict[str, str]:
         """SELECT essay_file, prompt, round(any_value(wi.mean_distance), 6) AS mean_distance, round(quantile_cont(bw.mean_distance, 0.025), 6) AS low, round(quantile_cont(bw.mean_distance, 0.975), 6) AS high
         FROM bw JOIN wi USING (essay_file, prompt) GROUP BY essay_file, prompt""",
     )
+    stem = r"regexp_replace(regexp_extract(essay_file, '[^/]*$'), '(.)\.[^.]+$', '\1')"
+    panels = " UNION ALL ".join(f"SELECT essay_file, prompt, '{c}' AS component, round({c}_mean, 6) AS similarity FROM wi" for c in COMPONENTS)
+    out["chart_components"] = q(
+        [*within, f"panels AS ({panels})", f"stems AS (SELECT *, {stem} AS stem FROM panels)", "parted AS (SELECT *, string_split(stem, '_') AS parts FROM stems)"],
+        "SELECT essay_file, CASE WHEN len(parts) > 2 THEN array_to_string(parts[3:], '_') ELSE stem END AS name, prompt, component, similarity FROM parted",
+    )
     out |= structure
     for name, sql in out.items():
         if "vectors AS MATERIALIZED" in sql:

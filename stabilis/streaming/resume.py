@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stabilis.operators.pairs import canonical_pairs, missing_pairs
@@ -12,11 +13,12 @@ from stabilis.plans.checkpoint import exists
 from stabilis.sources.tables import KEYS
 
 
-def score_stream(responses: DataFrame, stored: str, done: str, checkpoint: str, score: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def score_stream(responses: DataFrame, stored: str, done: str, checkpoint: str, score: Callable[[DataFrame], DataFrame], order: str | None = None) -> StreamingQuery:
     """Append arriving responses to ``stored`` and the scores of pairs that have none yet to ``done`` (Parquet folders).
 
     ``score`` takes canonical pairs (keys, comparison_type, response_1, response_2) and gives back rows with the keys.
-    Only essays of the batch are paired again. A batch that is run twice adds nothing: stored responses and scored
+    Of rows with one key in one batch the one with the smallest ``order`` stays, at a tie the smallest response. Only essays
+    of the batch are paired again, from the stored table; ``arrivals.score_arrivals`` holds them as state instead. A batch that is run twice adds nothing: stored responses and scored
     pairs are anti-joined.
     """
 
@@ -24,7 +26,8 @@ def score_stream(responses: DataFrame, stored: str, done: str, checkpoint: str,
         spark = batch.sparkSession
         old = _read(spark, stored, batch)
         keys = ["essay_file", "prompt", "response_index"]
-        fresh = batch.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+        first = F.min_by(F.struct("*"), F.struct(*([order] if order else []), F.col("response")))
+        fresh = batch.groupBy(*keys).agg(first.alias("row")).select("row.*").join(old.select(*keys), keys, "left_anti")
         fresh.write.mode("append").parquet(stored)
         essays = batch.select("essay_file").distinct()
         pairs = canonical_pairs(spark.read.parquet(stored).join(essays, "essay_file", "left_semi"), "response")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from stabilis.operators import pairs
 from stabilis.sources import providers, sinks, tables
+from stabilis.streaming.arrivals import score_arrivals
 from stabilis.streaming.resume import score_stream
 
 
@@ -157,3 +158,39 @@ def test_against_sql(spark, name):
     columns = sorted(want.columns)
     flat = lambda df: sorted(json.dumps([None if v != v else v for v in row], default=str) for row in df[columns].astype(object).values.tolist())
     assert sorted(got.columns) == columns and flat(got) == flat(want)
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_arrivals(spark, tmp_path, shards):
+    """Every pair once, in the batch of its later side, whatever comes again; state only, no stored table."""
+    rows = make(spark).withColumn("at", F.lit(1)).withColumn("extra", F.lit("x"))
+    source, done, check = (str(tmp_path / n) for n in ("in", "done", "check"))
+    score = lambda df: df.withColumn("both", F.length("response_1") + F.length("response_2"))
+    again = rows.filter("response_index = 3").withColumn("response", F.lit("late")).withColumn("at", F.lit(9))
+    odd = rows.limit(2).withColumn("prompt", F.lit(None).cast("string")).unionByName(rows.limit(1).withColumn("essay_file", F.lit("only.md")).withColumn("response", F.lit(None).cast("string")))
+    seen = []
+    for part in (rows.filter("response_index < 3").unionByName(odd), rows.filter("response_index = 3").unionByName(again), again, rows.limit(0)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        score_arrivals(stream, done, check, score, shards=shards, order="at").awaitTermination()
+        seen.append(spark.read.parquet(done).count())
+    assert seen == [21, 43, 43, 43]
+    got = {tuple(r[k] for k in tables.KEYS): (r["comparison_type"], r["response_1"], r["response_2"]) for r in spark.read.parquet(done).filter("essay_file <> 'only.md'").collect()}
+    want = {tuple(r[k] for k in tables.KEYS): (r["comparison_type"], r["response_1"], r["response_2"]) for r in pairs.canonical_pairs(make(spark), "response").collect()}
+    assert got == want
+
+
+def test_arrivals_after_a_loss(spark, tmp_path):
+    """A batch whose commit was lost runs again and adds nothing."""
+    source, done, check = (str(tmp_path / n) for n in ("in", "done", "check"))
+    rows = make(spark)
+    run = lambda: score_arrivals(spark.readStream.schema(rows.schema).parquet(source), done, check, lambda df: df.drop("response_1", "response_2")).awaitTermination()
+    for part in (rows.filter("response_index < 3"), rows.filter("response_index = 3")):
+        part.write.mode("append").parquet(source)
+        run()
+    last = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    found = spark.read.parquet(done)
+    assert found.count() == 42 == found.select(*tables.KEYS).distinct().count()
