@@ -113,7 +113,8 @@ def track(data: memoryview, a: int, b: int) -> dict | None:
 
 
 def probe(content: bytes | None) -> dict | None:
-    """Codec, duration in seconds, number of samples and keyframe byte ranges of the first complete track.
+    """Of the first complete track only (``probe_tracks`` gives all): codec, duration in seconds, number of samples and
+    keyframe byte ranges.
 
     None for null, for data that is no container, and for truncated tables.
     """
@@ -219,7 +220,8 @@ def probe_media_tracks(df: DataFrame, content_col: str) -> DataFrame:
 
 
 def probe_media(df: DataFrame, content_col: str) -> DataFrame:
-    """The input with a struct column ``media``: codec, seconds, samples, keyframes (start and length in the file).
+    """The input with a struct column ``media`` of the first complete track only (``probe_media_tracks`` gives all): codec,
+    seconds, samples, keyframes (start and length in the file).
 
     Null, empty, foreign and truncated contents give a null struct. A column named ``media`` is replaced.
     """

@@ -326,13 +326,6 @@ def _places(at: Column) -> tuple[Column, Column]:
     return F.shiftright(at, _SHIFT), at.bitwiseAND(F.lit(_PLACE - 1))
 
 
-def _judged(runs: DataFrame, crowded: int) -> DataFrame:
-    """key, anchor, at, repeat and hot of the runs that are repeats or whose anchor occurs elsewhere too; one shuffle,
-    of hashes and places. Of runs with equal bytes a batch sends one, and of shared anchors' windows too."""
-    known = runs.select("*", F.count_if(~F.col("repeat")).over(W.partitionBy("anchor")).alias("n"))
-    return known.filter("repeat OR n > 1").select("key", "anchor", "at", "repeat", (F.col("n") > crowded).alias("hot"))
-
-
 def _pieces(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """meet, id, key, at and the bytes of every chain in question; runs of crowded anchors window by window."""
     start, number = _places(F.col("q.at"))

@@ -164,7 +164,7 @@ def _twin(text_col: str) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """Per row: id, source, size, source_size, target, copies, taken (size times copies).
+    """Per row: id, size, source_size, target, taken (size times copies), then source and copies.
 
     Every document is taken floor(target / source_size) times (at most ``most`` times), and as many documents more,
     once each, as bring the source near its target. Null sources are one source; null texts have size 0 and are
@@ -177,7 +177,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shortest one's length stays unmet or is taken too much.
     """
     return _planned(docs, id_col, text_col, source_col, weights, share, most, seed).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("source").alias(source_col), "copies"
     )
 
 
