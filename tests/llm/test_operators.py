@@ -424,6 +424,18 @@ def test_url_rules_and_parts(spark):
     assert out[12]["rule"] is None and out[7]["rule"] is None
 
 
+def test_url_verdicts_are_those_of_the_contracts_rules(spark):
+    urls = [
+        (1, "http://a.com/en/1"), (2, "http://example.com/en/7"), (3, "http://net/de/1"), (4, "http://B.NET/de/x?q"), (5, "http://example.net/de/7"), (6, "http://example.net/de/8"),
+        (7, "http://c.example.net/de/80/x"), (8, "http://notexample.net/de/8"), (9, "http://d.org/es/1#f"),
+    ]
+    out = {r["page_id"]: (r["rule"], r["verdict"]) for r in urltree.url_verdicts(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert out == {
+        1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: ("net/de/", "allow"), 4: ("net/de/", "allow"), 5: ("net/de/", "allow"), 6: ("example.net/de/8", "block"),
+        7: ("example.net/de/8", "block"), 8: ("net/de/", "allow"), 9: ("org/es/", "block"),
+    }
+
+
 def test_templates_and_purity(spark):
     rules = (("block", "h.org", "/shop/1"), ("allow", "h.org", "/news/2"))
     urls = [f"http://h.org/shop/{k}/item" for k in range(100, 180)] + [f"http://h.org/shop/9{k}/item" for k in range(10)]
