@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +24,8 @@ COORDINATORS = {"and", "or", "but"}
 RELATIVES = {"who", "which", "that"}
 DISCOURSE = {"for example", "however"}
 LOOSE, STRICT = (4, 2), (5, 3)
+#: Tags that a split root may have.
+LOOSE_ROOTS, STRICT_ROOTS = {"VERB"}, {"VERB", "ADJ", "NOUN"}
 
 
 class Token(NamedTuple):
@@ -104,14 +106,21 @@ def split_sentence(tokens: dict[int, tuple], strict: bool, merge: bool = True) -
     ``merge`` a clause that opens with one of ``WEAK_STARTS`` is joined to the one before it. What is left of the
     sentence is the main clause, even if it is punctuation only.
     """
-    sentence = {i: Token(*t) for i, t in sorted(tokens.items())}
-    children: dict[int, list[int]] = {}
-    for i, t in sentence.items():
-        if t.head is not None:
-            children.setdefault(t.head, []).append(i)
-    below = {i: _subtree(children, i) for i, t in sentence.items() if t.relation in SPLITS}
-    fits = Part.splits_strictly if strict else Part.splits_loosely
-    below = {i: ids for i, ids in below.items() if fits(Part(sentence, ids), sentence[i])}
+    return _split({i: Token(*t) for i, t in sorted(tokens.items())}, strict, merge)
+
+
+def _split(sentence: dict[int, Token], strict: bool, merge: bool = True) -> list[list[int]]:
+    """``split_sentence`` of tokens in order of their ids."""
+    roots, fits = (STRICT_ROOTS, Part.splits_strictly) if strict else (LOOSE_ROOTS, Part.splits_loosely)
+    wanted = [i for i, t in sentence.items() if t.relation in SPLITS and t.upos in roots]
+    below = {}
+    if wanted:
+        children: dict[int, list[int]] = {}
+        for i, t in sentence.items():
+            if t.head is not None:
+                children.setdefault(t.head, []).append(i)
+        below = {i: _subtree(children, i) for i in wanted}
+        below = {i: ids for i, ids in below.items() if fits(Part(sentence, ids), sentence[i])}
     if strict:
         below = {i: ids for i, ids in below.items() if not any(i in other for j, other in below.items() if j != i)}
     main = set(sentence).difference(*below.values())
@@ -134,17 +143,32 @@ def split_clauses(tokens: DataFrame, key: str, strict: bool = False) -> DataFram
     A column ``xpos`` is used where there is one (infinitives); without it no clause counts as an infinitive.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads = [None if h is None or h != h else int(h) for h in pdf["head_token_id"]]
-        sentence = {int(t): (x, u, r, h, p) for t, x, u, r, h, p in zip(pdf["token_id"], pdf["text"], pdf["upos"], pdf["dependency_relation"], heads, pdf["xpos"])}
-        named = {i: Token(*t) for i, t in sentence.items()}
-        rows = [(pdf[key].iloc[0], int(pdf["sentence_id"].iloc[0]), k, len(c), Part(named, c).text, c) for k, c in enumerate(split_sentence(sentence, strict))]
-        return pd.DataFrame(rows, columns=[key, "sentence_id", "clause", "n_tokens", "text", "token_ids"])
+    def run(batches):
+        for batch in batches:
+            held = batch.column(2)
+            ends, nodes = held.offsets.to_pylist(), held.values
+            first, last = ends[0], ends[-1]
+            columns = [nodes.field(n).slice(first, last - first).to_pylist() for n in range(6)]
+            ids, words = columns[0], list(map(Token, *columns[1:]))
+            at, numbers, sizes, said, found = [], [], [], [], []
+            for row, (a, b) in enumerate(zip(ends, ends[1:])):
+                sentence = dict(zip(ids[a - first : b - first], words[a - first : b - first]))
+                for k, clause in enumerate(_split(sentence, strict)):
+                    at.append(row)
+                    numbers.append(k)
+                    sizes.append(len(clause))
+                    said.append(Part(sentence, clause).text)
+                    found.append(clause)
+            at = pa.array(at, pa.int32())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(said, pa.string()), pa.array(found, pa.list_(pa.int32()))]
+            yield pa.record_batch(columns, names=[key, "sentence_id", "clause", "n_tokens", "text", "token_ids"])
 
     kind = tokens.schema[key].dataType.simpleString()
     xpos = F.col("xpos") if "xpos" in tokens.columns else F.lit(None).cast("string").alias("xpos")
-    rows = tokens.select(key, "sentence_id", "token_id", "text", "upos", "dependency_relation", "head_token_id", xpos)
-    return rows.groupBy(key, "sentence_id").applyInPandas(run, f"{key} {kind}, sentence_id int, clause int, n_tokens int, text string, token_ids array<int>")
+    number = lambda c: F.col(c).cast("int").alias(c)
+    node = F.struct(number("token_id"), "text", "upos", "dependency_relation", number("head_token_id"), xpos)
+    sentences = tokens.select(key, number("sentence_id"), node.alias("node")).groupBy(key, "sentence_id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    return sentences.mapInArrow(run, f"{key} {kind}, sentence_id int, clause int, n_tokens int, text string, token_ids array<int>")
 
 
 def clause_tokens(tokens: DataFrame, clauses: DataFrame, key: str) -> DataFrame:

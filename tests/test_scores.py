@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stabilis.functions import text as T
 from stabilis.operators import clauses, lexis, matching, organization, structure, validation
 from stabilis.operators.pairs import canonical_pairs
+from stabilis.plans.tokens import synthetic_tokens
 
 
 def pairs_of(spark, *texts):
@@ -399,6 +400,21 @@ def test_long_sentences_are_taken_apart_once(spark):
     assert seconds(40_000) < 4 * seconds(20_000) + 1
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_clauses_of_many_sentences_take_no_call_each(spark, strict):
+    """Clauses of whole batches of sentences equal those of each sentence by itself; no pandas call per sentence."""
+    texts = spark.createDataFrame([(str(k), f"word{k} and the {k} ran because it went, or sat. It came by far! " * (1 + k % 3)) for k in range(60)], "rid string, text string")
+    tokens = synthetic_tokens(texts, "rid", "text")
+    found = clauses.split_clauses(tokens, "rid", strict)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan
+    sentences: dict = {}
+    for t in tokens.collect():
+        sentences.setdefault((t["rid"], t["sentence_id"]), {})[t["token_id"]] = (t["text"], t["upos"], t["dependency_relation"], t["head_token_id"], None)
+    want = {(*k, n, tuple(c)) for k, s in sentences.items() for n, c in enumerate(clauses.split_sentence(s, strict))}
+    assert {(r["rid"], r["sentence_id"], r["clause"], tuple(r["token_ids"])) for r in found.collect()} == want and len(want) > 60
+
+
 def test_clauses_on_spark(spark):
     rows = [("d", 1, 1, "I", "PRON", "nsubj", 2), ("d", 1, 2, "run", "VERB", "root", None), ("d", 2, 1, "Stop", "VERB", "root", None)]
     assert sorted(r["text"] for r in clauses.split_clauses(spark.createDataFrame(rows, TOKENS), "name").collect()) == ["I run", "Stop"]
