@@ -133,3 +133,47 @@ def test_a_text_is_its_own_best_match(spark):
 def test_context_changes_a_token():
     one, two = (next(iter(contextual.hashed_vectors()([t]))) for t in ("river bank", "savings bank"))
     assert one["vectors"][1] != two["vectors"][1]
+
+
+def test_values_of_a_partition_are_not_held_together(spark):
+    """Values leave call by call: at a call, those of a few calls before are alive at most."""
+
+    def make():
+        import gc
+        import weakref
+
+        class Value(dict):
+            pass
+
+        alive, calls = [], []
+
+        def provider(texts):
+            gc.collect()
+            calls.append(1)
+            held = sum(ref() is not None for ref in alive)
+            if held > 3 * 64:
+                raise ValueError(f"{held} values are held")
+            for t in texts:
+                value = Value(n=len(t))
+                alive.append(weakref.ref(value))
+                yield value
+
+        return provider
+
+    rows = spark.range(1500).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("t")).coalesce(1)
+    found = providers.provided(rows, ["id"], "t", "v", "struct<n: int>", make)
+    assert found.filter("v.n = length(concat('text ', id))").count() == 1500
+
+
+def test_pairs_of_blocks_are_dealt_one_by_one(spark):
+    """An essay of many blocks is no single task's; results do not depend on the size of blocks."""
+    rows = spark.createDataFrame([("a", "AB"[k % 2], k // 2 + 1, f"word{k % 5} and word{k % 7} here") for k in range(24)] + [("b", "A", 1, "alone"), ("b", "B", 1, None)], "essay_file string, prompt string, response_index int, response string")
+    vectors = contextual.token_vectors(rows)
+
+    def found(block):
+        return {tuple(r[:5]): tuple(round(x, 9) for x in r[5:]) for r in contextual.contextual_similarity(vectors, block=block).collect()}
+
+    whole = found(64)
+    assert len(whole) == 24 * 25 // 2 + 3 and found(3) == whole and found(1) == whole
+    tasks = contextual.contextual_similarity(vectors, block=2).rdd.mapPartitions(lambda p: [sum(1 for r in p if r["essay_file"] == "a")]).collect()
+    assert sum(n > 0 for n in tasks) > 1
