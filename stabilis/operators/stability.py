@@ -133,6 +133,8 @@ DELTAS = ["magnitude", *[f"delta_{c}" for c in COMPONENTS]]
 ATTEMPTS = 40
 #: Replicates that are made at a time, and cells (replicates x pairs) that a tile of them may have.
 CHUNK, TILE = 1_250, 1 << 19
+#: Pairs that fill at least one in so many places of the matrix of ids are summed as a matrix.
+FILLED = 4
 #: Fixed values of the counter-based generator: steps between counters, multipliers of the mixer.
 REPLICATE_STEP, SLOT_STEP, MIX = 0x9E3779B1, 0x85EBCA6B, (0x7FEB352D, 0x846CA68B)
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -172,9 +174,24 @@ def counted(ids: np.ndarray, k: int) -> np.ndarray:
     return np.bincount(rows.ravel(), minlength=len(ids) * (k + 1)).reshape(len(ids), k + 1).astype(float)
 
 
+def _centres(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The centroids of ``weighted_means``, a component at a time."""
+    place, shape = i * second.shape[1] + j, (first.shape[1], second.shape[1])
+
+    def total(values: np.ndarray) -> np.ndarray:
+        return ((first @ np.bincount(place, values, shape[0] * shape[1]).reshape(shape)) * second).sum(1)
+
+    weight = total(np.ones(len(i)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.stack([total(scores[:, c]) / weight for c in range(scores.shape[1])], 1)
+
+
 def weighted_means(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray, distances: bool = True) -> np.ndarray:
     """Per sample: mean distance to its centroid (if asked for) and the centroid, of pairs (i, j) that weigh the product of
-    the counts of both ids: as often as pairs of slots show them. Pairs are walked in tiles."""
+    the counts of both ids: as often as pairs of slots show them. Pairs are walked in tiles; where only centroids are asked
+    for and pairs fill a matrix of ids well, they are products of matrices."""
+    if not distances and first.shape[1] * second.shape[1] <= FILLED * len(i):
+        return _centres(first, second, i, j, scores)
     step = max(1, TILE // max(1, len(first)))
     tiles = [slice(a, a + step) for a in range(0, len(i), step)]
     total, centre, apart = np.zeros((len(first), 1)), np.zeros((len(first), scores.shape[1])), np.zeros((len(first), 1))
@@ -305,7 +322,7 @@ def replicate_intervals(replicated: DataFrame, groups: list[str], metrics: list[
     def interval(m: str) -> Column:
         share = F.size(F.filter(m, lambda x: x >= 0)) / F.size(m) if m in directional else F.lit(None).cast("double")
         tail = (1 - confidence) / 2
-        return F.struct(F.lit(m).alias("metric"), F.array_sort(m).alias("v"), share.alias("directional"), F.lit(tail).alias("tail"))
+        return F.struct(F.lit(m).alias("metric"), F.sort_array(m).alias("v"), share.alias("directional"), F.lit(tail).alias("tail"))
 
     rows = replicated.select(*groups, F.explode(F.array(*[interval(m) for m in metrics])).alias("x")).select(*groups, "x.*")
     tail = (1 - confidence) / 2

@@ -153,6 +153,22 @@ def test_chunks_and_tiles_do_not_change_replicates(spark, vectors, monkeypatch,
             assert again[r["essay_file"], r["prompt"]][m] == pytest.approx(r[m])
 
 
+@pytest.mark.parametrize("kind,share", [("AB", 1.0), ("AA", 1.0), ("AB", 0.6)])
+def test_centroids_as_products_of_matrices(monkeypatch, kind, share):
+    """Large essays' centroids, also of tables with missing pairs, equal those of the walk over pairs."""
+    rng, k = np.random.default_rng(5), 30
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(1, k + 1), np.arange(1, k + 1), indexing="ij"))
+    kept = (rng.random(k * k) < share) & ((kind == "AB") | (i < j))
+    i, j = i[kept], j[kept]
+    scores = rng.random((len(i), len(COMPONENTS)))
+    first = stability.counted(stability.drawn(1, "e", "A", k, 1, 40), k)
+    second = first if kind == "AA" else stability.counted(stability.drawn(1, "e", "B", k, 1, 40), k)
+    calls, matrices = [], stability._centres
+    monkeypatch.setattr(stability, "_centres", lambda *a: calls.append(1) or matrices(*a))
+    fast = stability.weighted_means(first, second, i, j, scores, distances=False)
+    assert calls == [1] and np.allclose(fast, stability.weighted_means(first, second, i, j, scores)[:, 1:], rtol=1e-12)
+
+
 def test_bootstrap_of_an_essay_with_200_responses(spark):
     """Tiles keep memory small: 60,000 pairs and 40 replicates, in tiles of half a million cells."""
     k = 200
