@@ -14,6 +14,7 @@ import base64
 import gc
 import hashlib
 import re
+import struct
 from itertools import chain
 
 import numpy as np
@@ -21,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries after which a worker forgets its encoded pieces, or half as many states; only speed depends on it.
+#: Entries of a worker's older and newer encoded pieces, half for each; half as many states. Only speed depends on it.
 CACHE_LIMIT = 300_000
+#: Characters of texts whose results leave a task together.
+_OUT = 1 << 21
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -210,18 +213,29 @@ class Utf8Stream:
 
 
 class _Pieces(dict):
-    """Ids by piece of text, encoded when first asked for and forgotten beyond a limit."""
+    """What a piece of text becomes: its ids in decimal, the bytes of its ids, and the ids as 32-bit integers.
 
-    def __init__(self, machine: Transducer):
+    Pieces are encoded when first asked for. Beyond half the limit they become the older ones, of which those asked
+    for again come back and the others are forgotten the next time: frequent pieces outlive the many that occur once.
+    """
+
+    def __init__(self, machine: Transducer, limit: int | None = None):
         super().__init__()
         self.machine = machine
+        self.limit = (CACHE_LIMIT if limit is None else limit) // 2
+        self.older: dict[str, tuple[bytes, bytes, bytes]] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) > CACHE_LIMIT:
+    def __missing__(self, piece: str) -> tuple[bytes, bytes, bytes]:
+        if len(self) > self.limit:
+            self.older = dict(self)
             self.clear()
-        ids = self.machine.encode(piece.encode("utf-8", "surrogatepass"))
-        self[piece] = ids
-        return ids
+        made = self.older.get(piece)
+        if made is None:
+            ids = self.machine.encode(piece.encode("utf-8", "surrogatepass"))
+            table = self.machine.bytes_of
+            made = b" ".join([b"%d" % i for i in ids]), b"".join([table[i] for i in ids]), struct.pack(f"<{len(ids)}i", *ids)
+        self[piece] = made
+        return made
 
 
 #: Texts of so many characters are split into runs of so many pieces, which bounds memory; results are the same.
@@ -302,7 +316,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     @F.pandas_udf("array<int>")
     def ids(texts):
         pieces, split, _ = _machine(data.value, pattern)
-        return texts.map(lambda t: None if t is None else [i for run in split.runs(t) for p in run for i in pieces[p]])
+        return texts.map(lambda t: None if t is None else np.frombuffer(b"".join([pieces[p][2] for run in split.runs(t) for p in run]), "<i4"))
 
     return docs.select(*_columns(docs, {ids_col}), ids(F.col(text_col)).alias(ids_col))
 
@@ -332,35 +346,44 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     """
     data = vocabulary(docs.sparkSession, ranks_path)
 
+    def result(ids, out):
+        n, ids_sha, text_sha, same, kept = zip(*out)
+        return pa.record_batch(
+            [ids, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())]
+            + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []),
+            names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"] + (["ids"] if keep_ids else []),
+        )
+
     def run(batches):
-        pieces, split, table = _machine(data.value, pattern)
-        word = {i: b"%d" % i for i in table}
+        pieces, split, _ = _machine(data.value, pattern)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
+            out, size, first_row = [], 0, 0
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
                 n, ids_hash, text_hash, stream, same, first, all_ids = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream(), True, True, []
                 at = 0
                 for part in split.runs(text):
-                    ids = list(chain.from_iterable([pieces[p] for p in part]))
-                    n += len(ids)
+                    made = [pieces[p] for p in part]
+                    ids = b"".join([m[2] for m in made])
+                    n += len(ids) // 4
                     if keep_ids:
-                        all_ids.append(np.array(ids, np.int32))
-                    if ids:
-                        ids_hash.update((b"" if first else b" ") + b" ".join([word[i] for i in ids]))
-                    raw = b"".join([table[i] for i in ids])
+                        all_ids.append(np.frombuffer(ids, "<i4"))
+                    if made:
+                        ids_hash.update((b"" if first else b" ") + b" ".join([m[0] for m in made]))
+                    raw = b"".join([m[1] for m in made])
                     text_hash.update(raw)
                     got = stream.feed(raw)
                     same = same and text.startswith(got, at)
-                    at, first = at + len(got), first and not ids
+                    at, first = at + len(got), first and not made
                 same = same and stream.close() == "" and at == len(text)
                 out.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), same, np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32)))
-            n, ids_sha, text_sha, same, kept = zip(*out) if out else ((), (), (), (), ())
-            yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())]
-                + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []),
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"] + (["ids"] if keep_ids else []),
-            )
+                size += len(text)
+                # results of few texts are held together, not of a whole batch
+                if size >= _OUT:
+                    yield result(batch.column(0).slice(first_row, len(out)), out)
+                    out, size, first_row = [], 0, row + 1
+            if out:
+                yield result(batch.column(0).slice(first_row, len(out)), out)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (

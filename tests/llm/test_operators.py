@@ -407,6 +407,18 @@ def test_probe_lists_all_tracks(spark):
     assert found["samples"] == 9 and [k["length"] for k in found["keyframes"]] == [1, 9]
 
 
+def test_frequent_pieces_outlive_those_that_occur_once():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257}
+    machine, asked = bpe.Transducer(ranks), []
+    encode = machine.encode
+    machine.encode = lambda piece: asked.append(piece) or encode(piece)
+    pieces = bpe._Pieces(machine, 20)
+    for k in range(200):
+        assert pieces["xab"] == (b"120 256", b"xab", np.array([120, 256], "<i4").tobytes())
+        assert pieces[f"abc{k}"][1] == b"abc%d" % k
+    assert asked.count(b"xab") == 1 and len(pieces) + len(pieces.older) < 30
+
+
 # url filters
 
 
