@@ -34,18 +34,12 @@ def scorer(name: str, **settings) -> Scorer:
     return _FACTORIES[name](**settings)
 
 
-def wanted_pairs(responses: DataFrame, wanted: DataFrame, *carry: str) -> DataFrame:
-    """Canonical pairs of the wanted keys only, with ``carry`` columns of both sides."""
-    some = responses.join(wanted.select("essay_file").distinct(), "essay_file", "left_semi")
-    return pairs.canonical_pairs(some, *carry).join(wanted.select(*KEYS), KEYS, "left_semi")
-
-
 @register("lexical")
 def _lexical(size: int = 99) -> Scorer:
     def score(responses, wanted):
         some = responses.join(wanted.select("essay_file").distinct(), "essay_file", "left_semi")
         carried = ["mattr", "terms", "grams2", "grams3"]
-        return lexis.lexical_similarity(wanted_pairs(lexis.lexical_columns(some, pairs.RESPONSE), wanted, *carried), KEYS, size).select(*KEYS, "lex")
+        return lexis.lexical_similarity(pairs.wanted_pairs(lexis.lexical_columns(some, pairs.RESPONSE), wanted, *carried), KEYS, size).select(*KEYS, "lex")
 
     return score
 
@@ -81,7 +75,7 @@ def _pairwise(make, column: str = "score") -> Scorer:
                 if hasattr(function, "close"):
                     function.close()
 
-        both = wanted_pairs(responses, wanted, "response").select(*KEYS, F.coalesce("response_1", F.lit("")).alias("response_1"), F.coalesce("response_2", F.lit("")).alias("response_2"))
+        both = pairs.wanted_pairs(responses, wanted, "response").select(*KEYS, F.coalesce("response_1", F.lit("")).alias("response_1"), F.coalesce("response_2", F.lit("")).alias("response_2"))
         return both.mapInPandas(run, f"essay_file string, prompt_1 string, response_index_1 int, prompt_2 string, response_index_2 int, `{column}` double")
 
     return score

@@ -128,6 +128,33 @@ def test_lexical_scorer_is_the_measure(responses):
     assert got == {k: v for k, v in want.items() if k[2] == 1}
 
 
+def test_wanted_pairs_meet_in_blocks(spark):
+    """An essay of several blocks: each wanted pair once with what both sides carry, and no shuffle by pair of what is carried."""
+    keys = {(p, i) for p in "AB" for i in range(1, 71 if p == "A" else 40)}
+    rows = spark.createDataFrame([("e", p, i, f"{p}{i}") for p, i in sorted(keys)] + [("f", "A", 1, "f"), ("f", "B", 1, "g")], RESPONSES)
+    asked = [(x, y) for x in keys for y in keys if (x[1] * 7 + y[1]) % 5 == 0]  # some are not canonical
+    wanted = spark.createDataFrame([("e", *x, *y) for x, y in asked] + [("e", "A", 500, "B", 1)], "essay_file string, prompt_1 string, response_index_1 int, prompt_2 string, response_index_2 int")
+    got = [tuple(r) for r in pairs.wanted_pairs(rows, wanted, "response").select(*KEYS[1:], "response_1", "response_2", "comparison_type").collect()]
+    want = [(*x, *y, f"{x[0]}{x[1]}", f"{y[0]}{y[1]}", x[0] + y[0]) for x, y in asked if (x[0] == y[0] and x[1] <= y[1]) or x[0] < y[0]]
+    assert sorted(got) == sorted(want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scoring.scorer("lexical")(rows, wanted)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not [line for line in dealt if "prompt_1" in line and "prompt_2" in line]
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    texts = ["", "b a b. a b! a", "Ä ä x", None]
+    rows = spark.createDataFrame([("e", "A", i, t) for i, t in enumerate(texts)], RESPONSES)
+    found = lexis.lexical_columns(rows, pairs.RESPONSE)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["response_index"]: (r["terms"], r["grams2"], r["grams3"]) for r in found.collect()}
+    assert got == {0: ({}, {}, {}), 1: ({}, {"b a": 1, "a b": 2}, {"b a b": 1}), 2: ({}, {"ä ä": 1, "ä x": 1}, {"ä ä x": 1}), 3: ({}, {}, {})}
+
+
 def test_a_scorer_of_two_texts_and_the_registry(responses, tmp_path):
     closed = str(tmp_path / "closed")
 
