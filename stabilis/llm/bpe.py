@@ -118,16 +118,21 @@ class Transducer:
         if ok is None:
             if len(self.pairs) > 2 * self.limit:
                 self.pairs.clear()
-            sound, _, lefts = self._side(token)
-            ok = sound
-            for a, a_ends in self._side(last)[1] if sound else ():
-                for b, b_ends in lefts:
-                    rank = self.ranks.get(a + b)
-                    if rank is not None and rank < a_ends and rank <= b_ends:
-                        ok = False
-            self.pairs[last, token] = ok
+            ok = self.pairs[last, token] = self._apart(last, token)
         return ok
 
+    def _apart(self, last: int, token: int) -> bool:
+        sound, _, lefts = self._side(token)
+        if not sound:
+            return False
+        get = self.ranks.get
+        for a, a_ends in self._side(last)[1]:
+            for b, b_ends in lefts:
+                rank = get(a + b)
+                if rank is not None and rank < a_ends and rank <= b_ends:
+                    return False
+        return True
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Make the transition that is not there yet."""
         live, closed, shortest = [], None, 1 << 30
@@ -363,18 +368,19 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
                 n, ids_hash, text_hash, stream, same, first, all_ids = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream(), True, True, []
                 at = 0
                 for part in split.runs(text):
-                    made = [pieces[p] for p in part]
-                    ids = b"".join([m[2] for m in made])
-                    n += len(ids) // 4
+                    if not part:
+                        continue
+                    decimals, decoded, packed = zip(*map(pieces.__getitem__, part))
+                    ids = b" ".join(decimals)
+                    n += ids.count(b" ") + 1
                     if keep_ids:
-                        all_ids.append(np.frombuffer(ids, "<i4"))
-                    if made:
-                        ids_hash.update((b"" if first else b" ") + b" ".join([m[0] for m in made]))
-                    raw = b"".join([m[1] for m in made])
+                        all_ids.append(np.frombuffer(b"".join(packed), "<i4"))
+                    ids_hash.update(ids if first else b" " + ids)
+                    raw = b"".join(decoded)
                     text_hash.update(raw)
                     got = stream.feed(raw)
                     same = same and text.startswith(got, at)
-                    at, first = at + len(got), first and not made
+                    at, first = at + len(got), False
                 same = same and stream.close() == "" and at == len(text)
                 out.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), same, np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32)))
                 size += len(text)
