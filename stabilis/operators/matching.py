@@ -11,38 +11,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def assignment(cost: np.ndarray) -> np.ndarray:
-    """Row of each column (-1: none) in an assignment of least total cost; rows must not outnumber columns.
-
-    Shortest augmenting paths with potentials, vectorised over columns.
-    """
-    n, m = cost.shape
-    u, v = np.zeros(n), np.zeros(m)
-    row_of = np.full(m, -1)
-    for row in range(n):
-        best, via, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        at, col = row, -1
-        while True:
-            slack = np.where(done, np.inf, cost[at] - u[at] - v)
+from stabilis.operators.organization import counted_terms, sentence_cosines
+from stabilis.operators.pairs import BLOCK, paired_blocks
+
+#: Cells that problems which are solved together, or texts that are compared together, may have.
+TILE = 1 << 18
+
+
+def assignments(costs: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each cost matrix the row of each column (-1: none) in an assignment of least total cost; rows must not outnumber
+    columns. Matrices of about one size are solved together."""
+    out: list = [None] * len(costs)
+    order = sorted(range(len(costs)), key=lambda k: costs[k].shape[::-1])
+    a = 0
+    while a < len(order):
+        b, n = a, 0
+        while b < len(order):
+            n = max(n, len(costs[order[b]]))
+            if b > a and (b - a + 1) * n * costs[order[b]].shape[1] > TILE:
+                break
+            b += 1
+        for k, found in zip(order[a:b], _solved([costs[k] for k in order[a:b]])):
+            out[k] = found
+        a = b
+    return out
+
+
+def _solved(costs: list[np.ndarray]) -> list[np.ndarray]:
+    """Shortest augmenting paths with potentials, vectorised over columns and matrices."""
+    size, m = np.array([len(c) for c in costs]), max(c.shape[1] for c in costs)
+    cost = np.full((len(costs), size.max(), m), np.inf)
+    for k, c in enumerate(costs):
+        cost[k, : c.shape[0], : c.shape[1]] = c
+    u, v, row_of = np.zeros(cost.shape[:2]), np.zeros((len(costs), m)), np.full((len(costs), m), -1)
+    for row in range(size.max()):
+        own = np.flatnonzero(size > row)
+        best, via, done = np.full((len(own), m), np.inf), np.full((len(own), m), -1), np.zeros((len(own), m), bool)
+        at, col = np.full(len(own), row), np.full(len(own), -1)
+        while len(own):
+            slack = np.where(done, np.inf, cost[own, at] - u[own, at][:, None] - v[own])
             shorter = slack < best
-            best[shorter], via[shorter] = slack[shorter], col
+            best, via = np.where(shorter, slack, best), np.where(shorter, col[:, None], via)
             open_best = np.where(done, np.inf, best)
-            nxt = int(np.argmin(open_best))
-            step = open_best[nxt]
-            u[row] += step
-            u[row_of[done]] += step
-            v[done] -= step
-            best[~done] -= step
-            done[nxt], col = True, nxt
-            if row_of[nxt] < 0:
-                break
-            at = row_of[nxt]
-        while col >= 0:
-            before = via[col]
-            row_of[col] = row_of[before] if before >= 0 else row
-            col = before
-    return row_of
+            col = open_best.argmin(1)
+            step = open_best[np.arange(len(own)), col]
+            u[own, row] += step
+            p, c = np.nonzero(done)
+            u[own[p], row_of[own[p], c]] += step[p]
+            v[own] -= np.where(done, step[:, None], 0.0)
+            best -= np.where(done, 0.0, step[:, None])
+            done[np.arange(len(own)), col] = True
+            at = row_of[own, col]
+            ends = at < 0
+            if ends.any():
+                p, c, path = own[ends], col[ends], via[ends]
+                while len(p):
+                    before = path[np.arange(len(p)), c]
+                    row_of[p, c] = np.where(before >= 0, row_of[p, before], row)
+                    p, c, path = p[before >= 0], before[before >= 0], path[before >= 0]
+                own, best, via, done, at, col = (x[~ends] for x in (own, best, via, done, at, col))
+    return [found[: c.shape[1]] for found, c in zip(row_of, costs)]
+
+
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """Row of each column (-1: none) in an assignment of least total cost; rows must not outnumber columns."""
+    return assignments([cost])[0]
 
 
 def components(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -131,6 +164,10 @@ def _core(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> np.ndarray:
 def _matched(i: np.ndarray, j: np.ndarray, score: np.ndarray, capacity: int):
     """Cells taken by the assignment and, in order, as leftovers."""
     core = _core(i, j, score)
+    return np.flatnonzero(core), _leftovers(i, j, score, core, capacity)
+
+
+def _leftovers(i: np.ndarray, j: np.ndarray, score: np.ndarray, core: np.ndarray, capacity: int) -> np.ndarray:
     used_i, used_j = np.bincount(i[core], minlength=i.max() + 1), np.bincount(j[core], minlength=j.max() + 1)
     open_ = np.flatnonzero((used_i[i] == 0) | (used_j[j] == 0))
     rest = []
@@ -139,7 +176,25 @@ def _matched(i: np.ndarray, j: np.ndarray, score: np.ndarray, capacity: int):
             used_i[i[k]] += 1
             used_j[j[k]] += 1
             rest.append(k)
-    return np.flatnonzero(core), np.array(rest, np.int64)
+    return np.array(rest, np.int64)
+
+
+def _matched_matrices(scores: list[np.ndarray], capacity: int, least: float):
+    """i, j, the cells taken by the assignment and, in order, as leftovers, of each matrix of scores; those without a cell
+    under ``least`` are solved together."""
+    whole = [k for k, s in enumerate(scores) if (s >= least).all()]
+    costs = [scores[k].max() - scores[k] for k in whole]
+    row_of = dict(zip(whole, assignments([c.T if len(c) > c.shape[1] else c for c in costs])))
+    for k, s in enumerate(scores):
+        if k not in row_of:
+            i, j = np.nonzero(s >= least)
+            yield i, j, *(_matched(i, j, s[i, j], capacity) if len(i) else (i, i))
+            continue
+        (n, m), other = s.shape, np.flatnonzero(row_of[k] >= 0)
+        i, j = np.divmod(np.arange(n * m), m)
+        core = np.zeros(n * m, bool)
+        core[other * m + row_of[k][other] if n > m else row_of[k][other] * m + other] = True
+        yield i, j, np.flatnonzero(core), _leftovers(i, j, s.ravel(), core, capacity) if n != m else other[:0]
 
 
 def match_units(cells: DataFrame, keys: list[str], capacity: int = 2, least: float = 0.0) -> DataFrame:
@@ -190,6 +245,89 @@ def match_units(cells: DataFrame, keys: list[str], capacity: int = 2, least: flo
     return dealt.mapInArrow(run, f"{kinds}, i int, j int, score double, phase string")
 
 
+#: Pairs of texts whose matches are made together.
+TOGETHER = 1_024
+
+
+def match_texts(texts: DataFrame, capacity: int = 2, least: float = 0.0, places: int = 6, block: int = BLOCK) -> DataFrame:
+    """essay_file, pair (see ``pairs.packed``), i, j, score, phase: ``match_units`` over the cells of ``sentence_matrix``,
+    rounded, of all canonical pairs of texts.
+
+    ``texts`` has the keys of responses and ``s``, the terms of each sentence (array of arrays). Texts meet block by block,
+    so that neither terms nor cells are shuffled for each pair; a pair's memory grows with its cells.
+    """
+    if capacity < 1:
+        raise ValueError("capacity must be at least 1")
+    both = paired_blocks(texts, "s", block=block)
+
+    def sides(batch):
+        """For a row of the batch, its sides: keys in order, and terms."""
+        columns = [batch.column(1), batch.column(2)]
+        lists = [c.values.field(2) for c in columns]
+        coded = pa.concat_arrays([x.values.values for x in lists]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        codes = [coded[: len(lists[0].values.values)], coded[len(lists[0].values.values) :]]
+        ends = [[c.offsets.to_numpy(), x.offsets.to_numpy(), x.values.offsets.to_numpy()] for c, x in zip(columns, lists)]
+        names = [(c.values.field(0).to_pylist(), c.values.field(1).to_numpy(zero_copy_only=False)) for c in columns]
+
+        def of(row):
+            found = []
+            for side, (of_row, of_text, of_sentence) in enumerate(ends):
+                prompt, index = names[side]
+                keys = sorted((prompt[m], int(index[m]), m) for m in range(of_row[row], of_row[row + 1]))
+                sizes = np.array([of_text[m + 1] - of_text[m] for *_, m in keys], np.int64)
+                words = np.concatenate([np.zeros(0, np.int64), *[np.diff(of_sentence[of_text[m] : of_text[m + 1] + 1]) for *_, m in keys]]).astype(np.int64)
+                own = np.concatenate([codes[side][:0], *[codes[side][of_sentence[of_text[m]] : of_sentence[of_text[m + 1]]] for *_, m in keys]])
+                found.append((keys, sizes, np.repeat(np.arange(len(words)), words), own))
+            # numbers of terms without gaps
+            number = np.unique(np.concatenate([x[3] for x in found]), return_inverse=True)[1]
+            cut = len(found[0][3])
+            return [(keys, counted_terms(sizes, at, n)) for (keys, sizes, at, _), n in zip(found, (number[:cut], number[cut:]))]
+
+        return of
+
+    def scores(batch):
+        """Essay, pair and rounded matrix of each pair of texts with sentences."""
+        of, bit = sides(batch), {"A": 0, "B": 1}
+        for row, essay in enumerate(batch.column(0).to_pylist()):
+            (left, one), (right, two) = of(row)
+            apart = batch.column(2)[row].is_valid
+            right, two = (right, two) if apart else (left, one)
+            for k, x in enumerate(left):
+                a = 0 if apart else k
+                while a < len(right):
+                    room = TILE // max(1, one.ends[k + 1] - one.ends[k] + one.rows[k + 1] - one.rows[k])
+                    b = max(a + 1, int(np.searchsorted(two.rows, two.rows[a] + room, "right")) - 1)
+                    cells = np.round(sentence_cosines(one, k, two, a, b), places)
+                    for n, y in enumerate(right[a:b], a):
+                        score = cells[:, two.rows[n] - two.rows[a] : two.rows[n + 1] - two.rows[a]]
+                        if score.size:
+                            yield essay, ((bit[x[0]] * 2 + bit[y[0]]) << 60) + (x[1] << 30) + y[1], score
+                    a = b
+
+    def settled(found):
+        essays, numbers, matrices = zip(*found)
+        parts = [(i[c], j[c], s[i[c], j[c]], len(core), len(rest)) for s, (i, j, core, rest) in zip(matrices, _matched_matrices(list(matrices), capacity, least)) for c in [np.concatenate([core, rest]).astype(np.int64)]]
+        i, j, score, cores, rests = zip(*parts)
+        pair = np.repeat(np.arange(len(found)), np.array(cores) + np.array(rests))
+        phase = np.repeat(np.tile([0, 1], len(found)), np.array([cores, rests]).T.ravel())
+        columns = [pa.array(essays).take(pa.array(pair)), pa.array(np.array(numbers)[pair]), *[pa.array(np.concatenate(x).astype(t)) for x, t in ((i, np.int32), (j, np.int32), (score, float))]]
+        return pa.record_batch([*columns, pa.array(["assignment", "leftover"]).take(pa.array(phase))], names=["essay_file", "pair", "i", "j", "score", "phase"])
+
+    def run(batches):
+        for batch in batches:
+            held, cells = [], 0
+            for found in scores(batch):
+                held.append(found)
+                cells += found[2].size
+                if len(held) == TOGETHER or cells >= TILE:
+                    yield settled(held)
+                    held, cells = [], 0
+            if held:
+                yield settled(held)
+
+    return both.mapInArrow(run, "essay_file string, pair bigint, i int, j int, score double, phase string")
+
+
 def _edges(table: pa.Table, keys: list[str]) -> list[int]:
     """Where runs of equal keys begin, and the end."""
     new = np.zeros(max(0, len(table) - 1), bool)
