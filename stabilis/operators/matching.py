@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stabilis.operators.organization import counted_terms, sentence_cosines
+from stabilis.operators.organization import paired_cosines
 from stabilis.operators.pairs import BLOCK, paired_blocks
 
-#: Cells that problems which are solved together, or texts that are compared together, may have.
+#: Cells that problems which are solved together may have.
 TILE = 1 << 18
 
 
@@ -260,50 +260,6 @@ def match_texts(texts: DataFrame, capacity: int = 2, least: float = 0.0, places:
         raise ValueError("capacity must be at least 1")
     both = paired_blocks(texts, "s", block=block)
 
-    def sides(batch):
-        """For a row of the batch, its sides: keys in order, and terms."""
-        columns = [batch.column(1), batch.column(2)]
-        lists = [c.values.field(2) for c in columns]
-        coded = pa.concat_arrays([x.values.values for x in lists]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        codes = [coded[: len(lists[0].values.values)], coded[len(lists[0].values.values) :]]
-        ends = [[c.offsets.to_numpy(), x.offsets.to_numpy(), x.values.offsets.to_numpy()] for c, x in zip(columns, lists)]
-        names = [(c.values.field(0).to_pylist(), c.values.field(1).to_numpy(zero_copy_only=False)) for c in columns]
-
-        def of(row):
-            found = []
-            for side, (of_row, of_text, of_sentence) in enumerate(ends):
-                prompt, index = names[side]
-                keys = sorted((prompt[m], int(index[m]), m) for m in range(of_row[row], of_row[row + 1]))
-                sizes = np.array([of_text[m + 1] - of_text[m] for *_, m in keys], np.int64)
-                words = np.concatenate([np.zeros(0, np.int64), *[np.diff(of_sentence[of_text[m] : of_text[m + 1] + 1]) for *_, m in keys]]).astype(np.int64)
-                own = np.concatenate([codes[side][:0], *[codes[side][of_sentence[of_text[m]] : of_sentence[of_text[m + 1]]] for *_, m in keys]])
-                found.append((keys, sizes, np.repeat(np.arange(len(words)), words), own))
-            # numbers of terms without gaps
-            number = np.unique(np.concatenate([x[3] for x in found]), return_inverse=True)[1]
-            cut = len(found[0][3])
-            return [(keys, counted_terms(sizes, at, n)) for (keys, sizes, at, _), n in zip(found, (number[:cut], number[cut:]))]
-
-        return of
-
-    def scores(batch):
-        """Essay, pair and rounded matrix of each pair of texts with sentences."""
-        of, bit = sides(batch), {"A": 0, "B": 1}
-        for row, essay in enumerate(batch.column(0).to_pylist()):
-            (left, one), (right, two) = of(row)
-            apart = batch.column(2)[row].is_valid
-            right, two = (right, two) if apart else (left, one)
-            for k, x in enumerate(left):
-                a = 0 if apart else k
-                while a < len(right):
-                    room = TILE // max(1, one.ends[k + 1] - one.ends[k] + one.rows[k + 1] - one.rows[k])
-                    b = max(a + 1, int(np.searchsorted(two.rows, two.rows[a] + room, "right")) - 1)
-                    cells = np.round(sentence_cosines(one, k, two, a, b), places)
-                    for n, y in enumerate(right[a:b], a):
-                        score = cells[:, two.rows[n] - two.rows[a] : two.rows[n + 1] - two.rows[a]]
-                        if score.size:
-                            yield essay, ((bit[x[0]] * 2 + bit[y[0]]) << 60) + (x[1] << 30) + y[1], score
-                    a = b
-
     def settled(found):
         essays, numbers, matrices = zip(*found)
         parts = [(i[c], j[c], s[i[c], j[c]], len(core), len(rest)) for s, (i, j, core, rest) in zip(matrices, _matched_matrices(list(matrices), capacity, least)) for c in [np.concatenate([core, rest]).astype(np.int64)]]
@@ -316,7 +272,7 @@ def match_texts(texts: DataFrame, capacity: int = 2, least: float = 0.0, places:
     def run(batches):
         for batch in batches:
             held, cells = [], 0
-            for found in scores(batch):
+            for found in paired_cosines(batch, places):
                 held.append(found)
                 cells += found[2].size
                 if len(held) == TOGETHER or cells >= TILE:

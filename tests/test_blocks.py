@@ -15,16 +15,17 @@ TEXTS = [
 ]
 
 
-def cells_of(rows):
+def cells_of(rows, places=6):
     rows = rows.withColumn("s", T.sentences(F.col("response"))).withColumn("text", F.struct(*pairs.RESPONSE)).withColumn("n", F.size("s"))
     both = pairs.packed(pairs.canonical_pairs(rows.drop("s"), "text", "n")).withColumnsRenamed({"text_1": "one", "text_2": "two"})
     cells = organization.sentence_matrix(both, organization.sentence_terms(rows, ["text"], F.col("s")), ["essay_file", "pair"])
-    return cells.withColumn("score", F.round("score", 6))
+    return cells if places is None else cells.withColumn("score", F.round("score", places))
 
 
 @pytest.mark.parametrize("block,tile,together,least", [(64, 1 << 18, 1_024, 0.0), (2, 1 << 18, 3, 0.0), (1, 1, 1_024, 0.0), (64, 40, 2, 0.3)])
 def test_matches_of_texts_are_those_of_their_cells(spark, monkeypatch, block, tile, together, least):
     monkeypatch.setattr(matching, "TILE", tile)
+    monkeypatch.setattr(organization, "TILE", tile)
     monkeypatch.setattr(matching, "TOGETHER", together)
     rows = spark.createDataFrame(TEXTS, "essay_file string, prompt string, response_index int, response string").repartition(3)
     terms = F.transform(T.sentences(F.col("response")), lambda s: T.words(s, T.TERM))
@@ -34,10 +35,21 @@ def test_matches_of_texts_are_those_of_their_cells(spark, monkeypatch, block, ti
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_nothing_is_shuffled_for_each_pair(spark):
+@pytest.mark.parametrize("block,tile", [(64, 1 << 18), (2, 30), (1, 1)])
+def test_organization_of_texts_is_that_of_their_cells(spark, monkeypatch, block, tile):
+    monkeypatch.setattr(organization, "TILE", tile)
+    rows = spark.createDataFrame(TEXTS, "essay_file string, prompt string, response_index int, response string").repartition(3)
+    terms = F.transform(T.sentences(F.col("response")), lambda s: T.words(s, T.TERM))
+    got = {r[:2]: r[2] for r in organization.soft_texts(rows.select(*pairs.RESPONSE, terms.alias("s")), block=block).collect()}
+    want = {r[:2]: r[2] for r in organization.soft_organization(cells_of(rows, None), ["essay_file", "pair"]).collect()}
+    assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("step", ["_matches", "_organization"])
+def test_nothing_is_shuffled_for_each_pair(spark, step):
     from stabilis.plans import catalog
 
-    plan = catalog._matches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = getattr(catalog, step)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and not re.search(r"hashpartitioning\([^)]*pair", plan)
 
 
