@@ -3,11 +3,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stabilis.functions import text as T
-from stabilis.operators import matching, organization, pairs
+from stabilis.operators import contextual, matching, organization, pairs
 
 TEXTS = [
     ("e", "A", 1, "The cat sat on the mat. The dog lay on the log! Birds sing. Birds sing."), ("e", "A", 2, "A dog lay down.\nThe cat ran"), ("e", "A", 3, None), ("e", "B", 1, "!. a b. ?"),
@@ -58,3 +59,20 @@ def test_matrices_solved_together_are_solved_as_alone():
     costs = [rng.integers(0, 4, (n, n + int(rng.integers(0, 4)))).astype(float) for n in rng.integers(1, 9, 60)]
     for cost, found in zip(costs, matching.assignments(costs)):
         assert (found == matching.assignment(cost)).all() and sorted(found[found >= 0]) == list(range(len(cost)))
+
+
+def test_unit_vectors_of_two_blocks_are_made_once(monkeypatch):
+    """Not once for each text of the other block, all held together."""
+    texts = lambda p, n: [{"prompt": p, "response_index": k, "vectors": [[1.0, k], [0.0, 1.0]], "idf": [1.0, 0.5]} for k in range(1, n + 1)]
+    kind = pa.list_(pa.struct([("prompt", pa.string()), ("response_index", pa.int32()), ("vectors", pa.list_(pa.list_(pa.float32()))), ("idf", pa.list_(pa.float64()))]))
+    batch = pa.record_batch([pa.array(["e"]), pa.array([texts("A", 5)], kind), pa.array([texts("B", 4)], kind)], names=["essay_file", "members", "others"])
+    calls, norm = [], np.linalg.norm
+    monkeypatch.setattr(np.linalg, "norm", lambda *a, **k: calls.append(1) or norm(*a, **k))
+
+    class Blocks:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([batch])))
+
+    monkeypatch.setattr(contextual, "paired_blocks", lambda *a, **k: Blocks())
+    found = contextual.contextual_similarity(None)
+    assert sum(map(len, found)) == 20 and len(calls) == 9
