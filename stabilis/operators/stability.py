@@ -135,6 +135,8 @@ ATTEMPTS = 40
 CHUNK, TILE = 1_250, 1 << 19
 #: Pairs that fill at least one in so many places of the matrix of ids are summed as a matrix.
 FILLED = 4
+#: Responses of a prompt beyond which an essay's pairs are dealt in tiles of so many by so many; slots drawn at a time there.
+SIDE, SLOTS = 256, 256
 #: Fixed values of the counter-based generator: steps between counters, multipliers of the mixer.
 REPLICATE_STEP, SLOT_STEP, MIX = 0x9E3779B1, 0x85EBCA6B, (0x7FEB352D, 0x846CA68B)
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -147,6 +149,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(16))
 
 
+def _streams(seed: int, essay: str, prompt: str, first: int, replicates: int) -> np.ndarray:
+    """Where the draws of each replicate start."""
+    key = int(hashlib.md5(f"{seed}|{essay}|{prompt}".encode()).hexdigest()[:8], 16)
+    return _mixed((np.uint64(key) + np.arange(first, first + replicates, dtype=np.uint64) * np.uint64(REPLICATE_STEP)) & _LOW32)
+
+
+def _ids(streams: np.ndarray, start: int, stop: int, k: int) -> np.ndarray:
+    """Ids from 1 to k of a range of slots, a row for each stream."""
+    slots = np.arange(start, stop, dtype=np.uint64) * np.uint64(SLOT_STEP)
+    return (_mixed((streams[:, None] + slots) & _LOW32) % np.uint64(k)).astype(np.int64) + 1
+
+
 def drawn(seed: int, essay: str, prompt: str, k: int, first: int, replicates: int, attempts: int = ATTEMPTS) -> np.ndarray:
     """Seeded samples of k responses with replacement, a row for each of so many replicates from ``first`` (1, 2, ...) on;
     ids from 1.
@@ -155,12 +169,10 @@ def drawn(seed: int, essay: str, prompt: str, k: int, first: int, replicates: in
     attempt; any replicate can be drawn by itself. The first attempt with two different ids counts; it raises if a sample
     fails every time.
     """
-    key = int(hashlib.md5(f"{seed}|{essay}|{prompt}".encode()).hexdigest()[:8], 16)
-    stream = _mixed((np.uint64(key) + np.arange(first, first + replicates, dtype=np.uint64) * np.uint64(REPLICATE_STEP)) & _LOW32)
+    stream = _streams(seed, essay, prompt, first, replicates)
     out, open_ = np.empty((replicates, k), np.int64), np.arange(replicates)
     for attempt in range(attempts):
-        slots = np.arange(attempt * k, (attempt + 1) * k, dtype=np.uint64) * np.uint64(SLOT_STEP)
-        ids = (_mixed((stream[open_, None] + slots) & _LOW32) % np.uint64(k)).astype(np.int64) + 1
+        ids = _ids(stream[open_], attempt * k, (attempt + 1) * k, k)
         out[open_] = ids
         open_ = open_[ids.min(1) == ids.max(1)]
         if not len(open_):
@@ -174,16 +186,50 @@ def counted(ids: np.ndarray, k: int) -> np.ndarray:
     return np.bincount(rows.ravel(), minlength=len(ids) * (k + 1)).reshape(len(ids), k + 1).astype(float)
 
 
-def _centres(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    """The centroids of ``weighted_means``, a component at a time."""
+def counted_between(seed: int, essay: str, prompt: str, k: int, first: int, replicates: int, low: int, high: int, attempts: int = ATTEMPTS) -> np.ndarray:
+    """How often each id from ``low`` to ``high`` - 1 (column) occurs in each sample of ``drawn`` (row). Slots are drawn a few at
+    a time, so that memory does not grow with k."""
+    stream, open_, width = _streams(seed, essay, prompt, first, replicates), np.arange(replicates), high - low
+    out = np.empty((replicates, width))
+    for attempt in range(attempts):
+        n = len(open_)
+        count, least, most = np.zeros((n, width)), np.full(n, k), np.ones(n, np.int64)
+        for a in range(attempt * k, (attempt + 1) * k, SLOTS):
+            ids = _ids(stream[open_], a, min(a + SLOTS, (attempt + 1) * k), k)
+            least, most = np.minimum(least, ids.min(1)), np.maximum(most, ids.max(1))
+            row, col = np.nonzero((ids >= low) & (ids < high))
+            count += np.bincount(row * width + ids[row, col] - low, minlength=n * width).reshape(n, width)
+        out[open_] = count
+        open_ = open_[least == most]
+        if not len(open_):
+            return out
+    raise ValueError("a bootstrap sample kept a single response")
+
+
+def _totals(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Per sample the weight of all pairs and the weighted sum of each component, as products of matrices."""
     place, shape = i * second.shape[1] + j, (first.shape[1], second.shape[1])
 
     def total(values: np.ndarray) -> np.ndarray:
         return ((first @ np.bincount(place, values, shape[0] * shape[1]).reshape(shape)) * second).sum(1)
 
-    weight = total(np.ones(len(i)))
+    return np.stack([total(np.ones(len(i))), *[total(scores[:, c]) for c in range(scores.shape[1])]], 1)
+
+
+def _centres(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The centroids of ``weighted_means``, a component at a time."""
+    sums = _totals(first, second, i, j, scores)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.stack([total(scores[:, c]) / weight for c in range(scores.shape[1])], 1)
+        return sums[:, 1:] / sums[:, :1]
+
+
+def _apart(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Per sample the weighted sum of the pairs' distances to its centroid, walked in tiles."""
+    out, step = np.zeros((len(first), 1)), max(1, TILE // max(1, len(first)))
+    for t in (slice(a, a + step) for a in range(0, len(i), step)):
+        square = sum((scores[t, c] - centre[:, c, None]) ** 2 for c in range(scores.shape[1]))
+        out += (first[:, i[t]] * second[:, j[t]] * np.sqrt(square)).sum(1, keepdims=True)
+    return out
 
 
 def weighted_means(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray, distances: bool = True) -> np.ndarray:
@@ -194,7 +240,7 @@ def weighted_means(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.n
         return _centres(first, second, i, j, scores)
     step = max(1, TILE // max(1, len(first)))
     tiles = [slice(a, a + step) for a in range(0, len(i), step)]
-    total, centre, apart = np.zeros((len(first), 1)), np.zeros((len(first), scores.shape[1])), np.zeros((len(first), 1))
+    total, centre = np.zeros((len(first), 1)), np.zeros((len(first), scores.shape[1]))
     for t in tiles:
         weight = first[:, i[t]] * second[:, j[t]]
         total += weight.sum(1, keepdims=True)
@@ -203,10 +249,7 @@ def weighted_means(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.n
         centre /= total
         if not distances:
             return centre
-        for t in tiles:
-            square = sum((scores[t, c] - centre[:, c, None]) ** 2 for c in range(scores.shape[1]))
-            apart += (first[:, i[t]] * second[:, j[t]] * np.sqrt(square)).sum(1, keepdims=True)
-        return np.concatenate([apart / total, centre], 1)
+        return np.concatenate([_apart(first, second, i, j, scores, centre) / total, centre], 1)
 
 
 def _resampled(pairs: dict[str, np.ndarray], essay: str, first: int, replicates: int, seed: int, distances: bool) -> dict[str, np.ndarray]:
@@ -229,19 +272,96 @@ def _resampled(pairs: dict[str, np.ndarray], essay: str, first: int, replicates:
     return out
 
 
-def _replicated(vectors: DataFrame, replicates: int, seed: int, groups: list[str], names: list[str], kinds: list[str], distances: bool, rows_of, arrays: bool) -> DataFrame:
+#: What tells replicates of large essays apart, and what is summed for each.
+REPLICATE, SUMS = ["essay_file", "comparison_type", "replicate"], ["weight", *COMPONENTS]
+
+
+#: What tells tiles apart.
+TILES = ["essay_file", "comparison_type", "ti", "tj"]
+
+
+def _tiles(rows: DataFrame, large: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles of pairs of large essays, at most ``side`` by ``side`` in a row, and their keys alone."""
+    size = lambda at: F.when(F.substring("comparison_type", at, 1) == "A", F.col("size_A")).otherwise(F.col("size_B"))
+    block = lambda n: F.floor((F.col(f"response_index_{n}") - 1) / side).cast("int")
+    # a prompt with a single response has no replicate
+    kept = without_self(rows).join(large, "essay_file").select("*", size(1).alias("n1"), size(2).alias("n2")).filter("n1 > 1 AND n2 > 1")
+    pair = F.array(F.col("response_index_1").cast("double"), F.col("response_index_2").cast("double"), *COMPONENTS)
+    kept = kept.select("essay_file", "comparison_type", block(1).alias("ti"), block(2).alias("tj"), "n1", "n2", pair.alias("row"))
+    return kept.groupBy(*TILES, "n1", "n2").agg(F.collect_list("row").alias("pairs")), kept.select(*TILES).distinct()
+
+
+def _tiled(rows: DataFrame, large: DataFrame, replicates: int, seed: int, side: int, tasks: int, distances: bool) -> DataFrame:
+    """essay_file, comparison_type, replicate, components (the centroid) and, if asked for, mean_distance of large essays.
+
+    Pairs are dealt in tiles of ``side`` by ``side`` responses. A tile gives its share of each replicate's sums; shares are
+    added up by Spark, and distances are taken in a second walk over the tiles, which then have the centroids: neither a task
+    nor a row holds an essay's pairs. ``large`` has essay_file, size_A and size_B, from ``_sizes``.
+    """
+    n = len(COMPONENTS)
+    tiles, places = _tiles(rows, large, side)
+
+    def walked(batches, made, names):
+        """Rows that ``made`` gives for each chunk of replicates of each tile: of counts of ids, pairs, and the centroids that
+        travel with the tile."""
+        for batch in batches:
+            for at in range(batch.num_rows):
+                essay, kind, ti, tj, n1, n2 = (batch.column(c)[at].as_py() for c in range(6))
+                table = batch.column(6)[at].values.flatten().to_numpy().reshape(-1, 2 + n)
+                table = table[np.lexsort((table[:, 1], table[:, 0]))]
+                i, j = table[:, 0].astype(int) - ti * side - 1, table[:, 1].astype(int) - tj * side - 1
+                totals = np.stack([batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in range(7, batch.num_columns)], 1) if batch.num_columns > 7 else None
+                for first in range(1, replicates + 1, CHUNK):
+                    count = min(CHUNK, replicates - first + 1)
+                    ids = lambda p, k, t: counted_between(seed, essay, p, k, first, count, t * side + 1, (t + 1) * side + 1)  # noqa: E731, B023
+                    one = ids(kind[0], n1, ti)
+                    two = one if (kind[0], ti) == (kind[1], tj) else ids(kind[1], n2, tj)
+                    found = made(one, two, i, j, table[:, 2:], None if totals is None else totals[first - 1 : first - 1 + count])
+                    keys = [pa.array([x]).take(pa.array(np.zeros(count, np.int64))) for x in (essay, kind)]
+                    yield pa.record_batch([*keys, pa.array(np.arange(first, first + count, dtype=np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in found.T]], names=[*REPLICATE, *names])
+            del batch  # else it would be held while the next one is read
+
+    def sums(batches):
+        return walked(batches, lambda one, two, i, j, scores, _: _totals(one, two, i, j, scores), SUMS)
+
+    def apart(batches):
+        return walked(batches, lambda *a: np.concatenate([_apart(*a[:5], a[5][:, 1:]), a[5]], 1), ["apart", *SUMS])
+
+    schema = lambda names: "essay_file string, comparison_type string, replicate int, " + ", ".join(f"{c} double" for c in names)
+    share = lambda x: F.coalesce(F.try_divide(x, "weight"), F.lit(float("nan"))).alias(x)
+    found = tiles.repartition(tasks, *TILES).mapInArrow(sums, schema(SUMS)).groupBy(*REPLICATE).agg(*[F.sum(c).alias(c) for c in SUMS])
+    found = found.select(*REPLICATE, "weight", *[share(c) for c in COMPONENTS])
+    if not distances:
+        return found
+    totals = found.groupBy("essay_file", "comparison_type").agg(F.array_sort(F.collect_list(F.struct("replicate", *SUMS))).alias("c"))
+    dealt = places.join(totals, ["essay_file", "comparison_type"]).select(*TILES, *[F.col(f"c.{c}").alias(c) for c in SUMS])
+    again = tiles.join(dealt, TILES).repartition(tasks, *TILES).select(*TILES, "n1", "n2", "pairs", *SUMS)
+    away = again.mapInArrow(apart, schema(["apart", *SUMS])).groupBy(*REPLICATE).agg(F.sum("apart").alias("apart"), *[F.max(c).alias(c) for c in SUMS])
+    return away.select(*REPLICATE, share("apart").alias("mean_distance"), *COMPONENTS)
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """essay_file, the largest number of a response, and by prompt that of its own pairs (null without any)."""
+    index = F.greatest("response_index_1", "response_index_2")
+    return rows.groupBy("essay_file").agg(F.max(index).alias("most"), *[F.max(F.when(F.col("comparison_type") == p + p, index)).alias(f"size_{p}") for p in "AB"])
+
+
+def _replicated(vectors: DataFrame, replicates: int, seed: int, groups: list[str], names: list[str], kinds: list[str], distances: bool, rows_of, columns_of, arrays: bool) -> DataFrame:
     """Replicates of every essay, a row each or (``arrays``) as one array per group and chunk.
 
-    Essays (some K * K pairs each) are dealt with chunks of their replicates, so that few essays fill all cores too. The
-    number of partitions is given, as there is far more to compute than to shuffle.
+    Essays of up to ``SIDE`` responses of a prompt are dealt with chunks of their replicates, so that few essays fill all cores
+    too; larger ones (some K * K pairs each) by ``_tiled``. ``rows_of`` and ``columns_of`` make the rows of both. The number of
+    partitions is given, as there is far more to compute than to shuffle.
     """
     if replicates < 1 or seed < 0:
         raise ValueError("replicates must be at least 1 and seed at least 0")
-    spark = vectors.sparkSession
-    rows = vectors.filter(F.col("comparison_type").isin(*kinds))
+    spark, every = vectors.sparkSession, vectors.filter(F.col("comparison_type").isin(*kinds))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    large = _sizes(every).filter(F.col("most") > SIDE).drop("most")
+    rows = every.join(large, "essay_file", "left_anti")
     essays = rows.groupBy("essay_file").agg(F.collect_list(F.struct("comparison_type", F.array(F.col("response_index_1").cast("double"), F.col("response_index_2").cast("double"), *COMPONENTS).alias("row"))).alias("pairs"))
     dealt = essays.select("essay_file", "pairs", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(CHUNK))).alias("first"))
-    dealt = dealt.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "essay_file", "first")
+    dealt = dealt.repartition(tasks, "essay_file", "first")
 
     def made(essay, pairs, first):
         # tables of pairs in one order, whatever order the shuffle gave
@@ -265,14 +385,18 @@ def _replicated(vectors: DataFrame, replicates: int, seed: int, groups: list[str
                     else:
                         keys = [pa.array([g]).take(pa.array(np.zeros(size, np.int64))) for g in group]
                         yield pa.record_batch([*keys, pa.array(np.arange(first, first + size, dtype=np.int32)), *values], names=[*groups, "replicate", *names])
+            del batch, pairs  # else they would be held while the next batch is read
 
     kind = "array<double>" if arrays else "double"
     schema = ", ".join([*[f"{g} string" for g in groups], "first int" if arrays else "replicate int", *[f"{n} {kind}" for n in names]])
     found = dealt.mapInArrow(run, schema)
+    others = columns_of(_tiled(every, large, replicates, seed, SIDE, tasks, distances)).select(*groups, "replicate", *names)
     if not arrays:
-        return found
+        return found.unionByName(others)
+    others = others.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("replicate", *names))).alias("c"))
+    others = others.select(*groups, *[F.col(f"c.{n}").alias(n) for n in names])
     chunks = found.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("first", *names))).alias("c"))
-    return chunks.select(*groups, *[F.flatten(F.col(f"c.{n}")).alias(n) for n in names])
+    return chunks.select(*groups, *[F.flatten(F.col(f"c.{n}")).alias(n) for n in names]).unionByName(others)
 
 
 def within_replicates(vectors: DataFrame, replicates: int, seed: int, arrays: bool = True) -> DataFrame:
@@ -282,7 +406,10 @@ def within_replicates(vectors: DataFrame, replicates: int, seed: int, arrays: bo
     def rows(essay, found):
         return [(essay, kind[0], found[kind]) for kind in ("AA", "BB") if kind in found]
 
-    return _replicated(vectors, replicates, seed, ["essay_file", "prompt"], METRICS, ["AA", "BB"], True, rows, arrays)
+    def columns(found):
+        return found.withColumns({"prompt": F.substring("comparison_type", 1, 1), **{f"{c}_mean": F.col(c) for c in COMPONENTS}})
+
+    return _replicated(vectors, replicates, seed, ["essay_file", "prompt"], METRICS, ["AA", "BB"], True, rows, columns, arrays)
 
 
 def shift_replicates(vectors: DataFrame, replicates: int, seed: int, arrays: bool = True) -> DataFrame:
@@ -295,7 +422,13 @@ def shift_replicates(vectors: DataFrame, replicates: int, seed: int, arrays: boo
         delta = found["AB"] - (found["AA"] + found["BB"]) / 2
         return [(essay, np.concatenate([np.sqrt((delta**2).sum(1, keepdims=True)), delta], 1))]
 
-    return _replicated(vectors, replicates, seed, ["essay_file"], DELTAS, ["AA", "BB", "AB"], False, rows, arrays)
+    def columns(found):
+        side = lambda kind, c: F.max(F.when(F.col("comparison_type") == kind, F.col(c)))
+        deltas = [(side("AB", c) - (side("AA", c) + side("BB", c)) / 2).alias(f"delta_{c}") for c in COMPONENTS]
+        all_ = found.groupBy("essay_file", "replicate").agg(F.count_distinct("comparison_type").alias("kinds"), *deltas).filter("kinds = 3")
+        return all_.withColumn("magnitude", norm([F.col(f"delta_{c}") for c in COMPONENTS]))
+
+    return _replicated(vectors, replicates, seed, ["essay_file"], DELTAS, ["AA", "BB", "AB"], False, rows, columns, arrays)
 
 
 def bootstrap_within(vectors: DataFrame, replicates: int, seed: int) -> DataFrame:

@@ -188,6 +188,37 @@ def test_bootstrap_of_an_essay_with_200_responses(spark):
     assert got["AB"][11] == pytest.approx(ab.mean(0))
 
 
+def test_counts_of_a_range_of_ids_are_those_of_whole_samples(monkeypatch):
+    monkeypatch.setattr(stability, "SLOTS", 3)
+    for k in (2, 3, 11):
+        whole = stability.counted(stability.drawn(7, "e", "A", k, 5, 60), k)
+        for low in range(1, k + 1, 4):
+            assert (stability.counted_between(7, "e", "A", k, 5, 60, low, low + 4)[:, : k + 1 - low] == whole[:, low : low + 4]).all()
+    with pytest.raises(ValueError):
+        stability.counted_between(3, "e", "A", 1, 1, 1, 1, 2)
+
+
+def test_large_essays_are_never_one_row(spark, monkeypatch):
+    """Replicates of essays in tiles are those of essays in a row; a prompt with one response still has none."""
+    rng = np.random.default_rng(4)
+    keys = [(e, p, i, q, j) for e, a, b in (("e", 7, 5), ("f", 2, 3), ("g", 1, 6), ("h", 6, 0)) for p, q, m, n in (("A", "A", a, a), ("B", "B", b, b), ("A", "B", a, b)) for i in range(1, m + 1) for j in range(1, n + 1) if p != q or i <= j]
+    # (pairs are missing, too)
+    vectors = spark.createDataFrame([(*k, k[1] + k[3], 7, *map(float, rng.random(4))) for k in keys if k[2] != 3 or k[4] != 4], VECTORS).repartition(3)
+    runs = [stability.bootstrap_within, stability.bootstrap_shift, stability.within_replicates, stability.shift_replicates]
+    flat = lambda r: [y for x in r if not isinstance(x, (str, int)) for y in (x if isinstance(x, list) else [x])]
+    made = lambda: [{tuple(x for x in r if isinstance(x, (str, int))): flat(r) for r in f(vectors, 9, 3).collect()} for f in runs]
+    want = made()
+    assert {k[0] for k in want[0]} == {"e", "f", "g", "h"} and {k[0] for k in want[1]} == {"e", "f"}
+    monkeypatch.setattr(stability, "SIDE", 2)
+    monkeypatch.setattr(stability, "CHUNK", 4)
+    for f, x, y in zip(runs, made(), want):
+        assert x.keys() == y.keys(), f
+        for k in y:
+            assert x[k] == pytest.approx(y[k], abs=1e-12), (f, k)
+    rows = [r for r in stability._tiles(vectors, stability._sizes(vectors).filter("most > 2").drop("most"), 2)[0].collect() if r["essay_file"] != "f"]
+    assert {r["essay_file"] for r in rows} == {"e", "g", "h"} and max(len(r["pairs"]) for r in rows) <= 4
+
+
 def test_replicates_are_made_in_many_tasks(spark, vectors):
     made = stability.bootstrap_within(fixture(spark, 8, 3), 5_000, 1)
     used = made.select(F.spark_partition_id().alias("p")).distinct().count()
