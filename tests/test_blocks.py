@@ -46,6 +46,30 @@ def test_organization_of_texts_is_that_of_their_cells(spark, monkeypatch, block,
     assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("window,block,tile", [(1, 64, 1 << 18), (3, 64, 1 << 18), (3, 2, 30), (2, 1, 1), (7, 3, 1 << 18)])
+def test_cells_of_texts_are_those_of_their_windows(spark, monkeypatch, window, block, tile):
+    """Windows of sentences that texts carry, against the matrix over joined sentences."""
+    monkeypatch.setattr(organization, "TILE", tile)
+    rows = spark.createDataFrame(TEXTS, "essay_file string, prompt string, response_index int, response string").repartition(3)
+    terms = F.transform(T.sentences(F.col("response")), lambda s: T.words(s, T.TERM))
+    cells = organization.text_cells(rows.select(*pairs.RESPONSE, terms.alias("s")), window, block)
+    slid = rows.withColumn("s", organization.sliding(T.sentences(F.col("response")), window)).withColumn("text", F.struct(*pairs.RESPONSE)).withColumn("n", F.size("s"))
+    both = pairs.packed(pairs.canonical_pairs(slid.drop("s"), "text", "n")).withColumnsRenamed({"text_1": "one", "text_2": "two"})
+    frames = organization.sentence_matrix(both, organization.sentence_terms(slid, ["text"], F.col("s")), ["essay_file", "pair"])
+    got, want = ({r[:4]: r[4] for r in x.collect()} for x in (cells, frames))
+    assert cells.schema.simpleString() == frames.schema.simpleString()
+    assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-9) and cells.count() == len(got)
+    with pytest.raises(ValueError):
+        organization.text_cells(rows, 0)
+
+
+def test_no_cell_is_shuffled(spark):
+    from stabilis.plans import catalog
+
+    plan = catalog.sliding_matrix(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not re.search(r"hashpartitioning\([^)]*pair", plan)
+
+
 @pytest.mark.parametrize("step", ["_matches", "_organization"])
 def test_nothing_is_shuffled_for_each_pair(spark, step):
     from stabilis.plans import catalog
