@@ -142,6 +142,12 @@ def split_clauses(tokens: DataFrame, key: str, strict: bool = False) -> DataFram
 
     A column ``xpos`` is used where there is one (infinitives); without it no clause counts as an infinitive.
     """
+    found = lambda sentence, clause: (len(clause), Part(sentence, clause).text, clause)
+    return _split_rows(tokens, key, strict, found, [("n_tokens", "int", pa.int32()), ("text", "string", pa.string()), ("token_ids", "array<int>", pa.list_(pa.int32()))])
+
+
+def _split_rows(tokens: DataFrame, key: str, strict: bool, found, fields: list[tuple]) -> DataFrame:
+    """key, sentence_id, clause and what ``found`` makes of a sentence and each of its clauses."""
 
     def run(batches):
         for batch in batches:
@@ -150,25 +156,38 @@ def split_clauses(tokens: DataFrame, key: str, strict: bool = False) -> DataFram
             first, last = ends[0], ends[-1]
             columns = [nodes.field(n).slice(first, last - first).to_pylist() for n in range(6)]
             ids, words = columns[0], list(map(Token, *columns[1:]))
-            at, numbers, sizes, said, found = [], [], [], [], []
+            at, numbers, made = [], [], [[] for _ in fields]
             for row, (a, b) in enumerate(zip(ends, ends[1:])):
                 sentence = dict(zip(ids[a - first : b - first], words[a - first : b - first]))
                 for k, clause in enumerate(_split(sentence, strict)):
                     at.append(row)
                     numbers.append(k)
-                    sizes.append(len(clause))
-                    said.append(Part(sentence, clause).text)
-                    found.append(clause)
+                    for column, x in zip(made, found(sentence, clause)):
+                        column.append(x)
             at = pa.array(at, pa.int32())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(said, pa.string()), pa.array(found, pa.list_(pa.int32()))]
-            yield pa.record_batch(columns, names=[key, "sentence_id", "clause", "n_tokens", "text", "token_ids"])
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), *[pa.array(x, t) for x, (*_, t) in zip(made, fields)]]
+            yield pa.record_batch(columns, names=[key, "sentence_id", "clause", *[f[0] for f in fields]])
 
     kind = tokens.schema[key].dataType.simpleString()
     xpos = F.col("xpos") if "xpos" in tokens.columns else F.lit(None).cast("string").alias("xpos")
     number = lambda c: F.col(c).cast("int").alias(c)
     node = F.struct(number("token_id"), "text", "upos", "dependency_relation", number("head_token_id"), xpos)
     sentences = tokens.select(key, number("sentence_id"), node.alias("node")).groupBy(key, "sentence_id").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    return sentences.mapInArrow(run, f"{key} {kind}, sentence_id int, clause int, n_tokens int, text string, token_ids array<int>")
+    return sentences.mapInArrow(run, f"{key} {kind}, sentence_id int, clause int, " + ", ".join(f"{name} {of}" for name, of, _ in fields))
+
+
+def clause_units(tokens: DataFrame, key: str) -> DataFrame:
+    """key, sentence_id, clause (from 0), text and patterns (array: head tag, relation, tag) of loose clauses: ``split_clauses``
+    and ``structure.patterns`` of their tokens, made where the sentence is, so that no token is looked for again."""
+
+    def patterns(sentence: dict[int, Token], ids: list[int]) -> list[str]:
+        inside = {i: sentence[i] for i in ids if sentence[i].upos is not None and sentence[i].upos != "PUNCT"}
+        return ["|".join(x for x in (inside[t.head].upos, t.relation, t.upos) if x is not None) for t in inside.values() if t.head in inside]
+
+    def found(sentence, clause):
+        return Part(sentence, clause).text, patterns(sentence, clause)
+
+    return _split_rows(tokens, key, False, found, [("text", "string", pa.string()), ("patterns", "array<string>", pa.list_(pa.string()))])
 
 
 def clause_tokens(tokens: DataFrame, clauses: DataFrame, key: str) -> DataFrame:

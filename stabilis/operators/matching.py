@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stabilis.operators.organization import paired_cosines
+from stabilis.operators.organization import paired_cosines, paired_members
 from stabilis.operators.pairs import BLOCK, paired_blocks
 
 #: Cells that problems which are solved together may have.
@@ -284,6 +284,79 @@ def match_texts(texts: DataFrame, capacity: int = 2, least: float = 0.0, places:
     return both.mapInArrow(run, "essay_file string, pair bigint, i int, j int, score double, phase string")
 
 
+#: Columns of ``structure.matched_patterns`` that count.
+COUNTS = ["n_patterns_a", "n_patterns_b", "n_pattern_types_a", "n_pattern_types_b", "n_shared_pattern_types"]
+
+
+def _overlaps(batch: pa.RecordBatch):
+    """Of matched units of a batch of ``paired_blocks``, whose fourth field has the patterns of each unit: structurality and
+    ``COUNTS``. Units are told by the place of their text and their own."""
+    lists = [batch.column(c).values.field(3) for c in (1, 2)]
+    codes = pa.concat_arrays([x.values.values for x in lists]).dictionary_encode()
+    width, codes = max(1, len(codes.dictionary)), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    cut, units = len(lists[0].values.values), len(lists[0].values)
+    texts = np.concatenate([lists[0].offsets.to_numpy()[:-1], lists[1].offsets.to_numpy()[:-1].astype(np.int64) + units]).astype(np.int64)
+    sizes = np.concatenate([np.diff(x.values.offsets.to_numpy()) for x in lists])
+    held = np.concatenate([codes[o[0] : o[-1]] for o, codes in ((lists[0].values.offsets.to_numpy(), codes[:cut]), (lists[1].values.offsets.to_numpy(), codes[cut:]))])
+    types, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + held, return_counts=True)
+    start = np.searchsorted(types, np.arange(len(sizes) + 1) * width)
+
+    def of(one, i, two, j):
+        a, b = texts[one] + i, texts[two] + j
+        n = start[a + 1] - start[a]
+        match = np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(match)) - np.repeat(np.cumsum(n) - n, n) + start[a][match]
+        wanted = b[match] * width + types[at] % width
+        there = np.minimum(np.searchsorted(types, wanted), max(0, len(types) - 1))
+        both = types[there] == wanted
+        low = np.bincount(match[both], np.minimum(times[at[both]], times[there[both]]), len(a))
+        high = sizes[a] + sizes[b] - low
+        share = np.divide(low, high, out=np.zeros(len(a)), where=high > 0)
+        return [share, *[x.astype(np.int64) for x in (sizes[a], sizes[b], n, start[b + 1] - start[b], np.bincount(match[both], minlength=len(a)))]]
+
+    return of
+
+
+def match_patterns(texts: DataFrame, weight: float, least: float, capacity: int = 2, places: int = 6, block: int = BLOCK) -> DataFrame:
+    """essay_file, pair (see ``pairs.packed``), i, j, structurality and ``COUNTS``: ``structure.matched_patterns`` of the units that
+    ``match_units`` matches by similarity, blended with the closeness of places, of all canonical pairs of texts.
+
+    ``texts`` has the keys of responses, ``s``, the terms of each unit, and ``p``, its patterns (arrays of arrays). Texts meet
+    block by block, so that neither terms nor patterns, cells or matches are shuffled for each pair.
+    """
+    if capacity < 1:
+        raise ValueError("capacity must be at least 1")
+    place = lambda n: np.arange(n) / (n - 1) if n > 1 else np.zeros(n)
+
+    def blend(score):
+        close = 1 - np.abs(place(score.shape[0])[:, None] - place(score.shape[1]))
+        return np.floor(((1 - weight) * score + weight * close) * 10**places + 0.5) / 10**places
+
+    def settled(found, overlaps):
+        essays, numbers, matrices, sides = zip(*found)
+        taken = [(i[c], j[c]) for i, j, core, rest in _matched_matrices(list(map(blend, matrices)), capacity, least) for c in [np.concatenate([core, rest]).astype(np.int64)]]
+        pair = np.repeat(np.arange(len(found)), [len(i) for i, _ in taken])
+        i, j = (np.concatenate(x).astype(np.int64) for x in zip(*taken))
+        one, two = np.array(sides)[pair].T
+        columns = [pa.array(essays).take(pa.array(pair)), pa.array(np.array(numbers)[pair]), *[pa.array(x.astype(np.int32)) for x in (i, j)], *map(pa.array, overlaps(one, i, two, j))]
+        return pa.record_batch(columns, names=["essay_file", "pair", "i", "j", "structurality", *COUNTS])
+
+    def run(batches):
+        for batch in batches:
+            overlaps, held, cells = _overlaps(batch), [], 0
+            for found in paired_members(batch):
+                held.append(found)
+                cells += found[2].size
+                if len(held) == TOGETHER or cells >= TILE:
+                    yield settled(held, overlaps)
+                    held, cells = [], 0
+            if held:
+                yield settled(held, overlaps)
+
+    counts = ", ".join(f"{c} bigint" for c in COUNTS)
+    return paired_blocks(texts, "s", "p", block=block).mapInArrow(run, f"essay_file string, pair bigint, i int, j int, structurality double, {counts}")
+
+
 def _edges(table: pa.Table, keys: list[str]) -> list[int]:
     """Where runs of equal keys begin, and the end."""
     new = np.zeros(max(0, len(table) - 1), bool)

@@ -63,6 +63,44 @@ def test_cells_of_texts_are_those_of_their_windows(spark, monkeypatch, window, b
         organization.text_cells(rows, 0)
 
 
+def test_matched_patterns_of_blocks_are_those_of_tables(spark, monkeypatch):
+    """Clauses matched and their patterns counted in blocks, against the tables of cells, matches and patterns; nothing is
+    shuffled for each pair."""
+    from stabilis.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, catalog.rounded(pairs.unpacked(catalog._matched_patterns(*catalog._clause_parts(spark, sf)))).collect()))
+    found = catalog.matched_clause_patterns(spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not re.search(r"hashpartitioning\([^)]*pair", plan)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 100
+    units = catalog._clause_units(spark, sf)
+    for block, tile, together in ((2, 1 << 18, 3), (1, 1, 1_024), (5, 40, 2)):
+        monkeypatch.setattr(matching, "TILE", tile)
+        monkeypatch.setattr(organization, "TILE", tile)
+        monkeypatch.setattr(matching, "TOGETHER", together)
+        got = matching.match_patterns(units, catalog.POSITION, catalog.LEAST, block=block)
+        assert sorted(map(tuple, catalog.rounded(pairs.unpacked(got)).collect())) == want
+
+
+def test_patterns_of_clauses_are_those_of_their_tokens(spark):
+    from stabilis.operators import clauses, structure
+    from stabilis.plans.tokens import synthetic_tokens
+
+    texts = spark.createDataFrame([("x", TEXTS[0][3] * 4), ("y", "one two three four five six seven eight nine ten " * 6), ("z", ""), ("w", None)], "rid string, t string")
+    tokens = synthetic_tokens(texts, "rid", "t")
+    split = clauses.split_clauses(tokens, "rid")
+    # (a token without a tag, and a head that is not there)
+    odd = tokens.withColumn("upos", F.when(F.col("token_id") == 5, F.lit(None)).otherwise(F.col("upos"))).withColumn("head_token_id", F.when(F.col("token_id") == 3, 99).otherwise(F.col("head_token_id")))
+    for rows, parts in ((tokens, split), (odd, clauses.split_clauses(odd, "rid"))):
+        kept = rows.join(parts.select("rid", "sentence_id", "clause", F.explode("token_ids").alias("token_id")), ["rid", "sentence_id", "token_id"])
+        want = sorted(map(tuple, structure.patterns(kept, ["rid", "sentence_id", "clause"]).collect()))
+        units = clauses.clause_units(rows, "rid")
+        got = sorted(map(tuple, units.select("rid", "sentence_id", "clause", F.explode("patterns")).collect()))
+        assert got == want and want
+        assert sorted(map(tuple, units.drop("patterns").collect())) == sorted(map(tuple, parts.select("rid", "sentence_id", "clause", "text").collect()))
+
+
 def test_no_cell_is_shuffled(spark):
     from stabilis.plans import catalog
 
