@@ -135,6 +135,12 @@ ATTEMPTS = 40
 CHUNK, TILE = 1_250, 1 << 19
 #: Pairs that fill at least one in so many places of the matrix of ids are summed as a matrix.
 FILLED = 4
+#: Pairs from which on distances are products of matrices, and cells that a tile of those may have (it stays in a core's cache).
+MANY, NEAR = 64, 1 << 16
+#: Pairs below which all are held at once; so many chunks of replicates of an essay with fewer are made at a time.
+FEW, LONG = 32, 4
+#: Rows that leave at a time.
+ROWS = 20_000
 #: Responses of a prompt beyond which an essay's pairs are dealt in tiles of so many by so many; slots drawn at a time there.
 SIDE, SLOTS = 256, 256
 #: Fixed values of the counter-based generator: steps between counters, multipliers of the mixer.
@@ -174,9 +180,12 @@ def drawn(seed: int, essay: str, prompt: str, k: int, first: int, replicates: in
     for attempt in range(attempts):
         ids = _ids(stream[open_], attempt * k, (attempt + 1) * k, k)
         out[open_] = ids
-        open_ = open_[ids.min(1) == ids.max(1)]
-        if not len(open_):
-            return out
+        alike = np.ones(len(ids), bool)
+        for c in range(1, k):
+            alike &= ids[:, c] == ids[:, 0]
+            if not alike.any():
+                return out
+        open_ = open_[alike]
     raise ValueError("a bootstrap sample kept a single response")
 
 
@@ -224,20 +233,57 @@ def _centres(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray
 
 
 def _apart(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """Per sample the weighted sum of the pairs' distances to its centroid, walked in tiles."""
-    out, step = np.zeros((len(first), 1)), max(1, TILE // max(1, len(first)))
-    for t in (slice(a, a + step) for a in range(0, len(i), step)):
-        square = sum((scores[t, c] - centre[:, c, None]) ** 2 for c in range(scores.shape[1]))
-        out += (first[:, i[t]] * second[:, j[t]] * np.sqrt(square)).sum(1, keepdims=True)
+    """Per sample the weighted sum of the pairs' distances to its centroid, walked in tiles. Squares of the distances of many
+    pairs are one product of matrices (a square less twice the product, and the other square, about the middle of all pairs)."""
+    out = np.zeros((len(first), 1))
+    step = max(1, (TILE if len(i) < MANY else NEAR) // max(1, len(first)))
+    tiles = [slice(a, a + step) for a in range(0, len(i), step)]
+    if len(i) < MANY:
+        for t in tiles:
+            square = sum((scores[t, c] - centre[:, c, None]) ** 2 for c in range(scores.shape[1]))
+            out += (first[:, i[t]] * second[:, j[t]] * np.sqrt(square)).sum(1, keepdims=True)
+        return out
+    # (a row for each pair: counts of an id then lie side by side)
+    middle = scores.mean(0)
+    scores, centre = scores - middle, centre - middle
+    left = np.concatenate([scores, (scores**2).sum(1, keepdims=True), np.ones((len(i), 1))], 1)
+    right = np.concatenate([-2 * centre, np.ones(out.shape), (centre**2).sum(1, keepdims=True)], 1).T
+    one, two = np.ascontiguousarray(first.T), np.ascontiguousarray(second.T)
+    for t in tiles:
+        distance = left[t] @ right
+        np.sqrt(np.maximum(distance, 0.0, out=distance), out=distance)
+        weight = one[i[t]]
+        weight *= two[j[t]]
+        out[:, 0] += np.einsum("pr,pr->r", distance, weight)
     return out
 
 
+def _few_means(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray, distances: bool) -> np.ndarray:
+    """``weighted_means`` of few pairs: a row for each pair, so that samples lie side by side."""
+    weight = first.T[i] * second.T[j]
+    total = weight.sum(0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        centre = [(weight * c[:, None]).sum(0) / total for c in scores.T]
+        if not distances:
+            return np.stack(centre, 1)
+        square = sum((s[:, None] - c) ** 2 for s, c in zip(scores.T, centre))
+        return np.stack([(weight * np.sqrt(square)).sum(0) / total, *centre], 1)
+
+
 def weighted_means(first: np.ndarray, second: np.ndarray, i: np.ndarray, j: np.ndarray, scores: np.ndarray, distances: bool = True) -> np.ndarray:
     """Per sample: mean distance to its centroid (if asked for) and the centroid, of pairs (i, j) that weigh the product of
-    the counts of both ids: as often as pairs of slots show them. Pairs are walked in tiles; where only centroids are asked
-    for and pairs fill a matrix of ids well, they are products of matrices."""
-    if not distances and first.shape[1] * second.shape[1] <= FILLED * len(i):
+    the counts of both ids: as often as pairs of slots show them. Pairs are walked in tiles; centroids of many pairs that fill a
+    matrix of ids well are products of matrices."""
+    filled = first.shape[1] * second.shape[1] <= FILLED * len(i)
+    if filled and not distances and len(i) >= FEW:
         return _centres(first, second, i, j, scores)
+    if len(i) < FEW:
+        return _few_means(first, second, i, j, scores, distances)
+    if filled and len(i) >= MANY:
+        sums = _totals(first, second, i, j, scores)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            centre = sums[:, 1:] / sums[:, :1]
+            return np.concatenate([_apart(first, second, i, j, scores, centre) / sums[:, :1], centre], 1)
     step = max(1, TILE // max(1, len(first)))
     tiles = [slice(a, a + step) for a in range(0, len(i), step)]
     total, centre = np.zeros((len(first), 1)), np.zeros((len(first), scores.shape[1]))
@@ -360,7 +406,9 @@ def _replicated(vectors: DataFrame, replicates: int, seed: int, groups: list[str
     large = _sizes(every).filter(F.col("most") > SIDE).drop("most")
     rows = every.join(large, "essay_file", "left_anti")
     essays = rows.groupBy("essay_file").agg(F.collect_list(F.struct("comparison_type", F.array(F.col("response_index_1").cast("double"), F.col("response_index_2").cast("double"), *COMPONENTS).alias("row"))).alias("pairs"))
-    dealt = essays.select("essay_file", "pairs", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(CHUNK))).alias("first"))
+    chunk = lambda n: LONG * CHUNK if n < FEW else CHUNK
+    step = F.when(F.size("pairs") < FEW, chunk(0)).otherwise(chunk(FEW))
+    dealt = essays.select("essay_file", "pairs", F.explode(F.sequence(F.lit(1), F.lit(replicates), step)).alias("first"))
     dealt = dealt.repartition(tasks, "essay_file", "first")
 
     def made(essay, pairs, first):
@@ -369,22 +417,35 @@ def _replicated(vectors: DataFrame, replicates: int, seed: int, groups: list[str
         row = row.reshape(-1, 2 + len(COMPONENTS))
         tables = {k: row[kind == k] for k in kinds}
         tables = {k: t[np.lexsort((t[:, 1], t[:, 0]))] for k, t in tables.items()}
-        return rows_of(essay, _resampled(tables, essay, first, min(CHUNK, replicates - first + 1), seed, distances))
+        return rows_of(essay, _resampled(tables, essay, first, min(chunk(len(row)), replicates - first + 1), seed, distances))
+
+    def together(held):
+        """Rows of some groups and chunks."""
+        of = pa.array(np.repeat(np.arange(len(held)), [len(found) for *_, found in held]))
+        keys = [pa.array(g).take(of) for g in zip(*[group for group, *_ in held])]
+        numbers = np.concatenate([np.arange(first, first + len(found), dtype=np.int32) for _, first, found in held])
+        values = np.concatenate([found for *_, found in held]).T
+        return pa.record_batch([*keys, pa.array(numbers), *[pa.array(np.ascontiguousarray(c)) for c in values]], names=[*groups, "replicate", *names])
 
     def run(batches):
         for batch in batches:
             pairs = batch.column(1)
             ends = pairs.offsets.to_numpy()
+            held, waiting = [], 0
             for n, (essay, first) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 for *group, found in made(essay, pairs.values.slice(ends[n], ends[n + 1] - ends[n]), first):
-                    size = len(found)
-                    values = [pa.array(np.ascontiguousarray(found[:, c])) for c in range(len(names))]
                     if arrays:
-                        ahead = pa.array([0, size], pa.int32())
+                        ahead = pa.array([0, len(found)], pa.int32())
+                        values = [pa.array(np.ascontiguousarray(found[:, c])) for c in range(len(names))]
                         yield pa.record_batch([*[pa.array([g]) for g in group], pa.array([first], pa.int32()), *[pa.ListArray.from_arrays(ahead, v) for v in values]], names=[*groups, "first", *names])
-                    else:
-                        keys = [pa.array([g]).take(pa.array(np.zeros(size, np.int64))) for g in group]
-                        yield pa.record_batch([*keys, pa.array(np.arange(first, first + size, dtype=np.int32)), *values], names=[*groups, "replicate", *names])
+                        continue
+                    held.append((group, first, found))
+                    waiting += len(found)
+                    if waiting >= ROWS:
+                        yield together(held)
+                        held, waiting = [], 0
+            if held:
+                yield together(held)
             del batch, pairs  # else they would be held while the next batch is read
 
     kind = "array<double>" if arrays else "double"

@@ -169,6 +169,42 @@ def test_centroids_as_products_of_matrices(monkeypatch, kind, share):
     assert calls == [1] and np.allclose(fast, stability.weighted_means(first, second, i, j, scores)[:, 1:], rtol=1e-12)
 
 
+@pytest.mark.parametrize("k,distances", [(3, True), (3, False), (7, True), (7, False), (30, True), (60, True)])
+def test_means_and_distances_of_few_and_many_pairs(k, distances):
+    """Against the plain sums; tiles of many pairs stay in a core's cache, half a million cells at a time would not."""
+    import tracemalloc
+
+    rng, n = np.random.default_rng(6), 1_250
+    i, j = np.triu_indices(k, 1)
+    i, j, scores = i + 1, j + 1, rng.random((len(i), len(COMPONENTS)))
+    counts = stability.counted(stability.drawn(2, "e", "A", k, 1, n), k)
+    tracemalloc.start()
+    got = stability.weighted_means(counts, counts, i, j, scores, distances)
+    assert tracemalloc.get_traced_memory()[1] < 10 << 20
+    tracemalloc.stop()
+    for r in range(0, n, 97):
+        w = counts[r, i] * counts[r, j]
+        centre = (w[:, None] * scores).sum(0) / w.sum()
+        apart = (w * np.sqrt(((scores - centre) ** 2).sum(1))).sum() / w.sum()
+        assert np.allclose(got[r], [apart, *centre] if distances else centre, rtol=1e-12, atol=1e-14)
+
+
+def test_places_are_rounded_as_in_sql(spark):
+    """Values whose double lies beside a half, where decimals and doubles round apart; signs, zeros and what is no number."""
+    import duckdb
+
+    from stabilis.plans import catalog
+
+    rng = np.random.default_rng(7)
+    values = [*((rng.integers(0, 10**7, 3_000) * 2 + 1) / 2e6).tolist(), *rng.normal(size=200).tolist(), 0.0078125, -0.0078125, 1e-7, -1e-7, 0.0, 5e-7, 1e10 + 0.5, 3e9]
+    values += [-v for v in values[:500]]
+    frame = spark.createDataFrame([*[(n, v) for n, v in enumerate(values)], (-1, None), (-2, float("nan"))], "n int, v double")
+    got = {r["n"]: r["v"] for r in catalog.rounded(frame).collect()}
+    want = duckdb.sql("SELECT " + ", ".join(f"round({v!r}::DOUBLE, 6)" for v in values)).fetchall()[0]
+    assert [got[n] for n in range(len(values))] == list(want)
+    assert got[-1] is None and math.isnan(got[-2]) and catalog.rounded(frame).schema == frame.schema
+
+
 def test_bootstrap_of_an_essay_with_200_responses(spark):
     """Tiles keep memory small: 60,000 pairs and 40 replicates, in tiles of half a million cells."""
     k = 200
